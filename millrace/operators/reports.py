@@ -71,35 +71,37 @@ def is_total(line: str = "line") -> Column:
 
 def report_times(
     lines: DataFrame,
-    file: str = "file",
+    file: Sequence[str] = ("file",),
     lines_per_chunk: int = LINES_PER_CHUNK,
     limit: int | None = None,
 ) -> DataFrame:
-    """(file, line_no, dataset, run_no, run, time_seconds) of every timed line that is no script total.
+    """(file keys, line_no, dataset, run_no, run, time_seconds) of every timed line that is no script total.
 
     Runs are numbered per dataset in line order; lines without a dataset get the unknown-run label.
     With ``limit`` higher run numbers get it as well.
     """
-    headed = nearest_heading(lines, [file], lines_per_chunk=lines_per_chunk)
-    kept = skip_after(headed, [file], is_total(), lines_per_chunk)
+    headed = nearest_heading(lines, file, lines_per_chunk=lines_per_chunk)
+    kept = skip_after(headed, file, is_total(), lines_per_chunk)
     timed = kept.withColumn("time_seconds", tx.duration(F.col("line"))).where(F.col("time_seconds").isNotNull())
-    numbered = number_runs(timed, [file, "dataset"], lines_per_chunk=lines_per_chunk)
+    numbered = number_runs(timed, [*file, "dataset"], lines_per_chunk=lines_per_chunk)
     label = tx.capped_run(F.col("run_no"), limit if limit is not None else 2**62)
     run = F.when(F.col("dataset") == "", F.lit(tx.RUN_UNKNOWN)).otherwise(label)
-    return numbered.select(file, "line_no", "dataset", "run_no", run.alias("run"), "time_seconds")
+    return numbered.select(*file, "line_no", "dataset", "run_no", run.alias("run"), "time_seconds")
 
 
-def block_times(lines: DataFrame, file: str = "file", lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
+def block_times(
+    lines: DataFrame, file: Sequence[str] = ("file",), lines_per_chunk: int = LINES_PER_CHUNK
+) -> DataFrame:
     """Timed lines labelled with the execution they belong to; only executions closed by a marker count."""
-    headed = nearest_heading(lines, [file], lines_per_chunk=lines_per_chunk)
-    blocked = execution_blocks(headed, [file], is_total(), lines_per_chunk=lines_per_chunk)
-    closed = blocked.groupBy(file).agg(F.count_if(is_total()).alias("__closed"))
-    kept = skip_after(blocked, [file], is_total(), lines_per_chunk)
+    headed = nearest_heading(lines, file, lines_per_chunk=lines_per_chunk)
+    blocked = execution_blocks(headed, file, is_total(), lines_per_chunk=lines_per_chunk)
+    closed = lines.groupBy(*file).agg(F.count_if(is_total()).alias("__closed"))
+    kept = skip_after(blocked, file, is_total(), lines_per_chunk)
     timed = kept.withColumn("time_seconds", tx.duration(F.col("line"))).where(F.col("time_seconds").isNotNull())
     return (
-        lookup_join(timed, closed, [file])
+        lookup_join(timed, closed, file)
         .where(F.col("block") <= F.col("__closed"))
-        .select(file, "line_no", "dataset", "block", tx.capped_run(F.col("block"), 2**62).alias("run"), "time_seconds")
+        .select(*file, "line_no", "dataset", "block", tx.capped_run(F.col("block"), 2**62).alias("run"), "time_seconds")
     )
 
 
@@ -160,56 +162,43 @@ def _frame(style: str, headers: Sequence[str], title: Column) -> tuple[list[Colu
     return [title, names], []
 
 
+def _edges(head: Sequence[Column], foot: Sequence[Column]) -> Column:
+    """Fixed lines around a body: sections -n..-1 in front of it (section 0), 1..m behind it."""
+    placed = [(i - len(head), c) for i, c in enumerate(head)] + [(i + 1, c) for i, c in enumerate(foot)]
+    return F.inline(F.array(*[F.struct(F.lit(s).alias("section"), c.alias("line")) for s, c in placed]))
+
+
 def table_lines(
-    df: DataFrame,
-    document: Sequence[str],
-    order: str,
-    cells: dict[str, Column],
-    style: str = "markdown",
+    df: DataFrame, document: Sequence[str], order: str, cells: dict[str, Column], style: str = "markdown"
 ) -> DataFrame:
     """Render a result table as text, one row per line: (document, section, sort_key, line).
 
-    Sorting by (document, section, sort_key) gives the text. Nothing is collected per document,
-    so a document may have any number of rows.
+    Sorting a document by (section, sort_key) gives its text. Nothing is collected per document,
+    so it may have any number of rows.
     """
     title = F.concat_ws(" ", *[tx.pretty(F.col(d).cast("string")) for d in document])
     head, foot = _frame(style, list(cells), title)
     body = df.select(
-        *document, F.lit(1).alias("section"), F.col(order).cast("string").alias("sort_key"),
-        _line(list(cells.values()), style).alias("line"),
+        *document, F.lit(0).alias("section"), F.col(order).alias("sort_key"), _line(list(cells.values()), style).alias("line")
     )
-    fixed = F.array(
-        *[F.struct(F.lit(0).alias("section"), F.lit(f"{i:03d}").alias("sort_key"), c.alias("line")) for i, c in enumerate(head)],
-        *[F.struct(F.lit(2).alias("section"), F.lit(f"{i:03d}").alias("sort_key"), c.alias("line")) for i, c in enumerate(foot)],
-    )
-    edges = df.select(*document).distinct().select(*document, F.inline(fixed))
-    return edges.unionByName(body)
+    edges = df.select(*document).distinct().select(*document, _edges(head, foot))
+    return body.unionByName(edges, allowMissingColumns=True)
 
 
-def json_documents(df: DataFrame, key: str, order: Sequence[str], entry: Sequence[str], name: str = "runs") -> DataFrame:
+def json_documents(df: DataFrame, key: str, order: str, entry: Sequence[str], name: str = "runs") -> DataFrame:
     """One JSON document per key as ordered text fragments (key, section, sort_key, line).
 
-    The lines of a key concatenated in order are ``{"<key>": ..., "<name>": [...]}``. A key may have
-    any number of entries; only the smallest one is looked up, to know where no comma goes.
+    The lines of a key in (section, sort_key) order are ``{"<key>":"...","<name>":[...]}``. A key may
+    have any number of entries; only the smallest one is looked up, to know where no comma goes.
     """
-    position = F.struct(*order)
-    first = df.groupBy(key).agg(F.min(position).alias("__first"))
-    body = F.to_json(F.struct(*entry))
-    rows = (
-        lookup_join(df, first, [key])
-        .select(
-            key, F.lit(1).alias("section"), F.to_json(position).alias("sort_key"),
-            F.concat(F.when(position == F.col("__first"), F.lit("")).otherwise(F.lit(",")), body).alias("line"),
-        )
-    )
-    opening = F.concat(F.lit(f'{{"{key}":"'), F.col(key).cast("string"), F.lit(f'","{name}":['))
-    edges = first.select(
+    first = df.groupBy(key).agg(F.min(order).alias("__first"))
+    comma = F.when(F.col(order) == F.col("__first"), F.lit("")).otherwise(F.lit(","))
+    body = lookup_join(df, first, [key]).select(
         key,
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("section"), F.lit("").alias("sort_key"), opening.alias("line")),
-                F.struct(F.lit(2).alias("section"), F.lit("").alias("sort_key"), F.lit("]}").alias("line")),
-            )
-        ),
+        F.lit(0).alias("section"),
+        F.col(order).alias("sort_key"),
+        F.concat(comma, F.to_json(F.struct(*entry))).alias("line"),
     )
-    return edges.unionByName(rows)
+    opening = F.concat(F.lit(f'{{"{key}":"'), F.col(key).cast("string"), F.lit(f'","{name}":['))
+    edges = first.select(key, _edges([opening], [F.lit("]}")]))
+    return body.unionByName(edges, allowMissingColumns=True)

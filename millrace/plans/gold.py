@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import clean
 from millrace.operators.combine import hot_keys, skew_join, union_same
@@ -44,12 +44,12 @@ MEAN_FILL = [
 DROPPED = ["title", "timestamp", "parent_asin"]
 
 
-def clean_meta(df: DataFrame, category: str) -> DataFrame:
-    """Silver products with numbers parsed; 14 columns."""
+def clean_meta(df: DataFrame, category: str | Column) -> DataFrame:
+    """Silver products with numbers parsed; 14 columns. ``category`` is a name or, for a table of all categories, a column."""
     dimensions = "details_dimensions_value"
     return df.withColumns(
         {
-            "dataset_category": F.lit(category),
+            "dataset_category": F.lit(category) if isinstance(category, str) else category,
             "main_category": clean.known("main_category"),
             "price": clean.money("price"),
             "details_item_weight_value": clean.first_number("details_item_weight_value"),
@@ -73,7 +73,9 @@ def clean_reviews(df: DataFrame) -> DataFrame:
     )
 
 
-def gold_join(meta: DataFrame, reviews: DataFrame, category: str, hot_rows: int | None = None) -> DataFrame:
+def gold_join(
+    meta: DataFrame, reviews: DataFrame, category: str | Column, hot_rows: int | None = None
+) -> DataFrame:
     """Products joined with their reviews.
 
     A product with very many reviews is split by AQE's skew join. With ``hot_rows`` such products are

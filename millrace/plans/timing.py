@@ -16,13 +16,10 @@ CATEGORY_RULES = [("EDA", "EDA"), ("KMeans", "ML KMeans"), ("XGBoost", "ML XGBoo
                   ("Read_Filter", "ETL Read Filter"), ("_B_", "Reviews")]
 
 
-def timing_rows(lines: DataFrame, folder: str = "folder") -> DataFrame:
+def timing_rows(lines: DataFrame) -> DataFrame:
     """Timed lines of (folder, file, line_no, line) as rows of the common timing schema."""
-    places = lines.select(folder, "file").distinct()
-    times = reports.report_times(lines)
-    named = reports.lookup_join(times, places, ["file"]).withColumn(
-        "category", tx.classify(F.col("file"), CATEGORY_RULES, "Meta")
-    )
+    times = reports.report_times(lines, ["folder", "file"])
+    named = times.withColumn("category", tx.classify(F.col("file"), CATEGORY_RULES, "Meta"))
     return conform(named, reports.TIMING_COLUMNS)
 
 
