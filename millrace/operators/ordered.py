@@ -10,7 +10,7 @@ chunk as an extra leading row, so the data is shuffled once, by (series, chunk),
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -89,25 +89,25 @@ def look_back(
     df: DataFrame,
     series: Sequence[str],
     position: str,
-    value: Column,
-    name: str,
-    reach: int,
+    wanted: Mapping[str, tuple[Column, int]],
     lines_per_chunk: int = LINES_PER_CHUNK,
 ) -> DataFrame:
-    """Nearest non-NULL ``value`` among the ``reach`` rows before; ``position`` is dense per series.
+    """Add, per ``name: (value, reach)``, the nearest non-NULL value among the ``reach`` rows before.
 
-    The last ``reach`` rows of a block are copied into the next block, so blocks are independent.
+    ``position`` is dense per series. The last rows of a block, as many as the longest reach, are
+    copied into the next block, so blocks are independent and all columns come from one shuffle.
     """
+    reach = max(r for _, r in wanted.values())
     slot = F.floor(F.col(position) / lines_per_chunk)
     near_end = F.col(position) % lines_per_chunk >= lines_per_chunk - reach
-    rows = (
-        df.withColumn(_VALUE, value)
-        .withColumn("__home", slot)
-        .withColumn("__block", F.explode(F.when(near_end, F.array(slot, slot + 1)).otherwise(F.array(slot))))
+    rows = df.withColumns({f"__{n}": v for n, (v, _) in wanted.items()} | {"__home": slot}).withColumn(
+        "__block", F.explode(F.when(near_end, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home")))
+    )
+    w = Window.partitionBy(*series, "__block").orderBy(position)
+    found = rows.withColumns(
+        {n: F.last(f"__{n}", ignorenulls=True).over(w.rowsBetween(-r, -1)) for n, (_, r) in wanted.items()}
     )
-    w = Window.partitionBy(*series, "__block").orderBy(position).rowsBetween(-reach, -1)
-    found = rows.withColumn(name, F.last(_VALUE, ignorenulls=True).over(w))
-    return found.where(F.col("__home") == F.col("__block")).drop(_VALUE, "__home", "__block")
+    return found.where(F.col("__home") == F.col("__block")).drop("__home", "__block", *[f"__{n}" for n in wanted])
 
 
 def line_chunks(df: DataFrame, position: str, chunk: str = "__chunk", size: int = LINES_PER_CHUNK) -> DataFrame:

@@ -20,15 +20,17 @@ def numbered_lines(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
+def _heading(pattern: str) -> Column:
+    return F.trim(tx.extract(F.col("line"), pattern))
+
+
 def skip_after(df: DataFrame, file: Sequence[str], marker: Column, lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
     """Drop marker lines and the line right after each.
 
     A marker right after a marker is still a marker: it hides its own successor too.
     """
-    seen = look_back(
-        df, file, "line_no", F.when(marker, F.lit(1)), "__after", reach=1, lines_per_chunk=lines_per_chunk
-    )
-    return seen.where(~marker & F.col("__after").isNull()).drop("__after")
+    seen = look_back(df, file, "line_no", {"after": (F.when(marker, F.lit(1)), 1)}, lines_per_chunk)
+    return seen.where(~marker & F.col("after").isNull()).drop("after")
 
 
 def nearest_heading(
@@ -40,10 +42,27 @@ def nearest_heading(
     lines_per_chunk: int = LINES_PER_CHUNK,
 ) -> DataFrame:
     """Group 1 of the closest heading within the ``reach`` lines before each line, '' if none."""
-    found = look_back(df, file, "line_no", F.trim(tx.extract(F.col("line"), pattern)), name, reach, lines_per_chunk)
+    found = look_back(df, file, "line_no", {name: (_heading(pattern), reach)}, lines_per_chunk)
     return found.withColumn(name, F.coalesce(F.col(name), F.lit("")))
 
 
+def timed_lines(df: DataFrame, file: Sequence[str], lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
+    """Lines with a duration that are neither a script total nor right after its marker, with
+    ``dataset`` ('' if no heading is near) and ``time_seconds``; one shuffle for both look-backs.
+    """
+    seen = look_back(
+        df,
+        file,
+        "line_no",
+        {"dataset": (_heading(tx.DATASET_HEADING), LOOK_BACK), "after": (F.when(is_total(), F.lit(1)), 1)},
+        lines_per_chunk,
+    )
+    timed = seen.where(~is_total() & F.col("after").isNull()).withColumns(
+        {"dataset": F.coalesce("dataset", F.lit("")), "time_seconds": tx.duration(F.col("line"))}
+    )
+    return timed.where(F.col("time_seconds").isNotNull()).drop("after")
+
+
 def execution_blocks(
     df: DataFrame, file: Sequence[str], marker: Column, name: str = "block", lines_per_chunk: int = LINES_PER_CHUNK
 ) -> DataFrame:
@@ -80,9 +99,7 @@ def report_times(
     Runs are numbered per dataset in line order; lines without a dataset get the unknown-run label.
     With ``limit`` higher run numbers get it as well.
     """
-    headed = nearest_heading(lines, file, lines_per_chunk=lines_per_chunk)
-    kept = skip_after(headed, file, is_total(), lines_per_chunk)
-    timed = kept.withColumn("time_seconds", tx.duration(F.col("line"))).where(F.col("time_seconds").isNotNull())
+    timed = timed_lines(lines, file, lines_per_chunk)
     numbered = number_runs(timed, [*file, "dataset"], lines_per_chunk=lines_per_chunk)
     label = tx.capped_run(F.col("run_no"), limit if limit is not None else 2**62)
     run = F.when(F.col("dataset") == "", F.lit(tx.RUN_UNKNOWN)).otherwise(label)
@@ -93,11 +110,9 @@ def block_times(
     lines: DataFrame, file: Sequence[str] = ("file",), lines_per_chunk: int = LINES_PER_CHUNK
 ) -> DataFrame:
     """Timed lines labelled with the execution they belong to; only executions closed by a marker count."""
-    headed = nearest_heading(lines, file, lines_per_chunk=lines_per_chunk)
-    blocked = execution_blocks(headed, file, is_total(), lines_per_chunk=lines_per_chunk)
+    blocked = execution_blocks(lines, file, is_total(), lines_per_chunk=lines_per_chunk)
     closed = lines.groupBy(*file).agg(F.count_if(is_total()).alias("__closed"))
-    kept = skip_after(blocked, file, is_total(), lines_per_chunk)
-    timed = kept.withColumn("time_seconds", tx.duration(F.col("line"))).where(F.col("time_seconds").isNotNull())
+    timed = timed_lines(blocked, file, lines_per_chunk)
     return (
         lookup_join(timed, closed, file)
         .where(F.col("block") <= F.col("__closed"))

@@ -7,7 +7,7 @@ come out on any cluster and after any recomputation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -34,13 +34,24 @@ def below_fraction(keys: Sequence[str], fraction: float) -> Column:
 
 
 def random_rows(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """Uniform sample of exactly ``n`` rows, pinned so that later passes see the same rows."""
+    """Uniform sample of exactly ``n`` rows, pinned so that later passes see the same rows.
+
+    Sorting everything by a random number would send ``n`` rows per task to the last step. A
+    Bernoulli sample expected to hold a little more than ``n`` rows is drawn first and cut to size,
+    which is as uniform. In the very unlikely case it falls short, all rows are sorted.
+    """
+    total = df.count()
+    fraction = (n + 10 * n**0.5 + 100) / total if total else 1.0
+    if fraction < 1:
+        drawn = pinned(df.where(F.rand(seed) < fraction))
+        if drawn.count() >= n:
+            return pinned(drawn.orderBy(F.rand(seed + 1)).limit(n))
     return pinned(df.orderBy(F.rand(seed)).limit(n))
 
 
-def keyed_rows(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """The ``n`` rows with the smallest key hash: a top-n per task, then one merge of n rows each."""
-    return df.withColumn("__h", key_hash(keys)).orderBy("__h", *keys).limit(n).drop("__h")
+def head_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows as a fixed table. ``take`` stops after the few splits that hold them."""
+    return df.sparkSession.createDataFrame(df.take(n), df.schema)
 
 
 def keyed_sample(df: DataFrame, fraction: float, keys: Sequence[str]) -> DataFrame:
@@ -48,7 +59,7 @@ def keyed_sample(df: DataFrame, fraction: float, keys: Sequence[str]) -> DataFra
 
 
 def sample_head(df: DataFrame, fraction: float, n: int, seed: int = SEED) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed).limit(n)
+    return head_rows(df.sample(fraction=fraction, seed=seed), n)
 
 
 def keyed_split(df: DataFrame, fraction: float, keys: Sequence[str], name: str = "part") -> DataFrame:
@@ -56,19 +67,14 @@ def keyed_split(df: DataFrame, fraction: float, keys: Sequence[str], name: str =
     return df.withColumn(name, F.when(below_fraction(keys, fraction), "train").otherwise("test"))
 
 
-def exact_split(
-    df: DataFrame,
-    strata: Sequence[str],
-    keys: Sequence[str],
-    fraction: float,
-    name: str = "part",
-    digits: int = PREFIX_DIGITS,
-) -> DataFrame:
-    """Tag exactly floor(fraction * n) rows of each stratum ``train``, the rest ``test``.
+def _cut(
+    df: DataFrame, strata: Sequence[str], keys: Sequence[str], take: Callable[[Column], Column], digits: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows in key-hash order per stratum, cut after the first ``take(rows of the stratum)``.
 
-    Rows are ordered by key hash. Counting rows per hash prefix finds the one prefix per stratum in
-    which the cut falls; every other row is decided by its prefix without being shuffled, and only
-    the rows of the cut prefix (about 1/16**digits of the data) are ranked.
+    Counting rows per hash prefix finds the one prefix per stratum in which the cut falls. Every
+    other row is decided by its prefix, without a shuffle; only the rows of the cut prefix (about
+    1/16**digits of the data) are ranked. Returns both kinds, each with a boolean ``__taken``.
     """
     hashed = df.withColumn("__h", key_hash(keys)).withColumn("__slot", F.substring("__h", 1, digits))
     in_stratum = Window.partitionBy(*strata)
@@ -77,7 +83,7 @@ def exact_split(
         hashed.groupBy(*strata, "__slot")
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .withColumn("__take", F.floor(F.lit(fraction) * F.sum("__n").over(in_stratum)))
+        .withColumn("__take", take(F.sum("__n").over(in_stratum)))
     )
     holds_cut = (F.col("__before") < F.col("__take")) & (F.col("__take") <= F.col("__before") + F.col("__n"))
     cuts = slots.where(holds_cut).select(
@@ -89,14 +95,28 @@ def exact_split(
         cut = cuts.agg(F.struct(F.max("__cut").alias("slot"), F.max("__need").alias("need")).alias("cut")).scalar()
         placed = hashed.withColumns({"__cut": cut.getField("slot"), "__need": cut.getField("need")})
     at_cut = F.coalesce(F.col("__slot") == F.col("__cut"), F.lit(False))
-    decided = placed.where(~at_cut).withColumn(
-        name, F.when(F.col("__slot") < F.col("__cut"), "train").otherwise("test")
-    )
+    work = ["__h", "__slot", "__cut", "__need"]
+    decided = placed.where(~at_cut).withColumn("__taken", F.coalesce(F.col("__slot") < F.col("__cut"), F.lit(False)))
     by_hash = Window.partitionBy(*strata, "__slot").orderBy("__h", *keys)
-    ranked = (
-        placed.where(at_cut)
-        .withColumn("__rank", F.row_number().over(by_hash))
-        .withColumn(name, F.when(F.col("__rank") <= F.col("__need"), "train").otherwise("test"))
-        .drop("__rank")
-    )
-    return decided.unionByName(ranked).drop("__h", "__slot", "__cut", "__need")
+    ranked = placed.where(at_cut).withColumn("__taken", F.row_number().over(by_hash) <= F.col("__need"))
+    return decided.drop(*work), ranked.drop(*work)
+
+
+def exact_split(
+    df: DataFrame,
+    strata: Sequence[str],
+    keys: Sequence[str],
+    fraction: float,
+    name: str = "part",
+    digits: int = PREFIX_DIGITS,
+) -> DataFrame:
+    """Tag exactly floor(fraction * n) rows of each stratum ``train``, the rest ``test``."""
+    decided, ranked = _cut(df, strata, keys, lambda n: F.floor(F.lit(fraction) * n), digits)
+    tag = F.when(F.col("__taken"), "train").otherwise("test")
+    return decided.unionByName(ranked).withColumn(name, tag).drop("__taken")
+
+
+def keyed_rows(df: DataFrame, n: int, keys: Sequence[str], digits: int = PREFIX_DIGITS) -> DataFrame:
+    """The ``n`` rows with the smallest key hash (all rows if there are fewer), without sorting them all."""
+    decided, ranked = _cut(df, [], keys, lambda rows: F.least(rows, F.lit(n)), digits)
+    return decided.where("__taken").unionByName(ranked.where("__taken")).drop("__taken")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 
 from millrace.operators import learning
 from millrace.operators.projection import columns_of
-from millrace.operators.sampling import SEED, random_rows
-from millrace.session import pinned
+from millrace.operators.sampling import SEED, head_rows, random_rows
 
 K_RANGE = (5,)
 SAMPLE_ROWS = 5_000
@@ -42,7 +41,7 @@ def kmeans_sampled(
 
 def train_on_head(df: DataFrame, columns: Sequence[str], n: int = SAMPLE_ROWS, k: int = 5, seed: int = SEED) -> DataFrame:
     """Fit scaler and clusters on the first ``n`` rows, assign every row."""
-    head = learning.assemble(pinned(df.select(*columns).limit(n)), columns, "features_unscaled")
+    head = learning.assemble(head_rows(df.select(*columns), n), columns, "features_unscaled")
     scaler = learning.fit_scaler(head)
     model = learning.fit_kmeans(scaler.transform(head), k, seed)
     scored = model.transform(scaler.transform(learning.assemble(df, columns, "features_unscaled")))
