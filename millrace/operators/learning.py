@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
@@ -13,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.sampling import SEED
+from millrace.session import persisted
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features", on_missing: str = "error") -> DataFrame:
@@ -57,13 +57,13 @@ def silhouette(predictions: DataFrame, distance: str = "squaredEuclidean", featu
 
 
 def search_k(scaled: DataFrame, ks: Sequence[int], seed: int = SEED) -> tuple[int, KMeansModel, dict[int, float]]:
-    """Fit each k on one persisted input; best silhouette wins."""
-    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fits = {k: fit_kmeans(scaled, k, seed) for k in ks}
-        scores = {k: silhouette(m.transform(scaled)) for k, m in fits.items()}
-    finally:
-        scaled.unpersist()
+    """Fit each k; best silhouette wins.
+
+    The input is not persisted here: KMeans then keeps its own decoded vectors with spill to disk,
+    while over a persisted frame it decodes every row again in every iteration.
+    """
+    fits = {k: fit_kmeans(scaled, k, seed) for k in ks}
+    scores = {k: silhouette(m.transform(scaled)) for k, m in fits.items()}
     best = max(scores, key=scores.get)
     return best, fits[best], scores
 
@@ -71,13 +71,11 @@ def search_k(scaled: DataFrame, ks: Sequence[int], seed: int = SEED) -> tuple[in
 def fit_gbt(
     train: DataFrame, label: str, rounds: int = 1, depth: int = 5, step: float = 0.1, seed: int = SEED
 ) -> GBTClassificationModel:
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return GBTClassifier(
-            featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed
-        ).fit(train)
-    finally:
-        train.unpersist()
+    gbt = GBTClassifier(
+        featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed
+    )
+    with persisted(train) as rows:
+        return gbt.fit(rows)
 
 
 def area_under_roc(predictions: DataFrame, label: str) -> float:

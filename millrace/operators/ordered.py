@@ -30,7 +30,7 @@ def quantile_chunks(df: DataFrame, value: str, chunk: str, chunks: int = QUANTIL
     the bucket has overall, so hot groups are split as well. ``value`` must be a non-NULL double.
     """
     steps = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(value, steps, 10 * chunks)).first()[0] or []
+    bounds = df.agg(F.percentile_approx(value, steps, 4 * chunks)).first()[0] or []
     finite = sorted({b for b in bounds if b == b and abs(b) != float("inf")})
     if len(finite) == 0:
         return df.withColumn(chunk, F.lit(0.0))

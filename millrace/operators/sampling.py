@@ -12,10 +12,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators.lookup import lookup_join
+from millrace.operators.ordered import row_numbers
 from millrace.session import pinned
 
 SEED = 42
-PREFIX_DIGITS = 5  # 16**5 slots, about a million
+PREFIX_DIGITS = 3  # 4096 slots: few enough to combine fully before the shuffle
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -67,39 +68,42 @@ def keyed_split(df: DataFrame, fraction: float, keys: Sequence[str], name: str =
     return df.withColumn(name, F.when(below_fraction(keys, fraction), "train").otherwise("test"))
 
 
-def _cut(
+def _with_cut(
     df: DataFrame, strata: Sequence[str], keys: Sequence[str], take: Callable[[Column], Column], digits: int
-) -> tuple[DataFrame, DataFrame]:
-    """Rows in key-hash order per stratum, cut after the first ``take(rows of the stratum)``.
+) -> DataFrame:
+    """Add a boolean ``__taken`` for the first ``take(rows of the stratum)`` rows in key-hash order.
 
-    Counting rows per hash prefix finds the one prefix per stratum in which the cut falls. Every
-    other row is decided by its prefix, without a shuffle; only the rows of the cut prefix (about
-    1/16**digits of the data) are ranked. Returns both kinds, each with a boolean ``__taken``.
+    Counting rows per hash prefix finds the one prefix per stratum in which the cut falls. Only the
+    rows of that prefix (about 1/16**digits of the data) are ranked, in pieces by a longer prefix, to
+    find the last row taken. Its hash and key then decide every row where it is, without a shuffle.
+    ``keys`` must identify a row.
     """
-    hashed = df.withColumn("__h", key_hash(keys)).withColumn("__slot", F.substring("__h", 1, digits))
+    hashed = df.withColumn("__h", key_hash(keys))
+    slotted = hashed.select(*strata, *[k for k in keys if k not in strata], "__h").withColumn(
+        "__slot", F.substring("__h", 1, digits)
+    )
     in_stratum = Window.partitionBy(*strata)
     earlier = in_stratum.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = (
-        hashed.groupBy(*strata, "__slot")
+        slotted.groupBy(*strata, "__slot")
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         .withColumn("__take", take(F.sum("__n").over(in_stratum)))
     )
     holds_cut = (F.col("__before") < F.col("__take")) & (F.col("__take") <= F.col("__before") + F.col("__n"))
-    cuts = slots.where(holds_cut).select(
-        *strata, F.col("__slot").alias("__cut"), (F.col("__take") - F.col("__before")).alias("__need")
+    cuts = slots.where(holds_cut).select(*strata, "__slot", (F.col("__take") - F.col("__before")).alias("__need"))
+    near = lookup_join(slotted, cuts, [*strata, "__slot"]).withColumn("__fine", F.substring("__h", 1, digits + 3))
+    place = F.struct("__h", *keys)
+    last = (
+        row_numbers(near, strata, "__fine", ["__h", *keys], "__rank")
+        .where(F.col("__rank") == F.col("__need"))
+        .select(*strata, place.alias("__last"))
     )
     if strata:
-        placed = lookup_join(hashed, cuts, strata, "left")
+        placed = lookup_join(hashed, last, strata, "left")
     else:
-        cut = cuts.agg(F.struct(F.max("__cut").alias("slot"), F.max("__need").alias("need")).alias("cut")).scalar()
-        placed = hashed.withColumns({"__cut": cut.getField("slot"), "__need": cut.getField("need")})
-    at_cut = F.coalesce(F.col("__slot") == F.col("__cut"), F.lit(False))
-    work = ["__h", "__slot", "__cut", "__need"]
-    decided = placed.where(~at_cut).withColumn("__taken", F.coalesce(F.col("__slot") < F.col("__cut"), F.lit(False)))
-    by_hash = Window.partitionBy(*strata, "__slot").orderBy("__h", *keys)
-    ranked = placed.where(at_cut).withColumn("__taken", F.row_number().over(by_hash) <= F.col("__need"))
-    return decided.drop(*work), ranked.drop(*work)
+        placed = hashed.withColumn("__last", last.agg(F.max("__last")).scalar())
+    return placed.withColumn("__taken", F.coalesce(place <= F.col("__last"), F.lit(False))).drop("__h", "__last")
 
 
 def exact_split(
@@ -111,12 +115,11 @@ def exact_split(
     digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
     """Tag exactly floor(fraction * n) rows of each stratum ``train``, the rest ``test``."""
-    decided, ranked = _cut(df, strata, keys, lambda n: F.floor(F.lit(fraction) * n), digits)
-    tag = F.when(F.col("__taken"), "train").otherwise("test")
-    return decided.unionByName(ranked).withColumn(name, tag).drop("__taken")
+    cut = _with_cut(df, strata, keys, lambda n: F.floor(F.lit(fraction) * n), digits)
+    return cut.withColumn(name, F.when(F.col("__taken"), "train").otherwise("test")).drop("__taken")
 
 
 def keyed_rows(df: DataFrame, n: int, keys: Sequence[str], digits: int = PREFIX_DIGITS) -> DataFrame:
     """The ``n`` rows with the smallest key hash (all rows if there are fewer), without sorting them all."""
-    decided, ranked = _cut(df, [], keys, lambda rows: F.least(rows, F.lit(n)), digits)
-    return decided.where("__taken").unionByName(ranked.where("__taken")).drop("__taken")
+    cut = _with_cut(df, [], keys, lambda rows: F.least(rows, F.lit(n)), digits)
+    return cut.where("__taken").drop("__taken")

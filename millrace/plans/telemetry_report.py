@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from millrace.operators import telemetry as tm
 from millrace.operators.combine import reindex
+from millrace.session import staged
 
 
 def good_samples(raw: DataFrame) -> DataFrame:
@@ -19,8 +20,12 @@ def good_samples(raw: DataFrame) -> DataFrame:
 
 
 def container_report(raw: DataFrame, order: Sequence[str] = tuple(tm.CONTAINER_ORDER)) -> DataFrame:
-    """One row per listed container with all statistics; containers without samples have NULLs."""
-    return reindex(tm.wide_stats(tm.container_stats(good_samples(raw))), "name", order)
+    """One row per listed container with all statistics; containers without samples have NULLs.
+
+    The statistics need several passes, so the text is parsed and gated once and the numbers staged.
+    """
+    numbers = staged(good_samples(raw).select("name", *tm.METRICS), "samples")
+    return reindex(tm.wide_stats(tm.container_stats(numbers)), "name", order)
 
 
 def run_comparison(raw: DataFrame, run: str, runs: Sequence, metric: str, order: Sequence[str] = tuple(tm.CONTAINER_ORDER)) -> DataFrame:

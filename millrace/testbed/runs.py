@@ -11,7 +11,7 @@ from millrace.operators.combine import reindex
 from millrace.operators.profile import binary_columns, column_profile, describe_columns
 from millrace.operators.quantiles import boxplot_numbers
 from millrace.plans import telemetry_report, timing
-from millrace.session import work_dir
+from millrace.session import staged, work_dir
 from millrace.streaming import ingest
 from millrace.testbed import fixtures as fx
 from millrace.testbed.registry import query, table
@@ -147,8 +147,8 @@ def _wide_stats_sql(relation: str, group: str) -> str:
     f"SELECT *, replace(replace(name, '-', '_'), 'spark_', '') AS name_clean FROM ({_wide_stats_sql(fx.DUCK_TELEMETRY, 'name')})",
 )
 def container_stats(spark: SparkSession, d: str) -> DataFrame:
-    parsed = tm.parse_telemetry(fx.telemetry(spark, d))
-    return _rounded(tm.wide_stats(tm.container_stats(parsed)))
+    parsed = tm.parse_telemetry(fx.telemetry(spark, d)).select("name", *tm.METRICS)
+    return _rounded(tm.wide_stats(tm.container_stats(staged(parsed, "parsed"))))
 
 
 _ORDER_VALUES = ", ".join(f"('{n}', {i})" for i, n in enumerate(tm.CONTAINER_ORDER))
