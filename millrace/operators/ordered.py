@@ -72,12 +72,14 @@ def with_previous(
     df: DataFrame, series: Sequence[str], chunk: str, order: Sequence[str], column: str, name: str
 ) -> DataFrame:
     """The value of ``column`` on the row before, across chunk borders."""
-    latest = F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order))
+    # One plain ordering column keeps the aggregate hash-based; ties matter only for other columns.
+    position = F.col(order[0]) if len(order) == 1 or column == order[0] else F.struct(*order)
+    latest = F.max_by(column, position)
     by_chunk = Window.partitionBy(*series).orderBy(chunk)
     carried = (
         df.groupBy(*series, chunk)
         .agg(latest.alias(_VALUE))
-        .withColumn(_VALUE, F.lag(_VALUE).over(by_chunk)["v"])
+        .withColumn(_VALUE, F.lag(_VALUE).over(by_chunk))
         .withColumn(_LEAD, F.lit(0))
     )
     rows = df.withColumns({_VALUE: F.col(column), _LEAD: F.lit(1)}).unionByName(carried, allowMissingColumns=True)
