@@ -38,7 +38,7 @@ def quantile_chunks(df: DataFrame, value: str, chunk: str, chunks: int = QUANTIL
     return Bucketizer(splits=splits, inputCol=value, outputCol=chunk, handleInvalid="keep").transform(df)
 
 
-def totals_before(df: DataFrame, series: Sequence[str], chunk: str, value: Column, name: str) -> DataFrame:
+def totals_before(df: DataFrame, series: Sequence[str], chunk: str, value: Column, name: str = _VALUE) -> DataFrame:
     """Per (series, chunk): sum of ``value`` over all earlier chunks of the series."""
     earlier = Window.partitionBy(*series).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     cells = df.groupBy(*series, chunk).agg(F.sum(value).alias(name))
@@ -53,11 +53,17 @@ def running_sum(
     value: Column,
     name: str,
     include_row: bool = True,
+    before: DataFrame | None = None,
 ) -> DataFrame:
-    """Cumulative sum of an integer expression along each series."""
+    """Cumulative sum of an integer expression along each series.
+
+    ``before`` gives the sums of earlier chunks as ``totals_before`` returns them, for inputs whose
+    totals come cheaper from somewhere else.
+    """
     tagged = df.withColumn(_VALUE, value.cast("bigint"))
-    carried = totals_before(tagged, series, chunk, F.col(_VALUE), _VALUE).withColumn(_LEAD, F.lit(0))
-    rows = tagged.withColumn(_LEAD, F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    if before is None:
+        before = totals_before(tagged, series, chunk, F.col(_VALUE), _VALUE)
+    rows = tagged.withColumn(_LEAD, F.lit(1)).unionByName(before.withColumn(_LEAD, F.lit(0)), allowMissingColumns=True)
     last = Window.currentRow if include_row else -1
     w = Window.partitionBy(*series, chunk).orderBy(_LEAD, *order).rowsBetween(Window.unboundedPreceding, last)
     return rows.withColumn(name, F.sum(_VALUE).over(w)).where(F.col(_LEAD) == 1).drop(_LEAD, _VALUE)

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators.lookup import lookup_join
-from millrace.operators.ordered import QUANTILE_CHUNKS, quantile_chunks, running_sum
+from millrace.operators.ordered import QUANTILE_CHUNKS, quantile_chunks, running_sum, totals_before
+from millrace.session import pinned
+
+
+def _piece(value: Column, low: Column, high: Column, pieces: int = 1024) -> Column:
+    """Equal-width piece of a bucket, rising with the value; also for infinite borders."""
+    share = F.nanvl((value - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.5))
+    return (
+        F.when(value == low, F.lit(0))
+        .when(value == high, F.lit(pieces))
+        .otherwise(F.least(F.floor(share * pieces), F.lit(pieces)))
+        .cast("bigint")
+    )
 
 
 def group_quantiles(
@@ -17,7 +29,7 @@ def group_quantiles(
 
     ``percentile`` keeps every distinct value of a group in one task's memory. Here a counting
     pass per (group, value bucket) finds which bucket holds each wanted rank, and only the rows of
-    those buckets, merged by value, are ranked. NULL and NaN values are skipped.
+    those buckets, merged by value, are ranked, piece by piece. NULL and NaN values are skipped.
     """
     base = df.select(*groups, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
@@ -28,7 +40,7 @@ def group_quantiles(
     earlier = in_group.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         chunked.groupBy(*groups, "__chunk")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         .withColumn("__total", F.sum("__n").over(in_group))
     )
@@ -46,18 +58,18 @@ def group_quantiles(
     needed = (
         cells.withColumn("__wanted", F.array_distinct(inside))
         .where(F.size("__wanted") > 0)
-        .select(*groups, "__chunk", "__before", "__wanted")
+        .select(*groups, "__chunk", "__before", "__wanted", "__min", "__max")
     )
 
     candidates = lookup_join(chunked, needed, [*groups, "__chunk"])
     by_value = candidates.groupBy(*groups, "__chunk", "__v").agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.first("__before").alias("__before"),
-        F.first("__wanted").alias("__wanted"),
+        F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in ("__before", "__wanted", "__min", "__max")]
     )
-    up_to = Window.partitionBy(*groups, "__chunk").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    # A few buckets' worth of distinct values; kept because ranking reads them twice.
+    kept = pinned(by_value.withColumn("__fine", _piece(F.col("__v"), F.col("__min"), F.col("__max"))))
+    ranked = running_sum(kept, [*groups, "__chunk"], "__fine", ["__v"], F.col("__n"), "__upto")
     hits = (
-        by_value.withColumn("__end", F.col("__before") + F.sum("__n").over(up_to))
+        ranked.withColumn("__end", F.col("__before") + F.col("__upto"))
         .select(*groups, "__v", "__n", "__end", F.inline("__wanted"))
         .where((F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("__n")))
     )
@@ -102,14 +114,16 @@ def boxplot_numbers(df: DataFrame, groups: Sequence[str], value: str, reach: flo
 def rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve from exact average ranks (ties count half), one row.
 
-    Rows are merged by score before ranking, and the running count goes bucket by bucket.
+    Rows are merged by score before ranking. The negatives below each score bucket are counted on the
+    rows themselves, so the merged scores are shuffled once and read once.
     """
     base = df.select(F.col(score).cast("double").alias("__v"), F.col(label).cast("int").alias("__y"))
-    by_score = base.groupBy("__v").agg(
+    chunked = quantile_chunks(base, "__v", "__chunk")
+    below = totals_before(chunked, [], "__chunk", (1 - F.col("__y")).cast("bigint"))
+    by_score = chunked.groupBy("__chunk", "__v").agg(
         F.sum("__y").cast("bigint").alias("__pos"), F.sum(1 - F.col("__y")).cast("bigint").alias("__neg")
     )
-    chunked = quantile_chunks(by_score, "__v", "__chunk")
-    ranked = running_sum(chunked, [], "__chunk", ["__v"], F.col("__neg"), "__below", include_row=False)
+    ranked = running_sum(by_score, [], "__chunk", ["__v"], F.col("__neg"), "__below", include_row=False, before=below)
     wins = F.col("__pos") * (F.col("__below").cast("double") + F.col("__neg") / 2)
     return ranked.agg(
         (F.sum(wins) / (F.sum("__pos").cast("double") * F.sum("__neg").cast("double"))).alias("auc"),

@@ -43,6 +43,8 @@ MEAN_FILL = [
 ]
 DROPPED = ["title", "timestamp", "parent_asin"]
 
+HOT_ROWS = 10_000_000  # reviews of one product from which on the job keeps them out of the shuffle
+
 
 def clean_meta(df: DataFrame, category: str | Column) -> DataFrame:
     """Silver products with numbers parsed; 14 columns. ``category`` is a name or, for a table of all categories, a column."""
@@ -112,12 +114,17 @@ def model_data(gold: DataFrame) -> DataFrame:
 
 
 def gold_job(
-    spark: SparkSession, meta_template: str, review_template: str, target: str, categories: Sequence[str] = tuple(CATEGORIES)
+    spark: SparkSession,
+    meta_template: str,
+    review_template: str,
+    target: str,
+    categories: Sequence[str] = tuple(CATEGORIES),
+    hot_rows: int | None = HOT_ROWS,
 ) -> None:
     """Read both tables of every category, write gold partitioned by category."""
     metas = read_categories(spark, meta_template, categories)
     reviews = read_categories(spark, review_template, categories)
-    write_parquet(gold_table(metas, reviews), target, partition_by=["dataset_category"])
+    write_parquet(gold_table(metas, reviews, hot_rows), target, partition_by=["dataset_category"])
 
 
 def model_data_job(spark: SparkSession, source: str, target: str) -> None:

@@ -157,7 +157,7 @@ def predictions_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gbt_many_rounds")
 def gbt_many_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Rounds are a parameter (the reference job asks for 100); eight keep the check short."""
+    """Rounds are a parameter; eight keep the check short."""
     scored = classify.gbt_predictions(_labelled(spark, d), "label", _FEATURES, _KEY, rounds=8)
     return spark.createDataFrame([(8, learning.area_under_roc(scored, "label"))], "rounds int, auc double")
 

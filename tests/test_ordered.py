@@ -116,3 +116,10 @@ def test_lookup_join_beyond_the_bound(spark):
     fits, exceeds = lookup_join(big, small, ["k"]), lookup_join(big, small, ["k"], max_rows=10)
     assert rows_of(fits, "id", "k", "v") == rows_of(exceeds, "id", "k", "v")
     assert fits.count() == 1_000
+
+
+def test_quantiles_with_infinite_values(spark):
+    values = [float("-inf"), -5.0, 0.0, 1.0, 2.0, 3.0, float("inf"), float("inf")]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    got = {r.probability: r.quantile for r in quantiles.group_quantiles(df, ["g"], "v", [2 / 7, 3 / 7, 4 / 7], 2).collect()}
+    assert got == {2 / 7: 0.0, 3 / 7: 1.0, 4 / 7: 2.0}
