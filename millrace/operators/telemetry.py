@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -35,43 +37,49 @@ STATISTICS = ["mean", "std", "min", "max", "median", "q25", "q75"]
 
 def parse_telemetry(df: DataFrame) -> DataFrame:
     """Text columns to a timestamp and numbers; ``name_clean`` added."""
-    memory = tf.memory_gb(F.col("mem_usage"))
-    return (
-        df.withColumns(
-            {
-                "timestamp": tf.compact_timestamp(F.col("timestamp")),
-                "cpu_perc": tf.percent(F.col("cpu_perc")),
-                "__memory": memory,
-                "name_clean": tf.clean_name(F.col("name")),
-            }
-        )
-        .withColumns({"mem_used_GB": F.col("__memory")["used"], "mem_total_GB": F.col("__memory")["total"]})
-        .drop("__memory")
+    used, total = tf.memory_parts(F.col("mem_usage"))
+    parsed = df.withColumns(
+        {
+            "timestamp": tf.compact_timestamp(F.col("timestamp")),
+            "cpu_perc": tf.percent(F.col("cpu_perc")),
+            "name_clean": tf.clean_name(F.col("name")),
+            "__used": used,
+            "__total": total,
+        }
     )
+    used, total = tf.both_or_neither(F.col("__used"), F.col("__total"))
+    return parsed.withColumns({"mem_used_GB": used, "mem_total_GB": total}).drop("__used", "__total")
 
 
-def quality_rules(df: DataFrame, source: str = "source", min_rows: int = 2) -> DataFrame:
-    """(source, rule, passed) for every source, from one aggregate."""
+def _checks(df: DataFrame, source: str, min_rows: int) -> DataFrame:
+    """One row per source, one boolean per rule."""
     infinite = F.lit(False)
     for metric in METRICS:
         infinite = infinite | F.coalesce(F.abs(F.col(metric)) == float("inf"), F.lit(False))
-    checks = df.groupBy(source).agg(
+    return df.groupBy(source).agg(
         (F.count_if(F.col("timestamp").isNull()) == 0).alias("timestamp_present"),
         (F.count_if(F.col("cpu_perc").isNull()) == 0).alias("cpu_present"),
         (F.count_if(F.col("mem_used_GB").isNull()) == 0).alias("memory_present"),
         (F.count_if(infinite) == 0).alias("finite"),
         (F.count(F.lit(1)) >= min_rows).alias("enough_rows"),
     )
-    return checks.unpivot([source], [c for c in checks.columns if c != source], "rule", "passed")
 
 
-def good_sources(rules: DataFrame, source: str = "source") -> DataFrame:
-    return rules.groupBy(source).agg(F.bool_and("passed").alias("ok")).where("ok").select(source)
+def _rules(checks: DataFrame, source: str) -> list[str]:
+    return [c for c in checks.columns if c != source]
+
+
+def quality_rules(df: DataFrame, source: str = "source", min_rows: int = 2) -> DataFrame:
+    """(source, rule, passed) for every source, from one aggregate."""
+    checks = _checks(df, source, min_rows)
+    return checks.unpivot([source], _rules(checks, source), "rule", "passed")
 
 
 def keep_good(df: DataFrame, source: str = "source", min_rows: int = 2) -> DataFrame:
     """Rows of the sources that pass every rule."""
-    return lookup_join(df, good_sources(quality_rules(df, source, min_rows), source), [source], "left_semi")
+    checks = _checks(df, source, min_rows)
+    good = checks.where(reduce(and_, [F.col(r) for r in _rules(checks, source)])).select(source)
+    return lookup_join(df, good, [source], "left_semi")
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = ("name", "timestamp", "cpu_perc", "mem_usage")) -> list[str]:

@@ -11,12 +11,17 @@ from millrace.operators.combine import reindex
 from millrace.session import staged
 
 
-def good_samples(raw: DataFrame) -> DataFrame:
-    """Parsed rows of the sources that pass the quality gate, with minutes since their start."""
+def gated_samples(raw: DataFrame) -> DataFrame:
+    """Parsed rows of the sources that pass the quality gate."""
     missing = tm.missing_columns(raw)
     if missing:
         raise ValueError(f"telemetry lacks {missing}")
-    return tm.elapsed_minutes(tm.keep_good(tm.parse_telemetry(raw)))
+    return tm.keep_good(tm.parse_telemetry(raw))
+
+
+def good_samples(raw: DataFrame) -> DataFrame:
+    """The same with minutes since the start of each source."""
+    return tm.elapsed_minutes(gated_samples(raw))
 
 
 def container_report(raw: DataFrame, order: Sequence[str] = tuple(tm.CONTAINER_ORDER)) -> DataFrame:
@@ -24,10 +29,10 @@ def container_report(raw: DataFrame, order: Sequence[str] = tuple(tm.CONTAINER_O
 
     The statistics need several passes, so the text is parsed and gated once and the numbers staged.
     """
-    numbers = staged(good_samples(raw).select("name", *tm.METRICS), "samples")
+    numbers = staged(gated_samples(raw).select("name", *tm.METRICS), "samples")
     return reindex(tm.wide_stats(tm.container_stats(numbers)), "name", order)
 
 
 def run_comparison(raw: DataFrame, run: str, runs: Sequence, metric: str, order: Sequence[str] = tuple(tm.CONTAINER_ORDER)) -> DataFrame:
     """Mean of a metric, containers as rows and runs as columns."""
-    return reindex(tm.pivot_runs(good_samples(raw), "name", run, metric, runs), "name", order)
+    return reindex(tm.pivot_runs(gated_samples(raw), "name", run, metric, runs), "name", order)
