@@ -20,6 +20,18 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SQL_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean",
+}
+
+
+def type_difference(spark_df, con, sql: str) -> str | None:
+    want = {r[0]: SQL_TYPES.get(r[1], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    got = dict(spark_df.dtypes)
+    bad = {c: (got.get(c), want.get(c)) for c in {*got, *want} if got.get(c) != want.get(c)}
+    return f"types {bad}" if bad else None
+
+
 def _plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 9) + 0.0
@@ -34,6 +46,9 @@ def _sorted_rows(columns, rows):
 
 def difference(spark_df, con, sql: str) -> str | None:
     """None when both sides agree on columns, row count and values."""
+    types = type_difference(spark_df, con, sql)
+    if types:
+        return types
     rows = [tuple(r) for r in spark_df.collect()]
     got = _sorted_rows(spark_df.columns, rows)
     cursor = con.execute(sql)
