@@ -36,9 +36,14 @@ def first_pattern(c: Column, patterns: Sequence[str]) -> Column:
 
 
 def sections(c: Column, pattern: str = SECTION, groups: Sequence[str] = ("title", "run", "seconds")) -> Column:
-    """All matches of a multi-line pattern as an array of structs, one field per group."""
-    found = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i + 1)).alias(g) for i, g in enumerate(groups)]
-    return F.arrays_zip(*found)
+    """All matches of a multi-line pattern as an array of structs, one field per group.
+
+    The text is searched once; the groups are then taken from each short match.
+    """
+    return F.transform(
+        F.regexp_extract_all(c, F.lit(pattern), F.lit(0)),
+        lambda match: F.struct(*[F.regexp_extract(match, pattern, i + 1).alias(g) for i, g in enumerate(groups)]),
+    )
 
 
 def path_facts(path: Column) -> dict[str, Column]:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 20_000
+BROADCAST_CHARACTERS = 64 * 1024**2
 
 
 def lookup_join(
@@ -15,15 +16,16 @@ def lookup_join(
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
+    max_characters: int = BROADCAST_CHARACTERS,
 ) -> DataFrame:
     """Join ``big`` with a result expected to be small.
 
-    At most ``max_rows + 1`` rows are fetched to find out. If the result fits it is broadcast,
-    so ``big`` is neither shuffled nor exposed to hot keys. If it does not fit the join is left
-    to Catalyst, where AQE splits skewed partitions.
+    At most ``max_rows + 1`` rows are fetched to find out. If the result fits, in rows and in
+    printed size, it is broadcast, so ``big`` is neither shuffled nor exposed to hot keys. If it
+    does not fit the join is left to Catalyst, where AQE splits skewed partitions.
     """
     rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    if len(rows) > max_rows or sum(len(str(r)) for r in rows) > max_characters:
         return big.join(small, list(on), how)
     fixed = big.sparkSession.createDataFrame(rows, small.schema)
     return big.join(F.broadcast(fixed), list(on), how)

@@ -114,7 +114,10 @@ def exact_split(
     name: str = "part",
     digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
-    """Tag exactly floor(fraction * n) rows of each stratum ``train``, the rest ``test``."""
+    """Tag exactly floor(fraction * n) rows of each stratum ``train``, the rest ``test``.
+
+    Strata are not NULL, as the label of a training table.
+    """
     cut = _with_cut(df, strata, keys, lambda n: F.floor(F.lit(fraction) * n), digits)
     return cut.withColumn(name, F.when(F.col("__taken"), "train").otherwise("test")).drop("__taken")
 

@@ -113,8 +113,8 @@ def test_auc_with_ties(spark):
 def test_lookup_join_beyond_the_bound(spark):
     big = spark.range(1_000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50))
     small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    fits, exceeds = lookup_join(big, small, ["k"]), lookup_join(big, small, ["k"], max_rows=10)
-    assert rows_of(fits, "id", "k", "v") == rows_of(exceeds, "id", "k", "v")
+    fits, many, wide = (lookup_join(big, small, ["k"], **b) for b in ({}, {"max_rows": 10}, {"max_characters": 100}))
+    assert rows_of(fits, "id", "k", "v") == rows_of(many, "id", "k", "v") == rows_of(wide, "id", "k", "v")
     assert fits.count() == 1_000
 
 
