@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import combine, impute, profile, telemetry as tm
 from millrace.operators.projection import conform, numeric_projection, schema_report
-from millrace.plans import counting, gold, silver, timing
+from millrace.plans import counting, gold, silver, telemetry_report, timing
 from millrace.testbed import fixtures as fx
 
 MODEL_TYPES = {
@@ -123,11 +123,32 @@ def test_single_sample_has_no_deviation(spark):
     assert row.cpu_perc_std is None and row.cpu_perc_q25 == row.cpu_perc_median == 1.0
 
 
-# Recorded seconds of five runs and their published mean and deviation.
+# Recorded seconds of five runs, their published mean and deviation.
 RECORDED = {
-    "meta_Electronics.parquet": ([10.0, 12.0, 14.0], 12.0, 2.0),
-    "meta_Books.parquet": ([237.08, 260.09], 248.585, 16.270),
+    "meta_Books.parquet": ([237.08, 245.29, 255.59, 256.74, 260.09], 250.96, 9.53),
+    "meta_Toys_and_Games.parquet": ([27.21, 29.24, 27.19, 29.56, 29.29], 28.5, 1.19),
 }
+# One recorded sample per container, with the memory in GB published for it.
+SAMPLES = [
+    ("spark-worker-1", "145.00%", "237MiB / 10GiB", 145.0, 0.2314453125),
+    ("spark-worker-5", "154.17%", "233.9MiB / 10GiB", 154.17, 0.22841796875),
+    ("spark-worker-4", "172.38%", "239.5MiB / 10GiB", 172.38, 0.23388671875),
+    ("spark-worker-2", "100.12%", "189.4MiB / 10GiB", 100.12, 0.1849609375),
+    ("spark-worker-3", "61.57%", "153.5MiB / 10GiB", 61.57, 0.14990234375),
+    ("spark-master", "130.86%", "848.8MiB / 4GiB", 130.86, 0.82890625),
+]
+
+
+def test_recorded_telemetry(spark):
+    rows = [("run2", "20250620_124944", n, c, m) for n, c, m, _, _ in SAMPLES]
+    raw = spark.createDataFrame(rows, "source string, timestamp string, name string, cpu_perc string, mem_usage string")
+    out = telemetry_report.container_report(raw).orderBy("position").collect()
+    assert [r.name for r in out] == tm.CONTAINER_ORDER
+    for name, _, _, cpu, memory in SAMPLES:
+        row = next(r for r in out if r.name == name)
+        for s in ("mean", "min", "max", "median", "q25", "q75"):
+            assert (row[f"cpu_perc_{s}"], row[f"mem_used_GB_{s}"]) == (cpu, memory)
+        assert row.cpu_perc_std is None and row.name_clean == name.replace("-", "_").replace("spark_", "")
 
 
 def test_report_text_to_summary(spark):
@@ -144,5 +165,5 @@ def test_report_text_to_summary(spark):
     got = {r.dataset: r for r in timing.timing_summary([rows]).collect()}
     for name, (seconds, mean, std) in RECORDED.items():
         row = got[name.removeprefix("meta_").removesuffix(".parquet")]
-        assert (row.n_runs, row.mean, row.std) == (len(seconds), pytest.approx(mean, abs=0.006), pytest.approx(std, abs=0.006))
+        assert (row.n_runs, row.mean, row.std) == (len(seconds), mean, std)
         assert (row.min, row.max) == (min(seconds), max(seconds))
