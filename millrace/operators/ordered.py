@@ -3,13 +3,14 @@
 A series (file, container, label) may hold a third of all rows, so a plain
 ``Window.partitionBy(series).orderBy(...)`` would sort that third in one task. Here every row
 carries a ``chunk``: a deterministic, order-preserving coarsening of its position (line number
-divided by a block size, a time slot, a hash prefix, a quantile bucket). What a chunk needs from
+divided by a block size, a hash prefix, a quantile bucket). What a chunk needs from
 the ones before it is aggregated first (one small row per series and chunk) and then enters the
 chunk as an extra leading row, so the data is shuffled once, by (series, chunk), and never joined.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _LEAD = "__lead"
 _VALUE = "__value"
 LINES_PER_CHUNK = 100_000
+ROWS_PER_CHUNK = 1_000_000
 QUANTILE_CHUNKS = 1024
 
 
@@ -38,6 +40,37 @@ def quantile_chunks(df: DataFrame, value: str, chunk: str, chunks: int = QUANTIL
     return Bucketizer(splits=splits, inputCol=value, outputCol=chunk, handleInvalid="keep").transform(df)
 
 
+def balanced_chunks(
+    df: DataFrame, position: str, chunk: str = "__chunk", rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Add an order-preserving chunk of a numeric ``position`` with about ``rows_per_chunk`` rows.
+
+    One pass finds the row count, the range and a few hundred quantiles. Up to that many chunks are
+    quantile buckets; beyond, each bucket is cut into equal-width pieces. As chunks are balanced over
+    all rows, no series has more rows in a chunk than that, however long it is.
+    """
+    steps = [i / QUANTILE_CHUNKS for i in range(1, QUANTILE_CHUNKS)]
+    n, low, high, bounds = df.agg(
+        F.count(position), F.min(position), F.max(position), F.percentile_approx(position, steps, 4 * QUANTILE_CHUNKS)
+    ).first()
+    wanted = math.ceil(n / rows_per_chunk)
+    buckets = min(wanted, QUANTILE_CHUNKS)
+    inner = sorted({float(bounds[i * QUANTILE_CHUNKS // buckets - 1]) for i in range(1, buckets)})
+    if not inner:
+        return df.withColumn(chunk, F.lit(0).cast("bigint"))
+    splits = [-float("inf"), *inner, float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol=position, outputCol=chunk, handleInvalid="keep").transform(df)
+    bucket = F.col(chunk).cast("bigint")
+    pieces = math.ceil(wanted / QUANTILE_CHUNKS)
+    if pieces == 1:
+        return bucketed.withColumn(chunk, bucket)
+    edges = F.array(*[F.lit(e) for e in (float(low), *inner, float(high))])
+    start, end = F.get(edges, bucket.cast("int")), F.get(edges, (bucket + 1).cast("int"))
+    share = (F.col(position) - start) / F.greatest(end - start, F.lit(1e-300))
+    piece = F.least(F.floor(share * pieces), F.lit(pieces - 1))
+    return bucketed.withColumn(chunk, bucket * pieces + piece)
+
+
 def totals_before(df: DataFrame, series: Sequence[str], chunk: str, value: Column, name: str = _VALUE) -> DataFrame:
     """Per (series, chunk): sum of ``value`` over all earlier chunks of the series."""
     earlier = Window.partitionBy(*series).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -122,10 +155,6 @@ def line_chunks(df: DataFrame, position: str, chunk: str = "__chunk", size: int
     return df.withColumn(chunk, F.floor(F.col(position) / size))
 
 
-def time_chunks(df: DataFrame, micros: str, chunk: str = "__chunk", hours: int = 24) -> DataFrame:
-    return df.withColumn(chunk, F.floor(F.col(micros) / (hours * 3_600_000_000)))
-
-
 def segments(
     df: DataFrame,
     series: Sequence[str],
@@ -133,10 +162,10 @@ def segments(
     order: Sequence[str],
     threshold_seconds: float,
     name: str = "segment",
-    hours_per_chunk: int = 24,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Number the stretches of a series that are separated by jumps longer than the threshold."""
-    chunked = time_chunks(df, micros, hours=hours_per_chunk)
+    chunked = balanced_chunks(df, micros, rows_per_chunk=rows_per_chunk)
     gaps = with_previous(chunked, series, "__chunk", order, micros, "__previous")
     jump = (F.col(micros) - F.col("__previous")) > threshold_seconds * 1_000_000
     flagged = gaps.withColumn("__jump", F.coalesce(jump.cast("int"), F.lit(0)))

@@ -263,7 +263,7 @@ def _event_series(spark: SparkSession, d: str) -> DataFrame:
     "SELECT user_id, event_id, round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0::DOUBLE, 6) AS gap_seconds FROM events",
 )
 def ts_gaps(spark: SparkSession, d: str) -> DataFrame:
-    chunked = ordered.time_chunks(_event_series(spark, d), "micros")
+    chunked = ordered.balanced_chunks(_event_series(spark, d), "micros", rows_per_chunk=1_000)
     gaps = ordered.with_previous(chunked, ["user_id"], "__chunk", ["micros", "event_id"], "micros", "previous")
     seconds = (F.col("micros") - F.col("previous")) / F.lit(1_000_000.0)
     return gaps.select("user_id", "event_id", F.round(seconds, 6).alias("gap_seconds"))
@@ -281,7 +281,7 @@ def ts_gaps(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def run_durations(spark: SparkSession, d: str) -> DataFrame:
-    cut = ordered.segments(_event_series(spark, d), ["user_id"], "micros", ["micros", "event_id"], 6 * 3600)
+    cut = ordered.segments(_event_series(spark, d), ["user_id"], "micros", ["micros", "event_id"], 6 * 3600, rows_per_chunk=1_000)
     return _rounded(ordered.segment_durations(cut, ["user_id"], "micros"))
 
 

@@ -31,9 +31,9 @@ def by_time():
     return Window.partitionBy("s").orderBy("micros", "id")
 
 
-@pytest.mark.parametrize("hours", [1, 7, 1_000])
-def test_running_sum(events, hours):
-    chunked = ordered.time_chunks(events, "micros", hours=hours)
+@pytest.mark.parametrize("size", [1, 200, 10_000])
+def test_running_sum(events, size):
+    chunked = ordered.balanced_chunks(events, "micros", rows_per_chunk=size)
     for inclusive, last in ((True, 0), (False, -1)):
         got = ordered.running_sum(chunked, ["s"], "__chunk", ["micros", "id"], F.col("n"), "t", inclusive)
         plain = events.withColumn("t", F.sum("n").over(by_time().rowsBetween(Window.unboundedPreceding, last)))
@@ -41,9 +41,9 @@ def test_running_sum(events, hours):
         assert rows_of(got.withColumn("t", F.coalesce("t", F.lit(0))), "s", "id", "t") == rows_of(want, "s", "id", "t")
 
 
-@pytest.mark.parametrize("hours", [1, 1_000])
-def test_previous_and_row_numbers(events, hours):
-    chunked = ordered.time_chunks(events, "micros", hours=hours)
+@pytest.mark.parametrize("size", [1, 10_000])
+def test_previous_and_row_numbers(events, size):
+    chunked = ordered.balanced_chunks(events, "micros", rows_per_chunk=size)
     got = ordered.with_previous(chunked, ["s"], "__chunk", ["micros", "id"], "id", "p")
     assert rows_of(got, "s", "id", "p") == rows_of(events.withColumn("p", F.lag("id").over(by_time())), "s", "id", "p")
     numbered = ordered.row_numbers(chunked, ["s"], "__chunk", ["micros", "id"], "r")
@@ -51,7 +51,7 @@ def test_previous_and_row_numbers(events, hours):
 
 
 def test_segments(events):
-    cut = ordered.segments(events, ["s"], "micros", ["micros", "id"], 300, hours_per_chunk=2)
+    cut = ordered.segments(events, ["s"], "micros", ["micros", "id"], 300, rows_per_chunk=50)
     durations = ordered.segment_durations(cut, ["s"], "micros")
     assert durations.agg(F.sum("n_rows")).first()[0] == events.count()
     gap = F.col("micros") - F.lag("micros").over(by_time())
@@ -123,3 +123,14 @@ def test_quantiles_with_infinite_values(spark):
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
     got = {r.probability: r.quantile for r in quantiles.group_quantiles(df, ["g"], "v", [2 / 7, 3 / 7, 4 / 7], 2).collect()}
     assert got == {2 / 7: 0.0, 3 / 7: 1.0, 4 / 7: 2.0}
+
+
+@pytest.mark.parametrize("size", [1, 2, 30, 10_000])
+def test_balanced_chunks_keep_the_order_and_the_size(spark, size):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(int(rng.lognormvariate(15, 3)),) for _ in range(4_000)], "v bigint")
+    rows = sorted((r.v, r["__chunk"]) for r in ordered.balanced_chunks(df, "v", rows_per_chunk=size).collect())
+    chunks = [c for _, c in rows]
+    assert chunks == sorted(chunks)
+    biggest = max(chunks.count(c) for c in set(chunks))
+    assert biggest <= max(2 * size + 8, 30)

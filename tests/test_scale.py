@@ -38,9 +38,9 @@ def test_no_cross_joins(spark, sf_dir, no_broadcast, name):
 
 
 @pytest.mark.parametrize("name", ["ts_gaps", "run_durations", "report_times", "execution_blocks", "run_numbering", "split_at_index"])
-def test_windows_over_rows_are_chunked(spark, sf_dir, name):
+def test_windows_over_rows_are_chunked(spark, name):
     """A window partitioned by the series alone may only see one row per chunk, below an aggregate."""
-    text = plan(QUERIES[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, "/root/testdata/sf0.01"))
     for spec in re.findall(r"windowspecdefinition\(([^)]*)", text):
         chunked = any(c in spec for c in ("__chunk", "__block", "__fine", "__slot"))
         assert chunked, spec
