@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import learning
 from millrace.operators.projection import columns_of
 from millrace.operators.sampling import SEED, keyed_split
+from millrace.sources.tables import read_csv, write_parquet
 
 LABEL = "verified_purchase"
 
@@ -41,3 +42,20 @@ def gbt_predictions(
     train, test = keyed_parts(df, keys) if keys else random_parts(df)
     fitted = learning.fit_gbt(learning.assemble(train, names, on_missing=on_missing).select("features", label), label, rounds, depth, step)
     return fitted.transform(learning.assemble(test, names, on_missing=on_missing))
+
+
+def gbt_job(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    label: str = LABEL,
+    csv_schema: str | None = None,
+    rounds: int = 1,
+    depth: int = 5,
+    step: float = 0.1,
+) -> float:
+    """Train on a Parquet table, or on CSV of the given schema; write the predictions, return the area under ROC."""
+    df = spark.read.parquet(source) if csv_schema is None else read_csv(spark, source, csv_schema)
+    scored = gbt_predictions(df, label, rounds=rounds, depth=depth, step=step)
+    write_parquet(scored.select("prediction", "probability", label), target)
+    return learning.area_under_roc(scored, label)

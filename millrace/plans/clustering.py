@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import learning
-from millrace.operators.projection import columns_of
+from millrace.operators.projection import columns_of, numeric_projection
 from millrace.operators.sampling import SEED, head_rows, random_rows
+from millrace.sources.tables import write_parquet
 
 K_RANGE = (5,)
 SAMPLE_ROWS = 5_000
@@ -46,3 +47,17 @@ def train_on_head(df: DataFrame, columns: Sequence[str], n: int = SAMPLE_ROWS, k
     model = learning.fit_kmeans(scaler.transform(head), k, seed)
     scored = model.transform(scaler.transform(learning.assemble(df, columns, "features_unscaled")))
     return scored.drop("features_unscaled", "features").withColumnRenamed("prediction", "cluster")
+
+
+def kmeans_job(spark: SparkSession, source: str, target: str, sample: int | None = None, ks: Sequence[int] = K_RANGE) -> dict[int, float]:
+    """Cluster all rows (or a sample) of a Parquet table, write (prediction, features), return the silhouettes."""
+    df = spark.read.parquet(source)
+    out, _, scores = kmeans_clusters(df, ks=ks) if sample is None else kmeans_sampled(df, n=sample, ks=ks)
+    write_parquet(out.select("prediction", "features"), target)
+    return scores
+
+
+def head_job(spark: SparkSession, source: str, target: str, n: int = SAMPLE_ROWS, k: int = 5, mode: str = "overwrite") -> None:
+    """Train on the first rows, write the numeric columns of every row with its cluster."""
+    df = numeric_projection(spark.read.parquet(source))
+    write_parquet(train_on_head(df, df.columns, n, k), target, mode=mode)

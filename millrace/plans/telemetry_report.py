@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import telemetry as tm
 from millrace.operators.combine import reindex
 from millrace.session import staged
+from millrace.sources.tables import read_telemetry, write_csv
 
 
 def gated_samples(raw: DataFrame) -> DataFrame:
@@ -36,3 +37,8 @@ def container_report(raw: DataFrame, order: Sequence[str] = tuple(tm.CONTAINER_O
 def run_comparison(raw: DataFrame, run: str, runs: Sequence, metric: str, order: Sequence[str] = tuple(tm.CONTAINER_ORDER)) -> DataFrame:
     """Mean of a metric, containers as rows and runs as columns."""
     return reindex(tm.pivot_runs(gated_samples(raw), "name", run, metric, runs), "name", order)
+
+
+def telemetry_job(spark: SparkSession, source: str, target: str, order: Sequence[str] = tuple(tm.CONTAINER_ORDER)) -> None:
+    """Telemetry CSV files below a folder to one CSV table of statistics per container."""
+    write_csv(container_report(read_telemetry(spark, source), order), target)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import text as tx
 from millrace.operators import reports
 from millrace.operators.combine import union_same
 from millrace.operators.projection import conform
+from millrace.sources.tables import write_csv
+from millrace.sources.text import read_report_lines
 
 # Category by file name, first match wins.
 CATEGORY_RULES = [("EDA", "EDA"), ("KMeans", "ML KMeans"), ("XGBoost", "ML XGBoost"), ("LightGBM", "ML LightGBM"),
@@ -28,3 +30,15 @@ def timing_summary(sources: Sequence[DataFrame]) -> DataFrame:
     stacked = union_same([conform(s, reports.TIMING_COLUMNS) for s in sources])
     known = reports.drop_unknown_runs(stacked).withColumn("dataset", tx.clean_label(F.col("dataset")))
     return reports.timing_summary(known)
+
+
+def report_folder_lines(spark: SparkSession, source: str) -> DataFrame:
+    """Report files below a folder as (folder, file, line_no, line)."""
+    lines = read_report_lines(spark, source)
+    path = F.split("file", "/")
+    return lines.withColumns({"folder": F.element_at(path, -2), "file": F.element_at(path, -1)})
+
+
+def timing_job(spark: SparkSession, source: str, target: str) -> None:
+    """Report files below a folder to a CSV table of times per folder and dataset."""
+    write_csv(timing_summary([timing_rows(report_folder_lines(spark, source))]), target)
