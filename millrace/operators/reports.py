@@ -203,7 +203,7 @@ def table_lines(
 def json_documents(df: DataFrame, key: str, order: str, entry: Sequence[str], name: str = "runs") -> DataFrame:
     """One JSON document per key as ordered text fragments (key, section, sort_key, line).
 
-    The lines of a key in (section, sort_key) order are ``{"<key>":"...","<name>":[...]}``. A key may
+    The lines of a key in (section, sort_key) order are ``{"<key>":...,"<name>":[...]}``. A key may
     have any number of entries; only the smallest one is looked up, to know where no comma goes.
     """
     first = df.groupBy(key).agg(F.min(order).alias("__first"))
@@ -214,6 +214,6 @@ def json_documents(df: DataFrame, key: str, order: str, entry: Sequence[str], na
         F.col(order).alias("sort_key"),
         F.concat(comma, F.to_json(F.struct(*entry))).alias("line"),
     )
-    opening = F.concat(F.lit(f'{{"{key}":"'), F.col(key).cast("string"), F.lit(f'","{name}":['))
+    opening = F.concat(F.regexp_replace(F.to_json(F.struct(key)), r"\}$", ""), F.lit(f',"{name}":['))
     edges = first.select(key, _edges([opening], [F.lit("]}")]))
     return body.unionByName(edges, allowMissingColumns=True)

@@ -15,11 +15,13 @@ def read_parquet(spark: SparkSession, *paths: str, columns: Sequence[str] | None
 
 
 def read_parallel(spark: SparkSession, path: str, tasks: int) -> DataFrame:
-    """Parquet scan with exactly ``tasks`` tasks downstream, at the price of a shuffle.
+    """Parquet scan asked to run as at least ``tasks`` tasks, without a shuffle.
 
-    Without one, ``spark.sql.files.maxPartitionBytes`` sets how finely a scan is split.
+    Splitting is a session setting, so it also holds for later scans until it is changed. Row groups
+    are the smallest unit; ``repartition`` after the scan is the way to go beyond them.
     """
-    return spark.read.parquet(path).repartition(tasks)
+    spark.conf.set("spark.sql.files.minPartitionNum", tasks)
+    return spark.read.parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None) -> DataFrame:

@@ -112,7 +112,7 @@ def inventory_json(spark: SparkSession, d: str) -> DataFrame:
     "SELECT l_returnflag, count(*) AS n_rows FROM lineitem WHERE l_extendedprice > 0 GROUP BY l_returnflag",
 )
 def partial_final_count(spark: SparkSession, d: str) -> DataFrame:
-    """Partial and final counting are what a Spark aggregate does; the scan asks for 16 tasks."""
+    """Partial and final counting are what a Spark aggregate does; the scan is asked for 16 tasks."""
     scan = tables.read_parallel(spark, f"{d}/lineitem.parquet", 16)
     return filter_group_count(scan, F.col("l_extendedprice") > 0, "l_returnflag", "n_rows")
 

@@ -89,14 +89,15 @@ def test_csv_infers_or_takes_a_schema(spark, tmp_path):
 
 
 def test_json_documents_are_valid(spark, tmp_path):
-    df = spark.createDataFrame([("s1", 2, "x"), ("s1", 1, 'q"'), ("s2", 5, "y")], "script string, run int, note string")
+    df = spark.createDataFrame([("s1", 2, "x"), ("s1", 1, 'q"'), ("s2", 5, "y"), ('q"', 1, "z")], "script string, run int, note string")
     lines = reports.json_documents(df, "script", "run", ["run", "note"])
     tables.write_documents(lines, "script", str(tmp_path / "docs"))
-    documents = {
-        p.name: json.loads("".join(f.read_text() for f in sorted(p.glob("part-*")))) for p in (tmp_path / "docs").glob("script=*")
+    folders = (tmp_path / "docs").glob("script=*")
+    texts = ["".join(f.read_text() for f in sorted(p.glob("part-*"))) for p in folders]
+    documents = {d["script"]: d["runs"] for d in map(json.loads, texts)}
+    assert documents == {
+        "s1": [{"run": 1, "note": 'q"'}, {"run": 2, "note": "x"}], "s2": [{"run": 5, "note": "y"}], 'q"': [{"run": 1, "note": "z"}]
     }
-    assert documents["script=s1"] == {"script": "s1", "runs": [{"run": 1, "note": 'q"'}, {"run": 2, "note": "x"}]}
-    assert documents["script=s2"]["runs"] == [{"run": 5, "note": "y"}]
 
 
 def test_tables_in_every_style(spark):
