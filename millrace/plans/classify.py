@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.operators import learning
 from millrace.operators.projection import columns_of
 from millrace.operators.sampling import SEED, keyed_split
+from millrace.session import spread
 from millrace.sources.tables import read_csv, write_parquet
 
 LABEL = "verified_purchase"
@@ -40,7 +41,8 @@ def gbt_predictions(
     """
     names = list(columns) if columns is not None else columns_of(df, "numeric", exclude=[label])
     train, test = keyed_parts(df, keys) if keys else random_parts(df)
-    fitted = learning.fit_gbt(learning.assemble(train, names, on_missing=on_missing).select("features", label), label, rounds, depth, step)
+    vectors = learning.assemble(spread(train), names, on_missing=on_missing).select("features", label)
+    fitted = learning.fit_gbt(vectors, label, rounds, depth, step)
     return fitted.transform(learning.assemble(test, names, on_missing=on_missing))
 
 

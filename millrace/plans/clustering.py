@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.operators import learning
 from millrace.operators.projection import columns_of, numeric_projection
 from millrace.operators.sampling import SEED, head_rows, random_rows
+from millrace.session import spread
 from millrace.sources.tables import write_parquet
 
 K_RANGE = (5,)
@@ -28,7 +29,7 @@ def kmeans_clusters(
     df: DataFrame, columns: Sequence[str] | None = None, ks: Sequence[int] = K_RANGE, seed: int = SEED
 ) -> tuple[DataFrame, int, dict[int, float]]:
     """Every row with its cluster under the k of best silhouette; also that k and all scores."""
-    scaled = scaled_features(df, columns)
+    scaled = scaled_features(spread(df), columns)
     k, model, scores = learning.search_k(scaled, ks, seed)
     return model.transform(scaled).drop("features_unscaled"), k, scores
 

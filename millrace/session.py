@@ -70,6 +70,16 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for iterative training over a scan of very few splits.
+
+    A file with a single row group is one task however large the cluster. Inputs that already have
+    enough partitions, so anything large, are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def persisted(df: DataFrame) -> Iterator[DataFrame]:
     """Keep a frame in memory, spilling to disk, for the length of a block."""
