@@ -59,9 +59,3 @@ def flag(condition: Column) -> Column:
 
 def has_value(c: Column | str) -> Column:
     return _col(c).isNotNull().cast("int")
-
-
-def is_missing(c: Column | str, numeric: bool) -> Column:
-    """NULL, and for numbers also NaN."""
-    c = _col(c)
-    return c.isNull() | F.isnan(c) if numeric else c.isNull()

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import combine, impute, profile, telemetry as tm
@@ -167,3 +166,21 @@ def test_report_text_to_summary(spark):
         row = got[name.removeprefix("meta_").removesuffix(".parquet")]
         assert (row.n_runs, row.mean, row.std) == (len(seconds), mean, std)
         assert (row.min, row.max) == (min(seconds), max(seconds))
+
+
+def test_runs_side_by_side(spark):
+    rows = [
+        (f"run{r}", f"2025010{r}_00000{i}", name, f"{10 * r + i}%", "1GiB / 2GiB", r)
+        for r in (1, 2) for i in (0, 2) for name in ("spark-master", "spark-worker-1")
+    ]
+    raw = spark.createDataFrame(rows, "source string, timestamp string, name string, cpu_perc string, mem_usage string, run int")
+    out = telemetry_report.run_comparison(raw, "run", [1, 2, 3], "cpu_perc", ["spark-worker-1", "spark-worker-2"])
+    assert [tuple(r) for r in out.orderBy("position").collect()] == [
+        ("spark-worker-1", 0, 11.0, 21.0, None), ("spark-worker-2", 1, None, None, None)
+    ]
+
+
+def test_column_means_skip_nulls_but_not_nans(spark):
+    df = spark.createDataFrame([(1, 1.0), (None, float("nan")), (4, None)], "i int, x double")
+    row = profile.column_means(df, ["i", "x"]).first()
+    assert row.i == 2.5 and row.x != row.x
