@@ -2,10 +2,10 @@
 
 1. Frequent tokens are found from counts that tasks have made over all their documents.
 2. Every document is indexed by the signatures of ``prefixes``; signatures of one document alone go.
-3. A document's home is the smallest document of its signatures that it shares most of them with;
-   homes form trees, the clusters. Documents of a cluster are compared in blocks.
-4. Documents that share a signature across clusters, in as many signatures as similar sets must, are
-   compared around the one that is not in the cluster of the signature's smallest document.
+3. A document's home is, of the smallest documents of its signatures that it could be similar to, the one it
+   shares most of them with; homes form trees, the clusters. Documents of a cluster are compared in blocks.
+4. Documents of different clusters that meet in as many signatures as similar sets must are compared too,
+   around the smaller of the two; one of them is outside the cluster of the signature's smallest document.
 5. Every comparison is exact. Blocks return only links that join something new within the block.
 """
 
@@ -182,8 +182,13 @@ def _links(percent: int):
 
 def _tasks(matched: DataFrame, percent: int, block: int) -> DataFrame:
     """Rows (task, doc): which documents are compared with one another."""
+    fit = f"100 * least({{0}}n, {{1}}n) >= {percent} * greatest({{0}}n, {{1}}n)"
+    facts = staged(matched.select("doc", "n", "need").distinct(), "facts")
+    lead = facts.select(F.col("doc").alias("leader"), F.col("n").alias("lead_n"), F.col("need").alias("lead_need"))
+    led = staged(matched.where("doc <> leader").groupBy("doc", "leader").count(), "led")
     homes = (
-        matched.where("doc <> leader").groupBy("doc", "leader").count()
+        led.join(lead, "leader").join(facts, "doc")
+        .where("count >= least(need, lead_need) and " + fit.format("", "lead_"))
         .groupBy("doc").agg(F.max_by("leader", "count").alias("home"))
     )
     cluster = staged(components(homes.select(F.col("doc").alias("a"), F.col("home").alias("b"))), "clusters")
@@ -196,24 +201,22 @@ def _tasks(matched: DataFrame, percent: int, block: int) -> DataFrame:
     ).select(
         F.concat_ws("-", F.lit("w"), "cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "doc"
     )
-    # pairs across clusters, around the documents outside the cluster of the signature's leader
-    lead = cluster.select(F.col("doc").alias("leader"), F.col("cluster").alias("leading"))
-    placed = staged(matched.join(cluster, "doc"), "placed")
-    stray = placed.join(lead, "leader").where("cluster <> leading").select(
-        "sig", F.col("doc").alias("stray"), F.col("n").alias("stray_n"), F.col("need").alias("stray_need"),
-        F.col("cluster").alias("stray_cluster"),
-    )
+    # pairs across clusters: at least one of the two is a stray, outside the cluster of the signature's leader
+    placed = matched.join(cluster, "doc", "left").withColumn("cluster", F.coalesce("cluster", "doc"))
+    leading = cluster.select(F.col("doc").alias("leader"), F.col("cluster").alias("leading"))
+    placed = staged(placed, "placed").join(leading, "leader", "left")
+    placed = placed.withColumn("is_stray", F.col("cluster") != F.coalesce("leading", "leader")).drop("leader", "leading")
+    placed = staged(placed, "placed")
+    stray = placed.where("is_stray").select("sig", *[F.col(c).alias(f"stray_{c}") for c in ("doc", "n", "need", "cluster")])
     across = (
         placed.join(staged(stray, "strays"), "sig")
-        .where(f"cluster <> stray_cluster and 100 * least(n, stray_n) >= {percent} * greatest(n, stray_n)")
-        .groupBy("stray", "doc", F.least("need", "stray_need").alias("least"))
-        .count()
-        .where("count >= least")
-        .select("stray", "doc")
-    )
+        .where("cluster <> stray_cluster and (not is_stray or stray_doc < doc) and " + fit.format("", "stray_"))
+        .groupBy(F.least("stray_doc", "doc").alias("a"), F.greatest("stray_doc", "doc").alias("b"), F.least("need", "stray_need").alias("least"))
+        .count().where("count >= least").select("a", "b")
+    )
     across = staged(across, "across")
-    star = F.concat_ws("-", F.lit("s"), "stray", F.pmod(F.xxhash64("doc"), F.lit(64)).cast("string")).alias("task")
-    stars = across.select(star, "doc").unionByName(across.select(star, F.col("stray").alias("doc")).distinct())
+    star = F.concat_ws("-", F.lit("s"), "a", F.pmod(F.xxhash64("b"), F.lit(64)).cast("string")).alias("task")
+    stars = across.select(star, F.col("b").alias("doc")).unionByName(across.select(star, F.col("a").alias("doc")).distinct())
     return within.unionByName(stars)
 
 
