@@ -35,3 +35,13 @@ SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
        CAST(size * (rounds + CASE WHEN start < rest AND before + size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM summed
 """
+
+WARC = """
+WITH pages AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+last AS (SELECT digest, max(page_id) AS last FROM pages WHERE n >= 1000 GROUP BY digest)
+SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN p.page_id < l.last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < l.last THEN l.last END AS refers_to
+FROM pages p LEFT JOIN last l ON p.digest = l.digest AND p.n >= 1000
+"""
