@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontam, html_extract, jaccard, langid, mixing, oracles, passages, warc
+from millrace.llm import decontam, html_extract, jaccard, langid, licenses, mixing, oracles, passages, warc
 from millrace.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,23 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
 
 
+@_query("op7_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["exact"])
+    words = F.transform(base, lambda m: m["word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda m: m["label"]))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["label"]))), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 @_query("op8_mix_sources", oracles.MIXING)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
