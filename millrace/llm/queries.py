@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontam, html_extract, jaccard, langid, licenses, mixing, oracles, passages, warc
+from millrace.llm import decontam, html_extract, jaccard, langid, licenses, mixing, oracles, passages, spotsigs, warc
 from millrace.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+@_query("op4_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
 @_query("op6_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
