@@ -45,3 +45,35 @@ SELECT p.page_id, p.n AS payload_bytes, p.digest AS payload_digest,
        CASE WHEN p.page_id < l.last THEN l.last END AS refers_to
 FROM pages p LEFT JOIN last l ON p.digest = l.digest AND p.n >= 1000
 """
+
+PREFERENCES = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+listed AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS chosen FROM turns GROUP BY conv_id),
+paired AS (
+  SELECT a.conv_id, a.chosen,
+         CASE WHEN b.conv_id IS NULL THEN a.chosen[1:len(a.chosen) - 1]
+              ELSE list_concat(a.chosen[1:len(a.chosen) - 1], b.chosen[len(b.chosen):len(b.chosen)]) END AS rejected
+  FROM listed a LEFT JOIN listed b ON b.conv_id = CASE WHEN a.conv_id % 2 = 0 THEN a.conv_id + 1 ELSE a.conv_id - 1 END),
+counted AS (
+  SELECT *, CAST(coalesce(list_min([i for i in range(1, least(len(chosen), len(rejected)) + 1) if chosen[i] <> rejected[i]]) - 1,
+                          least(len(chosen), len(rejected))) AS BIGINT) AS n_common FROM paired),
+sides AS (
+  SELECT conv_id, n_common, chosen[1:n_common] AS prompt, chosen[n_common + 1:] AS c, rejected[n_common + 1:] AS r FROM counted),
+texts AS (
+  SELECT conv_id, n_common,
+         ['<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) for t in prompt] AS p,
+         ['<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) for t in c] AS ct,
+         ['<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) for t in r] AS rt, c, r FROM sides)
+SELECT conv_id, n_common, coalesce(array_to_string(p, ''), '') AS prompt,
+       coalesce(array_to_string(ct, ''), '') AS chosen_text, coalesce(array_to_string(rt, ''), '') AS rejected_text,
+       coalesce(array_to_string([CAST(length(coalesce(array_to_string(ct[1:i - 1], ''), '')) + 12 + 9 + 1 AS VARCHAR) || '-' ||
+         CAST(length(coalesce(array_to_string(ct[1:i - 1], ''), '')) + 12 + 9 + 1 + length(c[i].text) + 10 AS VARCHAR)
+         for i in range(1, len(c) + 1) if c[i].role = 'assistant'], ','), '') AS chosen_mask,
+       coalesce(array_to_string([CAST(length(coalesce(array_to_string(rt[1:i - 1], ''), '')) + 12 + 9 + 1 AS VARCHAR) || '-' ||
+         CAST(length(coalesce(array_to_string(rt[1:i - 1], ''), '')) + 12 + 9 + 1 + length(r[i].text) + 10 AS VARCHAR)
+         for i in range(1, len(r) + 1) if r[i].role = 'assistant'], ','), '') AS rejected_mask
+FROM texts
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontam, html_extract, jaccard, langid, licenses, mixing, oracles, passages, spotsigs, warc
+from millrace.llm import chat, decontam, html_extract, jaccard, langid, licenses, mixing, oracles, passages, spotsigs, warc
 from millrace.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,22 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_pairs(_table(spark, sf_dir, "documents"))
 
 
+@_query("op5_preference_format", oracles.PREFERENCES)
+def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.swapped_answers(_table(spark, sf_dir, "conversations"))
+    found = chat.preferences(pairs)
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return found.select(
+        "conv_id",
+        F.col("n_common").cast("long").alias("n_common"),
+        "prompt",
+        "chosen_text",
+        "rejected_text",
+        spans("chosen_mask").alias("chosen_mask"),
+        spans("rejected_mask").alias("rejected_mask"),
+    )
+
+
 @_query("op6_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
