@@ -1,7 +1,8 @@
-"""The corpus pipeline: documents of a known language, one of each group of copies, without repeated
-passages and benchmark items, mixed to target weights.
+"""The corpus pipeline: documents of a known language, one of each group of near copies, without repeated
+passages and without benchmark items, mixed to target weights.
 
-A stage takes the documents its predecessor kept, as written and read again.
+A stage takes the documents that its predecessor kept, as written and read again. All but the last
+return the columns of documents; the last returns a row for each copy that the mix takes.
 """
 
 from __future__ import annotations
@@ -10,21 +11,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import jaccard
+from millrace.llm import decontam, jaccard, langid, mixing, passages
 from millrace.session import work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language cannot be told, go."""
+    return langid.keep_identified(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies stays."""
     return jaccard.keep_one(docs)
 
 
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out of the later ones."""
+    return passages.drop_repeats(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources, a row for each copy taken."""
+    return mixing.mixed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language),
     ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeats),
+    ("benchmark decontamination", contamination),
+    ("mixing sources to target weights", mixture),
 ]
 
-ORACLE_SQL = None  # the stages are models and searches; tests compare each with a brute-force version
+ORACLE_SQL = None  # a fitted model and fuzzy searches: tests compare the stages with brute-force versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
