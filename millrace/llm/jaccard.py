@@ -1,7 +1,8 @@
 """N-gram Jaccard join: components of documents whose shingle sets are similar.
 
 1. Frequent tokens are found from counts that tasks have made over all their documents.
-2. Every document is indexed by the signatures of ``prefixes``; signatures of one document alone go.
+2. Every document is indexed by the signatures of ``prefixes``; signatures of one document alone go. Documents of
+   equal sets are linked to the smallest of them, which alone goes on.
 3. A document's home is, of the smallest documents of its signatures that it could be similar to, the one it
    shares most of them with; homes form trees, the clusters. Documents of a cluster are compared in blocks.
 4. Documents of different clusters that meet in as many signatures as similar sets must are compared too,
@@ -72,7 +73,7 @@ def _sizes_and_counts(k: int):
 
 
 def _indexed(k: int, percent: int, frequent):
-    """Rows (sig, doc, n, need). Equal sets share one more signature; of those met together one is indexed fully."""
+    """Rows (sig, doc, n, need, whole). One more signature stands for the whole set; of equal sets met together one is indexed fully."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
@@ -100,6 +101,7 @@ def _indexed(k: int, percent: int, frequent):
                     doc=np.repeat(np.array(docs, np.int64), counts),
                     n=np.repeat(np.array(sizes, np.int32), counts),
                     need=np.repeat(np.array(needs, np.int32), counts),
+                    whole=np.concatenate([np.arange(c) == 0 for c in counts]),
                 )
 
     return run
@@ -238,19 +240,22 @@ def ngram_components(
     )
     listed = np.sort(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(listed)
-    indexed = whole.mapInArrow(_indexed(k, percent, shared), "sig long, doc long, n int, need int")
+    indexed = whole.mapInArrow(_indexed(k, percent, shared), "sig long, doc long, n int, need int, whole boolean")
     repeated = indexed.groupBy("sig").agg(F.min("doc").alias("leader"), F.count("*").alias("met")).where("met > 1")
     repeated = staged(repeated.select("sig", "leader"), "repeated")
     matched = staged(indexed.join(repeated, "sig"), "matched")
+    equal = staged(matched.where("whole and doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")), "equal")
+    matched = staged(matched.where("not whole").drop("whole").join(equal.select(F.col("b").alias("doc")), "doc", "left_anti"), "matched")
     tasks = staged(_tasks(matched, percent, block), "tasks")
     needed = tasks.select(F.col("doc").alias("doc_id")).distinct()
-    sets = staged(whole.join(needed, "doc_id").mapInArrow(_sets(k), "doc long, tokens array<long>"), "sets")
+    # no side of these joins has a bound, so they are merged at every size
+    sets = staged(whole.join(needed.hint("merge"), "doc_id").mapInArrow(_sets(k), "doc long, tokens array<long>"), "sets")
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     links = (
-        tasks.join(sets, "doc").repartition(parts, "task").sortWithinPartitions("task")
+        tasks.join(sets.hint("merge"), "doc").repartition(parts, "task").sortWithinPartitions("task")
         .mapInArrow(_links(percent), "a long, b long")
     )
-    groups = components(staged(links, "links")).withColumnRenamed("node", "doc_id")
+    groups = components(staged(links.unionByName(equal), "links")).withColumnRenamed("node", "doc_id")
     sizes = measured.where("is_doc").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"))
     return sizes.join(groups, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
