@@ -66,8 +66,10 @@ def preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejec
     """Add prompt, completions and masks to rows with two arrays of turns (structs with ``role`` and ``text``).
 
     Columns ``n_common``, ``prompt``, ``chosen_text``, ``rejected_text``, ``chosen_mask``, ``rejected_mask``. A NULL array is an empty
-    conversation. Equal conversations give empty completions; none in common gives an empty prompt.
+    conversation. Equal conversations give empty completions; none in common gives an empty prompt. Columns of these
+    names that ``pairs`` has already are replaced.
     """
+    new = {"n_common", "prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask"}
     empty = F.array().cast("array<struct<role:string,text:string>>")
     plain = lambda c: F.coalesce(F.transform(F.col(c), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))), empty)
     rows = pairs.withColumn("__chosen", plain(chosen)).withColumn("__rejected", plain(rejected))
@@ -76,7 +78,7 @@ def preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejec
     rows = rows.withColumn("prompt", rendered(F.slice(F.col("__chosen"), F.lit(1), F.col("n_common"))))
     rows = rows.withColumns({f"__{c}_rest": rest[c] for c in rest})
     return rows.select(
-        *pairs.columns, "n_common", "prompt",
+        *[F.col(f"`{c}`") for c in pairs.columns if c not in new], "n_common", "prompt",
         *[rendered(F.col(f"__{c}_rest")).alias(f"{c}_text") for c in rest],
         *[mask(F.col(f"__{c}_rest")).alias(f"{c}_mask") for c in rest],
     )

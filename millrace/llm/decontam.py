@@ -5,7 +5,8 @@ documents are cut into blocks of ``u`` shingles, so that block and item are of l
 document is, and both get a MinHash sketch of one hash: the smallest value in each of ``2 u`` bins. A block
 and an item that agree in any bin are a candidate, and the share of the item's distinct shingles that
 the whole document contains is then counted exactly. An item that lies across two blocks has half
-its shingles in one of them, and each of those is the smallest in its bin more often than not.
+its shingles in one of them, and each of those is the smallest in its bin more often than not. The smallest
+items have blocks of one shingle, whose sketch is that shingle.
 
 Items go to the tasks as one broadcast index for each group of at most ``ITEMS`` items and ``CHARACTERS``
 characters; more items are more passes over the documents, not a larger index. Documents are never shuffled.
@@ -26,7 +27,7 @@ from millrace.llm.words import SHINGLE, grams, hashes, rows_of, words
 PERCENT = 80
 ITEMS = 1 << 16
 CHARACTERS = 1 << 26
-LEAST_CLASS = 16
+TINY = 8  # items of so few shingles have blocks of one, and all their shingles are the sketch
 _SLOTS = 22  # bits of the table that says which hashes may be in an index
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -50,6 +51,8 @@ class Index(NamedTuple):
 
 def _bin_minima(tokens: np.ndarray, size: int) -> np.ndarray:
     """Whether each token is the smallest of its bin within its block of ``size`` tokens."""
+    if size == 1:
+        return np.ones(len(tokens), bool)
     bins = np.uint64(2 * size)
     key = (np.arange(len(tokens), dtype=np.uint64) // np.uint64(size)) * bins + (tokens & (bins - np.uint64(1)))
     least = np.full((len(tokens) // size + 1) * 2 * size, _MOST, np.uint64)
@@ -67,7 +70,7 @@ def build_index(items: list[tuple[int | None, str | None]], k: int = SHINGLE) ->
             continue
         length = min(k, len(own))
         tokens = np.unique(grams(own, length))
-        size = max(LEAST_CLASS, 1 << (len(tokens) - 1).bit_length())
+        size = 1 if len(tokens) <= TINY else 1 << (len(tokens) - 1).bit_length()
         by_class[size, length].append((tokens[_bin_minima(tokens, size)], len(ids)))
         ids.append(item_id)
         sets.append(tokens)

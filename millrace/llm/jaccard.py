@@ -229,7 +229,7 @@ def ngram_components(
 
     Texts that are NULL, empty or white space have no shingle and are linked with nothing. A row
     without ``doc_id`` has a size but no component. Repeated ids give as many rows, in one component.
-    ``percent`` is the least similarity; sets are compared exactly whatever ``frequent`` and ``block`` are.
+    ``percent`` is the least similarity, 60 to 100; sets are compared exactly whatever ``frequent`` and ``block`` are.
     """
     spark = docs.sparkSession
     whole = keyed(docs)

@@ -90,7 +90,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFram
     """
     nodes = quotas.agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "quota"))), lambda x: x["quota"]).alias("counts")
-    ).select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "counts")
+    ).where(F.size("counts") > 0).select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "counts")
     total = F.expr("aggregate(counts, 0L, (a, x) -> a + x)")
     while shards > 1:
         # the left half's room: its share of the blocks, rounded alike everywhere
@@ -120,7 +120,7 @@ def mix_plan(
     """
     rows, words = docs.agg(F.count(F.lit(1)), F.sum(word_count(F.col(text)))).first()
     blocks = int(max(1, rows) ** 0.5 - 1e-9) + 1
-    shards = shards or 1 << max(0, ((words or 0) - 1) // SHARD_WORDS).bit_length()
+    shards = shards or 1 << (max(0, (words or 0) - 1) // SHARD_WORDS).bit_length()
     placed = _placed(docs, key, text, source, blocks, seed)
     sums = staged(placed.groupBy("src", "source", "block").agg(F.sum("size").alias("words")), "blocks")
     sources = staged(targets(sums.groupBy("src", "source").agg(F.sum("words").alias("source_size"))), "sources")

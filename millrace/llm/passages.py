@@ -321,27 +321,30 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
 
     A document of which nothing but white space is left goes; those without such passages stay as they are.
     """
-    spans = repeated_passages(docs, **options).groupBy("doc_id").agg(
-        F.collect_set(F.struct("start_word", "end_word")).alias("spans_to_drop")
+    drop = "spans"
+    while drop in docs.columns:
+        drop += "_"
+    found = repeated_passages(docs, **options).groupBy("doc_id").agg(
+        F.collect_set(F.struct("start_word", "end_word")).alias(drop)
     )
-    joined = docs.join(staged(spans, "spans"), "doc_id", "left")
-    schema = joined.drop("spans_to_drop").schema
+    joined = docs.join(staged(found, "spans"), "doc_id", "left")
+    schema = joined.drop(drop).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = [], []
-            for text, spans in rows_of(batch, "text", "spans_to_drop"):
-                if spans and text:
-                    text = without_words(text, [(s["start_word"], s["end_word"]) for s in spans])
-                    keep.append(bool(_WORD.search(text)))
-                else:
-                    keep.append(True)
-                texts.append(text)
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "spans_to_drop"}
+            columns = dict(zip(batch.schema.names, batch.columns))
+            spans, texts = columns.pop(drop).to_pylist(), columns["text"].to_pylist()
+            sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
+            keep = [True] * len(texts)
+            for i, own in enumerate(spans):
+                if own and texts[i]:
+                    texts[i] = without_words(texts[i], [(s["start_word"], s["end_word"]) for s in own])
+                    keep[i] = bool(_WORD.search(texts[i]))
+                    if sizes:
+                        sizes[i] = len(texts[i])
             columns["text"] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                cut = pa.array([len(t) if t is not None else None for t in texts], pa.int64()).cast(columns["n_chars"].type)
-                columns["n_chars"] = pa.array([new if s else old for new, s, old in zip(cut.to_pylist(), batch.column(batch.schema.get_field_index("spans_to_drop")).to_pylist(), columns["n_chars"].to_pylist())], columns["n_chars"].type)
+            if sizes:
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -50,7 +50,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     ``frequent`` is the sorted list of frequent tokens; an empty set has no signature.
     """
     n = len(tokens)
-    if not n:
+    if n < 2:  # similar to equal sets only
         return tokens, 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
