@@ -83,25 +83,41 @@ def expected_pieces(word: str, chance: dict[str, float], longest: int) -> dict[s
     return found
 
 
-def log_likelihoods(word: str, model: Model) -> list[float]:
-    """Log probability of a word in each language: the forward pass, scaled where it gets small."""
-    marked = _START + word
-    zero, get, longest = [0.0] * len(model.languages), model.pieces.get, model.longest
-    sums, scale = [[1.0] * len(model.languages)], [0.0] * len(model.languages)
-    for i in range(1, len(marked) + 1):
-        now = zero
-        for j in range(max(0, i - longest), i):
-            if p := get(marked[j:i]):
-                now = [x + a * q for x, a, q in zip(now, sums[j], p)]
-            elif j == i - 1:
-                now = [x + a * UNKNOWN for x, a in zip(now, sums[j])]
-        sums.append(now)
-        if i % 24 == 0 and i > longest:  # shift what later steps read, language by language
-            up = [1.0 / x if x > 0 else 1.0 for x in now]
+def starts(pieces: dict[str, tuple[float, ...]]) -> dict[str, tuple[float, ...] | None]:
+    """Every beginning of a piece: its probabilities, or None if it is no piece itself."""
+    found: dict[str, tuple[float, ...] | None] = {p[:i]: None for p in pieces for i in range(1, len(p))}
+    return found | pieces
+
+
+def log_likelihoods(word: str, model: Model, begun: dict[str, tuple[float, ...] | None]) -> list[float]:
+    """Log probability of a word in each language: the forward pass, scaled where it gets small.
+
+    From each place the pieces that start there are followed until no piece begins so (``begun``).
+    """
+    marked, get = _START + word, begun.get
+    n, languages = len(marked), len(model.languages)
+    sums: list[list[float] | None] = [None] * (n + 1)
+    sums[0], scale = [1.0] * languages, [0.0] * languages
+    for j in range(n):
+        here = sums[j]
+        if j % 24 == 23:  # shift what is still to be read, language by language
+            up = [1.0 / x if x > 0 else 1.0 for x in here]
             scale = [s - math.log(u) for s, u in zip(scale, up)]
-            for j in range(i - longest, i + 1):
-                sums[j] = [x * u for x, u in zip(sums[j], up)]
-    return [s + (math.log(x) if x > 0 else -745.0) for s, x in zip(scale, sums[-1])]
+            for i in range(j, min(n, j + model.longest) + 1):
+                if sums[i]:
+                    sums[i] = [x * u for x, u in zip(sums[i], up)]
+            here = sums[j]
+        i, known = j + 1, False
+        while i <= n and (p := get(marked[j:i], 0)) != 0:
+            if p:
+                known = known or i == j + 1
+                now = sums[i]
+                sums[i] = [x + a * q for x, a, q in zip(now, here, p)] if now else [a * q for a, q in zip(here, p)]
+            i += 1
+        if not known:
+            now = sums[j + 1]
+            sums[j + 1] = [x + a * UNKNOWN for x, a in zip(now, here)] if now else [a * UNKNOWN for a in here]
+    return [s + (math.log(x) if x > 0 else -745.0) for s, x in zip(scale, sums[n])]
 
 
 class _Scores(dict):
@@ -110,13 +126,14 @@ class _Scores(dict):
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
+        self.begun = starts(model.pieces)
         self.table = np.zeros((1024, len(model.languages)))
 
     def __missing__(self, word: str) -> int:
         row = len(self)
         if row == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[row] = log_likelihoods(word, self.model)
+        self.table[row] = log_likelihoods(word, self.model, self.begun)
         self[word] = row
         return row
 
@@ -205,7 +222,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names.append(name)
                 values.append(value)
                 if len(scores) > CACHE:
-                    scores = _Scores(shared.value)
+                    scores.clear()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],

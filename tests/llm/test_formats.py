@@ -138,15 +138,16 @@ def test_odd_conversations(spark):
 def test_forward_pass_sums_all_segmentations():
     chance = {"▁": 0.1, "▁a": 0.2, "a": 0.15, "b": 0.05, "ab": 0.25, "▁ab": 0.01}
     model = langid.Model(["x"], {k: (v,) for k, v in chance.items()}, 3)
+    begun = langid.starts(model.pieces)
     total = 0.01 + 0.2 * 0.05 + 0.1 * 0.25 + 0.1 * 0.15 * 0.05
     import math
 
-    assert math.exp(langid.log_likelihoods("ab", model)[0]) == pytest.approx(total)
+    assert math.exp(langid.log_likelihoods("ab", model, begun)[0]) == pytest.approx(total)
     counts = langid.expected_pieces("ab", chance, 3)
     assert counts["▁ab"] == pytest.approx(0.01 / total) and sum(counts[p] * len(p) for p in counts) == pytest.approx(3)
-    long = langid.log_likelihoods("ab" * 400, model)[0]
-    part = langid.log_likelihoods("ab" * 40, model)[0]
-    assert long == pytest.approx(part * 10, rel=0.1) and math.isfinite(langid.log_likelihoods("q" * 5000, model)[0])
+    long = langid.log_likelihoods("ab" * 400, model, begun)[0]
+    part = langid.log_likelihoods("ab" * 40, model, begun)[0]
+    assert long == pytest.approx(part * 10, rel=0.1) and math.isfinite(langid.log_likelihoods("q" * 5000, model, begun)[0])
 
 
 def test_held_out_languages_are_told(spark, sf_dir):
