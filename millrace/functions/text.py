@@ -9,7 +9,8 @@ from pyspark.sql import Column, functions as F
 # The report format.
 DURATION = r"(\d+(?:\.\d+)?)\s*(?:s|segundos)"
 TOTAL_MARKER = "Tiempo total del script"
-DATASET_HEADING = r"## (?:Normalize|EDA) (?:Dataset|Reviews Dataset) - (.+)"
+DATASET_HEADING = r"## (?:Normalize|EDA) (?:Reviews |Meta )?Dataset - (.+)"
+RUN_HEADING = r"## (.+?)\s*(?:-\s*)?\[Run (\d+)\]"
 SECTION = r"(?s)## ([^\n\[]*) \[Run (\d+)\]\n.*?Duración: (\d+\.\d+) segundos"
 FRAMEWORK = "(Spark|Ray|Dask)"
 RUN_NUMBER = r"run(\d+)"
@@ -74,7 +75,7 @@ def classify(c: Column, rules: Sequence[tuple[str, str]], otherwise: str) -> Col
 
 
 def clean_label(c: Column, remove: Sequence[str] = (SUFFIX, "meta_")) -> Column:
-    out = F.coalesce(c, F.lit(MISSING_LABEL))
+    out = F.coalesce(F.nullif(c, F.lit("")), F.lit(MISSING_LABEL))
     for literal in remove:
         out = F.replace(out, F.lit(literal), F.lit(""))
     return out
@@ -85,16 +86,16 @@ def pretty(c: Column) -> Column:
 
 
 def number(c: Column, decimals: int = 2) -> Column:
-    """NULL as ``-``, otherwise fixed decimals."""
-    return F.when(c.isNull(), F.lit("-")).otherwise(F.format_string(f"%.{decimals}f", c.cast("double")))
+    """NULL and NaN as ``-``, otherwise fixed decimals."""
+    return F.when(c.isNull() | F.isnan(c.cast("double")), F.lit("-")).otherwise(F.format_string(f"%.{decimals}f", c.cast("double")))
 
 
 def count_number(c: Column) -> Column:
-    """NULL as ``-``, whole numbers plain, anything else with two decimals."""
+    """NULL and NaN as ``-``, whole numbers plain, anything else with two decimals."""
     value = c.cast("double")
     whole = value == F.floor(value)
     return (
-        F.when(c.isNull(), F.lit("-"))
+        F.when(c.isNull() | F.isnan(value), F.lit("-"))
         .when(whole, value.cast("bigint").cast("string"))
         .otherwise(F.format_string("%.2f", value))
     )

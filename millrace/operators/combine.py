@@ -20,20 +20,20 @@ def union_ragged(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int, limit: int = 1_000) -> list:
+def hot_keys(df: DataFrame, key: str, min_rows: int) -> list:
     """Keys holding at least ``min_rows`` rows, largest first.
 
     Counting combines map-side, so the shuffle carries one row per key and task. At most
-    rows / ``min_rows`` keys can qualify; the largest ``limit`` of them are returned.
+    rows / ``min_rows`` keys can qualify, which bounds the list.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_rows) & F.col(key).isNotNull())
-    return [r[0] for r in counts.orderBy(F.desc("n")).limit(limit).collect()]
+    return [r[0] for r in counts.orderBy(F.desc("n")).collect()]
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, hot: Sequence) -> DataFrame:
     """Inner equi-join that keeps the named hot keys of ``big`` out of the shuffle.
 
-    Rows of hot keys meet the few matching rows of ``small`` through a size-checked broadcast;
+    Rows of hot keys meet the few matching rows of ``small``, written first so that Catalyst knows their size;
     all other rows join as usual. Without hot keys it is a plain join.
     """
     if not hot:

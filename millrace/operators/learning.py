@@ -27,13 +27,16 @@ def fit_scaler(df: DataFrame, column: str = "features_unscaled", out: str = "fea
 def zscore(df: DataFrame, columns: Sequence[str], population: bool = False) -> DataFrame:
     """Mean 0, deviation 1 as plain columns, the moments coming from one scalar subquery.
 
-    ``population`` divides by n instead of n - 1.
+    ``population`` divides by n instead of n - 1. A column of one value becomes 0.
     """
     deviation = F.stddev_pop if population else F.stddev_samp
     moments = df.agg(
         F.struct(*[F.struct(F.avg(c).alias("mean"), deviation(c).alias("std")).alias(c) for c in columns]).alias("m")
     ).scalar()
-    scaled = {c: (F.col(c) - moments.getField(c)["mean"]) / moments.getField(c)["std"] for c in columns}
+    scaled = {}
+    for c in columns:
+        away, std = F.col(c) - moments.getField(c)["mean"], moments.getField(c)["std"]
+        scaled[c] = F.when(std == 0, F.when(F.col(c).isNotNull(), F.lit(0.0))).otherwise(F.try_divide(away, std))
     return df.withColumns(scaled)
 
 
@@ -80,7 +83,7 @@ def fit_gbt(
 
 def area_under_roc(predictions: DataFrame, label: str) -> float:
     return BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC"
+        labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
     ).evaluate(predictions)
 
 

@@ -1,31 +1,25 @@
-"""Joins against small results, broadcast only after their size has been checked."""
+"""Joins against results that are expected to be small."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 20_000
-BROADCAST_CHARACTERS = 64 * 1024**2
+from millrace.session import staged
 
 
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    max_characters: int = BROADCAST_CHARACTERS,
-) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
     """Join ``big`` with a result expected to be small.
 
-    At most ``max_rows + 1`` rows are fetched to find out. If the result fits, in rows and in
-    printed size, it is broadcast, so ``big`` is neither shuffled nor exposed to hot keys. If it
-    does not fit the join is left to Catalyst, where AQE splits skewed partitions.
+    ``small`` is computed once and written to the shared folder, so Catalyst knows its exact size: below the broadcast
+    threshold ``big`` is neither shuffled nor exposed to hot keys, above it AQE splits skewed partitions of the
+    join. Nothing passes through the driver. With ``null_safe`` a NULL key matches a NULL key.
     """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows or sum(len(str(r)) for r in rows) > max_characters:
-        return big.join(small, list(on), how)
-    fixed = big.sparkSession.createDataFrame(rows, small.schema)
-    return big.join(F.broadcast(fixed), list(on), how)
+    side = staged(small, "lookup")
+    if not null_safe:
+        return big.join(side, list(on), how)
+    side = side.withColumnsRenamed({k: f"__{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [big[k].eqNullSafe(side[f"__{k}"]) for k in on])
+    return big.join(side, same, how).drop(*[f"__{k}" for k in on])

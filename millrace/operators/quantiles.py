@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators.lookup import lookup_join
-from millrace.operators.ordered import QUANTILE_CHUNKS, quantile_chunks, running_sum, totals_before
+from millrace.operators.ordered import QUANTILE_CHUNKS, balanced_chunks, quantile_chunks, running_sum, totals_before
 from millrace.session import pinned
 
 
@@ -29,7 +29,7 @@ def group_quantiles(
 
     ``percentile`` keeps every distinct value of a group in one task's memory. Here a counting
     pass per (group, value bucket) finds which bucket holds each wanted rank, and only the rows of
-    those buckets, merged by value, are ranked, piece by piece. NULL and NaN values are skipped.
+    those buckets, merged by value, are ranked, piece by piece. NULL and NaN values are skipped; NULL is a group.
     """
     base = df.select(*groups, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
@@ -61,7 +61,7 @@ def group_quantiles(
         .select(*groups, "__chunk", "__before", "__wanted", "__min", "__max")
     )
 
-    candidates = lookup_join(chunked, needed, [*groups, "__chunk"])
+    candidates = lookup_join(chunked, needed, [*groups, "__chunk"], null_safe=True)
     by_value = candidates.groupBy(*groups, "__chunk", "__v").agg(
         F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in ("__before", "__wanted", "__min", "__max")]
     )
@@ -100,7 +100,7 @@ def boxplot_numbers(df: DataFrame, groups: Sequence[str], value: str, reach: flo
     v = F.col(value)
     inside = (v >= F.col("__low")) & (v <= F.col("__high"))
     return (
-        lookup_join(data, fences, groups)
+        lookup_join(data, fences, groups, null_safe=True)
         .groupBy(*groups, "q25", "median", "q75")
         .agg(
             F.avg(v).alias("mean"),
@@ -112,13 +112,13 @@ def boxplot_numbers(df: DataFrame, groups: Sequence[str], value: str, reach: flo
 
 
 def rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve from exact average ranks (ties count half), one row.
+    """Area under the ROC curve from exact average ranks (ties count half), one row; NULL if a class is missing.
 
     Rows are merged by score before ranking. The negatives below each score bucket are counted on the
     rows themselves, so the merged scores are shuffled once and read once.
     """
     base = df.select(F.col(score).cast("double").alias("__v"), F.col(label).cast("int").alias("__y"))
-    chunked = quantile_chunks(base, "__v", "__chunk")
+    chunked = balanced_chunks(base, "__v")
     below = totals_before(chunked, [], "__chunk", (1 - F.col("__y")).cast("bigint"))
     by_score = chunked.groupBy("__chunk", "__v").agg(
         F.sum("__y").cast("bigint").alias("__pos"), F.sum(1 - F.col("__y")).cast("bigint").alias("__neg")
@@ -126,7 +126,7 @@ def rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     ranked = running_sum(by_score, [], "__chunk", ["__v"], F.col("__neg"), "__below", include_row=False, before=below)
     wins = F.col("__pos") * (F.col("__below").cast("double") + F.col("__neg") / 2)
     return ranked.agg(
-        (F.sum(wins) / (F.sum("__pos").cast("double") * F.sum("__neg").cast("double"))).alias("auc"),
+        F.try_divide(F.sum(wins), F.sum("__pos").cast("double") * F.sum("__neg").cast("double")).alias("auc"),
         F.sum("__pos").alias("n_positive"),
         F.sum("__neg").alias("n_negative"),
     )

@@ -106,6 +106,34 @@ def report_times(
     return numbered.select(*file, "line_no", "dataset", "run_no", run.alias("run"), "time_seconds")
 
 
+def heading_times(
+    lines: DataFrame, file: Sequence[str] = ("file",), lines_per_chunk: int = LINES_PER_CHUNK
+) -> DataFrame:
+    """(file keys, line_no, dataset, run_no, run, time_seconds) of every timed line that is no script total.
+
+    The line itself or the nearest of the lines before it names a dataset, or a title and its run. Times without
+    a run of their own are numbered in line order: per dataset, and per file where no heading is near
+    (``dataset`` is then '').
+    """
+    line = F.col("line")
+    named, title = _heading(tx.DATASET_HEADING), _heading(tx.RUN_HEADING)
+    number = tx.extract(line, tx.RUN_HEADING, 2).try_cast("bigint")
+    heading = F.when(named.isNotNull(), F.struct(named.alias("dataset"), F.lit(None).cast("bigint").alias("run_no"))).when(
+        title.isNotNull(), F.struct(title.alias("dataset"), number.alias("run_no"))
+    )
+    wanted = {"heading": (heading, LOOK_BACK), "after": (F.when(is_total(), F.lit(1)), 1)}
+    seen = look_back(lines, file, "line_no", wanted, lines_per_chunk)
+    nearest = F.coalesce(heading, F.col("heading"))
+    timed = seen.where(~is_total() & F.col("after").isNull()).withColumns({
+        "dataset": F.coalesce(nearest["dataset"], F.lit("")), "given": nearest["run_no"], "time_seconds": tx.duration(line),
+    }).where(F.col("time_seconds").isNotNull())
+    numbered = number_runs(timed.select(*file, "line_no", "dataset", "given", "time_seconds"), [*file, "dataset"], lines_per_chunk=lines_per_chunk)
+    run_no = F.coalesce("given", "run_no")
+    return numbered.select(
+        *file, "line_no", "dataset", run_no.alias("run_no"), tx.capped_run(run_no, 2**62).alias("run"), "time_seconds"
+    )
+
+
 def block_times(
     lines: DataFrame, file: Sequence[str] = ("file",), lines_per_chunk: int = LINES_PER_CHUNK
 ) -> DataFrame:
@@ -120,13 +148,13 @@ def block_times(
     )
 
 
-def section_times(df: DataFrame, text: str, keys: Sequence[str], limit: int = tx.RUN_LIMIT) -> DataFrame:
-    """(keys, title, run, seconds) of every complete section in a report text."""
+def section_times(df: DataFrame, text: str, keys: Sequence[str], limit: int | None = None) -> DataFrame:
+    """(keys, title, run, seconds) of every complete section in a report text; with ``limit`` higher runs are unknown ones."""
     rows = df.select(*keys, F.inline(tx.sections(F.col(text))))
     run = F.col("run").cast("int")
     return rows.select(
         *keys, F.trim("title").alias("title"), run.alias("run_no"),
-        tx.capped_run(run, limit).alias("run"), F.col("seconds").cast("double").alias("seconds"),
+        tx.capped_run(run, limit if limit is not None else 2**31 - 1).alias("run"), F.col("seconds").cast("double").alias("seconds"),
     )
 
 
@@ -158,7 +186,8 @@ FORMATS = sorted(_ROW)
 
 def _line(cells: Sequence[Column], style: str) -> Column:
     start, between, end = _ROW[style]
-    return F.concat(F.lit(start), F.concat_ws(between, *cells), F.lit(end))
+    shown = [F.coalesce(c.cast("string"), F.lit("-")) for c in cells]
+    return F.concat(F.lit(start), F.concat_ws(between, *shown), F.lit(end))
 
 
 def _frame(style: str, headers: Sequence[str], title: Column) -> tuple[list[Column], list[Column]]:
@@ -203,17 +232,21 @@ def table_lines(
 def json_documents(df: DataFrame, key: str, order: str, entry: Sequence[str], name: str = "runs") -> DataFrame:
     """One JSON document per key as ordered text fragments (key, section, sort_key, line).
 
-    The lines of a key in (section, sort_key) order are ``{"<key>":...,"<name>":[...]}``. A key may
-    have any number of entries; only the smallest one is looked up, to know where no comma goes.
+    The lines of a key in (section, sort_key, line) order, NULLs first, are ``{"<key>":...,"<name>":[...]}``. A key may
+    have any number of entries; only the smallest one is looked up, to know where no comma goes. Equal entries of one
+    place share a line; a NULL key is the document of ``null``.
     """
-    first = df.groupBy(key).agg(F.min(order).alias("__first"))
-    comma = F.when(F.col(order) == F.col("__first"), F.lit("")).otherwise(F.lit(","))
-    body = lookup_join(df, first, [key]).select(
-        key,
-        F.lit(0).alias("section"),
-        F.col(order).alias("sort_key"),
-        F.concat(comma, F.to_json(F.struct(*entry))).alias("line"),
+    entries = (
+        df.select(key, F.col(order).alias("sort_key"), F.to_json(F.struct(*entry)).alias("__entry"))
+        .groupBy(key, "sort_key", "__entry").agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    )
+    first = entries.groupBy(key).agg(F.min(F.struct("sort_key", "__entry")).alias("__first"))
+    is_first = F.struct("sort_key", "__entry").eqNullSafe(F.col("__first"))
+    all_equal = F.concat("__entry", F.repeat(F.concat(F.lit(","), "__entry"), F.col("__n") - 1))
+    body = lookup_join(entries, first, [key], null_safe=True).select(
+        key, F.lit(0).alias("section"), "sort_key", F.concat(F.when(is_first, F.lit("")).otherwise(F.lit(",")), all_equal).alias("line")
     )
-    opening = F.concat(F.regexp_replace(F.to_json(F.struct(key)), r"\}$", ""), F.lit(f',"{name}":['))
+    as_json = F.to_json(F.struct(key), {"ignoreNullFields": "false"})
+    opening = F.concat(F.regexp_replace(as_json, r"\}$", ""), F.lit(f',"{name}":['))
     edges = first.select(key, _edges([opening], [F.lit("]}")]))
     return body.unionByName(edges, allowMissingColumns=True)

@@ -16,6 +16,7 @@ from millrace.operators.ordered import row_numbers
 from millrace.session import pinned
 
 SEED = 42
+_DIGITS = 16  # of the hash that a fraction is compared with
 PREFIX_DIGITS = 3  # 4096 slots: few enough to combine fully before the shuffle
 
 
@@ -24,14 +25,14 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 
 def _threshold(fraction: float) -> str:
-    return format(min(int(fraction * 16**8), 16**8 - 1), "08x")
+    return format(min(int(fraction * 16**_DIGITS), 16**_DIGITS - 1), f"0{_DIGITS}x")
 
 
 def below_fraction(keys: Sequence[str], fraction: float) -> Column:
     """Whether the row falls into the first ``fraction`` of the hash space."""
     if fraction >= 1:
         return F.lit(True)
-    return F.substring(key_hash(keys), 1, 8) < F.lit(_threshold(fraction))
+    return F.substring(key_hash(keys), 1, _DIGITS) < F.lit(_threshold(fraction))
 
 
 def random_rows(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
@@ -51,8 +52,8 @@ def random_rows(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
 
 
 def head_rows(df: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows as a fixed table. ``take`` stops after the few splits that hold them."""
-    return df.sparkSession.createDataFrame(df.take(n), df.schema)
+    """``n`` rows from the front, as a fixed table that is written in the cluster."""
+    return pinned(df.limit(n))
 
 
 def keyed_sample(df: DataFrame, fraction: float, keys: Sequence[str]) -> DataFrame:

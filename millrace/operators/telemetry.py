@@ -109,7 +109,7 @@ def container_stats(df: DataFrame, groups: Sequence[str] = ("name",), metrics: S
         F.max("value").alias("max"),
     )
     quartiles = spread_quantiles(tall, keys, "value", {"median": 0.5, "q25": 0.25, "q75": 0.75})
-    return moments.join(quartiles, keys, "left")
+    return lookup_join(moments, quartiles, keys, "left", null_safe=True)
 
 
 def wide_stats(stats: DataFrame, groups: Sequence[str] = ("name",), metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:

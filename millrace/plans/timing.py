@@ -20,7 +20,11 @@ CATEGORY_RULES = [("EDA", "EDA"), ("KMeans", "ML KMeans"), ("XGBoost", "ML XGBoo
 
 def timing_rows(lines: DataFrame) -> DataFrame:
     """Timed lines of (folder, file, line_no, line) as rows of the common timing schema."""
-    times = reports.report_times(lines, ["folder", "file"])
+    return categorised(reports.heading_times(lines, ["folder", "file"]))
+
+
+def categorised(times: DataFrame) -> DataFrame:
+    """Times of (folder, file) with the category that the file's name says, in the common timing schema."""
     named = times.withColumn("category", tx.classify(F.col("file"), CATEGORY_RULES, "Meta"))
     return conform(named, reports.TIMING_COLUMNS)
 

@@ -71,13 +71,12 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for iterative training over a scan of very few splits.
+    """As many partitions as the session sets for shuffles, for iterative training.
 
-    A file with a single row group is one task however large the cluster. Inputs that already have
-    enough partitions, so anything large, are returned as they are.
+    A file with a single row group is one task however large the cluster. Every input is dealt alike, so
+    starts and samples of a fit depend on the setting and not on how the files were cut.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 @contextmanager

@@ -31,7 +31,7 @@ def file_sizes(spark: SparkSession, root: str, name_glob: str = "*") -> DataFram
         size.alias("size_bytes"),
         in_mb(size).alias("size_mb"),
         in_gb(size).alias("size_gb"),
-        F.concat(F.lit("."), F.element_at(F.split("path", r"\."), -1)).alias("extension"),
+        F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(\.[^.]*)$", 1).alias("extension"),
         F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory"),
     )
 
@@ -39,16 +39,18 @@ def file_sizes(spark: SparkSession, root: str, name_glob: str = "*") -> DataFram
 def table_inventory(spark: SparkSession, paths: Sequence[str], base_name: bool = False) -> DataFrame:
     """Rows, columns and size per file of the given Parquet tables.
 
-    With ``base_name`` the part files of a table are summed under its folder name. Files that cannot
-    be read are skipped. The loop is over tables (each has its own schema), never over their data.
+    With ``base_name`` the part files of a table are summed under its folder name. Files without rows count 0,
+    as do files that cannot be read. The loop is over tables (each has its own schema), never over their data.
     """
     frames = []
     for path in paths:
         df = spark.read.option("ignoreCorruptFiles", True).parquet(path)
-        per_file = df.groupBy(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes")
-        ).agg(F.count(F.lit(1)).alias("n_rows"))
-        frames.append(per_file.withColumn("n_columns", F.lit(len(df.columns))))
+        counted = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
+        there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        listed = there.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.col("length").alias("size_bytes"))
+        counted = counted.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
+        per_file = listed.join(counted, "path", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint")))
+        frames.append(per_file.select("path", "size_bytes", "n_rows", F.lit(len(df.columns)).alias("n_columns")))
     files = union_same(frames).withColumn("file", F.element_at(F.split("path", "/"), -1))
     if not base_name:
         return files.withColumn("size_mb", in_mb(F.col("size_bytes")))

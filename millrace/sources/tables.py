@@ -32,10 +32,10 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 
 def read_telemetry(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Telemetry CSV files with or without a header line, with ``source`` = file name."""
+    """Telemetry CSV files with or without a header line, with ``source`` = file name. Rows without a timestamp stay, for the gate."""
     raw = spark.read.schema(TELEMETRY).option("recursiveFileLookup", True).csv(path)
     return raw.withColumn("source", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).where(
-        F.col("timestamp") != "timestamp"
+        ~F.col("timestamp").eqNullSafe(F.lit("timestamp"))
     )
 
 

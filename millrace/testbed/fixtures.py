@@ -218,6 +218,29 @@ DUCK_LINES = (
 )
 
 
+# The same lines under each form of heading, and under none.
+_FORMS = [
+    _LINES[0],
+    "'## EDA Meta Dataset - meta_' || o_orderpriority || '_normalized.parquet'",
+    "'## EDA Reviews Dataset - reviews_' || o_orderstatus || '.parquet'",
+    "'## GBT Verified Purchase - Fast - [Run ' || CAST(o_custkey % 7 AS STRING) || ']'",
+    "'## KMeans Clustering Amazon23 [Run ' || CAST(o_custkey % 5 AS STRING) || ']'",
+    "'## Resumen'",
+]
+_ALL_LINES = ["CASE " + " ".join(f"WHEN o_orderkey % 6 = {i} THEN {f}" for i, f in enumerate(_FORMS)) + " END", *_LINES[1:]]
+
+
+def all_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        *[F.expr(f"{e} AS {n}") for n, e in _FILE.items()],
+        F.expr("o_orderkey % 50 AS slot"),
+        F.expr(f"posexplode(array({', '.join(_ALL_LINES)})) AS (i, line)"),
+    ).selectExpr("folder", "file", "slot * 6 + i AS line_no", "line")
+
+
+DUCK_ALL_LINES = DUCK_LINES.replace(", ".join(_LINES), ", ".join(_ALL_LINES))
+
+
 def lineitem_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary label and a score in [0, 1] for metric checks."""
     return table(spark, sf_dir, "lineitem").selectExpr(

@@ -372,7 +372,41 @@ def block_times(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def timing_summary(spark: SparkSession, d: str) -> DataFrame:
-    return timing.timing_summary([timing.timing_rows(fx.report_lines(spark, d))])
+    """Times of known datasets only: rows without one have an unknown run and go."""
+    return timing.timing_summary([timing.categorised(reports.report_times(fx.report_lines(spark, d), _FILES))])
+
+
+_DUCK_NAMED = "nullif(trim(regexp_extract(line, '## (?:Normalize|EDA) (?:Reviews |Meta )?Dataset - (.+)', 1)), '')"
+_DUCK_TITLE = "nullif(trim(regexp_extract(line, '## (.+?)\\s*(?:-\\s*)?\\[Run (\\d+)\\]', 1)), '')"
+_DUCK_NUMBER = "nullif(regexp_extract(line, '## (.+?)\\s*(?:-\\s*)?\\[Run (\\d+)\\]', 2), '')"
+_DUCK_ALL_TIMES = f"""
+WITH l AS (SELECT *, coalesce({_DUCK_NAMED}, {_DUCK_TITLE}) AS name, CASE WHEN {_DUCK_NAMED} IS NULL THEN {_DUCK_NUMBER} END AS number FROM ({fx.DUCK_ALL_LINES})),
+seen AS (SELECT *, last_value(CASE WHEN name IS NOT NULL THEN {{'name': name, 'number': number}} END IGNORE NULLS) OVER (PARTITION BY folder, file ORDER BY line_no ROWS BETWEEN 4 PRECEDING AND 0 PRECEDING) AS h,
+  coalesce(lag({_IS_TOTAL}) OVER (PARTITION BY folder, file ORDER BY line_no), false) AS after_total FROM l),
+timed AS (SELECT folder, file, line_no, coalesce(h.name, '') AS dataset, CAST(h.number AS BIGINT) AS given,
+  try_cast(nullif(regexp_extract(line, '(\\d+(?:\\.\\d+)?)\\s*(?:s|segundos)', 1), '') AS DOUBLE) AS time_seconds
+  FROM seen WHERE NOT after_total AND NOT {_IS_TOTAL})
+SELECT folder, file, line_no, dataset, coalesce(given, row_number() OVER (PARTITION BY folder, file, dataset ORDER BY line_no)) AS run_no, time_seconds
+FROM timed WHERE time_seconds IS NOT NULL
+"""
+
+
+@query("heading_times", f"SELECT folder, file, line_no, dataset, run_no, '[Run ' || run_no || ']' AS run, time_seconds FROM ({_DUCK_ALL_TIMES})")
+def heading_times(spark: SparkSession, d: str) -> DataFrame:
+    return reports.heading_times(fx.all_report_lines(spark, d), _FILES)
+
+
+@query(
+    "timing_summary_all",
+    f"""
+    SELECT folder, replace(replace(coalesce(nullif(dataset, ''), 'No especificado'), '.parquet', ''), 'meta_', '') AS dataset, count(*) AS n_runs,
+      round(avg(time_seconds), 2) AS mean, round(stddev_samp(time_seconds), 2) AS std, round(min(time_seconds), 2) AS min, round(max(time_seconds), 2) AS max
+    FROM ({_DUCK_ALL_TIMES}) GROUP BY 1, 2
+    """,
+)
+def timing_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every heading form, and times without a heading; no timed line is lost."""
+    return timing.timing_summary([timing.timing_rows(fx.all_report_lines(spark, d))])
 
 
 _SECTION_TEXT = (
@@ -392,7 +426,7 @@ _DUCK_SECTION = "'## ([^\\n\\[]*) \\[Run (\\d+)\\]\\n.*?Duración: (\\d+\\.\\d+)
 )
 def report_sections(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "orders").select("o_orderkey", F.expr(_SECTION_TEXT.format(nl="char(10)")).alias("text"))
-    return reports.section_times(texts, "text", ["o_orderkey"])
+    return reports.section_times(texts, "text", ["o_orderkey"], limit=tx.RUN_LIMIT)
 
 
 def _markdown_sql() -> str:
