@@ -40,6 +40,8 @@ def gbt_predictions(
     With ``keys`` the split depends on the row keys alone; otherwise it is Spark's random split.
     """
     names = list(columns) if columns is not None else columns_of(df, "numeric", exclude=[label])
+    if not keys:  # a random split sorts whole rows
+        df = df.select(*names, label)
     train, test = keyed_parts(df, keys) if keys else random_parts(df)
     vectors = learning.assemble(spread(train), names, on_missing=on_missing).select("features", label)
     fitted = learning.fit_gbt(vectors, label, rounds, depth, step)

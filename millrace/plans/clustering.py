@@ -26,19 +26,23 @@ def scaled_features(df: DataFrame, columns: Sequence[str] | None = None, on_miss
 
 
 def kmeans_clusters(
-    df: DataFrame, columns: Sequence[str] | None = None, ks: Sequence[int] = K_RANGE, seed: int = SEED
+    df: DataFrame, columns: Sequence[str] | None = None, ks: Sequence[int] = K_RANGE, seed: int = SEED, on_missing: str = "error"
 ) -> tuple[DataFrame, int, dict[int, float]]:
-    """Every row with its cluster under the k of best silhouette; also that k and all scores."""
-    scaled = scaled_features(spread(df), columns)
+    """Every row with its cluster under the k of best silhouette; also that k and all scores.
+
+    ``on_missing="skip"`` leaves out rows with a NULL feature; by default one ends the job.
+    """
+    scaled = scaled_features(spread(df), columns, on_missing)
     k, model, scores = learning.search_k(scaled, ks, seed)
     return model.transform(scaled).drop("features_unscaled"), k, scores
 
 
 def kmeans_sampled(
-    df: DataFrame, columns: Sequence[str] | None = None, n: int = SAMPLE_ROWS, ks: Sequence[int] = K_RANGE, seed: int = SEED
+    df: DataFrame, columns: Sequence[str] | None = None, n: int = SAMPLE_ROWS, ks: Sequence[int] = K_RANGE, seed: int = SEED,
+    on_missing: str = "error",
 ) -> tuple[DataFrame, int, dict[int, float]]:
     """The same on a uniform sample of ``n`` rows."""
-    return kmeans_clusters(random_rows(df, n, seed), columns, ks, seed)
+    return kmeans_clusters(random_rows(df, n, seed), columns, ks, seed, on_missing)
 
 
 def train_on_head(df: DataFrame, columns: Sequence[str], n: int = SAMPLE_ROWS, k: int = 5, seed: int = SEED) -> DataFrame:
@@ -50,10 +54,12 @@ def train_on_head(df: DataFrame, columns: Sequence[str], n: int = SAMPLE_ROWS, k
     return scored.drop("features_unscaled", "features").withColumnRenamed("prediction", "cluster")
 
 
-def kmeans_job(spark: SparkSession, source: str, target: str, sample: int | None = None, ks: Sequence[int] = K_RANGE) -> dict[int, float]:
+def kmeans_job(
+    spark: SparkSession, source: str, target: str, sample: int | None = None, ks: Sequence[int] = K_RANGE, on_missing: str = "error"
+) -> dict[int, float]:
     """Cluster all rows (or a sample) of a Parquet table, write (prediction, features), return the silhouettes."""
     df = spark.read.parquet(source)
-    out, _, scores = kmeans_clusters(df, ks=ks) if sample is None else kmeans_sampled(df, n=sample, ks=ks)
+    out, _, scores = kmeans_clusters(df, ks=ks, on_missing=on_missing) if sample is None else kmeans_sampled(df, n=sample, ks=ks, on_missing=on_missing)
     write_parquet(out.select("prediction", "features"), target)
     return scores
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators import learning, sampling
@@ -49,10 +50,16 @@ def hash_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.keyed_split(table(spark, d, "lineitem").select(*_KEY), 0.8, _KEY)
 
 
-@query("random_split")
+@query(
+    "random_split",
+    "SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n, true AS near_fraction FROM lineitem GROUP BY ALL",
+)
 def random_split(spark: SparkSession, d: str) -> DataFrame:
+    """Which side a row is on is random; together they hold every row as often as the table, and train about 80 % of them."""
     train, test = classify.random_parts(table(spark, d, "lineitem").select(*_KEY))
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    both = train.withColumn("train", F.lit(1.0)).unionByName(test.withColumn("train", F.lit(0.0)))
+    share = both.agg(F.abs(F.avg("train") - 0.8) < 6 * F.sqrt(0.16 / F.count(F.lit(1)))).scalar()
+    return both.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).withColumn("near_fraction", share)
 
 
 @query(
@@ -90,10 +97,10 @@ def _distance(centre: list[float]) -> str:
     return " + ".join(f"({c} - {x}::DOUBLE) * ({c} - {x}::DOUBLE)" for c, x in zip(_FEATURES, centre))
 
 
+_PLACES = ", ".join(f"{_distance(x)} AS {n}" for x, n in zip(_CENTRES, "abc"))
 _DUCK_NEAREST = (
-    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS cluster FROM (SELECT *, "
-    + ", ".join(f"{_distance(x)} AS {n}" for x, n in zip(_CENTRES, "abc"))
-    + " FROM lineitem)"
+    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS cluster "
+    f"FROM (SELECT *, {_PLACES} FROM lineitem)"
 )
 
 
@@ -108,10 +115,42 @@ def batch_scorer(spark: SparkSession, d: str) -> DataFrame:
     return score_batches(narrow, _FEATURES, _CENTRES).drop(*_FEATURES)
 
 
-@query("kmeans_clusters")
+def _assignment(clustered: DataFrame) -> DataFrame:
+    """Rows, clusters that have rows, and rows without a place in scaled space."""
+    rows = clustered.select(F.col("prediction").alias("cluster"), vector_to_array("features").alias("x"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"),
+        F.count_if(F.exists("x", lambda v: F.isnan(v))).alias("n_without_place"),
+    )
+
+
+@query("kmeans_clusters", "SELECT count(*) AS n_rows, 5::BIGINT AS n_clusters, 0::BIGINT AS n_without_place FROM lineitem")
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     clustered, _, _ = clustering.kmeans_clusters(table(spark, d, "lineitem").select(*_KEY, *_FEATURES), _FEATURES)
-    return clustered.groupBy("prediction").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _assignment(clustered)
+
+
+_SIDES = ", ".join(f"sum({c}) AS s_{c}" for c in _FEATURES)
+_NORM = " + ".join(f"{c} * {c}" for c in _FEATURES)
+_DOT = " + ".join(f"{c} * s_{c}" for c in _FEATURES)
+
+
+@query(
+    "silhouette_given_centres",
+    f"""
+    WITH p AS (SELECT {', '.join(_FEATURES)}, {_NORM} AS norm, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS cluster, row_number() OVER () AS id
+      FROM (SELECT *, {_PLACES} FROM lineitem)),
+    c AS (SELECT cluster AS k, count(*)::DOUBLE AS n, sum(norm) AS q, {_SIDES} FROM p GROUP BY 1),
+    away AS (SELECT p.id, p.cluster, c.k, c.n,
+      CASE WHEN p.cluster = c.k THEN (n * norm + q - 2 * ({_DOT})) / nullif(n - 1, 0) ELSE norm + q / n - 2 * ({_DOT}) / n END AS far FROM p, c),
+    s AS (SELECT id, max(far) FILTER (k = cluster) AS a, min(far) FILTER (k <> cluster) AS b, any_value(n) FILTER (k = cluster) AS n FROM away GROUP BY id)
+    SELECT count(*) AS n_rows, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s
+    """,
+)
+def silhouette_given_centres(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(*_FEATURES, learning.nearest_centroid(_FEATURES, _CENTRES).cast("double").alias("prediction"))
+    score = learning.silhouette(learning.assemble(rows, _FEATURES))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.lit(score), 6).alias("silhouette"))
 
 
 @query("kmeans_search")
@@ -133,9 +172,13 @@ def kmeans_sampled(spark: SparkSession, d: str) -> DataFrame:
     return clustered.groupBy("prediction").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("train_on_head")
+@query("train_on_head", "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS n_keys, 5::BIGINT AS n_clusters FROM lineitem")
 def train_on_head(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.train_on_head(table(spark, d, "lineitem").select(*_KEY, *_FEATURES), _FEATURES).groupBy("cluster").count()
+    """Fitted on the first rows, but every row gets one of the clusters."""
+    out = clustering.train_on_head(table(spark, d, "lineitem").select(*_KEY, *_FEATURES), _FEATURES)
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(*_KEY).alias("n_keys"), F.countDistinct("cluster").alias("n_clusters")
+    )
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -144,22 +187,37 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(*_KEY, *_FEATURES, cheap.alias("label"))
 
 
-@query("gbt_classifier")
+# what SQL knows of a fitted model: the held-out rows, their labels, and that a prediction is a probability over one half
+_HELD_OUT = f"SELECT CAST(l_extendedprice < 1500 * l_quantity AS INT) AS label FROM lineitem WHERE substr({_HASH}, 1, 8) >= 'cccccccc'"
+
+
+def _test_rows(scored: DataFrame) -> DataFrame:
+    p = vector_to_array("probability")[1]
+    auc = learning.area_under_roc(scored, "label")
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("bigint").alias("n_positive"),
+        F.count_if((p > 0.5).cast("double") != F.col("prediction")).alias("n_inconsistent"), F.lit(auc > 0.75).alias("separates"),
+    )
+
+
+_TEST_ROWS = f"SELECT count(*) AS n_rows, sum(label)::BIGINT AS n_positive, 0::BIGINT AS n_inconsistent, true AS separates FROM ({_HELD_OUT})"
+
+
+@query("gbt_classifier", _TEST_ROWS)
 def gbt_classifier(spark: SparkSession, d: str) -> DataFrame:
-    scored = classify.gbt_predictions(_labelled(spark, d), "label", _FEATURES, _KEY)
-    return spark.createDataFrame([(learning.area_under_roc(scored, "label"),)], "auc double")
+    return _test_rows(classify.gbt_predictions(_labelled(spark, d), "label", _FEATURES, _KEY))
 
 
-@query("predictions_table")
+@query("predictions_table", f"SELECT label, count(*) AS n_rows, 0::BIGINT AS n_inconsistent FROM ({_HELD_OUT}) GROUP BY label")
 def predictions_table(spark: SparkSession, d: str) -> DataFrame:
-    return learning.prediction_table(classify.gbt_predictions(_labelled(spark, d), "label", _FEATURES, _KEY, step=0.3), "label")
+    out = learning.prediction_table(classify.gbt_predictions(_labelled(spark, d), "label", _FEATURES, _KEY, step=0.3), "label")
+    wrong = (F.col("probability") > 0.5).cast("int") != F.col("prediction")
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(wrong).alias("n_inconsistent"))
 
 
-@query("gbt_many_rounds")
+@query("gbt_many_rounds", _TEST_ROWS)
 def gbt_many_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """Rounds are a parameter; eight keep the check short."""
-    scored = classify.gbt_predictions(_labelled(spark, d), "label", _FEATURES, _KEY, rounds=8)
-    return spark.createDataFrame([(8, learning.area_under_roc(scored, "label"))], "rounds int, auc double")
+    return _test_rows(classify.gbt_predictions(_labelled(spark, d), "label", _FEATURES, _KEY, rounds=100))
 
 
 @query(
