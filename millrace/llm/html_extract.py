@@ -42,6 +42,10 @@ _BOILERPLATE_NAMES = set(
 _HEADER_NAMES = {"header"}
 _LAYOUT_NAMES = set("has no with without layout main".split())  # "has-sidebar" is not the sidebar
 _ARTICLE_BOILERPLATE = set("ad ads advert comment comments sponsored promo related recommended".split())
+_ARTICLE_NAMES = set(
+    "article post entry content main story maincontent main-content article-body article-content post-body post-content "
+    "entry-content story-body".split()
+)
 _STOP_WORDS = set(
     "the of and to in a is that it for on as with was be by are this at from or an have not but they his her which you were all their "
     "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei "
@@ -90,6 +94,17 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(names & _BOILERPLATE_NAMES) or (not in_article and bool(names & _HEADER_NAMES))
 
 
+def _marks_article(tag: str, attributes: str) -> bool:
+    if tag in ("article", "main"):
+        return True
+    if tag not in ("div", "section", "td") or not attributes.strip():
+        return False
+    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
+    if found.get("role") == "main" or found.get("itemprop") == "articlebody":
+        return True
+    return bool(_ARTICLE_NAMES & {*found.get("class", "").split(), *found.get("id", "").split()})
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
@@ -144,8 +159,8 @@ def blocks(page: str) -> list[Block]:
         if block and stack and stack[-1][0] == "p":
             stack.pop()
         _, outside, article = stack[-1] if stack else ("", False, 0)
-        outside = outside or _boilerplate(tag, m["attributes"], article > 0)
-        if tag in ("article", "main") and not outside and not article:
+        outside = outside or _boilerplate(tag, m["attributes"], any(t == "article" for t, _, _ in stack))
+        if not outside and not article and _marks_article(tag, m["attributes"]):
             articles += 1
             article = articles
         heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
