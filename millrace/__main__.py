@@ -15,11 +15,11 @@ JOBS = {
     "gold": lambda spark, a: gold.gold_job(spark, a.source, a.reviews, a.target, a.category or gold.CATEGORIES),
     "model-data": lambda spark, a: gold.model_data_job(spark, a.source, a.target),
     "profile": lambda spark, a: profiling.profile_job(spark, a.source.split(","), a.target),
-    "kmeans": lambda spark, a: clustering.kmeans_job(spark, a.source, a.target, a.sample),
+    "kmeans": lambda spark, a: clustering.kmeans_job(spark, a.source, a.target, a.sample, on_missing=a.on_missing),
     "kmeans-head": lambda spark, a: clustering.head_job(spark, a.source, a.target),
     "gbt": lambda spark, a: classify.gbt_job(spark, a.source, a.target, a.label, a.csv_schema, a.rounds),
     "count": lambda spark, a: counting.filter_group_count_job(spark, a.source, a.target, F.expr(a.where), a.key),
-    "telemetry": lambda spark, a: telemetry_report.telemetry_job(spark, a.source, a.target),
+    "telemetry": lambda spark, a: telemetry_report.telemetry_job(spark, a.source, a.target, a.order, a.failures),
     "timing": lambda spark, a: timing.timing_job(spark, a.source, a.target),
 }
 
@@ -32,6 +32,9 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--reviews", help="gold: path template of the review tables")
     parser.add_argument("--category", action="append", help="gold: a category, repeatable")
     parser.add_argument("--sample", type=int, help="kmeans: cluster this many random rows")
+    parser.add_argument("--on-missing", default="error", choices=["error", "skip", "keep"], help="kmeans: rows with a NULL feature")
+    parser.add_argument("--order", type=lambda v: v.split(","), default=telemetry_report.tm.CONTAINER_ORDER, help="telemetry: containers, by comma")
+    parser.add_argument("--failures", help="telemetry: where to write why sources were left out")
     parser.add_argument("--label", default=classify.LABEL)
     parser.add_argument("--rounds", type=int, default=1, help="gbt: boosting rounds")
     parser.add_argument("--csv-schema", help="gbt: read CSV of this schema")

@@ -36,7 +36,7 @@ STATISTICS = ["mean", "std", "min", "max", "median", "q25", "q75"]
 
 
 def parse_telemetry(df: DataFrame) -> DataFrame:
-    """Text columns to a timestamp and numbers; ``name_clean`` added."""
+    """Text columns to a timestamp and numbers; ``name_clean`` added. ``mem_perc`` is parsed where it is there."""
     used, total = tf.memory_parts(F.col("mem_usage"))
     parsed = df.withColumns(
         {
@@ -47,6 +47,8 @@ def parse_telemetry(df: DataFrame) -> DataFrame:
             "__total": total,
         }
     )
+    if "mem_perc" in df.columns:
+        parsed = parsed.withColumn("mem_perc", tf.percent(F.col("mem_perc")))
     used, total = tf.both_or_neither(F.col("__used"), F.col("__total"))
     return parsed.withColumns({"mem_used_GB": used, "mem_total_GB": total}).drop("__used", "__total")
 
@@ -75,6 +77,11 @@ def quality_rules(df: DataFrame, source: str = "source", min_rows: int = 2) -> D
     return checks.unpivot([source], _rules(checks, source), "rule", "passed")
 
 
+def failed_rules(df: DataFrame, source: str = "source", min_rows: int = 2) -> DataFrame:
+    """(source, rule) of every rule that a source breaks: what the gate leaves out, and why."""
+    return quality_rules(df, source, min_rows).where("not passed").select(source, "rule")
+
+
 def keep_good(df: DataFrame, source: str = "source", min_rows: int = 2) -> DataFrame:
     """Rows of the sources that pass every rule."""
     checks = _checks(df, source, min_rows)

@@ -39,6 +39,14 @@ def run_comparison(raw: DataFrame, run: str, runs: Sequence, metric: str, order:
     return reindex(tm.pivot_runs(gated_samples(raw), "name", run, metric, runs), "name", order)
 
 
-def telemetry_job(spark: SparkSession, source: str, target: str, order: Sequence[str] = tuple(tm.CONTAINER_ORDER)) -> None:
-    """Telemetry CSV files below a folder to one CSV table of statistics per container."""
-    write_csv(container_report(read_telemetry(spark, source), order), target)
+def telemetry_job(
+    spark: SparkSession, source: str, target: str, order: Sequence[str] = tuple(tm.CONTAINER_ORDER), failures: str | None = None
+) -> None:
+    """Telemetry CSV files below a folder to one CSV table of statistics per container.
+
+    Sources that fail the gate are skipped; ``failures`` is where their broken rules are written.
+    """
+    raw = read_telemetry(spark, source)
+    if failures:
+        write_csv(tm.failed_rules(tm.parse_telemetry(raw)), failures)
+    write_csv(container_report(raw, order), target)
