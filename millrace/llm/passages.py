@@ -264,20 +264,26 @@ def _aligned(least_words: int, percent: int):
     return run
 
 
-def _with_windows(rows: DataFrame, side: str, whole: DataFrame) -> DataFrame:
-    """Add the words around a chain in one of its two documents."""
-    doc = {"d": "doc", "f": "first"}[side]
-    low = (F.greatest(F.lit(0), F.col(f"{side}0") - MARGIN) / CUT).cast("int") * CUT
-    high = (F.ceil((F.col(f"{side}1") + MARGIN) / CUT) * CUT).cast("int")
-    rows = staged(rows.withColumn(f"{side}_low", low).withColumn(f"{side}_high", high), "chains")
-    wanted = rows.groupBy(F.col(doc).alias("doc_id")).agg(
-        F.collect_set(F.struct(F.col(f"{side}_low").alias("low"), F.col(f"{side}_high").alias("high"))).alias("wanted")
-    )
-    cut = whole.join(staged(wanted, "wanted"), "doc_id").mapInArrow(_windows, "id long, low int, high int, part array<int>")
-    cut = staged(cut.dropDuplicates(["id", "low", "high"]), "windows").select(
-        F.col("id").alias(doc), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high"), F.col("part").alias(f"{side}_part")
-    )
-    return rows.join(cut, [doc, f"{side}_low", f"{side}_high"])
+def _with_windows(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """Add the words around a chain in both of its documents; texts are moved once for all windows wanted of them."""
+    sides = {"d": "doc", "f": "first"}
+    for side in sides:
+        low = (F.greatest(F.lit(0), F.col(f"{side}0") - MARGIN) / CUT).cast("int") * CUT
+        high = (F.ceil((F.col(f"{side}1") + MARGIN) / CUT) * CUT).cast("int")
+        rows = rows.withColumn(f"{side}_low", low).withColumn(f"{side}_high", high)
+    rows = staged(rows, "chains")
+    windows = [rows.select(F.col(doc).alias("doc_id"), F.struct(F.col(f"{s}_low").alias("low"), F.col(f"{s}_high").alias("high")).alias("w")) for s, doc in sides.items()]
+    wanted = windows[0].unionByName(windows[1]).groupBy("doc_id").agg(F.collect_set("w").alias("wanted"))
+    # neither side has a bound, so they are merged at every size
+    cut = whole.join(staged(wanted, "wanted").hint("merge"), "doc_id").mapInArrow(_windows, "id long, low int, high int, part array<int>")
+    cut = staged(cut, "windows")
+    for side, doc in sides.items():
+        named = cut.select(
+            F.col("id").alias(doc), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high"), F.col("part").alias(f"{side}_part")
+        )
+        rows = staged(rows, "chains") if side == "f" else rows
+        rows = rows.join(named.hint("merge"), [doc, f"{side}_low", f"{side}_high"])
+    return rows
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -300,8 +306,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
         hits.where("doc <> first").join(firsts, ["seed", "turn"]).repartition(parts, "doc")
         .sortWithinPartitions("doc", "first", "at", "first_at").mapInArrow(_chained(least_words), CHAINS)
     )
-    rows = _with_windows(_with_windows(linked, "d", whole), "f", whole)
-    return rows.mapInArrow(_aligned(least_words, percent), SPANS)
+    return _with_windows(linked, whole).mapInArrow(_aligned(least_words, percent), SPANS).distinct()
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
