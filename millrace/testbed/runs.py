@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import text as tx
@@ -446,6 +448,35 @@ def markdown_rows(spark: SparkSession, d: str) -> DataFrame:
     return reports.table_lines(_run_stats(spark, d), ["run"], "event_type", cells)
 
 
+def _table_sql(row: tuple[str, str, str], head: list[str], foot: list[str]) -> str:
+    """The rows of a rendered table of run statistics, and the fixed lines around them."""
+    start, between, end = row
+    cells = f"'{between}'".join(["event_type || ", " || format('{:.2f}', mean) || ", " || coalesce(format('{:.2f}', std), '-')"])
+    out = f"WITH s AS ({_RUN_STATS}) SELECT run, 0 AS section, event_type AS sort_key, '{start}' || {cells} || '{end}' AS line FROM s"
+    for section, line in [*enumerate(head, -len(head)), *enumerate(foot, 1)]:
+        out += f" UNION ALL SELECT DISTINCT run, {section}, NULL, {line} FROM s"
+    return out
+
+
+_TABLES = {
+    "latex": (("", " & ", " \\\\\\hline"), ["'\\begin{table}[ht]'", "'\\caption{' || run || '}'", "'\\begin{tabular}{|c|c|c|}'", "'Container & Mean & Std \\\\\\hline'"], ["'\\end{tabular}'", "'\\end{table}'"]),
+    "html": (("<tr><td>", "</td><td>", "</td></tr>"), ["'<h1>' || run || '</h1>'", "'<table>'", "'<tr><td>Container</td><td>Mean</td><td>Std</td></tr>'"], ["'</table>'"]),
+    "plain": (("", "  ", ""), ["run", "'Container  Mean  Std'"], []),
+}
+
+
+def _rendered(style: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        cells = {"Container": F.col("event_type"), "Mean": tx.number(F.col("mean")), "Std": tx.number(F.col("std"))}
+        return reports.table_lines(_run_stats(spark, d), ["run"], "event_type", cells, style)
+
+    return run
+
+
+for _style, _parts in _TABLES.items():
+    query(f"{_style}_rows", _table_sql(*_parts))(_rendered(_style))
+
+
 @query(
     "telemetry_stream",
     "SELECT 'op_' || event_type AS operation, CAST(user_id % 5 AS STRING) AS input_file, count(*) AS n_rows, round(sum(value), 4) AS total "
