@@ -232,7 +232,7 @@ def table_lines(
 def json_documents(df: DataFrame, key: str, order: str, entry: Sequence[str], name: str = "runs") -> DataFrame:
     """One JSON document per key as ordered text fragments (key, section, sort_key, line).
 
-    The lines of a key in (section, sort_key, line) order, NULLs first, are ``{"<key>":...,"<name>":[...]}``. A key may
+    The lines of a key in (section, sort_key) order, those without a leading comma first, are ``{"<key>":...,"<name>":[...]}``. A key may
     have any number of entries; only the smallest one is looked up, to know where no comma goes. Equal entries of one
     place share a line; a NULL key is the document of ``null``.
     """

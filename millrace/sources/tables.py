@@ -75,5 +75,6 @@ def write_documents(lines: DataFrame, key: str, path: str) -> None:
 
     Range partitioning by the sort columns lets a document of any size span several tasks.
     """
-    ordered = lines.repartitionByRange(key, "section", "sort_key").sortWithinPartitions(key, "section", "sort_key")
+    order = [key, "section", "sort_key", F.col("line").startswith(","), "line"]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select(key, "line").write.mode("overwrite").partitionBy(key).text(path)

@@ -110,12 +110,17 @@ def test_auc_with_ties(spark):
     assert got.auc == pytest.approx(wins / (len(pos) * len(neg)))
 
 
-def test_lookup_join_beyond_the_bound(spark):
+def test_lookup_join_with_and_without_broadcast(spark):
     big = spark.range(1_000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50))
     small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    fits, many, wide = (lookup_join(big, small, ["k"], **b) for b in ({}, {"max_rows": 10}, {"max_characters": 100}))
-    assert rows_of(fits, "id", "k", "v") == rows_of(many, "id", "k", "v") == rows_of(wide, "id", "k", "v")
-    assert fits.count() == 1_000
+    fits = rows_of(lookup_join(big, small, ["k"]), "id", "k", "v")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert fits == rows_of(lookup_join(big, small, ["k"]), "id", "k", "v") and len(fits) == 1_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    null = spark.createDataFrame([(None, 7), (1, 8)], "k long, v long")
+    assert lookup_join(null.select("k"), null, ["k"]).count() == 1
+    assert rows_of(lookup_join(null.select("k"), null, ["k"], null_safe=True).where("k is null"), "k", "v") == [(None, 7)]
 
 
 def test_quantiles_with_infinite_values(spark):

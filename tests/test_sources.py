@@ -59,8 +59,10 @@ def test_report_lines_across_splits(spark, tmp_path):
 
 def test_report_texts(spark, tmp_path):
     (tmp_path / "a.md").write_text("## KMeans Clustering [Run 6]\n- Fin: x\n- Duración: 2.5 segundos\n")
-    row = reports.section_times(text.read_report_texts(spark, str(tmp_path)), "text", ["file"]).first()
-    assert (row.title, row.run_no, row.run, row.seconds) == ("KMeans Clustering", 6, "[Run X]", 2.5)
+    texts = text.read_report_texts(spark, str(tmp_path))
+    row = reports.section_times(texts, "text", ["file"]).first()
+    assert (row.title, row.run_no, row.run, row.seconds) == ("KMeans Clustering", 6, "[Run 6]", 2.5)
+    assert reports.section_times(texts, "text", ["file"], limit=5).first().run == "[Run X]"
 
 
 def test_inventory(spark, tmp_path):
