@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from millrace.plans import classify, clustering, counting, gold, profiling, silver, telemetry_report, timing
-from millrace.session import session
+from millrace.session import drop_staged, session
 
 JOBS = {
     "silver-meta": lambda spark, a: silver.silver_meta_job(spark, a.source, a.target),
@@ -41,7 +41,11 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--where", default="price > 0", help="count: row filter")
     parser.add_argument("--key", default="main_category", help="count: grouping column")
     options = parser.parse_args(arguments)
-    result = JOBS[options.job](session(f"millrace-{options.job}"), options)
+    spark = session(f"millrace-{options.job}")
+    try:
+        result = JOBS[options.job](spark, options)
+    finally:
+        drop_staged(spark)
     if result is not None:
         print(result)
 

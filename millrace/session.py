@@ -15,7 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+_staged: list[str] = []
 
 
 def session(app: str = "millrace", **conf: str) -> SparkSession:
@@ -66,10 +68,18 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     For results that are costly to make and read by several later passes.
     """
     path = work_dir(df.sparkSession, purpose)
+    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what has been staged so far; frames that were built on it cannot be read any more."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """As many partitions as the session sets for shuffles, for iterative training.
 
