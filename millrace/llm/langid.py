@@ -151,7 +151,8 @@ def classify(text: str | None, scores: _Scores) -> tuple[str, float]:
 def fit(docs: DataFrame, path: str = VOCABULARY, rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
     """Fit on the ``text`` and ``lang`` of ``docs``; of more than ``rows`` labelled ones, on about so many by hash.
 
-    Rows without text or language are left out. Without any the model has no language.
+    Rows without text or language are left out. Without any the model has no language. The model holds one number
+    for each piece and language; ``lang`` is expected to name languages, so a few hundred at most.
     """
     spark = docs.sparkSession
     labelled = docs.where("lang is not null and text is not null").select("lang", "text")

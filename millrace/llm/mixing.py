@@ -11,7 +11,8 @@ the block where the target falls, documents are taken until the middle of the ne
 The blocks taken are dealt to output shards by a tree: each node holds an exact number of blocks of
 every source and room for as many; urn draws decide how many of each source go to its left half. A
 shard then takes the next so many blocks of each source, disjoint from all others, and orders its
-documents by a hash. All draws are hashes of place and seed, so reruns agree.
+documents by a hash. All draws are hashes of place and seed, so reruns agree. A tree node is a row with one number for
+each source, and sources are ranked in one task: both grow with the number of sources, not of documents.
 """
 
 from __future__ import annotations
