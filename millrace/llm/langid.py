@@ -47,7 +47,8 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
+    found = {model.id_to_piece(i) for i in plain}
     return sorted(p for p in found if p == _START or ((w := p.removeprefix(_START)).isalpha() and w == w.lower()))
 
 
@@ -148,6 +149,13 @@ def classify(text: str | None, scores: _Scores) -> tuple[str, float]:
     return scores.model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
+def _sums(found: dict[tuple[str, str], float], name: str, kind: pa.DataType) -> pa.RecordBatch:
+    """Rows (lang, ``name``, n) of sums by language and word or piece."""
+    languages, names = ([key[i] for key in found] for i in (0, 1))
+    columns = [pa.array(languages, pa.string()), pa.array(names, pa.string()), pa.array(list(found.values()), kind)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", name, "n"])
+
+
 def fit(docs: DataFrame, path: str = VOCABULARY, rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
     """Fit on the ``text`` and ``lang`` of ``docs``; of more than ``rows`` labelled ones, on about so many by hash.
 
@@ -164,10 +172,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, rows: int = FIT_ROWS, rounds: i
             found: Counter = Counter()
             for lang, text in rows_of(batch, "lang", "text"):
                 found.update((lang, w) for w in letters(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())],
-                names=["lang", "word", "n"],
-            )
+            yield _sums(found, "word", pa.int64())
 
     words = chosen.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = staged(words, "words")
@@ -186,10 +191,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, rows: int = FIT_ROWS, rounds: i
                     for at in range(0, len(word), LONG):
                         for piece, x in expected_pieces(word[at : at + LONG], shared.value[lang], longest).items():
                             sums[lang, piece] = sums.get((lang, piece), 0.0) + n * x
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.float64())],
-                names=["lang", "piece", "n"],
-            )
+            yield _sums(sums, "piece", pa.float64())
 
         counts = words.mapInArrow(expected, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         found = {(r[0], r[1]): r[2] for r in counts.collect()}

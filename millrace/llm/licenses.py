@@ -145,7 +145,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("label", pa.string()), ("exact", pa.bool_()), ("word", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("errors", pa.int32()), ("score", pa.float64())]
+        types = [pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+        matched = pa.list_(pa.struct(list(zip(Match._fields, types))))
         for batch in batches:
             ids, sizes, found = [], [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
@@ -153,9 +154,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] =
                 ids.append(doc_id)
                 sizes.append(n)
                 found.append([m._asdict() for m in own])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.struct(fields)))], names=["doc_id", "n_words", "matches"]
-            )
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, matched)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "matches"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

@@ -49,21 +49,23 @@ def _placed(docs: DataFrame, key: str, text: str, source: str, blocks: int, seed
 
 def targets(sources: DataFrame) -> DataFrame:
     """Add ``target`` to one row per source (``src``, ``source``, ``source_size``)."""
-    ranked = sources.withColumn(
-        "place", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    ).withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int")))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    most = MOST * F.col("source_size")
+    ranked = sources.withColumn("place", place).withColumn("weight", weight).withColumn("ratio", most / F.col("weight"))
     # the sources that stop at their most are the first by most words per weight
-    order = Window.orderBy(MOST * F.col("source_size") / F.col("weight"), "place")
-    before = F.coalesce(F.sum(MOST * F.col("source_size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = Window.orderBy("ratio", "place")
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.sum(most).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     filled = ranked.withColumn("share", (F.sum("source_size").over(everything) - before) / rest)
-    stops = F.col("share") * F.col("weight") > MOST * F.col("source_size")
-    free = F.min(F.when(~stops, F.struct(F.struct(MOST * F.col("source_size") / F.col("weight"), F.col("place")), F.col("share")))).over(everything)
-    return filled.withColumn("first_free", free).select(
+    stops = F.col("share") * F.col("weight") > most
+    first_free = F.min(F.when(~stops, F.struct("ratio", "place", "share"))).over(everything)
+    ahead = F.struct("ratio", "place") < F.struct("free.ratio", "free.place")
+    return filled.withColumn("free", first_free).select(
         "src", "source", "source_size", "place",
-        F.when(stops & (F.struct(MOST * F.col("source_size") / F.col("weight"), F.col("place")) < F.col("first_free.col1")), (MOST * F.col("source_size")).cast("double"))
-        .otherwise(F.coalesce(F.col("first_free.share") * F.col("weight"), F.lit(0.0))).alias("target"),
+        F.when(stops & ahead, most.cast("double"))
+        .otherwise(F.coalesce(F.col("free.share") * F.col("weight"), F.lit(0.0))).alias("target"),
     )
 
 
@@ -127,7 +129,8 @@ def mix_plan(
     sources = staged(targets(sums.groupBy("src", "source").agg(F.sum("words").alias("source_size"))), "sources")
     # a source's stream of blocks: whole rounds, then the blocks up to where the target falls
     ordered = Window.partitionBy("src").orderBy("block")
-    rounds = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+    times = F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))
+    rounds = F.when(F.col("source_size") > 0, times).otherwise(0).cast("int")
     stream = (
         sums.drop("source").join(sources, "src")
         .withColumn("rounds", rounds)

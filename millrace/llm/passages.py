@@ -272,11 +272,12 @@ def _with_windows(rows: DataFrame, whole: DataFrame) -> DataFrame:
         high = (F.ceil((F.col(f"{side}1") + MARGIN) / CUT) * CUT).cast("int")
         rows = rows.withColumn(f"{side}_low", low).withColumn(f"{side}_high", high)
     rows = staged(rows, "chains")
-    windows = [rows.select(F.col(doc).alias("doc_id"), F.struct(F.col(f"{s}_low").alias("low"), F.col(f"{s}_high").alias("high")).alias("w")) for s, doc in sides.items()]
+    window = {s: F.struct(F.col(f"{s}_low").alias("low"), F.col(f"{s}_high").alias("high")).alias("w") for s in sides}
+    windows = [rows.select(F.col(doc).alias("doc_id"), window[s]) for s, doc in sides.items()]
     wanted = windows[0].unionByName(windows[1]).groupBy("doc_id").agg(F.collect_set("w").alias("wanted"))
     # neither side has a bound, so they are merged at every size
-    cut = whole.join(staged(wanted, "wanted").hint("merge"), "doc_id").mapInArrow(_windows, "id long, low int, high int, part array<int>")
-    cut = staged(cut, "windows")
+    texts = whole.join(staged(wanted, "wanted").hint("merge"), "doc_id")
+    cut = staged(texts.mapInArrow(_windows, "id long, low int, high int, part array<int>"), "windows")
     for side, doc in sides.items():
         named = cut.select(
             F.col("id").alias(doc), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high"), F.col("part").alias(f"{side}_part")
