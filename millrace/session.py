@@ -73,11 +73,18 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete what has been staged so far; frames that were built on it cannot be read any more."""
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def staged_so_far() -> int:
+    """How many staged tables there are, as a mark for ``drop_staged``."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, start: int = 0, end: int | None = None) -> None:
+    """Delete staged tables, all or those between two marks; frames that were built on them cannot be read any more."""
+    for i in range(start, len(_staged) if end is None else end):
+        if _staged[i]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_staged[i])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _staged[i] = ""  # marks stay where they are
 
 
 def spread(df: DataFrame) -> DataFrame:
