@@ -8,13 +8,29 @@ return the columns of documents; the last returns a row for each copy that the m
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, jaccard, langid, mixing, passages
-from millrace.session import work_dir
+from millrace.session import drop_staged, staged_so_far, work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_made = [0, 0]  # marks around the tables that the latest stage has staged
+
+
+def _tidy(stage: Stage) -> Stage:
+    """Delete what the stage before has staged: its result has been written by now."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_staged(spark, *_made)
+        start = staged_so_far()
+        out = stage(spark, docs, sf_dir)
+        _made[:] = start, staged_so_far()
+        return out
+
+    return run
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +59,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("language ID", language),
-    ("n-gram Jaccard join", near_duplicates),
-    ("substring dedup", repeats),
-    ("benchmark decontamination", contamination),
-    ("mixing sources to target weights", mixture),
+    ("language ID", _tidy(language)),
+    ("n-gram Jaccard join", _tidy(near_duplicates)),
+    ("substring dedup", _tidy(repeats)),
+    ("benchmark decontamination", _tidy(contamination)),
+    ("mixing sources to target weights", _tidy(mixture)),
 ]
 
 ORACLE_SQL = None  # a fitted model and fuzzy searches: tests compare the stages with brute-force versions
