@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from millrace.operators import learning, quantiles, reports, telemetry as tm
 from millrace.plans import clustering, telemetry_report, timing
+from millrace.session import drop_staged, staged, staged_so_far
 from millrace.sources import discovery, tables
 
 
@@ -89,3 +91,15 @@ def test_files_without_rows_or_extension(spark, tmp_path):
     (tmp_path / "a.b").mkdir()
     (tmp_path / "a.b" / "README").write_text("x")
     assert discovery.file_sizes(spark, str(tmp_path / "a.b")).first().extension == ""
+
+
+def test_staged_tables_are_deleted_between_marks(spark):
+    before = staged_so_far()
+    first = staged(spark.range(3), "first")
+    mark = staged_so_far()
+    second = staged(spark.range(4), "second")
+    paths = [f.inputFiles()[0].removeprefix("file://") for f in (first, second)]
+    drop_staged(spark, mark, staged_so_far())
+    assert [os.path.exists(p) for p in paths] == [True, False] and first.count() == 3
+    drop_staged(spark, before)
+    assert not os.path.exists(paths[0]) and staged_so_far() == mark + 1
