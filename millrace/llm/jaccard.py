@@ -73,21 +73,24 @@ def _sizes_and_counts(k: int):
 
 
 def _indexed(k: int, percent: int, frequent):
-    """Rows (sig, doc, n, need, whole). One more signature stands for the whole set; of equal sets met together one is indexed fully."""
+    """Rows (sig, doc, n, need, whole). One more signature stands for the whole set; of equal sets met together the smallest id is indexed fully.
+
+    The smallest id of all equal sets is the smallest of its batch too, so the document that goes on has all signatures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
             sigs, docs, sizes, needs, counts = [], [], [], [], []
-            seen: set[int] = set()
-            for doc_id, text in rows_of(batch, "doc_id", "text"):
-                tokens = shingle_set(text, k)
-                if doc_id is None or not len(tokens):
-                    continue
-                whole, need = _set_hash(tokens), 1
+            rows = [(doc_id, shingle_set(text, k)) for doc_id, text in rows_of(batch, "doc_id", "text") if doc_id is not None]
+            rows = [(doc_id, tokens, _set_hash(tokens)) for doc_id, tokens in rows if len(tokens)]
+            smallest: dict[int, int] = {}
+            for doc_id, _, whole in rows:
+                smallest[int(whole)] = min(doc_id, smallest.get(int(whole), doc_id))
+            for doc_id, tokens, whole in rows:
+                need = 1
                 own = np.array([whole], np.uint64)
-                if int(whole) not in seen:
-                    seen.add(int(whole))
+                if doc_id == smallest[int(whole)]:
                     found, need = signatures(tokens, often, percent)
                     own = np.concatenate([own, np.unique(found)])
                 sigs.append(own)

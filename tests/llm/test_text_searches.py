@@ -73,6 +73,14 @@ def test_components_are_those_of_all_pairs(groups, make_docs, frequent, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(groups)
 
 
+def test_equal_texts_keep_their_near_copies_when_ids_fall(make_docs):
+    text = prose(7, 60)
+    near = text[:-1] + ["edit"]
+    rows = [(9, " ".join(text)), (4, " ".join(text)), (6, " ".join(near)), (2, " ".join(prose(8, 60)))]
+    got = jaccard.ngram_components(make_docs(rows).coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {9: 4, 4: 4, 6: 4, 2: 2}
+
+
 def test_jaccard_join_of_odd_rows(odd_docs, make_docs):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.ngram_components(odd_docs).collect())
     assert [(a, c) for a, _, c in got] == [(0, None), (0, None), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (5, 5), (6, 5), (7, 7), (8, 8)]
