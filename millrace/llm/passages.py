@@ -6,8 +6,8 @@
    matched with the first one there, the second with the second and so on.
 3. Matches between two documents are chained in order of both, each gap costing by its length; a Fenwick tree
    over the positions in the first document gives the best predecessor.
-4. Chains are aligned word by word between their matches and beyond their ends; a passage is kept when it has
-   ``LEAST_WORDS`` words of which ``PERCENT`` agree.
+4. Chains that follow each other are joined and aligned word by word between their matches and beyond their ends; the
+   longest joined pieces that have ``LEAST_WORDS`` words of which ``PERCENT`` agree are passages.
 
 Positions are words from 0 and ends are exclusive. The first document of a passage keeps it.
 """
@@ -30,6 +30,7 @@ LEAST_WORDS = 50
 PERCENT = 80
 GAP_COST = 0.15  # of a word without match in either document
 MARGIN = 32  # words that are aligned beyond a chain's ends
+BRIDGE = 64  # words between chains that are aligned as one: pieces too short alone allow 25, and seeds lie inside them
 CUT = 64  # windows of text begin and end at multiples of it
 DROP = 8  # an alignment ends where its score falls so far below its best
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,6 +137,23 @@ def chains(dp: list[int], fp: list[int], k: int = K, gap: float = GAP_COST) -> l
     return out
 
 
+def bridged(found: list[tuple[list[int], list[int]]], k: int = K) -> list[tuple[list[int], list[int]]]:
+    """Join chains that follow each other in both texts; whether what lies between may differ is seen by alignment."""
+    out: list[tuple[list[int], list[int]]] = []
+    live: list[int] = []
+    for d, f in sorted(found):
+        live = [i for i in live if d[0] - out[i][0][-1] - k <= BRIDGE]
+        near = [i for i in live if out[i][0][-1] < d[0] and 0 < f[0] - out[i][1][-1] <= BRIDGE + k]
+        if near:
+            i = min(near, key=lambda i: (abs(d[0] - out[i][0][-1] - f[0] + out[i][1][-1]), d[0] - out[i][0][-1]))
+            out[i][0].extend(d)
+            out[i][1].extend(f)
+        else:
+            live.append(len(out))
+            out.append((list(d), list(f)))
+    return out
+
+
 def _chained(least_words: int):
     """Rows sorted by document and first document: chains of at least two matches."""
 
@@ -144,7 +162,7 @@ def _chained(least_words: int):
 
         def ready() -> list[tuple]:
             out = []
-            for d, f in chains(dp, fp) if len(dp) > 1 else []:
+            for d, f in bridged(chains(dp, fp)) if len(dp) > 1 else []:
                 if len(d) > 1 and max(d[-1] - d[0], f[-1] - f[0]) + K + 2 * MARGIN >= least_words:
                     out.append((*key, d[0], d[-1] + K, f[0], f[-1] + K, d, f))
             return out
@@ -217,9 +235,15 @@ def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best + 1, int(same[: best + 1].sum())
 
 
-def align(dw: np.ndarray, fw: np.ndarray, dp: list[int], fp: list[int], k: int = K) -> list[tuple[int, int, int, int, int]]:
-    """Passages (start, end, start in first, end there, words that agree) around the matches of a chain."""
-    runs = [[dp[0], dp[0] + k, fp[0], fp[0] + k, k]]
+def align(
+    dw: np.ndarray, fw: np.ndarray, dp: list[int], fp: list[int], k: int = K, least: int = LEAST_WORDS, percent: int = PERCENT
+) -> list[tuple[int, int, int, int, int]]:
+    """Passages (start, end, start in first, end there, words that agree) around the matches of a chain.
+
+    The chain is cut at every gap with a word that differs. Of all joined pieces, the longest with ``least`` words of which
+    ``percent`` agree is a passage, and so on to both sides of it.
+    """
+    runs = [[dp[0], dp[0] + k, fp[0], fp[0] + k, k, 0, 0]]  # ends, words that agree, of the gap before, covered by the run before
     for d, f in zip(dp[1:], fp[1:]):
         run = runs[-1]
         skip = max(0, run[1] - d, run[3] - f)  # words of the match that the run covers
@@ -227,20 +251,39 @@ def align(dw: np.ndarray, fw: np.ndarray, dp: list[int], fp: list[int], k: int =
             continue
         a, b = dw[run[1] : d + skip], fw[run[3] : f + skip]
         agree, most = _gap(a, b) if len(a) and len(b) else 0, max(len(a), len(b))
-        if most - agree > max(DROP, (run[1] - run[0]) // 4):
-            runs.append([d, d + k, f, f + k, k])
-            continue
-        run[4] += agree + k - skip
-        run[1], run[3] = d + k, f + k
-    out = []
-    for i, (d0, d1, f0, f1, n) in enumerate(runs):
-        low = runs[i - 1][1], runs[i - 1][3]
-        high = (runs[i + 1][0], runs[i + 1][2]) if i + 1 < len(runs) else (len(dw), len(fw))
-        low = low if i else (0, 0)
-        left, more = _reach(dw[low[0] : d0][::-1], fw[low[1] : f0][::-1])
-        right, most = _reach(dw[d1 : high[0]], fw[f1 : high[1]])
-        out.append((d0 - left, d1 + right, f0 - left, f1 + right, n + more + most))
-    return out
+        if most > agree:
+            runs.append([d, d + k, f, f + k, k - skip, agree, skip])
+        else:
+            run[4] += agree + k - skip
+            run[1], run[3] = d + k, f + k
+    none = (0, 0)
+    lows, highs = [none, *[(r[1], r[3]) for r in runs]], [*[(r[0], r[2]) for r in runs[1:]], (len(dw), len(fw))]
+    left = np.array([_reach(dw[x:d0][::-1], fw[y:f0][::-1]) for (x, y), (d0, _, f0, *_) in zip(lows, runs)])
+    right = np.array([_reach(dw[d1:x], fw[f1:y]) for (x, y), (_, d1, _, f1, *_) in zip(highs, runs)])
+    d0, d1, f0, f1, n, before, skip = np.array(runs).T
+    total = np.cumsum(n + before)
+    inner = total - n - skip  # what the pieces before add to the total of those that start here
+    out, todo = [], [(0, len(runs))]
+    while todo:
+        low, high = todo.pop()
+        found = None
+        for m in range(high - low, 0, -1):
+            i = np.arange(low, high - m + 1)
+            j = i + m - 1
+            for x, y in ((1, 1), (1, 0), (0, 1), (0, 0)):
+                ends = d0[i] - x * left[i, 0], d1[j] + y * right[j, 0], f0[i] - x * left[i, 0], f1[j] + y * right[j, 0]
+                agree = total[j] - inner[i] + x * left[i, 1] + y * right[j, 1]
+                size = ends[1] - ends[0]
+                fits = np.flatnonzero((size >= least) & (100 * agree >= percent * np.maximum(size, ends[3] - ends[2])))
+                if len(fits):
+                    best = fits[size[fits].argmax()]
+                    if not found or size[best] > found[1] - found[0]:
+                        found, at = (*[int(e[best]) for e in ends], int(agree[best])), int(i[best])
+            if found:
+                out.append(found)
+                todo += [(low, at), (at + m, high)]
+                break
+    return sorted(out)
 
 
 def _aligned(least_words: int, percent: int):
@@ -250,11 +293,11 @@ def _aligned(least_words: int, percent: int):
             rows = []
             for doc, first, d_low, f_low, dp, fp, dw, fw in rows_of(batch, *names):
                 found = align(
-                    np.array(dw, np.int32), np.array(fw, np.int32), [p - d_low for p in dp], [p - f_low for p in fp]
-                )
+                    np.array(dw, np.int32), np.array(fw, np.int32), [p - d_low for p in dp], [p - f_low for p in fp],
+                    least=least_words, percent=percent,
+                )
                 for d0, d1, f0, f1, n in found:
-                    if d1 - d0 >= least_words and 100 * n >= percent * max(d1 - d0, f1 - f0):
-                        rows.append((doc, d0 + d_low, d1 + d_low, first, f0 + f_low, f1 + f_low, n))
+                    rows.append((doc, d0 + d_low, d1 + d_low, first, f0 + f_low, f1 + f_low, n))
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             columns = list(zip(*rows)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(

@@ -129,6 +129,21 @@ def test_passages_are_found_and_cut(make_docs):
     assert left[4].text.split() == rows[3][1].split()[:40] and left[4].n_chars == len(left[4].text)
 
 
+def test_replaced_runs_split_no_passage():
+    for seed in range(40):
+        for side, n in ((44, 9), (44, 10), (44, 11), (44, 12), (24, 12), (27, 12)):
+            text = prose(seed, 2 * side + n)
+            other = text[:side] + prose(seed + 500, n) + text[side + n :]
+            rows = [prose(seed + 900, 20) + other + prose(seed + 950, 20), prose(seed + 700, 30) + text + prose(seed + 750, 30)]
+            a, b = (hashes([w.encode() for w in r]) for r in rows)
+            (x, at), (y, there) = passages.seed_places(a), passages.seed_places(b)
+            both = sorted((int(p), int(q)) for u, p in zip(x, at) for v, q in zip(y, there) if u == v)
+            found = []
+            for dp, fp in passages.bridged(passages.chains(*map(list, zip(*both)))):
+                found += passages.align(a, b, dp, fp)
+            assert [f[:4] for f in found] == [(20, 20 + len(text), 30, 30 + len(text))], (seed, side, n)
+
+
 def test_passages_of_odd_rows(odd_docs, make_docs):
     assert {r.doc_id for r in passages.repeated_passages(odd_docs).collect()} == {6}
     left = passages.drop_repeats(odd_docs)
