@@ -2,8 +2,8 @@
 
 1. Seeds are runs of ``K`` words that are the smallest hash among ``WINDOW`` neighbouring runs, so any run of
    ``K + WINDOW - 1`` words that two documents share holds a shared seed.
-2. A seed's first document is the smallest that has it; another document's first occurrence of the seed is
-   matched with the first one there, the second with the second and so on.
+2. A seed's first document is the smallest that has it; every occurrence in another document is
+   matched with the first one there, the second also with the second and so on.
 3. Matches between two documents are chained in order of both, each gap costing by its length; a Fenwick tree
    over the positions in the first document gives the best predecessor.
 4. Chains that follow each other are joined and aligned word by word between their matches and beyond their ends; the
@@ -346,8 +346,10 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     hits = staged(placed.join(repeated, "seed"), "hits")
     firsts = staged(hits.where("doc = first").select("seed", "turn", F.col("at").alias("first_at")).distinct(), "firsts")
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    turns = F.explode(F.array_distinct(F.array("turn", F.lit(0))))
+    later = hits.where("doc <> first").select("seed", "doc", "first", "at", turns.alias("turn"))
     linked = (
-        hits.where("doc <> first").join(firsts, ["seed", "turn"]).repartition(parts, "doc")
+        later.join(firsts, ["seed", "turn"]).repartition(parts, "doc")
         .sortWithinPartitions("doc", "first", "at", "first_at").mapInArrow(_chained(least_words), CHAINS)
     )
     return _with_windows(linked, whole).mapInArrow(_aligned(least_words, percent), SPANS).distinct()

@@ -144,6 +144,14 @@ def test_replaced_runs_split_no_passage():
             assert [f[:4] for f in found] == [(20, 20 + len(text), 30, 30 + len(text))], (seed, side, n)
 
 
+def test_every_copy_of_a_passage_is_found(make_docs):
+    p = prose(1, 60)
+    twice, many = p + prose(2, 20) + p, [w for i in range(20) for w in p + prose(30 + i, 9)]
+    rows = [(1, " ".join(prose(3, 9) + p)), (2, " ".join(twice)), (3, " ".join(many)), (4, " ".join(p + prose(4, 70) + p[:30]))]
+    found = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(make_docs(rows)).collect()}
+    assert found == {(2, 0, 60), (2, 80, 140), *[(3, 69 * i, 69 * i + 60) for i in range(20)], (4, 0, 60)}
+
+
 def test_passages_of_odd_rows(odd_docs, make_docs):
     assert {r.doc_id for r in passages.repeated_passages(odd_docs).collect()} == {6}
     left = passages.drop_repeats(odd_docs)
