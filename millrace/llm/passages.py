@@ -1,8 +1,9 @@
 """Substring dedup by collinear chaining of shared seeds.
 
 1. Seeds are runs of ``K`` words that are the smallest hash among ``WINDOW`` neighbouring runs, so any run of
-   ``K + WINDOW - 1`` words that two documents share holds a shared seed.
-2. A seed's first document is the smallest that has it; every occurrence in another document is
+   ``K + WINDOW - 1`` words that two documents share holds a shared seed. A block of words that begins at each seed is a
+   seed too, so long that any unedited passage of the least length holds a shared one.
+2. A document is matched with the smallest that has a seed and with the one before it that has it; every occurrence in another document is
    matched with the first one there, the second also with the second and so on.
 3. Matches between two documents are chained in order of both, each gap costing by its length; a Fenwick tree
    over the positions in the first document gives the best predecessor.
@@ -15,14 +16,15 @@ Positions are words from 0 and ends are exclusive. The first document of a passa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.llm.storage import keyed, staged
-from millrace.llm.words import grams, hashes, rows_of, signed, words
+from millrace.llm.words import grams, hashes, mixed, rows_of, signed, words
 
 K = 6
 WINDOW = 10
@@ -30,6 +32,7 @@ LEAST_WORDS = 50
 PERCENT = 80
 GAP_COST = 0.15  # of a word without match in either document
 MARGIN = 32  # words that are aligned beyond a chain's ends
+SPREAD = 1024  # holders of a seed that are put in order together
 BRIDGE = 64  # words between chains that are aligned as one: pieces too short alone allow 25, and seeds lie inside them
 CUT = 64  # windows of text begin and end at multiples of it
 DROP = 8  # an alignment ends where its score falls so far below its best
@@ -67,17 +70,36 @@ def _turns(seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _seeds(places: bool):
+def _steps(least_words: int, k: int = K) -> list[int]:
+    """Places of the runs that cover a block; a passage of ``least_words`` holds the block of its first seed."""
+    last = max(0, least_words - WINDOW + 1 - k)
+    return [*range(0, last, k), last]
+
+
+def with_blocks(word_hashes: np.ndarray, steps: list[int], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, places and whether it is a block: a document's seeds, then the blocks of words that begin at them."""
+    found, at = seed_places(word_hashes, k)
+    runs = grams(word_hashes, k)
+    begins = at[at < len(runs) - steps[-1]]
+    blocks = np.zeros(len(begins), np.uint64)
+    for step in steps:
+        blocks = mixed(blocks + runs[begins + step])
+    is_block = np.repeat([False, True], [len(found), len(blocks)])
+    return np.concatenate([found, blocks]), np.concatenate([at, begins]), is_block
+
+
+def _seeds(places: bool, steps: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds, docs, ats, turns = [], [], [], []
+            seeds, docs, ats, turns, blocks = [], [], [], [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
-                found, at = seed_places(hashes(words(text)))
+                found, at, is_block = with_blocks(hashes(words(text)), steps)
                 if doc_id is None or not len(found):
                     continue
                 if places:
                     ats.append(at)
                     turns.append(_turns(found))
+                    blocks.append(is_block)
                 else:
                     found = np.unique(found)
                 seeds.append(found)
@@ -85,7 +107,7 @@ def _seeds(places: bool):
             if seeds:
                 columns = {"seed": signed(np.concatenate(seeds)), "doc": np.concatenate(docs)}
                 if places:
-                    columns |= {"at": np.concatenate(ats), "turn": np.concatenate(turns)}
+                    columns |= {"at": np.concatenate(ats), "turn": np.concatenate(turns), "is_block": np.concatenate(blocks)}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
     return run
@@ -154,14 +176,15 @@ def bridged(found: list[tuple[list[int], list[int]]], k: int = K) -> list[tuple[
     return out
 
 
-def _chained(least_words: int):
-    """Rows sorted by document and first document: chains of at least two matches."""
+def _chained(least_words: int, steps: list[int]):
+    """Rows sorted by document and first document: chains of at least two matches. A block is a match for each of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, dp, fp = None, [], []
+        key, met = None, set()
 
         def ready() -> list[tuple]:
             out = []
+            dp, fp = map(list, zip(*sorted(met)))
             for d, f in bridged(chains(dp, fp)) if len(dp) > 1 else []:
                 if len(d) > 1 and max(d[-1] - d[0], f[-1] - f[0]) + K + 2 * MARGIN >= least_words:
                     out.append((*key, d[0], d[-1] + K, f[0], f[-1] + K, d, f))
@@ -175,13 +198,12 @@ def _chained(least_words: int):
 
         for batch in batches:
             rows = []
-            for doc, first, d, f in rows_of(batch, "doc", "first", "at", "first_at"):
+            for doc, first, d, f, is_block in rows_of(batch, "doc", "first", "at", "first_at", "is_block"):
                 if (doc, first) != key:
                     if key:
                         rows += ready()
-                    key, dp, fp = (doc, first), [], []
-                dp.append(d)
-                fp.append(f)
+                    key, met = (doc, first), set()
+                met.update([(d + x, f + x) for x in steps] if is_block else [(d, f)])
             yield table(rows)
         if key:
             yield table(ready())
@@ -307,6 +329,22 @@ def _aligned(least_words: int, percent: int):
     return run
 
 
+def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document and place in others: those not inside a passage reported before for the document."""
+    at, starts, ends = None, [], []  # of passages of which none lies inside another
+    for batch in batches:
+        keep = []
+        for doc_id, start, end in rows_of(batch, "doc_id", "start_word", "end_word"):
+            if doc_id != at:
+                at, starts, ends = doc_id, [], []
+            i = bisect_right(starts, start)
+            keep.append(not (i and ends[i - 1] >= end))
+            if keep[-1]:
+                low, high = bisect_left(starts, start), bisect_right(ends, end)
+                starts[low : max(low, high)], ends[low : max(low, high)] = [start], [end]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _with_windows(rows: DataFrame, whole: DataFrame) -> DataFrame:
     """Add the words around a chain in both of its documents; texts are moved once for all windows wanted of them."""
     sides = {"d": "doc", "f": "first"}
@@ -330,29 +368,55 @@ def _with_windows(rows: DataFrame, whole: DataFrame) -> DataFrame:
     return rows
 
 
+def _preceding(holders: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Rows (seed, doc, first) with the document before among the holders of a seed, the smallest of all left out.
+
+    Holders are put in order by ranges of ids, so that no task has all those of a frequent seed.
+    """
+    share = (F.col("doc").cast("double") - F.col("first").cast("double")) / (F.col("last").cast("double") - F.col("first").cast("double"))
+    placed = holders.join(seeds, "seed").select("seed", "doc", F.floor(share * F.ceil(F.col("held") / SPREAD)).alias("part"))
+    placed = staged(placed, "holders")
+    order = Window.partitionBy("seed", "part").orderBy("doc")
+    tops = placed.groupBy("seed", "part").agg(F.max("doc").alias("top"))
+    tops = tops.select("seed", "part", F.lag("top").over(Window.partitionBy("seed").orderBy("part")).alias("top")).where("top is not null")
+    own = placed.withColumn("own", F.lag("doc").over(order))
+    found = own.join(tops.hint("merge"), ["seed", "part"], "left").select("seed", "doc", F.coalesce("own", "top").alias("first"))
+    return staged(found.where("first is not null"), "before")
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """Passages of ``docs`` that an earlier document (smaller ``doc_id``) has as well, give or take some words.
 
     Rows (doc_id, start_word, end_word, first_doc_id, first_start, first_end, n_match). Repeats within
-    one document do not count. Texts that are NULL or shorter than a passage, and rows without id, have none; of rows with one id
+    one document do not count. A passage inside one that a smaller document has is reported once. Texts that are NULL or shorter than a passage, and rows without id, have none; of rows with one id
     the passages of one are reported.
     """
     spark = docs.sparkSession
-    whole = keyed(docs)
-    seeds = whole.mapInArrow(_seeds(False), "seed long, doc long")
-    repeated = seeds.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    repeated = staged(repeated.select("seed", "first"), "seeds")
-    placed = whole.mapInArrow(_seeds(True), "seed long, doc long, at int, turn int")
-    hits = staged(placed.join(repeated, "seed"), "hits")
+    whole, steps = keyed(docs), _steps(least_words)
+    seeds = whole.mapInArrow(_seeds(False, steps), "seed long, doc long")
+    repeated = (
+        seeds.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("held")).where("first < last")
+    )
+    repeated = staged(repeated, "seeds")
+    placed = whole.mapInArrow(_seeds(True, steps), "seed long, doc long, at int, turn int, is_block boolean")
+    hits = staged(placed.join(repeated.select("seed", "first"), "seed"), "hits")
+    turns = F.explode(F.array_distinct(F.array("turn", F.lit(0)))).alias("turn")
+    later = hits.where("doc <> first").select("seed", "doc", "first", "at", "is_block", turns)
     firsts = staged(hits.where("doc = first").select("seed", "turn", F.col("at").alias("first_at")).distinct(), "firsts")
+    before = _preceding(later.select("seed", "doc").distinct(), repeated.where("held > 2"))
+    # documents before have no bound, so they are merged at every size
+    there = hits.select("seed", F.col("doc").alias("first"), "turn", F.col("at").alias("first_at")).distinct()
+    nearer = later.drop("first").join(before.hint("merge"), ["seed", "doc"]).join(there.hint("merge"), ["seed", "first", "turn"])
+    columns = ["doc", "first", "at", "first_at", "is_block"]
+    matched = later.join(firsts, ["seed", "turn"]).select(*columns).unionByName(nearer.select(*columns))
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    turns = F.explode(F.array_distinct(F.array("turn", F.lit(0))))
-    later = hits.where("doc <> first").select("seed", "doc", "first", "at", turns.alias("turn"))
     linked = (
-        later.join(firsts, ["seed", "turn"]).repartition(parts, "doc")
-        .sortWithinPartitions("doc", "first", "at", "first_at").mapInArrow(_chained(least_words), CHAINS)
+        matched.repartition(parts, "doc").sortWithinPartitions("doc", "first", "at", "first_at")
+        .mapInArrow(_chained(least_words, steps), CHAINS)
     )
-    return _with_windows(linked, whole).mapInArrow(_aligned(least_words, percent), SPANS).distinct()
+    spans = _with_windows(linked, whole).mapInArrow(_aligned(least_words, percent), SPANS)
+    order = ["doc_id", "first_doc_id", "first_start", "start_word", "end_word", "first_end", "n_match"]
+    return spans.repartition(parts, "doc_id").sortWithinPartitions(*order).mapInArrow(_uncovered, SPANS)
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -146,10 +146,23 @@ def test_replaced_runs_split_no_passage():
 
 def test_every_copy_of_a_passage_is_found(make_docs):
     p = prose(1, 60)
-    twice, many = p + prose(2, 20) + p, [w for i in range(20) for w in p + prose(30 + i, 9)]
+    twice, many = p + prose(2, 40) + p, [w for i in range(20) for w in p + prose(30 + i, 9)]
     rows = [(1, " ".join(prose(3, 9) + p)), (2, " ".join(twice)), (3, " ".join(many)), (4, " ".join(p + prose(4, 70) + p[:30]))]
     found = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(make_docs(rows)).collect()}
-    assert found == {(2, 0, 60), (2, 80, 140), *[(3, 69 * i, 69 * i + 60) for i in range(20)], (4, 0, 60)}
+    assert found == {(2, 0, 60), (2, 100, 160), *[(3, 69 * i, 69 * i + 60) for i in range(20)], (4, 0, 60)}
+
+
+@pytest.mark.parametrize("spread", [1024, 2])
+def test_passages_whose_parts_come_first_elsewhere(make_docs, monkeypatch, spread):
+    monkeypatch.setattr(passages, "SPREAD", spread)
+    p = prose(1, 60)
+    loose = p[:15] + ["new"] + p[16:44] + ["word"] + p[45:]
+    rows = [
+        (1, " ".join(prose(2, 20) + p[:30])), (2, " ".join(p[30:] + prose(3, 20))), (3, " ".join(prose(4, 9) + p)),
+        (4, " ".join(prose(5, 40) + loose)), (5, " ".join(p[:30] + prose(6, 40) + p[30:])), (6, " ".join(p)),
+    ]
+    found = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(make_docs(rows)).collect()}
+    assert found == {(4, 40, 100), (6, 0, 60)}
 
 
 def test_passages_of_odd_rows(odd_docs, make_docs):
