@@ -117,8 +117,12 @@ def notices_in(joined: str, notices: tuple[tuple[str, str], ...], error_every: i
     out = []
     for i, spans in windows.items():
         for low, high in spans:
-            for m in known[i].pattern.finditer(joined, low, high):
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts), known[i]))
+            todo = [(low, high)]
+            while todo:  # the best match of a part, then what lies before and behind it
+                low, high = todo.pop()
+                if m := known[i].pattern.search(joined, low, high):
+                    out.append((m.start(), m.end(), sum(m.fuzzy_counts), known[i]))
+                    todo += [(low, m.start()), (m.end(), high)]
     return sorted(out, key=lambda x: (x[0], x[1], x[3].text))
 
 

@@ -221,6 +221,11 @@ def test_notices_with_errors():
     assert licenses.matches("gnu general public licenses")[1][0].exact is False
 
 
+def test_worse_notices_before_better_ones():
+    text = "released under the mit licence by x released under the mit license"
+    assert [(m.word, m.errors) for m in licenses.matches(f"{text} {text}")[1] if not m.exact] == [(0, 1), (7, 0), (12, 1), (19, 0)]
+
+
 def test_exact_phrases_against_brute_force(make_docs, odd_docs):
     import re
 
