@@ -292,6 +292,11 @@ def align(
         for m in range(high - low, 0, -1):
             i = np.arange(low, high - m + 1)
             j = i + m - 1
+            most, core = total[j] - inner[i] + left[i, 1] + right[j, 1], np.maximum(d1[j] - d0[i], f1[j] - f0[i])
+            i = i[(100 * most >= percent * core) & (d1[j] - d0[i] + left[i, 0] + right[j, 0] >= least)]  # others fail with any ends
+            if not len(i):
+                continue
+            j = i + m - 1
             for x, y in ((1, 1), (1, 0), (0, 1), (0, 0)):
                 ends = d0[i] - x * left[i, 0], d1[j] + y * right[j, 0], f0[i] - x * left[i, 0], f1[j] + y * right[j, 0]
                 agree = total[j] - inner[i] + x * left[i, 1] + y * right[j, 1]
