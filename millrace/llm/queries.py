@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat, decontam, html_extract, jaccard, langid, licenses, mixing, oracles, passages, spotsigs, warc
+from millrace.llm import chat, decontam, html_extract, jaccard, langid, licenses, mixing, oracles, passages, spotsigs, tokencounts, warc
 from millrace.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,8 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_components(_table(spark, sf_dir, "documents"))
+
+
+@_query("op11_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(_table(spark, sf_dir, "documents"))
