@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat, decontam, html_extract, jaccard, langid, licenses, mixing, oracles, passages, spotsigs, tokencounts, warc
+from millrace.llm import (
+    chat,
+    decontam,
+    html_extract,
+    jaccard,
+    langid,
+    licenses,
+    mixing,
+    oracles,
+    passages,
+    periodic,
+    spotsigs,
+    tokencounts,
+    warc,
+)
 from millrace.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +132,8 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
