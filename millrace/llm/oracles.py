@@ -77,3 +77,38 @@ SELECT conv_id, n_common, coalesce(array_to_string(p, ''), '') AS prompt,
          for i in range(1, len(r) + 1) if r[i].role = 'assistant'], ','), '') AS rejected_mask
 FROM texts
 """
+
+# crc32 by its definition, byte by byte; near words by the texts that remain when one code point is taken out
+VARIANTS = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda x: CAST(0 AS BIGINT))),
+         lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+           list_transform(range(CAST(octet_length(encode(s)) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i + 1, 2) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT w, n, doc_id || ':' || w AS s FROM runs), crc),
+edited AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (
+  SELECT word, n, word AS part, 0 AS at FROM words UNION ALL
+  SELECT word, n, left(word, i) || substr(word, i + 2), i + 1 FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.part = b.part AND a.word <> b.word
+  WHERE a.at = 0 OR b.at = 0 OR a.at = b.at),
+best AS (SELECT word, count(*) AS n_near, arg_min({'n': near_n, 'w': near}, {'n': -near_n, 'w': near}) AS b FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.w END AS form,
+         CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n FROM words w LEFT JOIN best x ON w.word = x.word),
+ends AS (
+  SELECT word, word AS root FROM forms UNION ALL
+  SELECT e.word, f.form FROM ends e JOIN forms f ON e.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM forms f JOIN (SELECT word, arg_max(root, n_root) AS root FROM (
+  SELECT e.word, e.root, g.n AS n_root FROM ends e JOIN forms g ON e.root = g.word) GROUP BY word) r ON f.word = r.word
+"""

@@ -19,6 +19,7 @@ from millrace.llm import (
     periodic,
     spotsigs,
     tokencounts,
+    variants,
     warc,
 )
 from millrace.session import work_dir
@@ -137,3 +138,9 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_periodic_runs")
 def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+@_query("op13_spelling_variants", oracles.VARIANTS)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.spelling_variants(_table(spark, sf_dir, "documents"), plant=True)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
