@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.text import in_gb, in_mb, path_facts
-from millrace.operators.combine import union_same
+from millrace.sources.inventory import file_inventory
 
 
 def read_found(spark: SparkSession, root: str, name_glob: str = "*.parquet") -> DataFrame:
@@ -37,26 +37,21 @@ def file_sizes(spark: SparkSession, root: str, name_glob: str = "*") -> DataFram
 
 
 def table_inventory(spark: SparkSession, paths: Sequence[str], base_name: bool = False) -> DataFrame:
-    """Rows, columns and size per file of the given Parquet tables.
+    """Rows, columns and size per file of the given Parquet tables; with ``base_name`` summed under each table's folder name.
 
-    With ``base_name`` the part files of a table are summed under its folder name. Files without rows count 0,
-    as do files that cannot be read. The loop is over tables (each has its own schema), never over their data.
+    Files without rows count 0. Files that cannot be read have no rows and no columns, and add none to their table.
     """
-    frames = []
-    for path in paths:
-        df = spark.read.option("ignoreCorruptFiles", True).parquet(path)
-        counted = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
-        there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-        listed = there.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.col("length").alias("size_bytes"))
-        counted = counted.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///"))
-        per_file = listed.join(counted, "path", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint")))
-        frames.append(per_file.select("path", "size_bytes", "n_rows", F.lit(len(df.columns)).alias("n_columns")))
-    files = union_same(frames).withColumn("file", F.element_at(F.split("path", "/"), -1))
+    files = file_inventory(spark, paths, ["parquet"])
     if not base_name:
-        return files.withColumn("size_mb", in_mb(F.col("size_bytes")))
+        return files.select("path", "size_bytes", "n_rows", "n_columns", "file", "size_mb")
     return (
         files.withColumn("table", F.element_at(F.split("path", "/"), -2))
-        .groupBy("table", "n_columns")
-        .agg(F.sum("size_bytes").alias("size_bytes"), F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_files"))
+        .groupBy("table")
+        .agg(
+            F.max("n_columns").alias("n_columns"),
+            F.sum("size_bytes").alias("size_bytes"),
+            F.sum("n_rows").alias("n_rows"),
+            F.count(F.lit(1)).alias("n_files"),
+        )
         .withColumn("size_mb", in_mb(F.col("size_bytes")))
     )

@@ -11,7 +11,7 @@ from millrace.operators.reports import json_documents, numbered_lines
 from millrace.plans.counting import filter_group_count
 from millrace.plans.silver import silver_reviews
 from millrace.session import work_dir
-from millrace.sources import discovery, tables
+from millrace.sources import discovery, inventory, tables
 from millrace.testbed.registry import query, table
 
 ALL_TABLES = (
@@ -154,6 +154,35 @@ def file_inventory(spark: SparkSession, d: str) -> DataFrame:
     return listed.where("size_bytes > 0 AND size_mb IS NOT NULL").select("file", "n_rows", "n_columns")
 
 
+@query(
+    "folder_inventory",
+    """
+    SELECT 'by status/o_orderstatus=' || o_orderstatus AS folder, 'parquet' AS format, count(*) AS n_rows, 5::INT AS n_columns,
+      0::BIGINT AS n_unreadable FROM orders GROUP BY ALL
+    UNION ALL SELECT 'csv+files', 'csv', count(*), 5, 0 FROM customer
+    UNION ALL SELECT 'none', 'parquet', 0, (SELECT count(*) FROM (DESCRIBE nation))::INT, 0
+    UNION ALL SELECT 'broken', 'parquet', NULL, NULL, 2
+    """,
+)
+def folder_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written as Parquet and CSV below folders of odd names, one of them empty, next to two files that are none."""
+    root = work_dir(spark, "inventory")
+    tables.write_parquet(table(spark, d, "orders").repartition(3), f"{root}/by status", partition_by=["o_orderstatus"])
+    tables.write_csv(table(spark, d, "customer"), f"{root}/csv+files")
+    tables.write_parquet(table(spark, d, "nation").limit(0), f"{root}/none")
+    broken = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/broken")
+    files = broken.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, content in (("empty.parquet", b""), ("text.parquet", b"no footer here")):
+        out = files.create(spark._jvm.org.apache.hadoop.fs.Path(broken, name))
+        out.write(content)
+        out.close()
+    found = inventory.file_inventory(spark, [root])
+    folder = F.element_at(F.split("directory", root.rsplit("/", 1)[1] + "/"), -1).alias("folder")
+    return found.groupBy(folder, "format").agg(
+        F.sum("n_rows").alias("n_rows"), F.max("n_columns").alias("n_columns"), F.count("error").alias("n_unreadable")
+    )
+
+
 @query("file_sizes")
 def file_sizes(spark: SparkSession, d: str) -> DataFrame:
     return discovery.file_sizes(spark, d, "*.parquet").drop("directory", "path")

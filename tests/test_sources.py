@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import reports, telemetry as tm
 from millrace.plans.telemetry_report import good_samples
 from millrace.session import staged, work_dir
-from millrace.sources import discovery, tables, text
+from millrace.sources import discovery, inventory, tables, text
 
 HEADER = "timestamp,container_id,name,cpu_perc,mem_usage,mem_perc,net_io,block_io,pids"
 
@@ -77,6 +77,39 @@ def test_inventory(spark, tmp_path):
     assert {r.extension for r in sizes.collect()} == {".parquet"}
 
 
+def test_inventory_of_mixed_folders(spark, tmp_path):
+    """Paths with blanks and signs, nested columns, quoted headers, files without rows, broken and empty files."""
+    odd = tmp_path / "a b+c%20é"
+    tables.write_parquet(spark.range(7).selectExpr("id", "named_struct('x', id, 'y', id) AS s"), str(odd / "t.parquet"), files=2)
+    (odd / "name, two.csv").write_text('"first, name",b,c\n1,2,3\n\n4,5,6\n')
+    (odd / "only-head.csv").write_text("a,b")
+    (odd / "empty.csv").write_text("")
+    (tmp_path / "bad.parquet").write_text("no footer")
+    (tmp_path / "zero.parquet").write_bytes(b"")
+    (tmp_path / "cut.parquet").write_bytes(next((odd / "t.parquet").glob("*.parquet")).read_bytes()[:-20])
+    spark.range(0).coalesce(1).write.parquet(str(tmp_path / "none"))
+    (tmp_path / "_hidden.csv").write_text("a\n1\n")
+    got = inventory.file_inventory(spark, [str(tmp_path)]).collect()
+    by_name = {r.file if r.directory.endswith(("20é", tmp_path.name)) else r.directory.rsplit("/", 1)[1]: (r.format, r.n_rows, r.n_columns) for r in got}
+    parts = [r for r in got if r.directory.endswith("t.parquet")]
+    assert sum(r.n_rows for r in parts) == 7 and {r.n_columns for r in parts} == {2} and {r.directory for r in parts} == {f"file://{odd}/t.parquet"}
+    assert {k: v for k, v in by_name.items() if k != "t.parquet"} == {
+        "name, two.csv": ("csv", 2, 3), "only-head.csv": ("csv", 0, 2), "empty.csv": ("csv", 0, 0), "none": ("parquet", 0, 1),
+        "bad.parquet": ("parquet", None, None), "zero.parquet": ("parquet", None, None), "cut.parquet": ("parquet", None, None),
+    }
+    assert {r.file for r in got if r.error} == {"bad.parquet", "cut.parquet", "zero.parquet"} and all(r.size_gb is not None for r in got)
+    groups = {(r.directory.rsplit("/", 1)[1], r.base_name): r for r in inventory.grouped_inventory(inventory.file_inventory(spark, [str(tmp_path)])).collect()}
+    part = groups["t.parquet", "part"]
+    assert (part.n_rows, part.n_files, part.n_columns, part.format, part.n_unreadable) == (7, 2, 2, "parquet", 0)
+    assert groups[tmp_path.name, "bad"].n_unreadable == 1 and groups[odd.name, "only"].format == "csv"
+
+
+def test_a_long_header_and_many_rows(spark, tmp_path):
+    wide = ",".join(f"column_number_{i}" for i in range(9_000))
+    (tmp_path / "wide.csv").write_text(wide + "\n" + "\n".join(["1"] * 5000) + "\n")
+    assert [(r.n_rows, r.n_columns) for r in inventory.file_inventory(spark, [str(tmp_path)]).collect()] == [(5000, 9000)]
+
+
 def test_category_fan_in(spark, tmp_path):
     for c in ("A", "B"):
         tables.write_parquet(spark.range(3), str(tmp_path / f"meta_{c}.parquet"))
