@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 IDLE = "idle"
-ROUTE = ["operation", "input_file"]
+ROUTE = ("operation", "input_file")
 
 
 def sample_stream(
@@ -27,16 +29,16 @@ def busy_samples(samples: DataFrame) -> DataFrame:
     return samples.where(F.coalesce(F.col("operation"), F.lit(IDLE)) != IDLE).withColumns(clean)
 
 
-def route_to_files(samples: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def route_to_files(samples: DataFrame, out: str, checkpoint: str, folders: Sequence[str] = ROUTE) -> StreamingQuery:
     """Append every available sample below ``out/operation=…/input_file=…`` and stop.
 
-    The stream is stateless; progress lives in the checkpoint, so a restart neither loses nor
+    Progress, and state if the stream has any, live in the checkpoint, so a restart neither loses nor
     repeats samples.
     """
     return (
         samples.writeStream.format("parquet")
         .outputMode("append")
-        .partitionBy(*ROUTE)
+        .partitionBy(*folders)
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

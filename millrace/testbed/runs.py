@@ -14,7 +14,7 @@ from millrace.operators.profile import binary_columns, column_profile, describe_
 from millrace.operators.quantiles import boxplot_numbers
 from millrace.plans import telemetry_report, timing
 from millrace.session import staged, work_dir
-from millrace.streaming import ingest
+from millrace.streaming import ingest, runs as stream
 from millrace.testbed import fixtures as fx
 from millrace.testbed.registry import query, table
 
@@ -496,3 +496,44 @@ def telemetry_stream(spark: SparkSession, d: str) -> DataFrame:
     ingest.route_to_files(ingest.busy_samples(samples), f"{out}/data", f"{out}/progress").awaitTermination()
     back = spark.read.parquet(f"{out}/data").withColumn("input_file", F.col("input_file").cast("string"))
     return back.groupBy("operation", "input_file").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_MONITORED = {
+    "monitor": "CAST(user_id % 7 AS INT)",
+    "operation": "CASE WHEN event_type <> 'view' THEN 'op_' || event_type END",
+    "input_file": "CASE WHEN user_id % 11 <> 0 THEN 'f' || CAST(user_id % 3 AS STRING) END",
+}
+
+
+@query(
+    "stream_runs",
+    f"""
+    WITH samples AS (SELECT event_id, ts, {", ".join(f"{e} AS {n}" for n, e in _MONITORED.items())} FROM events),
+    busy AS (SELECT monitor, operation, coalesce(input_file, 'unknown') AS input_file, ts, event_id FROM samples WHERE operation IS NOT NULL),
+    steps AS (SELECT *, lag(operation || '/' || input_file) OVER (PARTITION BY monitor ORDER BY ts, event_id) AS before FROM busy),
+    numbered AS (SELECT *, sum(CASE WHEN before IS DISTINCT FROM operation || '/' || input_file THEN 1 ELSE 0 END)
+      OVER (PARTITION BY monitor, operation, input_file ORDER BY ts, event_id) AS run FROM steps)
+    SELECT monitor, operation, input_file, CAST(run AS INT) AS run, count(*) AS n_samples, min(event_id) AS least_id, max(event_id) AS largest_id
+    FROM numbered GROUP BY ALL
+    """,
+)
+def stream_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Events arrive in three slices of time; the stream is restarted for each and goes on from its state."""
+    root = work_dir(spark, "monitor")
+    events = table(spark, d, "events").select("event_id", "ts", *[F.expr(e).alias(n) for n, e in _MONITORED.items()])
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    slices = [first + (last - first) * k / 3 for k in (1, 2)] if first else []
+    part = F.lit(0)
+    for bound in slices:
+        part = part + F.coalesce(F.col("ts") > F.lit(bound), F.lit(False)).cast("int")
+    for k in range(len(slices) + 1):
+        events.where(part == k).write.mode("append").parquet(f"{root}/in")
+        samples = ingest.busy_samples(ingest.sample_stream(spark, f"{root}/in", events.schema))
+        numbered = stream.number_runs(samples, "monitor", ["ts", "event_id"])
+        with stream.keyed_state(spark):
+            started = ingest.route_to_files(numbered, f"{root}/out", f"{root}/progress", ["monitor"])
+        started.awaitTermination()
+    back = spark.read.parquet(f"{root}/out")
+    return back.groupBy("monitor", "operation", "input_file", "run").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.min("event_id").alias("least_id"), F.max("event_id").alias("largest_id")
+    )
