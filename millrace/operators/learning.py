@@ -72,11 +72,16 @@ def search_k(scaled: DataFrame, ks: Sequence[int], seed: int = SEED) -> tuple[in
 
 
 def fit_gbt(
-    train: DataFrame, label: str, rounds: int = 1, depth: int = 5, step: float = 0.1, seed: int = SEED
+    train: DataFrame, label: str, rounds: int = 1, depth: int = 5, step: float = 0.1, seed: int = SEED,
+    validation: str | None = None, tolerance: float = 0.01,
 ) -> GBTClassificationModel:
+    """``validation`` names a boolean column: rows where it is true are not learnt from, and rounds end when the
+    error on them no longer falls by ``tolerance`` (as a share of it, or of 0.01 if it is smaller)."""
     gbt = GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed
+        featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, validationTol=tolerance
     )
+    if validation is not None:
+        gbt = gbt.setValidationIndicatorCol(validation)
     with persisted(train) as rows:
         return gbt.fit(rows)
 

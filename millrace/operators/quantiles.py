@@ -130,3 +130,19 @@ def rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum("__pos").alias("n_positive"),
         F.sum("__neg").alias("n_negative"),
     )
+
+
+def rank_auc_by(df: DataFrame, groups: Sequence[str], score: str, n_positive: str, n_negative: str) -> DataFrame:
+    """The same for each group, of rows that are merged by score already (one for each group and score, with counts).
+
+    Chunks are balanced over all rows, so a group of very many scores is spread as well. ``df`` is read more than once.
+    """
+    chunked = balanced_chunks(df, score)
+    ranked = running_sum(chunked, groups, "__chunk", [score], F.col(n_negative), "__below", include_row=False)
+    pos, neg = F.col(n_positive), F.col(n_negative)
+    wins = pos * (F.col("__below").cast("double") + neg / 2)
+    return ranked.groupBy(*groups).agg(
+        F.try_divide(F.sum(wins), F.sum(pos).cast("double") * F.sum(neg).cast("double")).alias("auc"),
+        F.sum(pos).alias("n_positive"),
+        F.sum(neg).alias("n_negative"),
+    )

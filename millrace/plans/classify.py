@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators import learning
+from millrace.operators import boosting, learning
 from millrace.operators.projection import columns_of
 from millrace.operators.sampling import SEED, keyed_split
 from millrace.session import spread
@@ -48,6 +49,38 @@ def gbt_predictions(
     return fitted.transform(learning.assemble(test, names, on_missing=on_missing))
 
 
+def gbt_rounds(
+    df: DataFrame,
+    label: str = LABEL,
+    columns: Sequence[str] | None = None,
+    keys: Sequence[str] = (),
+    rounds: int = 100,
+    depth: int = 5,
+    step: float = 0.1,
+    stop_early: bool = False,
+    at: Sequence[int] | None = None,
+    on_missing: str = "error",
+) -> tuple[GBTClassificationModel, DataFrame]:
+    """Train on 80 % by key; the model, and (round, train_auc, test_auc, n_train, n_test) for each round or those of ``at``.
+
+    With ``stop_early`` the other 20 % also decide when to stop.
+    """
+    names = list(columns) if columns is not None else columns_of(df, "numeric", exclude=[label, *keys])
+    tagged = keyed_split(df, 0.8, keys or names, "part").withColumn("held_out", F.col("part") == "test")
+    vectors = learning.assemble(spread(tagged), names, on_missing=on_missing).select("features", label, "part", "held_out")
+    learnt = vectors if stop_early else vectors.where("NOT held_out")
+    model = learning.fit_gbt(learnt, label, rounds, depth, step, validation="held_out" if stop_early else None)
+    scores = boosting.auc_by_round(model, vectors, label, ["part"], at)
+    size = F.col("n_positive") + F.col("n_negative")
+    pick = lambda c, part: F.max(F.when(F.col("part") == part, c))
+    return model, scores.groupBy("round").agg(
+        pick(F.col("auc"), "train").alias("train_auc"),
+        pick(F.col("auc"), "test").alias("test_auc"),
+        pick(size, "train").alias("n_train"),
+        pick(size, "test").alias("n_test"),
+    )
+
+
 def gbt_job(
     spark: SparkSession,
     source: str,

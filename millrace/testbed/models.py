@@ -220,6 +220,22 @@ def gbt_many_rounds(spark: SparkSession, d: str) -> DataFrame:
     return _test_rows(classify.gbt_predictions(_labelled(spark, d), "label", _FEATURES, _KEY, rounds=100))
 
 
+@query(
+    "gbt_rounds",
+    f"SELECT i::INT AS round, n_train, n_test, true AS agrees, true AS separates FROM (SELECT unnest(range(1, 9)) AS i), "
+    f"(SELECT count(*) FILTER (substr({_HASH}, 1, 8) < 'cccccccc') AS n_train, count(*) FILTER (substr({_HASH}, 1, 8) >= 'cccccccc') AS n_test FROM lineitem)",
+)
+def gbt_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Areas under ROC after each of 8 rounds. ``agrees``: the last one on held-out rows is the model's own by ranks."""
+    rows = _labelled(spark, d)
+    model, scores = classify.gbt_rounds(rows, "label", _FEATURES, _KEY, rounds=8, step=0.3)
+    _, test = classify.keyed_parts(rows, _KEY)
+    raw = model.transform(learning.assemble(test, _FEATURES)).select("label", vector_to_array("rawPrediction")[1].alias("score"))
+    own = rank_auc(raw, "score", "label").agg(F.max("auc")).scalar()
+    agrees = (F.col("round") < 8) | (F.abs(F.col("test_auc") - own) < 1e-9)
+    return scores.select("round", "n_train", "n_test", agrees.alias("agrees"), (F.least("train_auc", "test_auc") > 0.7).alias("separates"))
+
+
 @query(
     "auc_rank",
     f"""

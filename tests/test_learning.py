@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import batches, learning
+from millrace.operators import batches, boosting, learning
 from millrace.operators.quantiles import rank_auc
 from millrace.plans import classify, clustering
 
@@ -80,3 +81,53 @@ def test_partial_counts(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", -1.0), ("b", 2.0), ("a", 3.0)], "k string, v double").repartition(3)
     total = batches.count_batches(df, "k", "v").groupBy("k").agg(F.sum("count").alias("n"))
     assert {r.k: r.n for r in total.collect()} == {"a": 2, "b": 1}
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    return spark.range(3000).select(
+        "id", F.rand(3).alias("x"), (F.floor(F.rand(4) * 8) / 8).alias("y"), F.rand(6).alias("z")
+    ).withColumn("label", (F.col("x") + F.col("y") + F.rand(5) > 1.5).cast("int")).cache()
+
+
+def test_margins_are_the_models_after_each_round(noisy):
+    vectors = learning.assemble(noisy, ["x", "y", "z"])
+    model = learning.fit_gbt(vectors, "label", rounds=6, depth=3)
+    trees = boosting.export_trees(model)
+    rows = model.transform(vectors).orderBy("id").collect()
+    x = np.array([r.features.toArray() for r in rows])
+    margins = boosting.round_margins(x, trees)
+    assert np.allclose(margins[:, -1], [r.rawPrediction[1] for r in rows], atol=1e-12)
+    sign = np.array([2 * r.label - 1 for r in rows])
+    losses = [float(np.mean(2 * np.log1p(np.exp(-2 * sign * margins[:, r])))) for r in range(6)]
+    assert np.allclose(losses, model.evaluateEachIteration(vectors), atol=1e-9)
+
+
+def test_area_of_each_round_is_that_of_its_scores(spark, noisy):
+    """By group, with rows without label, and a group of one class."""
+    rows = noisy.withColumn("part", F.when(F.col("id") % 3 > 0, "a").when(F.col("label") == 1, "b"))
+    rows = rows.withColumn("label", F.when(F.col("id") % 50 != 0, F.col("label")))
+    vectors = learning.assemble(rows, ["x", "y", "z"])
+    model = learning.fit_gbt(vectors.where("label is not null"), "label", rounds=5, depth=3)
+    got = {(r.part, r.round): r for r in boosting.auc_by_round(model, vectors, "label", ["part"], [5, 1, 3]).collect()}
+    assert set(got) == {(p, r) for p in ("a", "b", None) for r in (1, 3, 5)} and got["b", 3].auc is None
+    trees = boosting.export_trees(model)
+    known = vectors.where("label is not null and part = 'a'").orderBy("id").collect()
+    margins = boosting.round_margins(np.array([r.features.toArray() for r in known]), trees)
+    for r in (1, 3, 5):
+        scored = spark.createDataFrame([(float(m), k.label) for m, k in zip(margins[:, r - 1], known, strict=True)], "score double, label int")
+        assert got["a", r].auc == pytest.approx(rank_auc(scored, "score", "label").first().auc, abs=1e-12)
+    whole = boosting.auc_by_round(model, vectors, "label").collect()
+    assert len(whole) == 5 and {r.n_positive + r.n_negative for r in whole} == {2940}
+    with pytest.raises(ValueError):
+        boosting.auc_by_round(model, vectors, "label", at=[6])
+
+
+def test_rounds_end_when_held_out_rows_no_longer_gain(noisy):
+    model, scores = classify.gbt_rounds(noisy, "label", ["z"], ["id"], rounds=30, step=0.5, stop_early=True)
+    n = len(model.treeWeights)
+    assert n < 30
+    got = {r.round: r for r in scores.collect()}
+    assert set(got) == set(range(1, n + 1)) and all(r.n_train + r.n_test == 3000 and r.train_auc is not None for r in got.values())
+    whole, _ = classify.gbt_rounds(noisy, "label", ["x", "y"], ["id"], rounds=4)
+    assert len(whole.treeWeights) == 4
