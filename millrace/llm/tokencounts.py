@@ -16,6 +16,7 @@ empty text has no tokens. NULL ids are ids like any other.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -43,15 +44,20 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _unsettled() -> regex.Pattern:
-    """Characters that Unicode 3.2 did not have or classed otherwise; on all others libraries of any version agree."""
+def _unsettled() -> re.Pattern:
+    """Characters beyond the basic plane, and those that Unicode 3.2 did not have or classed otherwise; on all others
+    libraries of any version agree."""
     old, runs = unicodedata.ucd_3_2_0, []
-    ok = lambda c: not 0xD800 <= c < 0xE000 and old.category(chr(c)) not in ("Cn",) and old.category(chr(c)) == unicodedata.category(chr(c))
-    for settled, run in groupby(range(0x110000), ok):
-        if not settled:
+
+    def settled(c: int) -> bool:
+        kind = old.category(chr(c))
+        return kind != "Cn" and kind == unicodedata.category(chr(c))
+
+    for ok, run in groupby(range(0x10000), settled):
+        if not ok:
             codes = list(run)
-            runs.append(f"\\U{codes[0]:08X}-\\U{codes[-1]:08X}")
-    return regex.compile(f"[{''.join(runs)}]")
+            runs.append(f"\\u{codes[0]:04X}-\\u{codes[-1]:04X}")
+    return re.compile(f"[{''.join(runs)}\\U00010000-\\U0010FFFF]")  # this library's sets are bitmaps
 
 
 class PreTokens:

@@ -54,7 +54,7 @@ def test_settled_characters_are_classed_alike(tokenizer):
     """The pattern and the library agree on each character that is not handed to the library."""
     own = tokencounts.pre_tokens(PATH)
     settled = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not own._unsettled.match(chr(c))]
-    assert len(settled) > 200_000 and all(unicodedata.category(c) != "Cn" for c in settled)
+    assert len(settled) > 40_000 and all(unicodedata.category(c) != "Cn" for c in settled)
     for i in range(0, len(settled), 500):
         text = "".join(f"a{c}1{c}!{c} {c}a" for c in settled[i : i + 500])
         assert own._pattern.findall(text) == [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
