@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.sampling import SEED
+from millrace.operators.silhouette import squared_silhouettes
 from millrace.session import persisted
 
 
@@ -40,6 +41,21 @@ def zscore(df: DataFrame, columns: Sequence[str], population: bool = False) -> D
     return df.withColumns(scaled)
 
 
+def moments(df: DataFrame, columns: Sequence[str], population: bool = False) -> dict[str, tuple[str, float, float]]:
+    """For a scaled column of each name: the column it comes from, its mean and deviation. Meant for heads and samples."""
+    deviation = F.stddev_pop if population else F.stddev_samp
+    found = df.agg(*[F.struct(F.avg(c), deviation(c)) for c in columns]).first()
+    return {f"__scaled_{i}": (c, *found[i]) for i, c in enumerate(columns)}
+
+
+def standardised(scale: dict[str, tuple[str, float, float]]) -> dict[str, Column]:
+    """Scaled columns by moments found elsewhere, as expressions; a column of one value becomes 0 where it has a value."""
+    return {
+        name: F.when(F.col(c).isNotNull(), F.lit(0.0)) if not std else (F.col(c) - F.lit(mean)) / F.lit(std)
+        for name, (c, mean, std) in scale.items()
+    }
+
+
 def nearest_centroid(columns: Sequence[str], centroids: Sequence[Sequence[float]]) -> Column:
     """Index of the closest centroid (squared Euclidean, lowest index on ties) as one expression."""
     distances = []
@@ -59,15 +75,20 @@ def silhouette(predictions: DataFrame, distance: str = "squaredEuclidean", featu
     return ClusteringEvaluator(featuresCol=features, metricName="silhouette", distanceMeasure=distance).evaluate(predictions)
 
 
-def search_k(scaled: DataFrame, ks: Sequence[int], seed: int = SEED) -> tuple[int, KMeansModel, dict[int, float]]:
-    """Fit each k; best silhouette wins.
+def search_k(scaled: DataFrame, ks: Sequence[int], seed: int = SEED) -> tuple[int, KMeansModel, dict[int, float | None]]:
+    """Fit each k; best silhouette by squared distance wins. The scores of all k come from the same two passes.
 
-    The input is not persisted here: KMeans then keeps its own decoded vectors with spill to disk,
-    while over a persisted frame it decodes every row again in every iteration.
+    ``scaled`` is read by every fit, so it should be a written table. It is not persisted here: KMeans then keeps its own
+    decoded vectors with spill to disk, while over a persisted frame it decodes every row again in every iteration.
+    A k that ends with one cluster has no score.
     """
-    fits = {k: fit_kmeans(scaled, k, seed) for k in ks}
-    scores = {k: silhouette(m.transform(scaled)) for k, m in fits.items()}
-    best = max(scores, key=scores.get)
+    fits = {k: fit_kmeans(scaled, k, seed) for k in dict.fromkeys(ks)}
+    tagged = scaled.select("features")
+    for k, model in fits.items():
+        tagged = model.transform(tagged).withColumnRenamed("prediction", f"k{k}")
+    found = squared_silhouettes(tagged, [f"k{k}" for k in fits])
+    scores = {k: found[f"k{k}"] for k in fits}
+    best = max(scores, key=lambda k: -2.0 if scores[k] is None else scores[k])
     return best, fits[best], scores
 
 

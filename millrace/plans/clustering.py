@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import learning
 from millrace.operators.projection import columns_of, numeric_projection
-from millrace.operators.sampling import SEED, head_rows, random_rows
-from millrace.session import spread
+from millrace.operators.sampling import SEED, head_rows, keyed_sample, random_rows
+from millrace.operators.silhouette import euclidean_silhouette
+from millrace.session import spread, staged
 from millrace.sources.tables import write_parquet
 
 K_RANGE = (5,)
@@ -32,9 +33,9 @@ def kmeans_clusters(
 
     ``on_missing="skip"`` leaves out rows with a NULL feature; by default one ends the job.
     """
-    scaled = scaled_features(spread(df), columns, on_missing)
+    scaled = staged(spread(scaled_features(df, columns, on_missing).drop("features_unscaled")), "scaled")
     k, model, scores = learning.search_k(scaled, ks, seed)
-    return model.transform(scaled).drop("features_unscaled"), k, scores
+    return model.transform(scaled), k, scores
 
 
 def kmeans_sampled(
@@ -45,13 +46,50 @@ def kmeans_sampled(
     return kmeans_clusters(random_rows(df, n, seed), columns, ks, seed, on_missing)
 
 
-def train_on_head(df: DataFrame, columns: Sequence[str], n: int = SAMPLE_ROWS, k: int = 5, seed: int = SEED) -> DataFrame:
-    """Fit scaler and clusters on the first ``n`` rows, assign every row."""
-    head = learning.assemble(head_rows(df.select(*columns), n), columns, "features_unscaled")
-    scaler = learning.fit_scaler(head)
-    model = learning.fit_kmeans(scaler.transform(head), k, seed)
-    scored = model.transform(scaler.transform(learning.assemble(df, columns, "features_unscaled")))
-    return scored.drop("features_unscaled", "features").withColumnRenamed("prediction", "cluster")
+def _head(df: DataFrame, columns: Sequence[str], n: int, on_missing: str, population: bool) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], DataFrame]:
+    """Usable rows, what assembles and scales rows by the first ``n`` of them, and the vectors of those, as a written table."""
+    if on_missing not in ("error", "skip"):
+        raise ValueError(f"on_missing: {on_missing}")
+    if on_missing == "skip":
+        df = df.na.drop(subset=list(columns))
+    head = head_rows(df.select(*columns), n)
+    moments = learning.moments(head, columns, population)
+
+    def scaled(rows: DataFrame) -> DataFrame:
+        return learning.assemble(rows.withColumns(learning.standardised(moments)), list(moments)).drop(*moments)
+
+    return df, scaled, staged(scaled(head).select("features"), "head")
+
+
+def train_on_head(
+    df: DataFrame, columns: Sequence[str], n: int = SAMPLE_ROWS, k: int = 5, seed: int = SEED, on_missing: str = "error", population: bool = True
+) -> DataFrame:
+    """Every row with its ``cluster`` under scaler and clusters of the first ``n`` rows; see ``search_on_head``."""
+    df, scaled, near = _head(df, columns, n, on_missing, population)
+    return learning.fit_kmeans(near, k, seed).transform(scaled(df)).drop("features").withColumnRenamed("prediction", "cluster")
+
+
+def search_on_head(
+    df: DataFrame, columns: Sequence[str], n: int = SAMPLE_ROWS, ks: Sequence[int] = K_RANGE, seed: int = SEED,
+    on_missing: str = "error", population: bool = True,
+) -> tuple[DataFrame, int, dict[int, float | None]]:
+    """The same under the k of best silhouette; also that k and the scores of all.
+
+    The score is the silhouette by plain Euclidean distance over the head, whose rows are compared block against block.
+    ``on_missing="skip"`` leaves rows with a NULL or NaN feature out of the head and of the result, by default one ends the job.
+    ``population`` scales by the deviation of the head as a whole, not as a sample.
+    """
+    df, scaled, near = _head(df, columns, n, on_missing, population)
+    fits = {k: learning.fit_kmeans(near, k, seed) for k in dict.fromkeys(ks)}
+    scores = {k: euclidean_silhouette(m.transform(near)).first()["silhouette"] for k, m in fits.items()}
+    best = max(scores, key=lambda k: -2.0 if scores[k] is None else scores[k])
+    placed = fits[best].transform(scaled(df)).drop("features").withColumnRenamed("prediction", "cluster")
+    return placed, best, scores
+
+
+def sampled_silhouette(clustered: DataFrame, fraction: float, keys: Sequence[str]) -> DataFrame:
+    """(n_rows, silhouette) by plain Euclidean distance of the rows that ``fraction`` of the key space chooses."""
+    return euclidean_silhouette(keyed_sample(clustered, fraction, keys))
 
 
 def kmeans_job(
@@ -64,7 +102,11 @@ def kmeans_job(
     return scores
 
 
-def head_job(spark: SparkSession, source: str, target: str, n: int = SAMPLE_ROWS, k: int = 5, mode: str = "overwrite") -> None:
-    """Train on the first rows, write the numeric columns of every row with its cluster."""
+def head_job(
+    spark: SparkSession, source: str, target: str, n: int = SAMPLE_ROWS, ks: Sequence[int] = K_RANGE, mode: str = "overwrite", on_missing: str = "error"
+) -> dict[int, float | None]:
+    """Train on the first rows, write the numeric columns of every row with its cluster, return the silhouettes."""
     df = numeric_projection(spark.read.parquet(source))
-    write_parquet(train_on_head(df, df.columns, n, k), target, mode=mode)
+    out, _, scores = search_on_head(df, df.columns, n, ks, on_missing=on_missing)
+    write_parquet(out, target, mode=mode)
+    return scores

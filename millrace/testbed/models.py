@@ -9,6 +9,7 @@ from millrace.operators import learning, sampling
 from millrace.operators.batches import score_batches
 from millrace.operators.quantiles import rank_auc
 from millrace.plans import classify, clustering
+from millrace.session import spread, staged
 from millrace.testbed import fixtures as fx
 from millrace.testbed.registry import query, table
 
@@ -153,11 +154,56 @@ def silhouette_given_centres(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.lit(score), 6).alias("silhouette"))
 
 
-@query("kmeans_search")
+_SAMPLED = f"""
+    WITH p AS (SELECT {', '.join(_FEATURES)}, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS cluster, row_number() OVER () AS id
+      FROM (SELECT *, {_PLACES} FROM lineitem WHERE substr({_HASH}, 1, 16) < '051eb851eb851eb8')),
+    far AS (SELECT x.id, x.cluster, y.cluster AS k, sum(sqrt({' + '.join(f'(x.{c} - y.{c}) * (x.{c} - y.{c})' for c in _FEATURES)})) AS total, count(*) AS n
+      FROM p x, p y GROUP BY ALL),
+    s AS (SELECT id, max(total / nullif(n - 1, 0)) FILTER (k = cluster) AS a, min(total / n) FILTER (k <> cluster) AS b, max(n) FILTER (k = cluster) AS n FROM far GROUP BY id)
+    SELECT count(*) AS n_rows, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s
+"""
+
+
+@query("silhouette_sampled", _SAMPLED)
+def silhouette_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Plain Euclidean silhouette of the rows in the first fiftieth of the key space."""
+    rows = table(spark, d, "lineitem").select(*_KEY, *_FEATURES, learning.nearest_centroid(_FEATURES, _CENTRES).alias("prediction"))
+    return clustering.sampled_silhouette(learning.assemble(rows, _FEATURES), 0.02, _KEY).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("kmeans_search", "SELECT k::INT AS k, n AS n_rows, k::BIGINT AS n_clusters, 0::BIGINT AS n_misplaced, true AS agrees FROM (VALUES (3), (5)) v(k), (SELECT count(*) AS n FROM lineitem)")
 def kmeans_search(spark: SparkSession, d: str) -> DataFrame:
-    """Silhouette of each k over all lineitems, and which k won."""
-    _, best, scores = clustering.kmeans_clusters(table(spark, d, "lineitem").select(*_FEATURES), _FEATURES, ks=(3, 5))
-    return spark.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, silhouette double, is_best boolean")
+    """For each k, the one that won among them: every row sits at the nearest of the fitted centres, and the silhouette is Spark's."""
+    scaled = clustering.scaled_features(table(spark, d, "lineitem").select(*_FEATURES), _FEATURES).select("features")
+    scaled = staged(spread(scaled), "scaled")
+    _, _, scores = learning.search_k(scaled, (3, 5))
+    out = []
+    for k in (3, 5):
+        _, model, own = learning.search_k(scaled, (k,))
+        placed = model.transform(scaled)
+        agrees = F.lit(abs(own[k] - learning.silhouette(placed)) < 1e-9 and own[k] == scores[k])
+        centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+        square = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+        far = placed.select("prediction", vector_to_array("features").alias("x")).withColumn("far", F.transform(centres, square))
+        misplaced = F.count_if(F.get("far", F.col("prediction")) > F.array_min("far") + 1e-9).alias("n_misplaced")
+        counts = F.count(F.lit(1)).alias("n_rows"), F.countDistinct("prediction").alias("n_clusters"), misplaced, F.first(agrees).alias("agrees")
+        out.append(far.agg(*counts).select(F.lit(k).alias("k"), "*"))
+    return out[0].unionByName(out[1])
+
+
+@query(
+    "head_search",
+    "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS n_keys, true AS is_best, 2::BIGINT AS n_scores "
+    "FROM lineitem WHERE l_quantity <> 13 OR l_linenumber <> 1",
+)
+def head_search(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters searched on the first rows; rows with a missing feature are left out."""
+    holes = F.when((F.col("l_quantity") != 13) | (F.col("l_linenumber") != 1), F.col("l_discount")).alias("l_discount")
+    rows = table(spark, d, "lineitem").select(*_KEY, *[holes if c == "l_discount" else c for c in _FEATURES])
+    out, k, scores = clustering.search_on_head(rows, _FEATURES, ks=(3, 5), on_missing="skip")
+    best = F.lit(scores[k] == max(scores.values()))
+    n_keys = F.countDistinct(*_KEY).alias("n_keys")
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), n_keys, F.first(best).alias("is_best"), F.lit(len(scores)).cast("long").alias("n_scores"))
 
 
 @query("kmeans_silhouette")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import batches, boosting, learning
+from millrace.operators import batches, boosting, learning, silhouette
 from millrace.operators.quantiles import rank_auc
 from millrace.plans import classify, clustering
 
@@ -131,3 +131,46 @@ def test_rounds_end_when_held_out_rows_no_longer_gain(noisy):
     assert set(got) == set(range(1, n + 1)) and all(r.n_train + r.n_test == 3000 and r.train_auc is not None for r in got.values())
     whole, _ = classify.gbt_rounds(noisy, "label", ["x", "y"], ["id"], rounds=4)
     assert len(whole.treeWeights) == 4
+
+
+def brute_silhouette(x, cluster, square):
+    far = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    far = far if square else np.sqrt(far)
+    scores = []
+    for i, own in enumerate(cluster):
+        if (cluster == own).sum() == 1:
+            scores.append(0.0)
+            continue
+        a = far[i, cluster == own].sum() / ((cluster == own).sum() - 1)
+        b = min(far[i, cluster == c].mean() for c in set(cluster) - {own})
+        scores.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+    return float(np.mean(scores))
+
+
+@pytest.mark.parametrize("block", [7, 40, 2048])
+def test_silhouettes_against_all_pairs(spark, block):
+    """Clusters of very unlike sizes, one of a single row, repeated rows."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(2, 2, (15, 3)), [[9.0, 9, 9]], np.ones((8, 3))])
+    cluster = np.array([0] * 60 + [3] * 15 + [4] + [7] * 8)
+    rows = spark.createDataFrame([(*map(float, v), int(c)) for v, c in zip(x, cluster, strict=True)], "a double, b double, c double, prediction int")
+    vectors = learning.assemble(rows, ["a", "b", "c"]).repartition(3)
+    got = silhouette.euclidean_silhouette(vectors, block=block).first()
+    assert got.n_rows == len(x) and got.silhouette == pytest.approx(brute_silhouette(x, cluster, False), abs=1e-12)
+    both = vectors.withColumn("p2", (F.col("prediction") > 0).cast("int")).withColumn("one", F.lit(1))
+    found = silhouette.squared_silhouettes(both, ["prediction", "p2", "one"])
+    assert found["prediction"] == pytest.approx(brute_silhouette(x, cluster, True), abs=1e-12) and found["one"] is None
+    assert found["p2"] == pytest.approx(brute_silhouette(x, (cluster > 0).astype(int), True), abs=1e-12)
+    assert silhouette.euclidean_silhouette(both, "one", block=block).first().silhouette is None
+
+
+def test_search_on_the_head(points):
+    holes = points.withColumn("x", F.when(F.col("id") % 10 != 0, F.col("x")))
+    out, k, scores = clustering.search_on_head(holes, ["x", "y"], n=200, ks=(2, 3, 5), on_missing="skip")
+    assert k == 3 and set(scores) == {2, 3, 5} and scores[3] > 0.9
+    assert out.columns == ["id", "x", "y", "label", "cluster"] and out.count() == 810
+    with pytest.raises(ValueError):
+        clustering.search_on_head(points, ["x"], on_missing="keep")
+    moments = learning.moments(points.limit(50), ["x"], population=True)
+    sample = learning.moments(points.limit(50), ["x"])
+    assert moments["__scaled_0"][2] == pytest.approx(sample["__scaled_0"][2] * (49 / 50) ** 0.5)
