@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import text as tx
+from millrace.operators.documents import array_entries
 from millrace.operators.lookup import lookup_join
 from millrace.operators.ordered import LINES_PER_CHUNK, line_chunks, look_back, row_numbers, running_sum
 
@@ -234,19 +235,11 @@ def json_documents(df: DataFrame, key: str, order: str, entry: Sequence[str], na
 
     The lines of a key in (section, sort_key) order, those without a leading comma first, are ``{"<key>":...,"<name>":[...]}``. A key may
     have any number of entries; only the smallest one is looked up, to know where no comma goes. Equal entries of one
-    place share a line; a NULL key is the document of ``null``.
+    place have a line each; a NULL key is the document of ``null``.
     """
-    entries = (
-        df.select(key, F.col(order).alias("sort_key"), F.to_json(F.struct(*entry)).alias("__entry"))
-        .groupBy(key, "sort_key", "__entry").agg(F.count(F.lit(1)).cast("int").alias("__n"))
-    )
-    first = entries.groupBy(key).agg(F.min(F.struct("sort_key", "__entry")).alias("__first"))
-    is_first = F.struct("sort_key", "__entry").eqNullSafe(F.col("__first"))
-    all_equal = F.concat("__entry", F.repeat(F.concat(F.lit(","), "__entry"), F.col("__n") - 1))
-    body = lookup_join(entries, first, [key], null_safe=True).select(
-        key, F.lit(0).alias("section"), "sort_key", F.concat(F.when(is_first, F.lit("")).otherwise(F.lit(",")), all_equal).alias("line")
-    )
+    keyed = df.select(key, F.col(order).alias("sort_key"), F.to_json(F.struct(*entry)).alias("__entry"))
+    body = array_entries(keyed, [key], "sort_key", F.col("__entry")).select(key, F.lit(0).alias("section"), "sort_key", "line")
     as_json = F.to_json(F.struct(key), {"ignoreNullFields": "false"})
     opening = F.concat(F.regexp_replace(as_json, r"\}$", ""), F.lit(f',"{name}":['))
-    edges = first.select(key, _edges([opening], [F.lit("]}")]))
+    edges = df.select(key).distinct().select(key, _edges([opening], [F.lit("]}")]))
     return body.unionByName(edges, allowMissingColumns=True)

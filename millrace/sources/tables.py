@@ -78,3 +78,9 @@ def write_documents(lines: DataFrame, key: str, path: str) -> None:
     order = [key, "section", "sort_key", F.col("line").startswith(","), "line"]
     ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select(key, "line").write.mode("overwrite").partitionBy(key).text(path)
+
+
+def write_ordered(lines: DataFrame, order: Sequence[str], path: str, line: str = "line") -> None:
+    """Write one document's text fragments so that the files of ``path``, by name, hold them in order, NULLs first."""
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select(line).write.mode("overwrite").text(path)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators import projection as pj
 from millrace.operators.batches import count_batches
+from millrace.operators.documents import collected_document
 from millrace.operators.profile import columns_by_type
 from millrace.operators.reports import json_documents, numbered_lines
 from millrace.plans.counting import filter_group_count
 from millrace.plans.silver import silver_reviews
 from millrace.session import work_dir
 from millrace.sources import discovery, inventory, tables
+from millrace.testbed import fixtures as fx
 from millrace.testbed.registry import query, table
 
 ALL_TABLES = (
@@ -107,6 +109,42 @@ def inventory_json(spark: SparkSession, d: str) -> DataFrame:
     return json_documents(runs, "script", "o_orderkey", ["o_orderkey", "o_orderstatus"])
 
 
+_COLLECTED = f"""
+    WITH s AS (SELECT 'op_' || event_type AS name, user_id % 5 + 1 AS run, event_id, user_id FROM events WHERE user_id IS NOT NULL),
+    n AS (SELECT name, row_number() OVER (ORDER BY name) AS i FROM (SELECT DISTINCT name FROM s)),
+    r AS (SELECT name, run, row_number() OVER (PARTITION BY name ORDER BY run) AS i FROM (SELECT DISTINCT name, run FROM s)),
+    l AS (SELECT file AS name, line_no, line FROM ({fx.DUCK_LINES})),
+    t AS (SELECT name, min(line_no) AS least, row_number() OVER (ORDER BY name) AS i FROM l GROUP BY name),
+    f AS (SELECT 'customer.parquet' AS file, (SELECT count(*) FROM customer) AS n, '' AS c UNION ALL SELECT 'orders.parquet', (SELECT count(*) FROM orders), ','),
+    entries AS (SELECT *, row_number() OVER (PARTITION BY name, run ORDER BY event_id) AS i FROM s)
+    SELECT CAST(part AS INT) AS part, name, CAST(run AS BIGINT) AS run, CAST(level AS INT) AS level, CAST(sort_key AS BIGINT) AS sort_key, later, line FROM (
+      SELECT 0 AS part, NULL AS name, NULL AS run, NULL AS level, NULL AS sort_key, NULL AS later, '{{"metrics":{{' AS line
+      UNION ALL SELECT 2, NULL, NULL, NULL, NULL, NULL, '}},' UNION ALL SELECT 3, NULL, NULL, NULL, NULL, NULL, '"reports":{{'
+      UNION ALL SELECT 5, NULL, NULL, NULL, NULL, NULL, '}},' UNION ALL SELECT 6, NULL, NULL, NULL, NULL, NULL, '"files":['
+      UNION ALL SELECT 8, NULL, NULL, NULL, NULL, NULL, ']}}'
+      UNION ALL SELECT 1, name, NULL, -2, NULL, false, CASE WHEN i > 1 THEN ',' ELSE '' END || '"' || name || '":[' FROM n
+      UNION ALL SELECT 1, name, 9223372036854775807, 2, NULL, false, ']' FROM n
+      UNION ALL SELECT 1, name, run, -1, NULL, false, CASE WHEN i > 1 THEN ',' ELSE '' END || '{{"run":' || run || ',"data":[' FROM r
+      UNION ALL SELECT 1, name, run, 1, NULL, false, ']}}' FROM r
+      UNION ALL SELECT 1, name, run, 0, event_id, i > 1, CASE WHEN i > 1 THEN ',' ELSE '' END || '{{"event_id":' || event_id || ',"user_id":' || user_id || '}}' FROM entries
+      UNION ALL SELECT 4, name, NULL, -1, NULL, false, CASE WHEN i > 1 THEN ',' ELSE '' END || '"' || name || '":"' FROM t
+      UNION ALL SELECT 4, name, NULL, 1, NULL, false, '"' FROM t
+      UNION ALL SELECT 4, l.name, NULL, 0, line_no, false, CASE WHEN line_no > least THEN '\\n' ELSE '' END || line FROM l JOIN t ON l.name = t.name
+      UNION ALL SELECT 7, NULL, NULL, 0, NULL, c = ',', c || '{{"file":"' || file || '","n_rows":' || n || '}}' FROM f)
+"""
+
+
+@query("collected_document", _COLLECTED)
+def collected_document_query(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of runs, report texts and the inventory of two tables, as the fragments of one document."""
+    samples = table(spark, d, "events").select(
+        F.concat(F.lit("op_"), "event_type").alias("name"), (F.col("user_id") % 5 + 1).alias("run"), "event_id", "user_id"
+    )
+    lines = fx.report_lines(spark, d).select(F.col("file").alias("name"), "line_no", "line")
+    found = inventory.file_inventory(spark, [f"{d}/customer.parquet", f"{d}/orders.parquet"])
+    return collected_document(samples, ["event_id", "user_id"], "event_id", lines, found, ["file", "n_rows"])
+
+
 @query(
     "partial_final_count",
     "SELECT l_returnflag, count(*) AS n_rows FROM lineitem WHERE l_extendedprice > 0 GROUP BY l_returnflag",

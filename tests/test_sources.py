@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from millrace.operators import reports, telemetry as tm
+from millrace.operators import documents, reports, telemetry as tm
 from millrace.plans.telemetry_report import good_samples
 from millrace.session import staged, work_dir
 from millrace.sources import discovery, inventory, tables, text
@@ -135,6 +136,32 @@ def test_json_documents_are_valid(spark, tmp_path):
     }
 
 
+def test_a_document_of_three_sources(spark, tmp_path):
+    """Quotes and line ends in names and texts, equal samples, runs without name, NULL lines; then no rows at all."""
+    samples = spark.createDataFrame(
+        [('a"1', 2, 1, "x"), ('a"1', 10, 1, "y"), ('a"1', 2, 0, "z"), ('a"1', 2, 1, "x"), ("b", 1, 5, None), (None, 1, 1, "no"), ("b", None, 1, "no")],
+        "name string, run int, t bigint, v string",
+    )
+    lines = spark.createDataFrame([("r", 3, 'say "hi"\t'), ("r", 4, None), ("r", 5, "\\\\ end"), ("s", 0, "ñ"), (None, 1, "no")], "name string, line_no bigint, line string")
+    files = spark.createDataFrame([("p/x.parquet", 5), ("p/x.parquet", 5), ("p/a.parquet", None)], "path string, n_rows bigint")
+
+    def written(*sources):
+        out = str(tmp_path / f"doc{len(list(tmp_path.iterdir()))}")
+        tables.write_ordered(documents.collected_document(sources[0], ["t", "v"], "t", sources[1], sources[2], ["path", "n_rows"]), documents.ORDER, out)
+        return json.loads("".join("".join(p.read_text().splitlines()) for p in sorted(Path(out).glob("part-*"))))
+
+    a, b = {"path": "p/a.parquet", "n_rows": None}, {"path": "p/x.parquet", "n_rows": 5}
+    assert written(samples, lines, files) == {
+        "metrics": {
+            'a"1': [{"run": 2, "data": [{"t": 0, "v": "z"}, {"t": 1, "v": "x"}, {"t": 1, "v": "x"}]}, {"run": 10, "data": [{"t": 1, "v": "y"}]}],
+            "b": [{"run": 1, "data": [{"t": 5}]}],
+        },
+        "reports": {"r": 'say "hi"\t\n\n\\\\ end', "s": "ñ"},
+        "files": [a, b, b],
+    }
+    assert written(samples.limit(0), lines.limit(0), files.limit(0)) == {"metrics": {}, "reports": {}, "files": []}
+
+
 def test_tables_in_every_style(spark):
     df = spark.createDataFrame([("meta", "w2", 2.0), ("meta", "w1", None)], "kind string, name string, v double")
     for style in reports.FORMATS:
