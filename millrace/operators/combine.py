@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.lookup import lookup_join
+from millrace.session import staged
 
 
 def union_same(frames: Sequence[DataFrame]) -> DataFrame:
@@ -20,28 +21,30 @@ def union_ragged(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int) -> list:
-    """Keys holding at least ``min_rows`` rows, largest first.
+def hot_salts(df: DataFrame, key: str, rows_per_salt: int) -> DataFrame:
+    """(key, salts) of keys with more than ``rows_per_salt`` rows: how many parts of at most about so many rows each.
 
-    Counting combines map-side, so the shuffle carries one row per key and task. At most
-    rows / ``min_rows`` keys can qualify, which bounds the list.
+    Counting combines map-side, so the shuffle carries one row per key and task, and at most rows / ``rows_per_salt`` keys remain.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_rows) & F.col(key).isNotNull())
-    return [r[0] for r in counts.orderBy(F.desc("n")).collect()]
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_salt)
+    return counts.select(key, F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, hot: Sequence) -> DataFrame:
-    """Inner equi-join that keeps the named hot keys of ``big`` out of the shuffle.
+def skew_join(big: DataFrame, small: DataFrame, key: str, rows_per_salt: int) -> DataFrame:
+    """Inner equi-join that spreads the hot keys of ``big`` over salts.
 
-    Rows of hot keys meet the few matching rows of ``small``, written first so that Catalyst knows their size;
-    all other rows join as usual. Without hot keys it is a plain join.
+    A row of ``big`` with a hot key takes one of the key's salts by a hash of the whole row; the rows of ``small`` with that key
+    are repeated for each of its salts, so every pair meets once. Rows of other keys have salt 0. Both sides are
+    shuffled once, by (key, salt); the table of hot keys is joined, not fetched. Equal rows of ``big`` share a salt.
     """
-    if not hot:
-        return big.join(small, key)
-    is_hot = F.col(key).isin(list(hot))
-    rest = big.where(~is_hot).join(small.where(~is_hot), key)
-    heavy = lookup_join(big.where(is_hot), small.where(is_hot), [key])
-    return rest.unionByName(heavy)
+    hot = staged(hot_salts(big, key, rows_per_salt), "hot")
+    salts = F.coalesce("__salts", F.lit(1))
+    hot = hot.withColumnRenamed("salts", "__salts")
+    plain = [c for c, kind in big.dtypes if not kind.startswith(("map", "variant"))]
+    salted = big.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*plain), salts).cast("int")).drop("__salts")
+    copies = F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt")
+    repeated = small.join(hot, key, "left").select(*small.columns, copies)
+    return salted.join(repeated, [key, "__salt"]).drop("__salt")
 
 
 def reindex(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import clean
-from millrace.operators.combine import hot_keys, skew_join, union_same
+from millrace.operators.combine import skew_join, union_same
 from millrace.operators.impute import fill_constants, impute_means
 from millrace.operators.projection import sorted_columns
 from millrace.sources.tables import read_categories, write_parquet
@@ -43,7 +43,7 @@ MEAN_FILL = [
 ]
 DROPPED = ["title", "timestamp", "parent_asin"]
 
-HOT_ROWS = 10_000_000  # reviews of one product from which on the job keeps them out of the shuffle
+HOT_ROWS = 10_000_000  # reviews of one product from which on the job spreads them over salts
 
 
 def clean_meta(df: DataFrame, category: str | Column) -> DataFrame:
@@ -66,13 +66,8 @@ def clean_meta(df: DataFrame, category: str | Column) -> DataFrame:
 
 def clean_reviews(df: DataFrame) -> DataFrame:
     """Silver reviews with a flag and a timestamp; 5 columns."""
-    return (
-        df.withColumnRenamed("title", "title_review")
-        .withColumns(
-            {"verified_purchase": clean.flag(F.col("verified_purchase")), "timestamp": clean.from_millis("timestamp")}
-        )
-        .select(*REVIEW_COLUMNS)
-    )
+    computed = {"verified_purchase": clean.flag(F.col("verified_purchase")), "timestamp": clean.from_millis("timestamp")}
+    return df.select(*[computed[c].alias(c) if c in computed else c for c in REVIEW_COLUMNS])
 
 
 def gold_join(
@@ -81,12 +76,12 @@ def gold_join(
     """Products joined with their reviews.
 
     A product with very many reviews is split by AQE's skew join. With ``hot_rows`` such products are
-    found beforehand, by a counting pass over the key column, and their reviews are not shuffled.
+    found beforehand, by a counting pass over the key column, and joined in parts of at most about so many reviews.
     """
     left, right = clean_meta(meta, category), clean_reviews(reviews)
     if hot_rows is None:
         return left.join(right, KEY)
-    return skew_join(right, left, KEY, hot_keys(reviews, KEY, hot_rows)).select(*META_COLUMNS, *REVIEW_COLUMNS[1:])
+    return skew_join(right, left, KEY, hot_rows).select(*META_COLUMNS, *REVIEW_COLUMNS[1:])
 
 
 def gold_table(

@@ -30,6 +30,15 @@ def session(app: str = "millrace", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def derived_session(spark: SparkSession, changes: dict[str, str]) -> SparkSession:
+    """A session of the same application with the settings of ``spark`` and some ``changes``; ``spark`` keeps its own."""
+    derived = spark.newSession()
+    for key, value in {**spark.conf.getAll, **changes}.items():
+        if derived.conf.isModifiable(key) and derived.conf.get(key, None) != value:
+            derived.conf.set(key, value)
+    return derived
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 

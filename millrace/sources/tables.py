@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.operators.telemetry import TELEMETRY
+from millrace.session import derived_session, staged
 
 
 def read_parquet(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -17,11 +18,12 @@ def read_parquet(spark: SparkSession, *paths: str, columns: Sequence[str] | None
 def read_parallel(spark: SparkSession, path: str, tasks: int) -> DataFrame:
     """Parquet scan asked to run as at least ``tasks`` tasks, without a shuffle.
 
-    Splitting is a session setting, so it also holds for later scans until it is changed. Row groups
-    are the smallest unit; ``repartition`` after the scan is the way to go beyond them.
+    How a scan is split is a setting of the session it belongs to, so the scan gets a session of its own, with the same
+    settings otherwise; the given one and its other scans stay as they are. Small files are split as well. Row groups are the
+    smallest unit; ``repartition`` after the scan is the way to go beyond them.
     """
-    spark.conf.set("spark.sql.files.minPartitionNum", tasks)
-    return spark.read.parquet(path)
+    changes = {"spark.sql.files.minPartitionNum": str(tasks), "spark.sql.files.openCostInBytes": "1"}
+    return derived_session(spark, changes).read.parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None) -> DataFrame:
@@ -53,8 +55,15 @@ def numbers(spark: SparkSession, n: int, tasks: int | None = None) -> DataFrame:
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", files: int | None = None,
-                  partition_by: Sequence[str] = ()) -> None:
-    """``mode='append'`` adds to what is there; ``files`` sets the number of output files."""
+                  partition_by: Sequence[str] = (), target_bytes: int | None = None) -> None:
+    """``mode='append'`` adds to what is there; ``files`` sets the number of output files, ``target_bytes`` their size.
+
+    For a target size the rows are written once as they come, which tells their size as Parquet, and then dealt evenly over as many
+    files as that needs, whatever keys they have. Rows of very unlike sizes make files of unlike sizes.
+    """
+    if target_bytes is not None:
+        df = staged(df, "sized")
+        files = max(1, round(bytes_below(df.sparkSession, df.inputFiles()) / target_bytes))
     out = df.repartition(files) if files else df
     writer = out.write.mode(mode)
     if partition_by:
@@ -62,6 +71,15 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", files: int
     writer.parquet(path)
 
 
+def bytes_below(spark: SparkSession, files: Sequence[str]) -> int:
+    """Bytes of all files in the folders of the given ones."""
+    total = 0
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

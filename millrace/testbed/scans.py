@@ -77,6 +77,28 @@ def repartitioned_write(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_files", files)
 
 
+@query(
+    "target_sized_write",
+    "SELECT kind, count(*) AS n_rows, true AS near_target, CASE WHEN kind = 'hot' THEN 1 ELSE count(DISTINCT l_partkey) END AS n_keys "
+    "FROM lineitem, (VALUES ('hot'), ('as_is')) v(kind) GROUP BY kind",
+)
+def target_sized_write(spark: SparkSession, d: str) -> DataFrame:
+    """Files of an eighth of the table's size, from rows as they are and from rows of one key. Sizes may be off by a factor of two."""
+    rows = table(spark, d, "lineitem").drop("l_shipdate")
+    out = []
+    for kind, source in (("as_is", rows), ("hot", rows.withColumn("l_partkey", F.lit(7).cast("bigint")))):
+        root = work_dir(spark, kind)
+        tables.write_parquet(source, f"{root}/one", files=1)
+        target = tables.bytes_below(spark, spark.read.parquet(f"{root}/one").inputFiles()) // 8
+        tables.write_parquet(source, f"{root}/sized", target_bytes=target)
+        sizes = inventory.list_files(spark, [inventory.resolved(spark, f"{root}/sized")]).where("path LIKE '%.parquet'")
+        near = sizes.agg(F.bool_and(F.col("size_bytes").between(target / 2, target * 2))).scalar()
+        back = spark.read.parquet(f"{root}/sized")
+        counts = F.count(F.lit(1)).alias("n_rows"), F.count_distinct("l_partkey").alias("n_keys")
+        out.append(back.agg(*counts).select(F.lit(kind).alias("kind"), "n_rows", near.alias("near_target"), "n_keys"))
+    return out[0].unionByName(out[1])
+
+
 @query("silver_reviews_passthrough", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def silver_reviews_passthrough(spark: SparkSession, d: str) -> DataFrame:
     path = work_dir(spark, "passthrough")

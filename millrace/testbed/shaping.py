@@ -407,7 +407,7 @@ def gold_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gold_join_hot", DUCK_GOLD)
 def gold_join_hot(spark: SparkSession, d: str) -> DataFrame:
-    """The same with products of at least 40 reviews kept out of the shuffle."""
+    """The same with products of more than 40 reviews spread over salts."""
     return gold_frame(spark, d, hot_rows=40).withColumn("millis", F.unix_millis("timestamp")).drop("timestamp")
 
 

@@ -46,12 +46,30 @@ def test_hot_products_change_nothing(spark):
     meta = spark.range(20).select(F.col("id").cast("string").alias("k"), (F.col("id") * 10).alias("v"))
     hot = F.when(F.col("id") % 3 > 0, F.lit("7")).when(F.col("id") % 5 == 0, F.lit(None)).otherwise((F.col("id") % 25).cast("string"))
     reviews = spark.range(2_000).select(hot.alias("k"), "id")
-    keys = combine.hot_keys(reviews, "k", 500)
-    assert keys == ["7"]
-    split = combine.skew_join(reviews, meta, "k", keys).select("k", "id", "v")
+    assert [tuple(r) for r in combine.hot_salts(reviews, "k", 500).collect()] == [("7", 3)]
+    assert combine.hot_salts(reviews, "k", 10**6).collect() == []
     plain = reviews.join(meta, "k").select("k", "id", "v")
-    assert split.exceptAll(plain).count() == plain.exceptAll(split).count() == 0
-    assert combine.hot_keys(reviews, "k", 10**6) == []
+    for rows in (500, 3, 10**6):
+        split = combine.skew_join(reviews, meta, "k", rows).select("k", "id", "v")
+        assert split.exceptAll(plain).count() == plain.exceptAll(split).count() == 0
+
+
+def test_a_hot_key_is_dealt_over_salts(spark):
+    """One key of all rows: no partition of the join has more than its share, and the plan holds no list of keys."""
+    meta = spark.range(5).select(F.col("id").cast("string").alias("k"), "id")
+    reviews = spark.range(8_000).select(F.lit("3").alias("k"), F.col("id").alias("r"))
+    joined = combine.skew_join(reviews, meta, "k", 100)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 8_000 and max(sizes) < 3_000
+    assert " IN (" not in joined._jdf.queryExecution().toString()
 
 
 def test_gold_categories_stack(spark, sf_dir):

@@ -172,6 +172,29 @@ def test_tables_in_every_style(spark):
     assert [r.line for r in markdown.collect()] == ["# Meta", "| Name |", "|---|", "| w1 |", "| w2 |"]
 
 
+def test_a_parallel_scan_keeps_its_setting_to_itself(spark, tmp_path):
+    setting = "spark.sql.files.minPartitionNum"
+    spark.range(40_000).repartition(1).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    before = spark.conf.get(setting, None)
+    scan = tables.read_parallel(spark, str(tmp_path / "t"), 16)
+    assert scan.rdd.getNumPartitions() >= 12 and scan.count() == 40_000
+    assert spark.conf.get(setting, None) == before and scan.sparkSession.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    plain = spark.read.parquet(str(tmp_path / "t"))
+    assert plain.rdd.getNumPartitions() < 12
+    assert scan.join(plain, "id").count() == 40_000
+
+
+def test_files_of_a_target_size(spark, tmp_path):
+    """From one hot key as well; appended files too, and a target above the whole size."""
+    for key in ("id", "1"):
+        rows = spark.range(60_000).selectExpr(f"{key} AS k", "uuid() AS a", "uuid() AS b")
+        tables.write_parquet(rows, str(tmp_path / key), target_bytes=500_000)
+        sizes = [p.stat().st_size for p in (tmp_path / key).glob("*.parquet")]
+        assert len(sizes) > 4 and all(250_000 < s < 1_000_000 for s in sizes) and spark.read.parquet(str(tmp_path / key)).count() == 60_000
+    tables.write_parquet(rows.limit(10), str(tmp_path / "1"), mode="append", target_bytes=10**9)
+    assert len(list((tmp_path / "1").glob("*.parquet"))) == len(sizes) + 1
+
+
 def test_staging_uses_the_configured_folder(spark):
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
     assert staged(spark.range(5), "five").count() == 5
