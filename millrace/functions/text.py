@@ -47,6 +47,17 @@ def sections(c: Column, pattern: str = SECTION, groups: Sequence[str] = ("title"
     )
 
 
+def folder_facts(path: Column, below: str = "images") -> dict[str, Column]:
+    """What the places of a file's folders say: ``dataset_name`` is the folder that lies in the first one named ``below``, and
+    ``operation_type`` the third word of the name of the folder two above the file. NULL where there is no such folder."""
+    parts = F.split(path, "/")
+    marker = F.array_position(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), below).cast("int")
+    return {
+        "dataset_name": F.when(marker > 0, F.try_element_at(parts, marker + 1)),
+        "operation_type": token(F.try_element_at(parts, F.lit(-3)), 2),
+    }
+
+
 def path_facts(path: Column) -> dict[str, Column]:
     """Framework, run number and category named by a path, and its last part."""
     parts = F.split(path, "/")

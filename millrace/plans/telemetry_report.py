@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.operators import telemetry as tm
 from millrace.operators.combine import reindex
 from millrace.session import staged
-from millrace.sources.tables import read_telemetry, write_csv
+from millrace.sources.tables import write_csv
+from millrace.sources.telemetry import read_telemetry
+
+
+def parsed_samples(raw: DataFrame) -> DataFrame:
+    """All samples as numbers; the text is parsed once, and what later passes need is a written table."""
+    missing = tm.missing_columns(raw, ("source", "name", "timestamp", "cpu_perc", "mem_usage"))
+    if missing:
+        raise ValueError(f"telemetry lacks {missing}")
+    return staged(tm.parse_telemetry(raw).select("source", "timestamp", "name", *tm.METRICS), "samples")
 
 
 def gated_samples(raw: DataFrame) -> DataFrame:
@@ -26,11 +35,13 @@ def good_samples(raw: DataFrame) -> DataFrame:
 
 
 def container_report(raw: DataFrame, order: Sequence[str] = tuple(tm.CONTAINER_ORDER)) -> DataFrame:
-    """One row per listed container with all statistics; containers without samples have NULLs.
+    """One row per listed container with all statistics; containers without samples have NULLs."""
+    return report_of(parsed_samples(raw), order)
 
-    The statistics need several passes, so the text is parsed and gated once and the numbers staged.
-    """
-    numbers = staged(gated_samples(raw).select("name", *tm.METRICS), "samples")
+
+def report_of(samples: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The same from parsed samples, which the gate and each pass of the statistics read again."""
+    numbers = tm.keep_good(samples).select("name", *tm.METRICS)
     return reindex(tm.wide_stats(tm.container_stats(numbers)), "name", order)
 
 
@@ -46,7 +57,7 @@ def telemetry_job(
 
     Sources that fail the gate are skipped; ``failures`` is where their broken rules are written.
     """
-    raw = read_telemetry(spark, source)
+    samples = parsed_samples(read_telemetry(spark, source))
     if failures:
-        write_csv(tm.failed_rules(tm.parse_telemetry(raw)), failures)
-    write_csv(container_report(raw, order), target)
+        write_csv(tm.failed_rules(samples), failures)
+    write_csv(report_of(samples, order), target)

@@ -93,15 +93,19 @@ def parquet_contents(path: str) -> tuple[int | None, int]:
         return found.metadata.num_rows, len(found.schema_arrow.names)
 
 
-def csv_contents(path: str) -> tuple[int | None, int]:
-    """Columns from a file's first line; rows are counted elsewhere."""
+def first_cells(path: str) -> list[str]:
+    """Cells of a CSV file's first line; none of an empty file."""
     files, place, _ = _place(path)
     head = b""
     with files.open_input_file(place) as file:
         while b"\n" not in head and (piece := file.read(HEADER_BYTES)):
             head += piece
-    first = next(csv.reader([head.split(b"\n")[0].decode("utf-8-sig", "replace")]), [])
-    return None, len(first)
+    return next(csv.reader([head.split(b"\n")[0].decode("utf-8-sig", "replace")]), [])
+
+
+def csv_contents(path: str) -> tuple[int | None, int]:
+    """Columns from a file's first line; rows are counted elsewhere."""
+    return None, len(first_cells(path))
 
 
 _READ = {"parquet": parquet_contents, "csv": csv_contents}

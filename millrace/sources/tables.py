@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from millrace.operators.telemetry import TELEMETRY
 from millrace.session import derived_session, staged
 
 
@@ -33,14 +32,6 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
     return reader.csv(path)
 
 
-def read_telemetry(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Telemetry CSV files with or without a header line, with ``source`` = file name. Rows without a timestamp stay, for the gate."""
-    raw = spark.read.schema(TELEMETRY).option("recursiveFileLookup", True).csv(path)
-    return raw.withColumn("source", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).where(
-        ~F.col("timestamp").eqNullSafe(F.lit("timestamp"))
-    )
-
-
 def read_categories(spark: SparkSession, template: str, categories: Sequence[str]) -> dict[str, DataFrame]:
     """One frame per category from a path template."""
     return {c: spark.read.parquet(template.format(c)) for c in categories}

@@ -14,6 +14,7 @@ from millrace.operators.profile import binary_columns, column_profile, describe_
 from millrace.operators.quantiles import boxplot_numbers
 from millrace.plans import telemetry_report, timing
 from millrace.session import staged, work_dir
+from millrace.sources import telemetry
 from millrace.streaming import ingest, runs as stream
 from millrace.testbed import fixtures as fx
 from millrace.testbed.registry import query, table
@@ -537,3 +538,47 @@ def stream_runs(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("monitor", "operation", "input_file", "run").agg(
         F.count(F.lit(1)).alias("n_samples"), F.min("event_id").alias("least_id"), F.max("event_id").alias("largest_id")
     )
+
+
+_FILED = {
+    "dataset": "CASE WHEN user_id % 2 = 0 THEN '00_AMZN_Spark_Raw' ELSE '01_AMZN_Ray_Model' END",
+    "folder": "CASE WHEN user_id % 3 = 0 THEN '05_Spark_EDA_meta_Toys_stats' ELSE '06_Spark_Join_x' END",
+    "run": "'run' || CAST(user_id % 4 + 1 AS STRING)",
+}
+
+
+@query(
+    "telemetry_files",
+    f"""
+    WITH files AS (SELECT *, {", ".join(f"{e} AS {n}_" for n, e in _FILED.items())} FROM events)
+    SELECT dataset_ AS dataset_name, CASE WHEN folder_ LIKE '05%' THEN 'EDA' ELSE 'Join' END AS operation_type,
+      CASE WHEN dataset_ LIKE '%Spark%' OR folder_ LIKE '%Spark%' AND dataset_ NOT LIKE '%Ray%' THEN 'Spark' ELSE 'Ray' END AS framework,
+      CAST(replace(run_, 'run', '') AS INT) AS run_number, CASE WHEN folder_ LIKE '05%' THEN 'Toys' ELSE 'General' END AS category,
+      count(*) AS n_rows, round(avg(value), 4) AS cpu_mean, 1::BIGINT AS n_folders
+    FROM files GROUP BY ALL
+    """,
+)
+def telemetry_files(spark: SparkSession, d: str) -> DataFrame:
+    """Telemetry files of equal names in the folders of several runs, half of them without header and the others with their columns
+    in another order; what a file belongs to is read off its path."""
+    root = f"{work_dir(spark, 'filed')}/images"
+    events = table(spark, d, "events")
+    cpu = F.concat(F.col("value").cast("string"), F.lit("%")).alias("cpu_perc")
+    names = [f.name for f in tm.TELEMETRY.fields]
+    filled = {c: F.lit("x").alias(c) for c in names if c not in ("timestamp", "cpu_perc", "name")}
+    stamp = F.date_format("ts", "yyyyMMdd_HHmmss").alias("timestamp")
+    places = [F.expr(e).alias(n) for n, e in _FILED.items()]
+    rows = events.select("user_id", stamp, F.lit("spark-master").alias("name"), cpu, *filled.values(), *places)
+    for header, kept in ((True, "user_id % 5 < 2"), (False, "user_id % 5 >= 2")):
+        order = names[::-1] if header else names
+        out = rows.where(kept).repartition(4, "run").select(*order, *_FILED)
+        out.write.mode("append").option("header", header).partitionBy(*_FILED).csv(root)
+    found = telemetry.read_telemetry(spark, root)
+    facts = {**tx.folder_facts(F.col("path")), **tx.path_facts(F.col("path"))}
+    parsed = tm.parse_telemetry(found).withColumns({n: c for n, c in facts.items() if n != "file_name"})
+    groups = ["dataset_name", "operation_type", "framework", "run_number", "category"]
+    named = parsed.withColumn("dataset_name", F.element_at(F.split("dataset_name", "="), -1))
+    return named.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("cpu_perc"), 4).alias("cpu_mean"),
+        F.count_distinct(F.regexp_extract("source", "^(.*)/", 1)).alias("n_folders"),
+    )

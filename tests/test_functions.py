@@ -86,6 +86,13 @@ def test_pattern_chain_and_classes(spark):
     assert values(spark, lambda c: tx.classify(c, rules, "Meta"), ["EDA Reviews", "Reviews", "?"]) == ["EDA", "R", "Meta"]
 
 
+def test_folder_facts(spark):
+    paths = ["/data/images/00_AMZN_Spark_X/05_Y_EDA_meta/run1/c.csv", "images/a_b/c.csv", "c.csv", "/x/images/c.csv", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    rows = df.select("i", *[c.alias(n) for n, c in tx.folder_facts(F.col("p")).items()]).orderBy("i").collect()
+    assert [(r.dataset_name, r.operation_type) for r in rows] == [("00_AMZN_Spark_X", "EDA"), ("a_b", None), (None, None), (None, None), (None, None)]
+
+
 def test_path_facts(spark):
     path = "data/images/00_Spark_Preproc/meta/Books/run3_meta_Toys_and_Games_stats.csv"
     df = spark.createDataFrame([(path,), ("other/file.csv",)], "p string")

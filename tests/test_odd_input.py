@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators import learning, quantiles, reports, telemetry as tm
 from millrace.plans import clustering, telemetry_report, timing
 from millrace.session import drop_staged, staged, staged_so_far
-from millrace.sources import discovery, tables
+from millrace.sources import discovery, tables, telemetry
 
 
 def test_null_is_a_group(spark):
@@ -53,7 +53,7 @@ def test_rows_without_a_timestamp_reach_the_gate(spark, tmp_path):
     stamps = ["20250617_115321", "20250617_115322", ""]
     (tmp_path / "bad.csv").write_text("".join(s + rest.format(1) for s in stamps))
     (tmp_path / "good.csv").write_text("timestamp,a,name,b,c,d,e,f,g\n" + "".join(s + rest.format(2) for s in stamps[:2]))
-    raw = tables.read_telemetry(spark, str(tmp_path))
+    raw = telemetry.read_telemetry(spark, str(tmp_path))
     assert raw.count() == 5
     good = telemetry_report.gated_samples(raw)
     assert {r.source for r in good.collect()} == {"good.csv"} and good.first().mem_perc == 5.0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import documents, reports, telemetry as tm
 from millrace.plans.telemetry_report import good_samples
 from millrace.session import staged, work_dir
-from millrace.sources import discovery, inventory, tables, text
+from millrace.sources import discovery, inventory, tables, telemetry, text
 
 HEADER = "timestamp,container_id,name,cpu_perc,mem_usage,mem_perc,net_io,block_io,pids"
 
@@ -17,7 +17,7 @@ def test_telemetry_with_and_without_header(spark, tmp_path):
     line = "20250617_11532{},c1,spark-worker-1,{}%,512MiB / 10GiB,5%,0B / 0B,0B / 0B,8"
     (tmp_path / "a__run1.csv").write_text("\n".join([HEADER, line.format(1, 10), line.format(2, 20)]) + "\n")
     (tmp_path / "b__run2.csv").write_text("\n".join([line.format(3, 30), line.format(4, "x")]) + "\n")
-    raw = tables.read_telemetry(spark, str(tmp_path))
+    raw = telemetry.read_telemetry(spark, str(tmp_path))
     assert sorted((r.source, r.cpu_perc) for r in raw.collect()) == [
         ("a__run1.csv", "10%"), ("a__run1.csv", "20%"), ("b__run2.csv", "30%"), ("b__run2.csv", "x%")
     ]
@@ -25,6 +25,25 @@ def test_telemetry_with_and_without_header(spark, tmp_path):
     assert [(r.cpu_perc, r.mem_used_GB, round(r.elapsed_minutes * 60, 6)) for r in good] == [(10.0, 0.5, 0.0), (20.0, 0.5, 1.0)]
 
 
+def test_files_of_equal_names_in_two_runs(spark, tmp_path):
+    """Folders of odd names, a header in another order and with fewer columns, one repeated in the middle, and none."""
+    line = "20250617_11532{},c1,w,{}%,512MiB / 10GiB,5%,0B / 0B,0B / 0B,8"
+    for run, lines in {
+        "run 1+": [HEADER, line.format(1, 10), HEADER, line.format(2, 20)],
+        "run%202": [line.format(3, 30)],
+        "run3": ["cpu_perc,timestamp,mem_usage,name", "40%,20250617_115324,1GiB / 2GiB,w"],
+        "run4": [],
+    }.items():
+        (tmp_path / "images" / run).mkdir(parents=True)
+        (tmp_path / "images" / run / "c.csv").write_text("\n".join(lines))
+    raw = telemetry.read_telemetry(spark, str(tmp_path / "images"))
+    got = sorted((r.source, r.timestamp[-1], r.cpu_perc, r.name, r.pids) for r in raw.collect())
+    assert got == [("run 1+/c.csv", "1", "10%", "w", "8"), ("run 1+/c.csv", "2", "20%", "w", "8"), ("run%202/c.csv", "3", "30%", "w", "8"), ("run3/c.csv", "4", "40%", "w", None)]
+    assert {r.path for r in raw.collect()} == {f"file://{tmp_path}/images/{s}" for s in ("run 1+/c.csv", "run%202/c.csv", "run3/c.csv")}
+    two = telemetry.read_telemetry(spark, [str(tmp_path / "images" / "run%202"), str(tmp_path / "images" / "run3" / "c.csv")])
+    assert sorted(r.source for r in two.collect()) == ["run%202/c.csv", "run3/c.csv"]
+
+
 def test_quality_gate_reasons(spark, tmp_path):
     rows = [
         ("one", "20250101_000000", "1%", "1GiB / 2GiB"),
