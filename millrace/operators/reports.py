@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -175,7 +176,7 @@ def timing_summary(df: DataFrame, groups: Sequence[str] = ("folder", "dataset"))
     )
 
 
-# How one row, the header and the closing lines look in each output format.
+# How one row, the header and the closing lines look in each output format, and what a cell may not hold as it is.
 _ROW = {
     "markdown": ("| ", " | ", " |"),
     "latex": ("", " & ", " \\\\\\hline"),
@@ -183,28 +184,54 @@ _ROW = {
     "plain": ("", "  ", ""),
 }
 FORMATS = sorted(_ROW)
+_SPECIAL = {
+    "markdown": {"\\": "\\\\", "|": "\\|", "\r\n": "<br>", "\n": "<br>", "\r": "<br>"},
+    "latex": {
+        "\\": "\\textbackslash{}", "&": "\\&", "%": "\\%", "$": "\\$", "#": "\\#", "_": "\\_", "{": "\\{", "}": "\\}",
+        "~": "\\textasciitilde{}", "^": "\\textasciicircum{}", "\n": " ", "\r": " ",
+    },
+    "html": {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"},
+    "plain": {"\n": " ", "\r": " "},
+}
+
+
+def escaped(c: Column, style: str) -> Column:
+    """Text that a format shows as it is: every special character replaced once, none of a replacement again."""
+    special = _SPECIAL[style]
+    found = F.regexp_extract_all(c, F.lit("(?s)" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + "|."), F.lit(0))
+    pairs = F.create_map(*[F.lit(x) for pair in special.items() for x in pair])
+    # most cells hold nothing special
+    plain = ~c.rlike("|".join(re.escape(s) for s in special))
+    return F.when(plain, c).otherwise(F.array_join(F.transform(found, lambda x: F.coalesce(F.try_element_at(pairs, x), x)), ""))
 
 
 def _line(cells: Sequence[Column], style: str) -> Column:
     start, between, end = _ROW[style]
-    shown = [F.coalesce(c.cast("string"), F.lit("-")) for c in cells]
+    shown = [escaped(F.coalesce(c.cast("string"), F.lit("-")), style) for c in cells]
     return F.concat(F.lit(start), F.concat_ws(between, *shown), F.lit(end))
 
 
-def _frame(style: str, headers: Sequence[str], title: Column) -> tuple[list[Column], list[Column]]:
+def _frame(style: str, headers: Sequence[str], title: Column, label: Column | None, note: str | None) -> tuple[list[Column], list[Column]]:
     names = _line([F.lit(h) for h in headers], style)
+    title = escaped(title, style)
+    noted = escaped(F.lit(note), style) if note is not None else None
     if style == "markdown":
-        return [F.concat(F.lit("# "), title), names, F.lit("|" + "---|" * len(headers))], []
+        foot = [F.lit(""), F.concat(F.lit("*"), noted, F.lit("*"))] if note is not None else []
+        return [F.concat(F.lit("# "), title), names, F.lit("|" + "---|" * len(headers))], foot
     if style == "latex":
+        labelled = [F.concat(F.lit("\\label{tab:"), label, F.lit("}"))] if label is not None else []
+        foot = [F.lit("\\smallskip"), F.concat(F.lit("\\textit{Note. "), noted, F.lit("}"))] if note is not None else []
         return [
             F.lit("\\begin{table}[ht]"),
             F.concat(F.lit("\\caption{"), title, F.lit("}")),
+            *labelled,
             F.lit("\\begin{tabular}{|" + "c|" * len(headers) + "}"),
             names,
-        ], [F.lit("\\end{tabular}"), F.lit("\\end{table}")]
+        ], [F.lit("\\end{tabular}"), F.lit("\\end{table}"), *foot]
     if style == "html":
-        return [F.concat(F.lit("<h1>"), title, F.lit("</h1>")), F.lit("<table>"), names], [F.lit("</table>")]
-    return [title, names], []
+        foot = [F.concat(F.lit("<p>"), noted, F.lit("</p>"))] if note is not None else []
+        return [F.concat(F.lit("<h1>"), title, F.lit("</h1>")), F.lit("<table>"), names], [F.lit("</table>"), *foot]
+    return [title, names], [noted] if note is not None else []
 
 
 def _edges(head: Sequence[Column], foot: Sequence[Column]) -> Column:
@@ -214,15 +241,18 @@ def _edges(head: Sequence[Column], foot: Sequence[Column]) -> Column:
 
 
 def table_lines(
-    df: DataFrame, document: Sequence[str], order: str, cells: dict[str, Column], style: str = "markdown"
+    df: DataFrame, document: Sequence[str], order: str, cells: dict[str, Column], style: str = "markdown",
+    label: str | None = None, note: str | None = None,
 ) -> DataFrame:
     """Render a result table as text, one row per line: (document, section, sort_key, line).
 
     Sorting a document by (section, sort_key) gives its text. Nothing is collected per document,
-    so it may have any number of rows.
+    so it may have any number of rows. Cells, titles and the ``note`` below the table are escaped for the format. With ``label`` a
+    LaTeX table can be referred to as ``tab:<label>`` and the document's keys, joined by ``_``; only letters, digits, ``:``, ``-`` and ``_`` stay.
     """
     title = F.concat_ws(" ", *[tx.pretty(F.col(d).cast("string")) for d in document])
-    head, foot = _frame(style, list(cells), title)
+    key = F.regexp_replace(F.concat_ws("_", F.lit(label), *document), "[^A-Za-z0-9:_-]", "") if label is not None else None
+    head, foot = _frame(style, list(cells), title, key, note)
     body = df.select(
         *document, F.lit(0).alias("section"), F.col(order).alias("sort_key"), _line(list(cells.values()), style).alias("line")
     )

@@ -93,7 +93,7 @@ def _with_cut(
     )
     holds_cut = (F.col("__before") < F.col("__take")) & (F.col("__take") <= F.col("__before") + F.col("__n"))
     cuts = slots.where(holds_cut).select(*strata, "__slot", (F.col("__take") - F.col("__before")).alias("__need"))
-    near = lookup_join(slotted, cuts, [*strata, "__slot"]).withColumn("__fine", F.substring("__h", 1, digits + 3))
+    near = lookup_join(slotted, cuts, [*strata, "__slot"], null_safe=True).withColumn("__fine", F.substring("__h", 1, digits + 3))
     place = F.struct("__h", *keys)
     last = (
         row_numbers(near, strata, "__fine", ["__h", *keys], "__rank")
@@ -101,7 +101,7 @@ def _with_cut(
         .select(*strata, place.alias("__last"))
     )
     if strata:
-        placed = lookup_join(hashed, last, strata, "left")
+        placed = lookup_join(hashed, last, strata, "left", null_safe=True)
     else:
         placed = hashed.withColumn("__last", last.agg(F.max("__last")).scalar())
     return placed.withColumn("__taken", F.coalesce(place <= F.col("__last"), F.lit(False))).drop("__h", "__last")
@@ -115,10 +115,7 @@ def exact_split(
     name: str = "part",
     digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
-    """Tag exactly floor(fraction * n) rows of each stratum ``train``, the rest ``test``.
-
-    Strata are not NULL, as the label of a training table.
-    """
+    """Tag exactly floor(fraction * n) rows of each stratum ``train``, the rest ``test``. Rows without a label are a stratum, too."""
     cut = _with_cut(df, strata, keys, lambda n: F.floor(F.lit(fraction) * n), digits)
     return cut.withColumn(name, F.when(F.col("__taken"), "train").otherwise("test")).drop("__taken")
 

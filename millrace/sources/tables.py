@@ -79,14 +79,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_documents(lines: DataFrame, key: str, path: str) -> None:
-    """Write text fragments so that each document's lines lie in order in the files of its folder.
+def write_documents(lines: DataFrame, key: str, path: str, folders: bool = True) -> None:
+    """Write text fragments of many documents, each document's lines in order.
 
-    Range partitioning by the sort columns lets a document of any size span several tasks.
+    Range partitioning by the sort columns lets a document of any size span several tasks. With ``folders`` each document has
+    a folder of its own. Otherwise the files, Parquet by name, hold (key, line) with documents one after the other, which is the
+    form for many documents: the number of files then does not depend on them.
     """
     order = [key, "section", "sort_key", F.col("line").startswith(","), "line"]
-    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.select(key, "line").write.mode("overwrite").partitionBy(key).text(path)
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order).select(key, "line")
+    if folders:
+        ordered.write.mode("overwrite").partitionBy(key).text(path)
+    else:
+        ordered.write.mode("overwrite").parquet(path)
 
 
 def write_ordered(lines: DataFrame, order: Sequence[str], path: str, line: str = "line") -> None:

@@ -62,3 +62,13 @@ def test_keyed_split_keeps_all_rows(rows):
 def test_head_rows(rows):
     assert sampling.head_rows(rows, 7).count() == 7
     assert sampling.sample_head(rows, 0.5, 20).count() == 20
+
+
+def test_rows_without_a_label_are_split_like_others(spark):
+    label = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 3)
+    rows = spark.range(900).withColumn("label", label)
+    for fraction in (0.0, 0.5, 0.8, 1.0):
+        got = sampling.exact_split(rows, ["label"], ["id"], fraction).groupBy("label", "part").count().collect()
+        sizes = {(r.label, r.part): r["count"] for r in got}
+        for value in (None, 1, 2):
+            assert sizes.get((value, "train"), 0) == int(fraction * 300) and sizes.get((value, "test"), 0) == 300 - int(fraction * 300)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import html
 import json
 from pathlib import Path
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from millrace.operators import documents, reports, telemetry as tm
@@ -214,6 +216,32 @@ def test_files_of_a_target_size(spark, tmp_path):
     assert len(list((tmp_path / "1").glob("*.parquet"))) == len(sizes) + 1
 
 
+def test_cells_are_escaped_for_each_format(spark):
+    text = 'a|b & <c> "d" 5% _x_ {y} \\\\z\nnew'
+    df = spark.createDataFrame([("m&m_1", 1, text)], "kind string, i int, a string")
+    body = {}
+    for style in reports.FORMATS:
+        lines = reports.table_lines(df, ["kind"], "i", {"A_1": F.col("a")}, style, label="stats", note="1 < 2 & more").collect()
+        body[style] = {r.section: r.line for r in lines}
+    assert body["html"][0] == "<tr><td>" + html.escape(text, quote=False).replace('"', "&quot;") + "</td></tr>"
+    assert body["html"][2] == "<p>1 &lt; 2 &amp; more</p>" and body["html"][-3] == "<h1>M&amp;m 1</h1>"
+    assert body["markdown"][0] == '| a\\|b & <c> "d" 5% _x_ {y} \\\\\\\\z<br>new |'
+    assert body["latex"][0] == 'a|b \\& <c> "d" 5\\% \\_x\\_ \\{y\\} \\textbackslash{}\\textbackslash{}z new \\\\\\hline'
+    assert body["latex"][-3] == "\\label{tab:stats_mm_1}" and body["latex"][-1] == "A\\_1 \\\\\\hline"
+    assert body["latex"][4] == "\\textit{Note. 1 < 2 \\& more}" and body["plain"][0].endswith("z new")
+
+
+def test_many_documents_in_few_files(spark, tmp_path):
+    df = spark.range(500).selectExpr("concat('k', id % 97) AS k", "id AS run")
+    tables.write_documents(reports.json_documents(df, "k", "run", ["run"]), "k", str(tmp_path / "d"), folders=False)
+    files = sorted((tmp_path / "d").glob("*.parquet"))
+    texts: dict[str, str] = {}
+    for f in files:
+        for row in pq.read_table(f).to_pylist():
+            texts[row["k"]] = texts.get(row["k"], "") + row["line"]
+    assert len(files) <= 16 and {k: len(json.loads(t)["runs"]) for k, t in texts.items()} == {f"k{i}": 6 if i < 15 else 5 for i in range(97)}
+
+
 def test_staging_uses_the_configured_folder(spark):
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
     assert staged(spark.range(5), "five").count() == 5
