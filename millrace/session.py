@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ DEFAULTS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 _staged: list[str] = []
+_shipped: set[str] = set()
 
 
 def session(app: str = "millrace", **conf: str) -> SparkSession:
@@ -30,6 +33,20 @@ def session(app: str = "millrace", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a session, wherever it was started from; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def derived_session(spark: SparkSession, changes: dict[str, str]) -> SparkSession:
     """A session of the same application with the settings of ``spark`` and some ``changes``; ``spark`` keeps its own."""
     derived = spark.newSession()
