@@ -104,12 +104,17 @@ def staged_so_far() -> int:
     return len(_staged)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one; frames that read it cannot be read any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_staged(spark: SparkSession, start: int = 0, end: int | None = None) -> None:
     """Delete staged tables, all or those between two marks; frames that were built on them cannot be read any more."""
     for i in range(start, len(_staged) if end is None else end):
         if _staged[i]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_staged[i])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(spark, _staged[i])
             _staged[i] = ""  # marks stay where they are
 
 
