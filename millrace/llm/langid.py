@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,7 +31,7 @@ PRIOR = 2_000.0  # pieces' worth of all languages' distribution in each language
 UNKNOWN = 1e-7  # a character outside the vocabulary, in any language
 LEAST_SCORE = 0.5
 UNDECIDED = "und"
-CACHE = 400_000  # words a task keeps scored
+CACHE = 1 << 17  # words of a generation that a worker keeps scored; it keeps two
 LONG = 48  # longer words are fitted in parts, for sums within the range of floats
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
@@ -122,22 +123,46 @@ def log_likelihoods(word: str, model: Model, begun: dict[str, tuple[float, ...]
 
 
 class _Scores(dict):
-    """Row of a word in a growing table of log probabilities."""
+    """Row of a word in a growing table of log probabilities.
+
+    Words are kept in two generations: when one is full the other is given up, but for the words met again in between.
+    """
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
         self.begun = starts(model.pieces)
         self.table = np.zeros((1024, len(model.languages)))
+        self.before: dict[str, int] = {}
+        self.table_before = self.table
 
     def __missing__(self, word: str) -> int:
         row = len(self)
         if row == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[row] = log_likelihoods(word, self.model, self.begun)
+        known = self.before.get(word)
+        self.table[row] = log_likelihoods(word, self.model, self.begun) if known is None else self.table_before[known]
         self[word] = row
         return row
 
+    def turn(self) -> None:
+        """Between texts: begin a generation if this one is full."""
+        if len(self) > CACHE:
+            self.before, self.table_before = dict(self), self.table
+            self.clear()
+            self.table = np.zeros((1024, len(self.model.languages)))
+
+
+_scores: dict[str, _Scores] = {}
+
+
+def _worker_scores(key: str, shared) -> _Scores:
+    """The words that this worker process has scored for a model, over all its tasks; those of another model are given up."""
+    if key not in _scores:
+        _scores.clear()
+        _scores[key] = _Scores(shared.value)
+    return _scores[key]
+
 
 def classify(text: str | None, scores: _Scores) -> tuple[str, float]:
     words = letters(text)
@@ -212,20 +237,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     NULL, and text without a letter, is ``und`` with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     docs = docs.drop("lang_pred", "score")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(shared.value)
+        scores = _worker_scores(key, shared)
         for batch in batches:
             names, values = [], []
             for (text,) in rows_of(batch, "text"):
                 name, value = classify(text, scores)
                 names.append(name)
                 values.append(value)
-                if len(scores) > CACHE:
-                    scores.clear()
+                scores.turn()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],
