@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,7 +41,7 @@ _BOILERPLATE_NAMES = set(
     "recommendations newsletter subscribe subscription signup login search pagination pager hidden skip".split()
 )
 _HEADER_NAMES = {"header"}
-_LAYOUT_NAMES = set("has no with without layout main".split())  # "has-sidebar" is not the sidebar
+_LAYOUT_NAMES = set("has no with without".split())  # "has-sidebar" is not the sidebar
 _ARTICLE_BOILERPLATE = set("ad ads advert comment comments sponsored promo related recommended".split())
 _ARTICLE_NAMES = set(
     "article post entry content main story maincontent main-content article-body article-content post-body post-content "
@@ -61,7 +62,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")  # words of a name, at signs and capitals
 _STRIP = re.compile(r"^\W+|\W+$")
 
 
@@ -73,6 +74,18 @@ class Block(NamedTuple):
     heading: bool
 
 
+def _names(*values: str) -> set[str]:
+    """Words of the names in class and id; what a name says that an element has, or has not, is left out."""
+    out = set()
+    for name in " ".join(values).split():
+        before = ""
+        for word in map(str.lower, _NAME.findall(name)):
+            if before not in _LAYOUT_NAMES:
+                out.add(word)
+            before = word
+    return out
+
+
 def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether the structure says that an element is not part of the main text."""
     if tag in _BOILERPLATE_TAGS or (tag == "header" and not in_article):
@@ -86,11 +99,9 @@ def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in _BOILERPLATE_ROLES:
         return True
-    names = set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    names = _names(found.get("class", ""), found.get("id", ""))
     if tag == "article":
         return bool(names & _ARTICLE_BOILERPLATE)
-    if names & _LAYOUT_NAMES:
-        return False
     return bool(names & _BOILERPLATE_NAMES) or (not in_article and bool(names & _HEADER_NAMES))
 
 
@@ -105,11 +116,51 @@ def _marks_article(tag: str, attributes: str) -> bool:
     return bool(_ARTICLE_NAMES & {*found.get("class", "").split(), *found.get("id", "").split()})
 
 
+class _Open(NamedTuple):
+    """An open element, with what holds inside it."""
+
+    tag: str
+    outside: bool
+    article: int  # number of the marked article
+    linked: bool
+    in_article: bool  # within an ``article`` element
+
+
+_ROOT = _Open("", False, 0, False, False)
+
+
+class _Stack:
+    """Open elements; how many there are of each tag tells at once whether a closing tag closes any."""
+
+    def __init__(self) -> None:
+        self.elements = [_ROOT]
+        self.count: Counter = Counter()
+
+    @property
+    def top(self) -> _Open:
+        return self.elements[-1]
+
+    def push(self, element: _Open) -> None:
+        self.elements.append(element)
+        self.count[element.tag] += 1
+
+    def pop(self) -> str:
+        tag = self.elements.pop().tag
+        self.count[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """End the innermost element of this tag and all within it."""
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
+    stack = _Stack()
     articles = 0
     heading = False
 
@@ -117,8 +168,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            _, outside, article = stack[-1] if stack else ("", False, 0)
-            out.append(Block(text, min(linked, len(text)), outside, article, heading))
+            out.append(Block(text, min(linked, len(text)), stack.top.outside, stack.top.article, heading))
         parts.clear()
         linked, heading = 0, False
 
@@ -126,7 +176,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = references.unescape(text)
         parts.append(text)
-        if any(tag == "a" for tag, _, _ in stack):
+        if stack.top.linked:
             linked += len(text.strip())
 
     at = 0
@@ -145,26 +195,23 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br":
             parts.append(" ")
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            stack.close(tag)
             continue
         if tag in _VOID:
             continue
-        if block and stack and stack[-1][0] in ("p", "li", "dt", "dd", "option") and (stack[-1][0] == "p" or tag == stack[-1][0]):
+        if block and stack.top.tag in ("p", "li", "dt", "dd", "option") and (stack.top.tag == "p" or tag == stack.top.tag):
             stack.pop()
-        while block and stack and stack[-1][0] in _INLINE and not stack[-1][1]:
+        while block and stack.top.tag in _INLINE and not stack.top.outside:
             stack.pop()  # an inline element that was never closed ends with its block
-        if block and stack and stack[-1][0] == "p":
+        if block and stack.top.tag == "p":
             stack.pop()
-        _, outside, article = stack[-1] if stack else ("", False, 0)
-        outside = outside or _boilerplate(tag, m["attributes"], any(t == "article" for t, _, _ in stack))
+        around = stack.top
+        outside, article = around.outside or _boilerplate(tag, m["attributes"], around.in_article), around.article
         if not outside and not article and _marks_article(tag, m["attributes"]):
             articles += 1
             article = articles
         heading = heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append((tag, outside, article))
+        stack.push(_Open(tag, outside, article, around.linked or tag == "a", around.in_article or tag == "article"))
     if at < len(page):
         add(page[at:])
     flush()
@@ -189,6 +236,20 @@ def first_pass(block: Block, marked: bool) -> bool | None:
     return None if density >= STOP_LOW or block.heading else False
 
 
+def _neighbours(found: list[Block], labels: list[bool | None]) -> list[int]:
+    """For each block the first one before it that is no boilerplate by structure and no open block of its article; -1 for none.
+
+    One sweep: where that block would be an open one of the same article, it has the same neighbour.
+    """
+    out, last = [], -1  # the last block that is not boilerplate by structure
+    for i, block in enumerate(found):
+        same = last >= 0 and labels[last] is None and found[last].article == block.article
+        out.append(out[last] if same else last)
+        if not block.outside:
+            last = i
+    return out
+
+
 def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """Open blocks take the label of the nearest decided block of their article, or of the page.
 
@@ -196,19 +257,18 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     differ, an open block is main text in a marked article and boilerplate elsewhere.
     """
     out = []
-    aside = [b.outside for b in found]
+    n = len(found)
+    before = _neighbours(found, labels)
+    after = [n - 1 - j if j >= 0 else n for j in reversed(_neighbours(found[::-1], labels[::-1]))]
     for i, label in enumerate(labels):
         if label is None:
             article = found[i].article
             near: list[tuple[int, bool]] = []
-            for step in (-1, 1):
-                j = i + step
-                while 0 <= j < len(found) and (aside[j] or (found[j].article == article and labels[j] is None)):
-                    j += step
-                if 0 <= j < len(found) and found[j].article == article:
+            for j in (before[i], after[i]):
+                if 0 <= j < n and found[j].article == article:
                     near.append((abs(j - i), labels[j]))
                 elif article:
-                    near.append((len(found), True))
+                    near.append((n, True))
             if found[i].heading and len(near) == 2:
                 label = near[1][1]  # a heading belongs to what follows
             elif near:

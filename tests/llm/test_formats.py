@@ -6,6 +6,7 @@ import glob
 import gzip
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,53 @@ def test_unmarked_pages_are_judged_by_density():
     assert html_extract.main_text(PAGE % body) == f"Head\n{LONG}\nShort.\n{LONG}"
 
 
+@pytest.mark.parametrize("name", ["main-sidebar", "main-menu", "no-print cookie-notice", "comments with-avatars", "ad-layout", "userComments", "siteNavigation"])
+def test_names_of_boilerplate(name):
+    """Also in camel case and beside words of layout; a name that says what an element has is not that thing."""
+    for page in ("%s", "<article>%s</article>"):
+        for kind in ("class", "id"):
+            assert html_extract.main_text(page % f"<div {kind}='{name}'><p>{LONG} one</p></div><p>{LONG}</p>") == LONG
+    for kept in ("has-sidebar", "page-with-sidebar no-ads", "loads", "hasSidebar"):
+        assert html_extract.main_text(f"<div class='{kept}'><p>{LONG} one</p></div><p>{LONG}</p>") == f"{LONG} one\n{LONG}"
+
+
+def nearest_labels(found, labels):
+    """The second pass, each open block looking for its neighbours by itself."""
+    out = []
+    for i, label in enumerate(labels):
+        if label is None:
+            near = []
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(found) and (found[j].outside or (found[j].article == found[i].article and labels[j] is None)):
+                    j += step
+                if 0 <= j < len(found) and found[j].article == found[i].article:
+                    near.append((abs(j - i), labels[j]))
+                elif found[i].article:
+                    near.append((len(found), True))
+            closest = [x for d, x in near if d == min(d for d, _ in near)]
+            label = found[i].linked == 0 if not near else any(closest) if found[i].article else all(closest)
+            if found[i].heading and len(near) == 2:
+                label = near[1][1]
+        out.append(label)
+    return out
+
+
+def test_second_pass_against_a_search_from_each_block():
+    r = random.Random(6)
+    for _ in range(4000):
+        found = [html_extract.Block("x", r.choice([0, 0, 1]), r.random() < 0.3, r.choice([0, 0, 1, 2]), r.random() < 0.2) for _ in range(r.randint(0, 14))]
+        labels = [False if b.outside else r.choice([True, False, None, None]) for b in found]
+        assert html_extract.second_pass(found, labels) == nearest_labels(found, labels)
+
+
+@pytest.mark.parametrize("piece", ["<p>short one</p>", "<div>", "<b></i>", "<a>x", "<p>word</p></div>", "<h2>x</h2>"])
+def test_long_pages_take_time_by_length(piece):
+    start = time.perf_counter()
+    html_extract.main_text(piece * 100_000)
+    assert time.perf_counter() - start < 10
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None, "a"), (None, "u", "", "a"), (3, "u", "<p", "a"), (4, "u", "a < b &amp c &#x41;", "a"), (5, "u", "<b>" * 5000 + "x", "a"), (5, "u", "<!-- x", "a")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
