@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -37,6 +38,35 @@ def test_each_decision_takes_effect(spark, sf_dir, stages):
     assert {r[0] for r in mix.select("doc_id").collect()} <= {r[0] for r in clean.select("doc_id").collect()}
 
 
+@pytest.fixture(scope="module")
+def odd_folder(spark, sf_dir, tmp_path_factory):
+    """Some documents, some of them twice, NULLs in every column, blank and very long texts, and columns of likely names."""
+    root = tmp_path_factory.mktemp("odd")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60)
+    first = docs.orderBy("doc_id").limit(1)
+    long = first.withColumn("doc_id", F.lit(10**6).cast("bigint")).withColumn("text", F.repeat(F.concat("text", F.lit(" the quick ")), 40))
+    odd = [first.withColumn(c, F.lit(None).cast(t)) for c, t in docs.dtypes]
+    odd += [first.withColumn("text", F.lit(x)).withColumn("doc_id", F.lit(10**6 + 1 + i).cast("bigint")) for i, x in enumerate(["", " \n", "...", "word"])]
+    whole = docs
+    for part in [docs.limit(5), long, *odd]:
+        whole = whole.unionByName(part)
+    whole = whole.withColumns({c: F.lit(c) for c in ("size", "spans", "h", "lang_pred", "component_id", "word")})
+    whole.write.parquet(str(root / "documents.parquet"))
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(root / "benchmark.parquet"))
+    return str(root)
+
+
+def test_odd_rows_pass_through_all_stages(spark, odd_folder, tmp_path):
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    mix = corpus_pipeline.run(spark, odd_folder)
+    assert set(docs.columns) <= set(mix.columns) and 0 < mix.count()
+    kept = {r.doc_id for r in mix.select("doc_id").collect()}
+    assert kept <= {r.doc_id for r in docs.select("doc_id").collect()} and not kept & {10**6 + i for i in (1, 2, 3)}
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{odd_folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_all_operators_are_registered():
     names = {n.split("_")[0] for n in driver.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in driver.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in driver.queries()
