@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.llm.components import components
 from millrace.llm.prefixes import signatures
 from millrace.llm.storage import keyed, staged
-from millrace.llm.words import SHINGLE, mixed, rows_of, shingle_set, signed
+from millrace.llm.words import SHINGLE, mixed, rows_of, shingle_set, signed, slices
 
 PERCENT = 80
 FREQUENT = 32  # a token in so many sets is indexed in combinations
 FREQUENT_MOST = 1 << 17  # bound of the broadcast list (1 MB); tokens beyond it count as rare, which is as exact
-LOCAL_TOKENS = 1 << 22  # tokens a task counts before it hands on its counts
+LOCAL_TOKENS = 1 << 21  # tokens a task counts before it hands on its counts
 LOCAL_LEAST = 3  # a count within a task that is handed on
 BLOCK = 256  # documents of a block
 _SET = np.uint64(0x5E7)
@@ -45,7 +45,7 @@ def _sizes_and_counts(k: int):
     """Rows (is_doc, key, n): the set size of each document, and counts of tokens met often in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, np.ndarray] = {}
+        kept: dict[int, np.ndarray] = {}  # by a hash of the set: a collision would only change a count
         waiting = 0
 
         def counts() -> Iterator[pa.RecordBatch]:
@@ -53,13 +53,13 @@ def _sizes_and_counts(k: int):
             often = n >= LOCAL_LEAST
             yield _table(is_doc=np.zeros(often.sum(), bool), key=signed(tokens[often]), n=n[often].astype(np.int64))
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes = [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
                 tokens = shingle_set(text, k)
                 ids.append(doc_id)
                 sizes.append(len(tokens))
-                if len(tokens) and (at := tokens.tobytes()) not in kept:
+                if len(tokens) and (at := int(_set_hash(tokens))) not in kept:
                     kept[at] = tokens
                     waiting += len(tokens)
                     if waiting >= LOCAL_TOKENS:
@@ -80,7 +80,7 @@ def _indexed(k: int, percent: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        for batch in batches:
+        for batch in slices(batches):
             sigs, docs, sizes, needs, counts = [], [], [], [], []
             rows = [(doc_id, shingle_set(text, k)) for doc_id, text in rows_of(batch, "doc_id", "text") if doc_id is not None]
             rows = [(doc_id, tokens, _set_hash(tokens)) for doc_id, tokens in rows if len(tokens)]
@@ -112,7 +112,7 @@ def _indexed(k: int, percent: int, frequent):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, found = [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
                 ids.append(doc_id)
@@ -145,16 +145,20 @@ def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def forest(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links that suffice to connect what ``linked`` connects."""
+    """Links that suffice to connect what ``linked`` connects; rows of one id are connected as they are."""
+    same: dict[int, list[int]] = {}
+    for i, doc in enumerate(ids):
+        same.setdefault(doc, []).append(i)
     left, out = set(range(len(ids))), []
     while left:
         todo = [left.pop()]
         while todo:
             i = todo.pop()
-            for j in [j for j in np.flatnonzero(linked[i]).tolist() if j in left]:
+            for j in [j for j in [*np.flatnonzero(linked[i]).tolist(), *same[ids[i]]] if j in left]:
                 left.discard(j)
-                out.append((ids[i], ids[j]))
                 todo.append(j)
+                if ids[i] != ids[j]:
+                    out.append((ids[i], ids[j]))
     return out
 
 
@@ -162,11 +166,11 @@ def _links(percent: int):
     """Rows sorted by task: compare the documents of each task with one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, group = None, {}
+        task, group = None, {}  # sets by document and hash: rows of one id may have different texts
 
         def compared() -> list[tuple[int, int]]:
-            ids = list(group)
-            return forest(ids, similar([group[i] for i in ids], percent)) if len(ids) > 1 else []
+            ids = [doc for doc, _ in group]
+            return forest(ids, similar(list(group.values()), percent)) if len(set(ids)) > 1 else []
 
         for batch in batches:
             out = []
@@ -177,7 +181,8 @@ def _links(percent: int):
                 if at != task:
                     out += compared()
                     task, group = at, {}
-                group[doc] = tokens[row].values.to_numpy().copy()
+                own = tokens[row].values.to_numpy().copy()
+                group[doc, int(_set_hash(own.view(np.uint64)))] = own
             yield _table(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([x for _, x in out], pa.int64()))
         out = compared()
         yield _table(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([x for _, x in out], pa.int64()))

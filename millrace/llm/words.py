@@ -62,6 +62,13 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for work whose memory grows with the texts of a batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """Rows of the named columns as Python values."""
     return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names], strict=True)

@@ -226,6 +226,20 @@ def test_worse_notices_before_better_ones():
     assert [(m.word, m.errors) for m in licenses.matches(f"{text} {text}")[1] if not m.exact] == [(0, 1), (7, 0), (12, 1), (19, 0)]
 
 
+def test_words_of_many_matches():
+    """Places are words from 0, also beyond characters of several bytes; time grows with the text."""
+    import time
+
+    text = "漢字 é released under the mit license " * 4000
+    start = time.perf_counter()
+    n, found = licenses.matches(text)
+    assert time.perf_counter() - start < 20 and n == 7 * 4000
+    exact = [m for m in found if m.exact]
+    assert [m.word for m in exact] == [7 * i + 5 for i in range(4000)]
+    joined = licenses.joined_words(text)
+    assert all(m.word == joined.count(" ", 0, m.start) - 1 for m in found[:50] + found[-50:])
+
+
 def test_exact_phrases_against_brute_force(make_docs, odd_docs):
     import re
 
@@ -240,3 +254,12 @@ def test_exact_phrases_against_brute_force(make_docs, odd_docs):
         )
         assert row.n_words == len(own) and sorted((m.word, m.label) for m in row.matches if m.exact) == want
     assert licenses.scan(odd_docs).count() == 11 and licenses.scan(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 2, 3), (3, 2, 1, 0), (2, 1, 3, 0)])
+def test_all_texts_of_a_repeated_id_are_linked(make_docs, order):
+    a, b = prose(31, 60), prose(32, 60)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:-1])), (3, " ".join(b[:-1]))]
+    got = jaccard.ngram_components(make_docs([rows[i] for i in order]).coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1}
+    assert len(got) == 4
