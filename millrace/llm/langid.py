@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from millrace.llm.storage import staged
-from millrace.llm.words import rows_of
+from millrace.llm.words import rows_of, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS = 20_000  # documents the model is fitted on, about; chosen by hash
@@ -31,6 +31,8 @@ PRIOR = 2_000.0  # pieces' worth of all languages' distribution in each language
 UNKNOWN = 1e-7  # a character outside the vocabulary, in any language
 LEAST_SCORE = 0.5
 UNDECIDED = "und"
+PLAIN = 40  # letters of a word that is scored together with others
+TOGETHER = 4096  # words scored together
 CACHE = 1 << 17  # words of a generation that a worker keeps scored; it keeps two
 LONG = 48  # longer words are fitted in parts, for sums within the range of floats
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -122,6 +124,36 @@ def log_likelihoods(word: str, model: Model, begun: dict[str, tuple[float, ...]
     return [s + (math.log(x) if x > 0 else -745.0) for s, x in zip(scale, sums[n])]
 
 
+def block_likelihoods(words: list[str], model: Model, ids: dict[str, int], chances: np.ndarray) -> np.ndarray:
+    """The same for words of at most ``PLAIN`` letters together, a row each; their sums are within the range of floats.
+
+    ``ids`` numbers the pieces, 0 for mere beginnings; row i of ``chances`` is piece i, the last one a character outside
+    the vocabulary. Pieces are looked up word by word; the sums of all words then grow from place to place together.
+    """
+    get, unknown = ids.get, len(chances) - 1
+    arcs: list[list[int]] = [[] for _ in range(PLAIN + 1)]  # by start: word, end, piece
+    for row, word in enumerate(words):
+        marked = _START + word
+        n = len(marked)
+        for j in range(n):
+            found, i, known = arcs[j], j + 1, False
+            while i <= n and (piece := get(marked[j:i], -1)) >= 0:
+                if piece:
+                    found += (row, i, piece)
+                    known = known or i == j + 1
+                i += 1
+            if not known:
+                found += (row, j + 1, unknown)
+    sums = np.zeros((len(words), PLAIN + 2, len(model.languages)))
+    sums[:, 0] = 1.0
+    for j, found in enumerate(arcs):
+        if found:
+            row, end, piece = np.array(found).reshape(-1, 3).T
+            np.add.at(sums, (row, end), sums[row, j] * chances[piece])
+    last = sums[np.arange(len(words)), [len(w) + 1 for w in words]]
+    return np.where(last > 0, np.log(np.maximum(last, 5e-324)), -745.0)
+
+
 class _Scores(dict):
     """Row of a word in a growing table of log probabilities.
 
@@ -132,14 +164,30 @@ class _Scores(dict):
         super().__init__()
         self.model = model
         self.begun = starts(model.pieces)
+        self.ids = dict.fromkeys(self.begun, 0) | {p: i + 1 for i, p in enumerate(model.pieces)}
+        none = [0.0] * len(model.languages)
+        rows = [none, *model.pieces.values(), [UNKNOWN] * len(none)]
+        self.chances = np.array(rows, float).reshape(len(rows), len(none))
         self.table = np.zeros((1024, len(model.languages)))
         self.before: dict[str, int] = {}
         self.table_before = self.table
 
+    def meet(self, words: set[str]) -> None:
+        """Score words that are new, and not too long, together."""
+        new = [w for w in words if w not in self and w not in self.before and len(w) <= PLAIN]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            self._grow(len(self) + len(part))
+            self.table[len(self) : len(self) + len(part)] = block_likelihoods(part, self.model, self.ids, self.chances)
+            self.update(zip(part, range(len(self), len(self) + len(part))))
+
+    def _grow(self, rows: int) -> None:
+        while rows > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+
     def __missing__(self, word: str) -> int:
         row = len(self)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self._grow(row + 1)
         known = self.before.get(word)
         self.table[row] = log_likelihoods(word, self.model, self.begun) if known is None else self.table_before[known]
         self[word] = row
@@ -165,7 +213,10 @@ def _worker_scores(key: str, shared) -> _Scores:
 
 
 def classify(text: str | None, scores: _Scores) -> tuple[str, float]:
-    words = letters(text)
+    return _decide(letters(text), scores)
+
+
+def _decide(words: list[str], scores: _Scores) -> tuple[str, float]:
     if not scores.model.languages or not _has_letter(words):
         return UNDECIDED, 0.0
     rows = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))
@@ -243,13 +294,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _worker_scores(key, shared)
-        for batch in batches:
+        for batch in slices(batches, 256):
             names, values = [], []
-            for (text,) in rows_of(batch, "text"):
-                name, value = classify(text, scores)
+            texts = [letters(text) for (text,) in rows_of(batch, "text")]
+            if scores.model.languages:
+                scores.meet({w for words in texts for w in words})
+            for words in texts:
+                name, value = _decide(words, scores)
                 names.append(name)
                 values.append(value)
-                scores.turn()
+            scores.turn()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],

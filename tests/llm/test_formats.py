@@ -193,6 +193,12 @@ def test_forward_pass_sums_all_segmentations():
     assert math.exp(langid.log_likelihoods("ab", model, begun)[0]) == pytest.approx(total)
     counts = langid.expected_pieces("ab", chance, 3)
     assert counts["▁ab"] == pytest.approx(0.01 / total) and sum(counts[p] * len(p) for p in counts) == pytest.approx(3)
+    scores = langid._Scores(model)
+    words = ["ab", "a", "b", "q", "abqab", "qqqq", "ab" * 20, "ba" * 12]
+    together = langid.block_likelihoods(words, model, scores.ids, scores.chances)
+    assert together[:, 0].tolist() == pytest.approx([langid.log_likelihoods(w, model, begun)[0] for w in words])
+    scores.meet({*words, "ab" * 40})
+    assert set(scores) == set(words) and scores.table[scores["abqab"]][0] == pytest.approx(langid.log_likelihoods("abqab", model, begun)[0])
     long = langid.log_likelihoods("ab" * 400, model, begun)[0]
     part = langid.log_likelihoods("ab" * 40, model, begun)[0]
     assert long == pytest.approx(part * 10, rel=0.1) and math.isfinite(langid.log_likelihoods("q" * 5000, model, begun)[0])
