@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.llm.storage import keyed, staged
-from millrace.llm.words import grams, hashes, mixed, rows_of, signed, words
+from millrace.llm.words import grams, hashes, mixed, rows_of, signed, slices, words
 
 K = 6
 WINDOW = 10
@@ -176,37 +176,81 @@ def bridged(found: list[tuple[list[int], list[int]]], k: int = K) -> list[tuple[
     return out
 
 
+def _places(batch: pa.Table, steps: np.ndarray) -> np.ndarray:
+    """Distinct matches (doc, first, place, place there) in order; a block is a match for each of its runs."""
+    columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "first", "at", "first_at")]
+    block = batch.column("is_block").to_numpy().astype(bool)
+    parts = [np.stack([c[~block] for c in columns])]
+    doc, first, d, f = (c[block] for c in columns)
+    parts += [np.stack([doc, first, d + x, f + x]) for x in steps]
+    every = np.concatenate(parts, axis=1)
+    every = every[:, np.lexsort(every[::-1])]
+    new = np.ones(every.shape[1], bool)
+    new[1:] = (every[:, 1:] != every[:, :-1]).any(axis=0)
+    return every[:, new]
+
+
+def _simple(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which groups are one chain for sure: all matches on one diagonal, and none so far from the one before that it would begin anew.
+
+    On a diagonal the best predecessor is the match before: leaving one out covers no more and skips as much.
+    """
+    _, _, d, f = places
+    inner = np.ones(len(d), bool)
+    inner[starts] = False
+    bad = np.zeros(len(d), np.int64)
+    bad[1:] = (np.diff(f - d) != 0) | (2 * GAP_COST * (np.diff(d) - K) >= K)
+    return np.add.reduceat(bad * inner, starts) == 0
+
+
 def _chained(least_words: int, steps: list[int]):
     """Rows sorted by document and first document: chains of at least two matches. A block is a match for each of its runs."""
+    names = ["doc", "first", "d0", "d1", "f0", "f1", "dp", "fp"]
+    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
+    runs = np.array(steps, np.int64)
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        places = _places(table, runs)
+        doc, first, d, f = places
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(doc))
+        simple, several = _simple(places, starts), ends - starts > 1
+        a, b = starts[simple & several], ends[simple & several]
+        if len(a):
+            rows = np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a) + np.arange((b - a).sum())
+            offsets = pa.array(np.append(0, np.cumsum(b - a)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[rows], pa.int32())) for c in (d, f)]
+            flat = [doc[a], first[a], d[a], d[b - 1] + K, f[a], f[b - 1] + K]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(flat, types)], *lists], names=names)
+        out = []
+        for low, high in zip(starts[~simple & several].tolist(), ends[~simple & several].tolist()):
+            for dp, fp in bridged(chains(d[low:high].tolist(), f[low:high].tolist())):
+                if len(dp) > 1:
+                    out.append((int(doc[low]), int(first[low]), dp[0], dp[-1] + K, fp[0], fp[-1] + K, dp, fp))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, met = None, set()
-
-        def ready() -> list[tuple]:
-            out = []
-            dp, fp = map(list, zip(*sorted(met)))
-            for d, f in bridged(chains(dp, fp)) if len(dp) > 1 else []:
-                if len(d) > 1 and max(d[-1] - d[0], f[-1] - f[0]) + K + 2 * MARGIN >= least_words:
-                    out.append((*key, d[0], d[-1] + K, f[0], f[-1] + K, d, f))
-            return out
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            names = ["doc", "first", "d0", "d1", "f0", "f1", "dp", "fp"]
-            types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
-            columns = list(zip(*rows)) if rows else [[]] * 8
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
-
+        kept: list[pa.RecordBatch] = []  # of the last group, which may go on
+        key = None
         for batch in batches:
-            rows = []
-            for doc, first, d, f, is_block in rows_of(batch, "doc", "first", "at", "first_at", "is_block"):
-                if (doc, first) != key:
-                    if key:
-                        rows += ready()
-                    key, met = (doc, first), set()
-                met.update([(d + x, f + x) for x in steps] if is_block else [(d, f)])
-            yield table(rows)
-        if key:
-            yield table(ready())
+            if not batch.num_rows:
+                continue
+            doc, first = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc", "first"))
+            if kept and (doc[0], first[0]) != key:
+                yield from found(pa.Table.from_batches(kept))
+                kept = []
+            ends = np.flatnonzero((doc[1:] != doc[:-1]) | (first[1:] != first[:-1]))
+            if len(ends):
+                cut = int(ends[-1]) + 1
+                yield from found(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
+                kept, batch = [], batch.slice(cut)
+            kept.append(batch)
+            key = doc[-1], first[-1]
+        if kept:
+            yield from found(pa.Table.from_batches(kept))
 
     return run
 
@@ -313,10 +357,44 @@ def align(
     return sorted(out)
 
 
+def _end_reach(d: np.ndarray, f: np.ndarray, d_at: np.ndarray, f_at: np.ndarray, room: np.ndarray, step: int) -> np.ndarray:
+    """``_reach`` from a place of each chain in steps of 1 or -1, up to ``room`` words, for all chains at once."""
+    width = int(room.max(initial=0))
+    if not width:
+        return np.zeros(len(room), np.int64)
+    j = np.arange(width)
+    inside = j < room[:, None]
+    i = np.where(inside, d_at[:, None] + step * j, 0)
+    k = np.where(inside, f_at[:, None] + step * j, 0)
+    score = np.where(inside, np.where(d[i] == f[k], 1, -2), -width * 4).cumsum(axis=1)
+    low = np.maximum(np.maximum.accumulate(score, axis=1), 0) - score > DROP
+    score[np.maximum.accumulate(low, axis=1)] = -1
+    best = score.argmax(axis=1)
+    return np.where(score[np.arange(len(room)), best] > 0, best + 1, 0)
+
+
+def _hopeful(batch: pa.RecordBatch, least: int) -> np.ndarray:
+    """Chains that could be passages: with all that their ends reach they have ``least`` words. No piece of a chain reaches further."""
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
+    number = lambda c: column(c).to_numpy().astype(np.int64)
+    parts, bounds = {}, {}
+    for side in "df":
+        words_of = column(f"{side}_part")
+        parts[side], offsets = words_of.values.to_numpy(), words_of.offsets.to_numpy().astype(np.int64)
+        bounds[side] = offsets[:-1], offsets[1:]
+    at = {c: bounds[c[0]][0] + number(c) - number(f"{c[0]}_low") for c in ("d0", "d1", "f0", "f1")}
+    before = np.minimum(at["d0"] - bounds["d"][0], at["f0"] - bounds["f"][0])
+    after = np.minimum(bounds["d"][1] - at["d1"], bounds["f"][1] - at["f1"])
+    left = _end_reach(parts["d"], parts["f"], at["d0"] - 1, at["f0"] - 1, before, -1)
+    right = _end_reach(parts["d"], parts["f"], at["d1"], at["f1"], after, 1)
+    return number("d1") - number("d0") + left + right >= least
+
+
 def _aligned(least_words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "first", "d_low", "f_low", "dp", "fp", "d_part", "f_part"]
-        for batch in batches:
+        for batch in slices(batches, 2048):
+            batch = batch.filter(pa.array(_hopeful(batch, least_words)))
             rows = []
             for doc, first, d_low, f_low, dp, fp, dw, fw in rows_of(batch, *names):
                 found = align(
