@@ -11,9 +11,13 @@ from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssemb
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.operators.boosting import merged_rows
 from millrace.operators.sampling import SEED
 from millrace.operators.silhouette import squared_silhouettes
-from millrace.session import persisted
+from millrace.session import persisted, sized
+
+MERGED_PART = 20_000  # merged rows of a task: a round is many short jobs, so their tasks are few
+SPLIT_BINS = 1 << 10  # far above what a feature has: Spark looks for thresholds in the square of it, here all rows up to 1 million
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features", on_missing: str = "error") -> DataFrame:
@@ -97,14 +101,20 @@ def fit_gbt(
     validation: str | None = None, tolerance: float = 0.01,
 ) -> GBTClassificationModel:
     """``validation`` names a boolean column: rows where it is true are not learnt from, and rounds end when the
-    error on them no longer falls by ``tolerance`` (as a share of it, or of 0.01 if it is smaller)."""
+    error on them no longer falls by ``tolerance`` (as a share of it, or of 0.01 if it is smaller).
+
+    Rows that lie in the same bins are learnt from as one row with their number as weight: every round reads them several times."""
     gbt = GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, validationTol=tolerance
-    )
+        featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, validationTol=tolerance,
+        maxBins=SPLIT_BINS, weightCol="__weight",
+    )
     if validation is not None:
         gbt = gbt.setValidationIndicatorCol(validation)
-    with persisted(train) as rows:
-        return gbt.fit(rows)
+    merged = merged_rows(train, [label] if validation is None else [label, validation], "__weight")
+    with persisted(sized(merged, MERGED_PART)) as rows:
+        model = gbt.fit(rows)
+    model.clear(model.weightCol)  # the rows that it is used on have none
+    return model
 
 
 def area_under_roc(predictions: DataFrame, label: str) -> float:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.operators import boosting, learning
 from millrace.operators.projection import columns_of
 from millrace.operators.sampling import SEED, keyed_split
-from millrace.session import spread
 from millrace.sources.tables import read_csv, write_parquet
 
 LABEL = "verified_purchase"
@@ -44,7 +43,7 @@ def gbt_predictions(
     if not keys:  # a random split sorts whole rows
         df = df.select(*names, label)
     train, test = keyed_parts(df, keys) if keys else random_parts(df)
-    vectors = learning.assemble(spread(train), names, on_missing=on_missing).select("features", label)
+    vectors = learning.assemble(train, names, on_missing=on_missing).select("features", label)
     fitted = learning.fit_gbt(vectors, label, rounds, depth, step)
     return fitted.transform(learning.assemble(test, names, on_missing=on_missing))
 
@@ -67,7 +66,7 @@ def gbt_rounds(
     """
     names = list(columns) if columns is not None else columns_of(df, "numeric", exclude=[label, *keys])
     tagged = keyed_split(df, 0.8, keys or names, "part").withColumn("held_out", F.col("part") == "test")
-    vectors = learning.assemble(spread(tagged), names, on_missing=on_missing).select("features", label, "part", "held_out")
+    vectors = learning.assemble(tagged, names, on_missing=on_missing).select("features", label, "part", "held_out")
     learnt = vectors if stop_early else vectors.where("NOT held_out")
     model = learning.fit_gbt(learnt, label, rounds, depth, step, validation="held_out" if stop_early else None)
     scores = boosting.auc_by_round(model, vectors, label, ["part"], at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
@@ -127,6 +128,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """So many rows of a written table in a partition, whatever the session sets and however the files were cut."""
+    return df.repartition(max(1, math.ceil(df.count() / rows)))
+
+
 @contextmanager
 def persisted(df: DataFrame) -> Iterator[DataFrame]:
     """Keep a frame in memory, spilling to disk, for the length of a block."""

@@ -174,3 +174,23 @@ def test_search_on_the_head(points):
     moments = learning.moments(points.limit(50), ["x"], population=True)
     sample = learning.moments(points.limit(50), ["x"])
     assert moments["__scaled_0"][2] == pytest.approx(sample["__scaled_0"][2] * (49 / 50) ** 0.5)
+
+
+def test_trees_are_fitted_on_merged_rows(spark, noisy):
+    """As many rows as there are combinations of bins, whose weights are the rows; a threshold parts the rows as it parts these."""
+    rows = noisy.select("id", "y", (F.floor(F.col("x") * 1000) / 1000).alias("x"), "z", "label")
+    vectors = learning.assemble(rows, ["y", "x", "z"])
+    for features, most in ((vectors, 2 * 8 * 32 * 32), (learning.assemble(rows, ["y", "x"]), 2 * 8 * 32)):
+        merged = boosting.merged_rows(features.unionAll(features), ["label"], "n").collect()
+        assert sum(r.n for r in merged) == 6000 and len(merged) <= min(most, 3000)
+    values = boosting.bin_values(vectors)
+    assert list(values[0]) == [i / 8 for i in range(8)] and len(values[1]) == 32
+    places = boosting._places(np.array([r.features.toArray() for r in vectors.collect()]), [boosting.borders(v) for v in values])
+    want = {tuple(values[f][p] for f, p in enumerate(row)) for row in places}
+    assert {tuple(r.features.toArray()) for r in boosting.merged_rows(vectors, ["label"], "n").collect()} == want
+    holes = learning.assemble(rows.withColumn("z", F.when(F.col("id") % 9 > 0, F.col("z"))), ["y", "z"], on_missing="keep")
+    with pytest.raises(Exception, match="NaN"):
+        learning.fit_gbt(holes, "label")
+    wide = [np.arange(9.0)] * 30
+    codes = boosting._codes(boosting._places(np.repeat(np.arange(20.0)[:, None], 30, axis=1), wide), wide)
+    assert len(np.unique(codes)) == 10
