@@ -6,15 +6,18 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.session import staged
 
-BLOCK = 2048  # rows of a block; a task compares two blocks at a time
-CELLS = 1 << 22  # differences held at a time
+BLOCK = 16384  # rows of a block at most; a task compares two blocks at a time
+LEAST_BLOCK = 1024  # rows below which blocks are not made smaller to keep more tasks busy
+LEAST_BLOCKS = 16
+MOST_PARTS = 4096
+CELLS = 1 << 16  # distances held at a time, so that they stay in a core's cache
 
 
 def _score(own: Column, other: Column, size: Column) -> Column:
@@ -65,6 +68,7 @@ def euclidean_silhouette(df: DataFrame, cluster: str = "prediction", features: s
 
     Meant for samples. Rows are dealt into blocks by hash, and a task compares one pair of blocks with matrix arithmetic; what
     leaves it is one sum per row and cluster. Rows squared over ``block`` rows are shuffled. NULL for fewer than two clusters.
+    Memory is bounded by a block, time is quadratic: nothing less tells the exact sums.
     """
     rows = df.select(F.col(cluster).cast("int").alias("cluster"), vector_to_array(features).alias("x"))
     rows = staged(rows.withColumn("id", F.monotonically_increasing_id()), "sample")  # written, so an id stays with its row
@@ -72,31 +76,44 @@ def euclidean_silhouette(df: DataFrame, cluster: str = "prediction", features: s
     n, names = sum(sizes.values()), sorted(sizes)
     if len(sizes) < 2:
         return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("double").alias("silhouette"))
-    blocks = math.ceil(n / block)
+    blocks = max(math.ceil(n / block), min(LEAST_BLOCKS, math.ceil(n / LEAST_BLOCK)))
     own, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.withColumn("own", own).withColumn("other", other)
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+    def compare(tile: pa.Table) -> pa.Table:
         """Sums of distances from each row of a tile to the rows of each cluster in the other block, or in the same one."""
-        x, cluster, side = np.stack(tile["x"].to_numpy()), tile["cluster"].to_numpy(), tile["own"].to_numpy()
+        tile = tile.combine_chunks()
+        x = tile.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(tile.num_rows, -1)
+        cluster, side = tile.column("cluster").to_numpy(), tile.column("own").to_numpy()
+        member = (cluster[:, None] == np.array(names)[None, :]).astype(float)
         sides = np.unique(side)
-        out = np.zeros((len(tile), len(names)))
-        pairs = [(sides[0], sides[-1])] if len(sides) == 2 else [] if tile["i"].iloc[0] != tile["j"].iloc[0] else [(sides[0], sides[0])]
+        out = np.zeros((tile.num_rows, len(names)))
+        pairs = [(sides[0], sides[-1])] if len(sides) == 2 else [] if tile.column("i")[0] != tile.column("j")[0] else [(sides[0], sides[0])]
         for a, b in pairs:
             p, q = np.flatnonzero(side == a), np.flatnonzero(side == b)
-            step = max(1, CELLS // (len(q) * max(1, x.shape[1])))
+            left, right, width = x[p], np.ascontiguousarray(x[q].T), max(1, min(1024, len(q)))
+            step = max(1, CELLS // width)
             for start in range(0, len(p), step):
-                part = p[start : start + step]
-                far = np.sqrt(((x[part][:, None, :] - x[q][None, :, :]) ** 2).sum(axis=2))
-                for k, name in enumerate(names):
-                    out[part, k] += far[:, cluster[q] == name].sum(axis=1)
+                part, rows = p[start : start + step], left[start : start + step]
+                for at in range(0, len(q), width):
+                    there = q[at : at + width]
+                    far = np.zeros((len(part), len(there)))
+                    away = np.empty_like(far)
+                    for f in range(x.shape[1]):  # feature by feature, in place: no array of all differences
+                        np.subtract(rows[:, f, None], right[f, None, at : at + width], out=away)
+                        np.multiply(away, away, out=away)
+                        np.add(far, away, out=far)
+                    np.sqrt(far, out=far)
+                    out[part] += far @ member[there]
                     if a != b:
-                        out[q, k] += far[cluster[part] == name].sum(axis=0)
-        return pd.DataFrame({"id": tile["id"], "cluster": cluster} | {f"s{k}": out[:, k] for k in range(len(names))})
+                        out[there] += far.T @ member[part]
+        sums = {f"s{k}": out[:, k] for k in range(len(names))}
+        return pa.table({"id": tile.column("id"), "cluster": tile.column("cluster")} | sums)
 
     schema = "id long, cluster int, " + ", ".join(f"s{k} double" for k in range(len(names)))
-    sums = dealt.groupBy("i", "j").applyInPandas(compare, schema)
+    tiles = blocks * (blocks + 1) // 2  # their work is not told by their bytes: a partition each, up to a bound
+    sums = dealt.repartition(min(tiles, MOST_PARTS), "i", "j").groupBy("i", "j").applyInArrow(compare, schema)
     totals = sums.groupBy("id", "cluster").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(names))])
     size = F.lit(None).cast("long")
     own_sum, others = F.lit(None).cast("double"), []
