@@ -72,7 +72,8 @@ def nearest_centroid(columns: Sequence[str], centroids: Sequence[Sequence[float]
 
 
 def fit_kmeans(df: DataFrame, k: int, seed: int = SEED, features: str = "features") -> KMeansModel:
-    return KMeans(featuresCol=features, k=k, seed=seed).fit(df)
+    """Spark keeps the rows as blocks of plain numbers: a row as an object takes several times their room, and spills at size."""
+    return KMeans(featuresCol=features, k=k, seed=seed, solver="block").fit(df)
 
 
 def silhouette(predictions: DataFrame, distance: str = "squaredEuclidean", features: str = "features") -> float:
@@ -83,7 +84,7 @@ def search_k(scaled: DataFrame, ks: Sequence[int], seed: int = SEED) -> tuple[in
     """Fit each k; best silhouette by squared distance wins. The scores of all k come from the same two passes.
 
     ``scaled`` is read by every fit, so it should be a written table. It is not persisted here: KMeans then keeps its own
-    decoded vectors with spill to disk, while over a persisted frame it decodes every row again in every iteration.
+    blocks of numbers with spill to disk, while over a persisted frame it decodes every row again in every iteration.
     A k that ends with one cluster has no score.
     """
     fits = {k: fit_kmeans(scaled, k, seed) for k in dict.fromkeys(ks)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ def squared_silhouettes(df: DataFrame, predictions: Sequence[str], features: str
 
     The sum of squared distances to a cluster follows from its size, the sum of its vectors and the sum of their squared
     lengths, so one aggregate by (column, cluster) is all that rows need to know of one another. It is
-    fetched (clusters times features numbers) and enters the second pass as literals. None for fewer than two clusters.
+    fetched (clusters times features numbers) and goes into the second pass, of which a sum for each task and column comes back.
+    None for fewer than two clusters.
     """
     named = F.explode(F.array(*[F.struct(F.lit(p).alias("by"), F.col(p).cast("int").alias("cluster")) for p in predictions]))
     x = F.col(features)
@@ -39,28 +40,39 @@ def squared_silhouettes(df: DataFrame, predictions: Sequence[str], features: str
     sums = long.groupBy("by", "cluster").agg(
         F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("x"))).alias("sum"), F.sum("norm").alias("norms")
     ).collect()
-    rows = df.select(*predictions, vector_to_array(x).alias("x"), norm.alias("norm"))
-    scores = []
+    facts = {}
     for p in predictions:
         clusters = sorted((r for r in sums if r["by"] == p), key=lambda r: r["cluster"])
-        if len(clusters) < 2:
-            scores.append(F.lit(None).cast("double").alias(p))
-            continue
-        each = F.array(*[
-            F.struct(F.lit(r["cluster"]).alias("cluster"), F.lit(r["n"]).alias("n"), F.lit(r["norms"]).alias("norms"),
-                     F.array(*map(F.lit, r["sum"])).alias("sum")) for r in clusters
-        ])
-        mine = F.col(p).cast("int")
-
-        def total(c: Column) -> Column:
-            dot = F.aggregate(F.zip_with("x", c["sum"], lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-            return c["n"] * F.col("norm") + c["norms"] - 2 * dot
-
-        far = F.transform(each, lambda c: F.struct(c["cluster"].alias("cluster"), c["n"].alias("n"), F.greatest(total(c), F.lit(0.0)).alias("total")))  # noqa: B023
-        home = F.get(F.filter(far, lambda c: c["cluster"] == mine), F.lit(0))  # noqa: B023
-        other = F.array_min(F.transform(F.filter(far, lambda c: c["cluster"] != mine), lambda c: c["total"] / c["n"]))  # noqa: B023
-        scores.append(F.avg(_score(F.try_divide(home["total"], home["n"] - 1), other, home["n"])).alias(p))
-    return rows.agg(*scores).first().asDict()
+        if len(clusters) > 1:
+            columns = ([r[c] for r in clusters] for c in ("cluster", "n", "norms", "sum"))
+            facts[p] = [np.array(c, float) for c in columns]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row (by, score, n) of a task for each column: the sum of its rows' scores."""
+        found, n_rows = {p: [] for p in facts}, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            lengths, every = (v * v).sum(axis=1), np.arange(len(v))
+            n_rows += len(v)
+            for p, (names, n, norms, total) in facts.items():
+                mine = np.searchsorted(names, batch.column(p).to_numpy(zero_copy_only=False))
+                far = np.maximum(n * lengths[:, None] + norms - 2 * (v @ total.T), 0.0)
+                own = far[every, mine] / np.maximum(n[mine] - 1, 1)
+                far /= n
+                far[every, mine] = np.inf
+                other = far.min(axis=1)
+                most = np.maximum(own, other)
+                known = (n[mine] > 1) & (most > 0)
+                found[p].append(float(np.where(known, (other - own) / np.where(known, most, 1.0), 0.0).sum()))
+        scores = [math.fsum(v) for v in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(scores, pa.float64()), pa.array([n_rows] * len(found), pa.int64())], names=["by", "score", "n"])
+
+    rows = df.select(*[F.col(p).cast("int").alias(p) for p in facts], vector_to_array(x).alias("x"))
+    parts = rows.mapInArrow(scored, "by string, score double, n bigint").collect() if facts else []
+    own = {p: [r for r in parts if r["by"] == p] for p in facts}
+    return {p: math.fsum(r["score"] for r in own[p]) / sum(r["n"] for r in own[p]) if p in facts else None for p in predictions}
 
 
 def euclidean_silhouette(df: DataFrame, cluster: str = "prediction", features: str = "features", block: int = BLOCK) -> DataFrame:

@@ -10,7 +10,7 @@ from millrace.operators import learning
 from millrace.operators.projection import columns_of, numeric_projection
 from millrace.operators.sampling import SEED, head_rows, keyed_sample, random_rows
 from millrace.operators.silhouette import euclidean_silhouette
-from millrace.session import spread, staged
+from millrace.session import staged, training_table
 from millrace.sources.tables import write_parquet
 
 K_RANGE = (5,)
@@ -33,7 +33,7 @@ def kmeans_clusters(
 
     ``on_missing="skip"`` leaves out rows with a NULL feature; by default one ends the job.
     """
-    scaled = staged(spread(scaled_features(df, columns, on_missing).drop("features_unscaled")), "scaled")
+    scaled = training_table(scaled_features(df, columns, on_missing).drop("features_unscaled"), "scaled")
     k, model, scores = learning.search_k(scaled, ks, seed)
     return model.transform(scaled), k, scores
 

@@ -20,6 +20,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+SPREAD_ROWS = 1 << 20  # rows of a partition that are dealt for training, at most
 _staged: list[str] = []
 _shipped: set[str] = set()
 
@@ -89,15 +90,24 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, tasks: int | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from there.
 
-    For results that are costly to make and read by several later passes.
+    For results that are costly to make and read by several later passes. With ``tasks`` they are read by as many at least.
     """
     path = work_dir(df.sparkSession, purpose)
     _staged.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    if tasks:
+        spark = derived_session(spark, {"spark.sql.files.minPartitionNum": str(tasks), "spark.sql.files.openCostInBytes": "1"})
+    return spark.read.parquet(path)
+
+
+def training_table(df: DataFrame, purpose: str) -> DataFrame:
+    """Rows dealt by ``spread`` as a written table, which is read in as many parts: a fit keeps what a task reads, decoded."""
+    parts = spread_parts(df)
+    return staged(df.repartition(parts), purpose, parts)
 
 
 def staged_so_far() -> int:
@@ -119,13 +129,18 @@ def drop_staged(spark: SparkSession, start: int = 0, end: int | None = None) ->
             _staged[i] = ""  # marks stay where they are
 
 
+def spread_parts(df: DataFrame) -> int:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(parts, math.ceil(df.count() / SPREAD_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """As many partitions as the session sets for shuffles, for iterative training.
+    """As many partitions as the session sets for shuffles, or more, so that each has ``SPREAD_ROWS`` at most, for iterative training.
 
     A file with a single row group is one task however large the cluster. Every input is dealt alike, so
     starts and samples of a fit depend on the setting and not on how the files were cut.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(spread_parts(df))
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import batches, boosting, learning, silhouette
 from millrace.operators.quantiles import rank_auc
 from millrace.plans import classify, clustering
+from millrace.session import training_table
 
 
 @pytest.fixture(scope="module")
@@ -194,3 +195,11 @@ def test_trees_are_fitted_on_merged_rows(spark, noisy):
     wide = [np.arange(9.0)] * 30
     codes = boosting._codes(boosting._places(np.repeat(np.arange(20.0)[:, None], 30, axis=1), wide), wide)
     assert len(np.unique(codes)) == 10
+
+
+def test_training_tables_have_bounded_parts(spark, points, monkeypatch):
+    """More rows make more parts, when written and when read, not larger ones."""
+    monkeypatch.setitem(training_table.__globals__, "SPREAD_ROWS", 30)
+    table = training_table(points, "points")
+    sizes = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 90 and len(sizes) >= 15
