@@ -88,7 +88,7 @@ def target_sized_write(spark: SparkSession, d: str) -> DataFrame:
     out = []
     for kind, source in (("as_is", rows), ("hot", rows.withColumn("l_partkey", F.lit(7).cast("bigint")))):
         root = work_dir(spark, kind)
-        tables.write_parquet(source, f"{root}/one", files=1)
+        tables.write_parquet(source, f"{root}/one")  # as the rows come: one file would be one task's work
         target = tables.bytes_below(spark, spark.read.parquet(f"{root}/one").inputFiles()) // 8
         tables.write_parquet(source, f"{root}/sized", target_bytes=target)
         sizes = inventory.list_files(spark, [inventory.resolved(spark, f"{root}/sized")]).where("path LIKE '%.parquet'")

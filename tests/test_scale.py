@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as driver
 from millrace.operators import ordered
+from millrace.sources import tables
 from millrace.testbed import fixtures as fx
 
 QUERIES = driver.queries()
@@ -70,3 +71,11 @@ def test_hot_series_is_spread_over_chunks(spark, sf_dir):
     chunked = ordered.line_chunks(lines, "line_no", size=50)
     biggest = chunked.groupBy("file", "__chunk").count().agg({"count": "max"}).first()[0]
     assert biggest <= 50
+
+
+def test_sized_write_gives_no_task_all_rows(spark, sf_dir, monkeypatch):
+    """The size of the table is known from files written as the rows come."""
+    asked, write = [], tables.write_parquet
+    monkeypatch.setattr(tables, "write_parquet", lambda *a, **b: (asked.append(b.get("files")), write(*a, **b)))
+    assert all(r.near_target for r in QUERIES["target_sized_write"](spark, sf_dir).collect())
+    assert asked == [None] * 4
