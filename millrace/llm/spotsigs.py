@@ -10,6 +10,8 @@ alone rule it out. Everything here is DataFrame functions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,27 +30,35 @@ ANCHORS = tuple(
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def signatures(words_column: str) -> Column:
-    """Sorted distinct signatures of an array of words; the column must be read from a row, not computed in place."""
-    w = F.col(words_column)
-    at = F.filter(
-        F.sequence(F.lit(0), F.size(w) - 1),
-        lambda i: w[i].isin(*ANCHORS)
-        | ~F.exists(F.slice(w, F.greatest(F.lit(1), i - REACH + 2), F.least(F.lit(REACH), i + 1)), lambda x: x.isin(*ANCHORS)),
-    )
-    chains = F.transform(
-        at,
-        lambda i: F.struct(
-            w[i].alias("anchor"), F.slice(F.filter(F.slice(w, i + 2, REACH), lambda x: ~x.isin(*ANCHORS)), 1, CHAIN).alias("chain")
-        ),
-    )
-    spots = F.transform(F.filter(chains, lambda c: F.size(c["chain"]) > 0), lambda c: F.xxhash64(c["anchor"], c["chain"]))
+def contents(words_column: str) -> Column:
+    """The words, NULL for each common one: the only look at the list of common words."""
+    return F.transform(words_column, lambda x: F.when(~x.isin(*ANCHORS), x))
+
+
+def commons(contents_column: str) -> Column:
+    return F.transform(contents_column, lambda x: x.isNull())
+
+
+def signatures(words_column: str, contents_column: str, commons_column: str) -> Column:
+    """Sorted distinct signatures of an array of words; the columns must be read from a row, not computed in place.
+
+    Most chains are the next two words. A hash over a word and an array is the hash over the word and the array's elements.
+    """
+    w, content, common = F.col(words_column), F.col(contents_column), F.col(commons_column)
+
+    def spot(x: Column, i: Column) -> Column:
+        near = F.array_contains(F.slice(common, F.greatest(F.lit(1), i - REACH + 2), F.least(F.lit(REACH), i + 1)), True)
+        following = [F.get(content, i + j) for j in range(1, CHAIN + 1)]
+        chain = F.slice(F.array_compact(F.slice(content, i + 2, REACH)), 1, CHAIN)
+        further = F.transform(F.array(chain), lambda c: F.when(F.size(c) > 0, F.xxhash64(x, c)))[0]
+        return F.when(F.get(common, i) | ~near, F.when(reduce(and_, [c.isNotNull() for c in following]), F.xxhash64(x, *following)).otherwise(further))
+
     whole = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(w)))
-    found = F.when(F.size(w) == 0, whole).otherwise(spots)
-    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(whole)))
+    found = F.array_compact(F.transform(w, spot))
+    return F.sort_array(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(whole)))
 
 
 def fingerprint(signatures_column: str) -> Column:
@@ -75,7 +85,10 @@ def likeness(a: str, b: str, least: float = 0.0) -> Column:
 def with_signatures(df: DataFrame, texts: dict[str, str], drop: Sequence[str] = ()) -> DataFrame:
     """Add a signature column for each text column named in ``texts`` (new name by text column)."""
     split = df.select("*", *[words(F.col(text)).alias(f"__w_{name}") for text, name in texts.items()]).drop(*drop)
-    return split.select("*", *[signatures(f"__w_{name}").alias(name) for name in texts.values()]).drop(*[f"__w_{n}" for n in texts.values()])
+    for step, before, kind in ((contents, "w", "c"), (commons, "c", "a")):
+        split = split.select("*", *[step(f"__{before}_{name}").alias(f"__{kind}_{name}") for name in texts.values()])
+    made = [f"__{kind}_{name}" for kind in "wca" for name in texts.values()]
+    return split.select("*", *[signatures(*[f"__{kind}_{name}" for kind in "wca"]).alias(name) for name in texts.values()]).drop(*made)
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:

@@ -147,6 +147,17 @@ def test_fingerprints_of_edited_texts(spark, make_docs):
     assert got[0].fingerprint == got[97].fingerprint and len({x.fingerprint for x in got.values()}) == len(set(texts.values()))
 
 
+def test_common_words_are_looked_up_once_a_word(make_docs):
+    rows = make_docs([(1, "of the one and two on three the the of four by"), (2, "x of the a in to of the by y z")]).select("doc_id", "text")
+    signed = spotsigs.with_signatures(rows, {"text": "sigs"})
+    assert str(signed._jdf.queryExecution().optimizedPlan()).count("INSET") == 1  # the list stands there once
+    from pyspark.sql import functions as F
+
+    for r in signed.collect():
+        brute = [F.xxhash64(F.lit(x), F.array(*map(F.lit, chain))) for x, *chain in brute_signatures(r.text)]
+        assert r.sigs == sorted(signed.limit(1).select(*[b.alias(str(i)) for i, b in enumerate(brute)]).first())
+
+
 def test_fingerprints_of_odd_rows(odd_docs, make_docs):
     got = spotsigs.edited_pairs(odd_docs).collect()
     assert len(got) == 11 and len({r.fingerprint for r in got if r.doc_id in (5, 6)}) == 1
