@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -201,15 +201,19 @@ class _Scores(dict):
             self.table = np.zeros((1024, len(self.model.languages)))
 
 
-_scores: dict[str, _Scores] = {}
+class _Shared:
+    """A broadcast model and the words that a worker process has scored for it, over all its tasks.
 
+    The worker gives up a broadcast as soon as it runs a task of a stage without it, and the scores with it: they
+    would else take the memory of all later stages.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
 
-def _worker_scores(key: str, shared) -> _Scores:
-    """The words that this worker process has scored for a model, over all its tasks; those of another model are given up."""
-    if key not in _scores:
-        _scores.clear()
-        _scores[key] = _Scores(shared.value)
-    return _scores[key]
+    @cached_property
+    def scores(self) -> _Scores:
+        return _Scores(self.model)
 
 
 def classify(text: str | None, scores: _Scores) -> tuple[str, float]:
@@ -288,12 +292,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     NULL, and text without a letter, is ``und`` with score 0.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(_Shared(model))
     docs = docs.drop("lang_pred", "score")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _worker_scores(key, shared)
+        scores = shared.value.scores
         for batch in slices(batches, 256):
             names, values = [], []
             texts = [letters(text) for (text,) in rows_of(batch, "text")]

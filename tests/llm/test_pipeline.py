@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from millrace.llm import decontam, jaccard, passages
+from millrace.llm import decontam, jaccard, langid, passages
+from tests.llm.conftest import prose
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +71,20 @@ def test_odd_rows_pass_through_all_stages(spark, odd_folder, tmp_path):
 def test_all_operators_are_registered():
     names = {n.split("_")[0] for n in driver.queries() if n.startswith("op")}
     assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in driver.queries()
+
+
+def test_scored_words_go_when_a_worker_turns_to_other_work(spark, make_docs):
+    rows = make_docs([(i, " ".join(prose(i, 40)), ["en", "de"][i % 2], "a") for i in range(40)]).repartition(4)
+    model = langid.fit(rows)
+    assert langid.predict(rows, model).count() == 40 and langid.predict(rows, model).where("score >= 0").count() == 40
+
+    def kept(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for batch in batches:
+            n = sum(type(o).__name__ == "_Scores" for o in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert spark.range(64, numPartitions=16).mapInArrow(kept, "n long").agg({"n": "max"}).first()[0] == 0
