@@ -160,19 +160,33 @@ def chains(dp: list[int], fp: list[int], k: int = K, gap: float = GAP_COST) -> l
 
 
 def bridged(found: list[tuple[list[int], list[int]]], k: int = K) -> list[tuple[list[int], list[int]]]:
-    """Join chains that follow each other in both texts; whether what lies between may differ is seen by alignment."""
+    """Join chains that follow each other in both texts; whether what lies between may differ is seen by alignment.
+
+    Of the chains that end near before one, that of the nearest diagonal is joined, then the nearest, then the first.
+    """
+    reach = BRIDGE + k
     out: list[tuple[list[int], list[int]]] = []
     live: list[int] = []
+    last = np.empty((2, len(found)), np.int64)  # ends of the live chains
+    looked = 0
     for d, f in sorted(found):
-        live = [i for i in live if d[0] - out[i][0][-1] - k <= BRIDGE]
-        near = [i for i in live if out[i][0][-1] < d[0] and 0 < f[0] - out[i][1][-1] <= BRIDGE + k]
-        if near:
-            i = min(near, key=lambda i: (abs(d[0] - out[i][0][-1] - f[0] + out[i][1][-1]), d[0] - out[i][0][-1]))
-            out[i][0].extend(d)
-            out[i][1].extend(f)
+        if len(live) >= looked:  # those behind are near nothing that follows
+            stays = np.flatnonzero(d[0] - last[0, : len(live)] <= reach)
+            last[:, : len(stays)] = last[:, stays]
+            live = [live[x] for x in stays.tolist()]
+            looked = 2 * len(live) + 16
+        ahead, beyond = np.array([[d[0]], [f[0]]]) - last[:, : len(live)]
+        near = np.flatnonzero((ahead > 0) & (ahead <= reach) & (beyond > 0) & (beyond <= reach))
+        if len(near):
+            ahead, beyond = ahead[near], beyond[near]
+            at = int(near[(abs(ahead - beyond) * (reach + 1) + ahead).argmin()])
+            out[live[at]][0].extend(d)
+            out[live[at]][1].extend(f)
         else:
+            at = len(live)
             live.append(len(out))
             out.append((list(d), list(f)))
+        last[:, at] = d[-1], f[-1]
     return out
 
 
@@ -301,6 +315,19 @@ def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best + 1, int(same[: best + 1].sum())
 
 
+def _whole(runs: list[list[int]], left: tuple[int, int], right: tuple[int, int], least: int, percent: int):
+    """The longest passage of all runs, with what their ends reach or without; None if there is none."""
+    d0, f0, d1, f1 = runs[0][0], runs[0][2], runs[-1][1], runs[-1][3]
+    total = sum(r[4] + r[5] for r in runs) - runs[0][5] - runs[0][6]
+    found = None
+    for x, y in ((1, 1), (1, 0), (0, 1), (0, 0)):
+        ends = d0 - x * left[0], d1 + y * right[0], f0 - x * left[0], f1 + y * right[0]
+        agree, size = total + x * left[1] + y * right[1], ends[1] - ends[0]
+        if size >= least and 100 * agree >= percent * max(size, ends[3] - ends[2]) and (not found or size > found[1] - found[0]):
+            found = (*ends, agree)
+    return found
+
+
 def align(
     dw: np.ndarray, fw: np.ndarray, dp: list[int], fp: list[int], k: int = K, least: int = LEAST_WORDS, percent: int = PERCENT
 ) -> list[tuple[int, int, int, int, int]]:
@@ -322,6 +349,11 @@ def align(
         else:
             run[4] += agree + k - skip
             run[1], run[3] = d + k, f + k
+    ends = [_reach(dw[: dp[0]][::-1], fw[: fp[0]][::-1]), _reach(dw[runs[-1][1] :], fw[runs[-1][3] :])]
+    if found := _whole(runs, *ends, least, percent):
+        return [found]
+    if len(runs) == 1:
+        return []
     none = (0, 0)
     lows, highs = [none, *[(r[1], r[3]) for r in runs]], [*[(r[0], r[2]) for r in runs[1:]], (len(dw), len(fw))]
     left = np.array([_reach(dw[x:d0][::-1], fw[y:f0][::-1]) for (x, y), (d0, _, f0, *_) in zip(lows, runs)])
@@ -390,17 +422,23 @@ def _hopeful(batch: pa.RecordBatch, least: int) -> np.ndarray:
     return number("d1") - number("d0") + left + right >= least
 
 
+def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+    """The lists of a column, without a Python value for each element."""
+    column = batch.column(batch.schema.get_field_index(name))
+    offsets = column.offsets.to_pylist()
+    values = column.values.to_numpy()
+    return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
+
+
 def _aligned(least_words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "first", "d_low", "f_low", "dp", "fp", "d_part", "f_part"]
         for batch in slices(batches, 2048):
             batch = batch.filter(pa.array(_hopeful(batch, least_words)))
             rows = []
-            for doc, first, d_low, f_low, dp, fp, dw, fw in rows_of(batch, *names):
-                found = align(
-                    np.array(dw, np.int32), np.array(fw, np.int32), [p - d_low for p in dp], [p - f_low for p in fp],
-                    least=least_words, percent=percent,
-                )
+            flat = rows_of(batch, "doc", "first", "d_low", "f_low")
+            for (doc, first, d_low, f_low), *lists in zip(flat, *[_lists(batch, c) for c in ("dp", "fp", "d_part", "f_part")]):
+                dp, fp, dw, fw = lists
+                found = align(dw, fw, (dp - d_low).tolist(), (fp - f_low).tolist(), least=least_words, percent=percent)
                 for d0, d1, f0, f1, n in found:
                     rows.append((doc, d0 + d_low, d1 + d_low, first, f0 + f_low, f1 + f_low, n))
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]

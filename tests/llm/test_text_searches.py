@@ -263,3 +263,31 @@ def test_all_texts_of_a_repeated_id_are_linked(make_docs, order):
     got = jaccard.ngram_components(make_docs([rows[i] for i in order]).coalesce(1)).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1}
     assert len(got) == 4
+
+
+def test_a_whole_chain_is_aligned_at_its_ends_only(monkeypatch):
+    """Of a chain that is a passage as a whole, the gaps inside are not tried as ends."""
+    text = list(range(400))
+    other = [-x if x % 40 == 39 else x for x in text]
+    tried = []
+    reach = passages._reach
+    monkeypatch.setattr(passages, "_reach", lambda a, b: tried.append(1) or reach(a, b))
+    at = [x for x in range(1, 390) if x % 40 < 34]
+    found = passages.align(np.array(text, np.int32), np.array(other, np.int32), at, at)
+    assert found == [(0, 399, 0, 399, 390)] and len(tried) == 2
+
+
+def test_bridges_are_those_of_one_by_one():
+    r = random.Random(4)
+    for n in (1, 5, 40, 300):
+        chains = [([d], [f]) for d, f in {(r.randrange(4 * n), r.randrange(4 * n)) for _ in range(n)}]
+        chains = [(d + [d[0] + 3] * (d[0] % 2), f + [f[0] + 5] * (d[0] % 2)) for d, f in chains]
+        out, limit = [], passages.BRIDGE + passages.K
+        for d, f in sorted(chains):
+            near = [i for i, (x, y) in enumerate(out) if 0 < d[0] - x[-1] <= limit and 0 < f[0] - y[-1] <= limit]
+            if near:
+                i = min(near, key=lambda i: (abs(d[0] - out[i][0][-1] - f[0] + out[i][1][-1]), d[0] - out[i][0][-1]))
+                out[i] = (out[i][0] + d, out[i][1] + f)
+            else:
+                out.append((d, f))
+        assert passages.bridged(chains) == out
