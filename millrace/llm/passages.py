@@ -3,10 +3,12 @@
 1. Seeds are runs of ``K`` words that are the smallest hash among ``WINDOW`` neighbouring runs, so any run of
    ``K + WINDOW - 1`` words that two documents share holds a shared seed. A block of words that begins at each seed is a
    seed too, so long that any unedited passage of the least length holds a shared one.
-2. A document is matched with the smallest that has a seed and with the one before it that has it; every occurrence in another document is
-   matched with the first one there, the second also with the second and so on.
-3. Matches between two documents are chained in order of both, each gap costing by its length; a Fenwick tree
-   over the positions in the first document gives the best predecessor.
+2. All places of a seed are read in order of the documents. A document is matched with the smallest that has the seed and with the one
+   before it that has it; every occurrence in another document is matched with the first one there, the second also with the second and
+   so on. Occurrences that follow each other within a block are a text that repeats itself: they are matched in order, and from the first anew
+   when the other document has no more.
+3. Matches between two documents are merged where they touch, and chained in order of both, each gap costing by its length; a Fenwick
+   tree over the positions in the first document gives the best predecessor.
 4. Chains that follow each other are joined and aligned word by word between their matches and beyond their ends; the
    longest joined pieces that have ``LEAST_WORDS`` words of which ``PERCENT`` agree are passages.
 
@@ -32,13 +34,19 @@ LEAST_WORDS = 50
 PERCENT = 80
 GAP_COST = 0.15  # of a word without match in either document
 MARGIN = 32  # words that are aligned beyond a chain's ends
-SPREAD = 1024  # holders of a seed that are put in order together
+SPREAD = 1 << 18  # places that are matched at a time, of many seeds or of one
+FREQUENT = 1 << 14  # a seed with more places is dealt over tasks
+RANGES = 32  # of documents, for such a seed
+NTH = 16  # place of a seed in a slice of documents that is counted
 BRIDGE = 64  # words between chains that are aligned as one: pieces too short alone allow 25, and seeds lie inside them
 CUT = 64  # windows of text begin and end at multiples of it
 DROP = 8  # an alignment ends where its score falls so far below its best
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-CHAINS = "doc long, first long, d0 int, d1 int, f0 int, f1 int, dp array<int>, fp array<int>"
+PLACES = "seed long, doc long, at int, block int"
+KNOWN = ["seed", "part", "doc", "at", "block", "known"]
+MATCHES = "doc long, first long, at int, first_at int, kind int"
+CHAINS = "doc long, first long, d0 int, d1 int, f0 int, f1 int, dp array<int>, fp array<int>, size array<int>"
 SPANS = "doc_id long, start_word int, end_word int, first_doc_id long, first_start int, first_end int, n_match int"
 
 
@@ -60,59 +68,230 @@ def seed_places(word_hashes: np.ndarray, k: int = K, window: int = WINDOW) -> tu
     return runs[at], at.astype(np.int32)
 
 
-def _turns(seeds: np.ndarray) -> np.ndarray:
-    """How often each seed has occurred in the document before."""
-    order = np.argsort(seeds, kind="stable")
-    ordered = seeds[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    out = np.empty(len(seeds), np.int32)
-    out[order] = np.arange(len(seeds)) - np.repeat(starts, np.diff(np.r_[starts, len(seeds)]))
-    return out
-
-
 def _steps(least_words: int, k: int = K) -> list[int]:
     """Places of the runs that cover a block; a passage of ``least_words`` holds the block of its first seed."""
     last = max(0, least_words - WINDOW + 1 - k)
     return [*range(0, last, k), last]
 
 
-def with_blocks(word_hashes: np.ndarray, steps: list[int], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, places and whether it is a block: a document's seeds, then the blocks of words that begin at them."""
-    found, at = seed_places(word_hashes, k)
+def places_of(word_hashes: np.ndarray, sizes: np.ndarray, steps: list[int], k: int = K) -> tuple[np.ndarray, ...]:
+    """Seeds, the number of their document, their places and the blocks that begin there (0: none), of documents one after the other."""
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
     runs = grams(word_hashes, k)
-    begins = at[at < len(runs) - steps[-1]]
-    blocks = np.zeros(len(begins), np.uint64)
+    left = np.repeat(ends, sizes)[: len(runs)] - np.arange(len(runs)) - k  # runs that follow in the document; less than 0: it ends before
+    count = len(runs) - WINDOW + 1
+    reach = np.zeros(len(runs), np.uint64)
+    if count > 0:
+        least = runs[:count].copy()
+        for i in range(1, WINDOW):
+            np.minimum(least, runs[i : count + i], out=least)
+        least[left[:count] < WINDOW - 1] = 0
+        for i in range(WINDOW):
+            np.maximum(reach[i : count + i], least, out=reach[i : count + i])
+    for i in np.flatnonzero((sizes >= k) & (sizes - k + 1 < WINDOW)).tolist():  # a single window of all runs
+        own = slice(begins[i], ends[i] - k + 1)
+        reach[own] = runs[own].min()
+    at = np.flatnonzero((runs <= reach) & (left >= 0))
+    blocks = np.zeros(len(at), np.uint64)
+    whole = left[at] >= steps[-1]
+    hashed = np.zeros(int(whole.sum()), np.uint64)
     for step in steps:
-        blocks = mixed(blocks + runs[begins + step])
-    is_block = np.repeat([False, True], [len(found), len(blocks)])
-    return np.concatenate([found, blocks]), np.concatenate([at, begins]), is_block
+        hashed = mixed(hashed + runs[at[whole] + step])
+    blocks[whole] = np.maximum(hashed >> np.uint64(33), np.uint64(1))
+    docs = np.repeat(np.arange(len(sizes)), sizes)[at]
+    return runs[at], docs, (at - begins[docs]).astype(np.int32), blocks.astype(np.int32)
 
 
-def _seeds(places: bool, steps: list[int]):
+def _places(steps: list[int]):
+    """Places of all seeds; every ``NTH`` place of a seed in a slice of documents comes a second time, as place -1, to be counted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seeds, docs, ats, turns, blocks = [], [], [], [], []
+        for batch in slices(batches):
+            ids, sizes, tokens = [], [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
-                found, at, is_block = with_blocks(hashes(words(text)), steps)
-                if doc_id is None or not len(found):
-                    continue
-                if places:
-                    ats.append(at)
-                    turns.append(_turns(found))
-                    blocks.append(is_block)
-                else:
-                    found = np.unique(found)
-                seeds.append(found)
-                docs.append(np.full(len(found), doc_id, np.int64))
-            if seeds:
-                columns = {"seed": signed(np.concatenate(seeds)), "doc": np.concatenate(docs)}
-                if places:
-                    columns |= {"at": np.concatenate(ats), "turn": np.concatenate(turns), "is_block": np.concatenate(blocks)}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+                own = words(text) if doc_id is not None else []
+                if len(own) >= K:
+                    ids.append(doc_id)
+                    sizes.append(len(own))
+                    tokens += own
+            if ids:
+                seeds, docs, at, blocks = places_of(hashes(tokens), np.array(sizes), steps)
+                docs = np.array(ids, np.int64)[docs]
+                order = np.lexsort((docs, seeds))
+                begins = np.flatnonzero(np.append(True, seeds[order[1:]] != seeds[order[:-1]]))
+                turn = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+                nth = order[turn % NTH == NTH - 1]
+                columns = [np.append(c, c[nth]) for c in (signed(seeds), docs, at, blocks)]
+                columns[2][len(at) :] = -1
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "doc", "at", "block"])
 
     return run
 
 
+def _pairs(key: np.ndarray, doc: np.ndarray, at: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of key, document and place, and the rows that each is matched with (see the module's second step).
+
+    What repeats itself and goes on beyond what the other document has is matched with it anew once a block at most, and its end with
+    the end there.
+    """
+    n = len(key)
+    new_key, new_doc = np.ones(n, bool), np.ones(n, bool)
+    new_key[1:] = key[1:] != key[:-1]
+    new_doc[1:] = new_key[1:] | (doc[1:] != doc[:-1])
+    starts = np.flatnonzero(new_doc)
+    counts = np.diff(np.append(starts, n))
+    group = np.cumsum(new_doc) - 1
+    turn = np.arange(n) - starts[group]
+    first = np.maximum.accumulate(np.where(new_key[starts], np.arange(len(starts)), 0))
+    step = np.zeros(n, np.int64)
+    step[1:] = at[1:] - at[:-1]
+    again = (turn > 0) & (step < block)
+    begins = np.flatnonzero(~again)  # of what repeats itself
+    length = np.diff(np.append(begins, n))
+    since = np.arange(n) - np.repeat(begins, length)
+    ends = np.append(~again[1:], True)
+    lead = length[np.searchsorted(begins, starts)]  # how often it repeats itself where it is first in a document
+    rows, others = [], []
+    for with_first in (True, False):
+        i = np.flatnonzero(group > first[group] + (not with_first))
+        other = first[group[i]] if with_first else group[i] - 1
+        begin, held, t, u = starts[other], lead[other], turn[i], since[i]
+        every = -(-block // np.maximum(held * step[i], 1))  # of so many rounds one is matched
+        for chosen, there in (
+            (t < counts[other], t),
+            ((t > 0) & (u == 0), 0 * t),
+            ((t > u) & (u > 0) & (u < held) | (u >= held) & (u // held % np.maximum(every, 1) == 0), u % held),
+            ((u >= held) & ends[i], held - 1),
+        ):
+            rows.append(i[chosen])
+            others.append((begin + there)[chosen])
+    return np.concatenate(rows), np.concatenate(others)
+
+
+def _matches(steps: list[int], blocks: bool, spread: int):
+    """Rows sorted by seed, part, document and place: matches of the seeds and of the blocks that begin there.
+
+    Of a seed with more than ``spread`` places in a part they are read by and by, behind the places in the smallest document and in the
+    one before. The blocks of such a seed, and of one that has several parts, are handed on (kind 2), to be put in order by themselves.
+    """
+    block = steps[-1] + K
+    names = [x.split()[0] for x in MATCHES.split(", ")]
+    types = [pa.int64()] * 2 + [pa.int32()] * 3
+
+    def found(rows: np.ndarray, hand_on: bool = False) -> Iterator[pa.RecordBatch]:
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)  # of rows with one id, places may come twice
+        seed, part, doc, at, tail, known = rows[:, new]
+        key = seed * np.int64(RANGES + 2) + part
+        apart = (part >= 0) | hand_on
+        i, j = _pairs(key, doc, at, block)
+        i, j = i[known[i] == 0], j[known[i] == 0]
+        parts = []
+        if blocks:
+            own = np.flatnonzero(apart & (tail > 0) & (known == 0))
+            hashed = mixed(seed[own].view(np.uint64) + tail[own].astype(np.uint64))
+            parts.append((doc[own], signed(hashed), at[own], at[own], np.full(len(own), 2)))
+        if blocks and len(i):
+            same = key[1:] == key[:-1]
+            begins = np.flatnonzero(np.append(True, ~same))
+            several = np.logical_or.reduceat(np.append(False, same & (doc[1:] != doc[:-1])), begins)
+            own = np.flatnonzero(np.repeat(several, np.diff(np.append(begins, len(key)))) & (tail > 0) & ~apart)
+            own = own[np.lexsort((at[own], doc[own], tail[own], key[own]))]
+            x, y = _pairs(key[own] * np.int64(0x9E3779B1) + tail[own], doc[own], at[own], block)
+            x, y = own[x], own[y]
+            parts.append((doc[x], doc[y], at[x], at[y], np.ones(len(x), np.int64)))
+            n = len(key)
+            alone = ~np.isin(i * n + j, x * n + y)  # others are the beginning of a block
+            i, j = i[alone], j[alone]
+        parts.append((doc[i], doc[j], at[i], at[j], np.full(len(i), 0 if blocks else 1)))
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size, wanted = [], 0, spread
+        open_ = None  # places of the seed that goes on, in its smallest document and in the last
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept.append(np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in KNOWN]))
+            size += batch.num_rows
+            if size < wanted:
+                continue
+            rows = np.concatenate(kept, axis=1)
+            if open_ is not None:
+                end = _end_of(rows, open_)
+                over = end < rows.shape[1]
+                cut = end if over else _last_change(rows[:3])
+                head, rows = rows[:, :cut], rows[:, cut:]
+                if cut:
+                    yield from found(np.concatenate([open_, head], axis=1), True)
+                    open_ = _ends(np.concatenate([open_, head], axis=1))
+                if over:
+                    open_ = None
+            if open_ is None:
+                if cut := _last_change(rows[:2]):
+                    yield from found(rows[:, :cut])
+                elif cut := _last_change(rows[:3]):
+                    yield from found(rows[:, :cut], True)
+                    open_ = _ends(rows[:, :cut])
+                rows = rows[:, cut:]
+            kept, size = [rows], rows.shape[1]
+            wanted = max(spread, 2 * size)  # a single document is read as a whole
+        rows = np.concatenate(kept, axis=1) if kept else np.empty((len(KNOWN), 0), np.int64)
+        if open_ is not None:
+            cut = _end_of(rows, open_)
+            yield from found(np.concatenate([open_, rows[:, :cut]], axis=1), True)
+            rows = rows[:, cut:]
+        if rows.shape[1]:
+            yield from found(rows)
+
+    return run
+
+
+def _end_of(rows: np.ndarray, open_: np.ndarray) -> int:
+    """How many rows go on with the seed and part of others."""
+    return int(np.searchsorted((rows[:2] != open_[:2, :1]).any(axis=0), True))
+
+
+def _last_change(rows: np.ndarray) -> int:
+    """The last column that differs from the one before; 0 if there is none."""
+    at = np.flatnonzero((rows[:, 1:] != rows[:, :-1]).any(axis=0))
+    return int(at[-1]) + 1 if len(at) else 0
+
+
+def _ends(rows: np.ndarray) -> np.ndarray:
+    """Of places of one seed those in its smallest document and in the last, which are known from then on."""
+    out = rows[:, (rows[2] == rows[2, 0]) | (rows[2] == rows[2, -1])]
+    out[KNOWN.index("known")] = 1
+    return out
+
+
+def _frequent(rows: DataFrame, weight: int) -> DataFrame:
+    """Seeds with many places and the bounds of ranges of documents that have about as many each."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    found = rows.groupBy("seed").agg(F.count("*").alias("n"), F.percentile_approx("doc", shares, 1000).alias("bounds"))
+    return staged(found.where(F.col("n") * weight > FREQUENT).select("seed", F.array_distinct("bounds").alias("bounds")), "frequent")
+
+
+def _in_order(placed: DataFrame, frequent: DataFrame, parts: int) -> DataFrame:
+    """Places by seed, document and place, of a frequent seed by ranges of documents (part; else -1).
+
+    A range begins with the places (known) in the smallest document of all that have the seed and in the last of the range before.
+    """
+    part = F.size(F.filter("bounds", lambda b: b < F.col("doc")))
+    rows = placed.join(frequent, "seed", "left").withColumn("part", F.when(F.col("bounds").isNull(), -1).otherwise(part))
+    dealt = rows.where("part >= 0")
+    ranges = staged(dealt.groupBy("seed", "part").agg(F.min("doc").alias("low"), F.max("doc").alias("top")), "ranges")
+    order = Window.partitionBy("seed").orderBy("part")
+    before = ranges.select("seed", "part", F.first("low").over(order).alias("first"), F.lag("top").over(order).alias("top"))
+    ahead = before.where("top is not null").select("seed", "part", F.explode(F.array_distinct(F.array("first", "top"))).alias("doc"))
+    known = dealt.drop("part", "bounds").join(staged(ahead, "ahead"), ["seed", "doc"]).withColumn("known", F.lit(1))
+    every = rows.withColumn("known", F.lit(0)).select(*KNOWN).unionByName(known.select(*KNOWN))
+    return every.repartition(parts, "seed", "part").sortWithinPartitions("seed", "part", "doc", "at")
+
+
 def chains(dp: list[int], fp: list[int], k: int = K, gap: float = GAP_COST) -> list[tuple[list[int], list[int]]]:
     """Split matches, ordered by ``dp`` then ``fp``, into chains that rise in both, best first.
 
@@ -190,59 +369,74 @@ def bridged(found: list[tuple[list[int], list[int]]], k: int = K) -> list[tuple[
     return out
 
 
-def _places(batch: pa.Table, steps: np.ndarray) -> np.ndarray:
-    """Distinct matches (doc, first, place, place there) in order; a block is a match for each of its runs."""
-    columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "first", "at", "first_at")]
-    block = batch.column("is_block").to_numpy().astype(bool)
-    parts = [np.stack([c[~block] for c in columns])]
-    doc, first, d, f = (c[block] for c in columns)
-    parts += [np.stack([doc, first, d + x, f + x]) for x in steps]
-    every = np.concatenate(parts, axis=1)
-    every = every[:, np.lexsort(every[::-1])]
-    new = np.ones(every.shape[1], bool)
-    new[1:] = (every[:, 1:] != every[:, :-1]).any(axis=0)
-    return every[:, new]
-
-
-def _simple(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which groups are one chain for sure: all matches on one diagonal, and none so far from the one before that it would begin anew.
-
-    On a diagonal the best predecessor is the match before: leaving one out covers no more and skips as much.
+def _segments(batch: pa.Table, block: int) -> tuple[np.ndarray, ...]:
+    """Matches as (doc, first, place, place there, words), merged where they touch, in order of doc, first and diagonal."""
+    doc, first, d, f, kind = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "first", "at", "first_at", "kind"))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
+    pair = np.cumsum(new)
+    order = np.lexsort((d, f - d, pair))
+    pair, d, f, end = pair[order], d[order], f[order], (d + np.where(kind > 0, block, K))[order]
+    apart = np.ones(len(d), bool)
+    apart[1:] = (pair[1:] != pair[:-1]) | (np.diff(f - d) != 0)
+    line = np.cumsum(apart) << 32
+    reach = np.maximum.accumulate(line + end) - line  # where the matches before on the diagonal end, and this one
+    apart[1:] |= d[1:] > reach[:-1]
+    starts = np.flatnonzero(apart)
+    ends = reach[np.append(starts[1:], len(d)) - 1]
+    return doc[order][starts], first[order][starts], d[starts], f[starts], ends - d[starts]
+
+
+def _solid(dp: list[int], fp: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Matches of ``K`` words in order, merged where they touch on a diagonal."""
+    d, f = np.array(dp), np.array(fp)
+    apart = np.ones(len(d), bool)
+    apart[1:] = (np.diff(f - d) != 0) | (np.diff(d) > K)
+    starts = np.flatnonzero(apart)
+    size = d[np.append(starts[1:], len(d)) - 1] + K - d[starts]
+    return d[starts].tolist(), f[starts].tolist(), size.tolist()
+
+
+def _spread(d: np.ndarray, f: np.ndarray, size: np.ndarray) -> tuple[list[int], list[int]]:
+    """Runs of ``K`` words that cover merged matches, in order of both texts."""
+    count = -(-size // K)
+    n = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    shift = np.minimum(n * K, np.repeat(size - K, count))
+    d, f = np.repeat(d, count) + shift, np.repeat(f, count) + shift
+    order = np.lexsort((f, d))
+    return d[order].tolist(), f[order].tolist()
+
+
+def _chained(block: int):
+    """Rows sorted by document and first document: chains of at least two matches. A block is a match for each of its runs.
+
+    Matches on one diagonal, none so far from the one before that they would not be bridged, are one chain for sure.
     """
-    _, _, d, f = places
-    inner = np.ones(len(d), bool)
-    inner[starts] = False
-    bad = np.zeros(len(d), np.int64)
-    bad[1:] = (np.diff(f - d) != 0) | (2 * GAP_COST * (np.diff(d) - K) >= K)
-    return np.add.reduceat(bad * inner, starts) == 0
-
-
-def _chained(least_words: int, steps: list[int]):
-    """Rows sorted by document and first document: chains of at least two matches. A block is a match for each of its runs."""
-    names = ["doc", "first", "d0", "d1", "f0", "f1", "dp", "fp"]
-    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
-    runs = np.array(steps, np.int64)
+    names = [x.split()[0] for x in CHAINS.split(", ")]
+    types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(pa.int32())] * 3
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        places = _places(table, runs)
-        doc, first, d, f = places
+        doc, first, d, f, size = _segments(table, block)
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(doc))
-        simple, several = _simple(places, starts), ends - starts > 1
+        bad = np.zeros(len(d), bool)
+        bad[1:] = (np.diff(f - d) != 0) | (d[1:] - (d + size)[:-1] > BRIDGE)
+        simple = ~np.logical_or.reduceat(bad & ~new, starts)
+        several = d[ends - 1] + size[ends - 1] - d[starts] > K
         a, b = starts[simple & several], ends[simple & several]
         if len(a):
             rows = np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a) + np.arange((b - a).sum())
             offsets = pa.array(np.append(0, np.cumsum(b - a)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[rows], pa.int32())) for c in (d, f)]
-            flat = [doc[a], first[a], d[a], d[b - 1] + K, f[a], f[b - 1] + K]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[rows], pa.int32())) for c in (d, f, size)]
+            flat = [doc[a], first[a], d[a], (d + size)[b - 1], f[a], (f + size)[b - 1]]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(flat, types)], *lists], names=names)
         out = []
-        for low, high in zip(starts[~simple & several].tolist(), ends[~simple & several].tolist()):
-            for dp, fp in bridged(chains(d[low:high].tolist(), f[low:high].tolist())):
+        for low, high in zip(starts[~simple].tolist(), ends[~simple].tolist()):
+            for dp, fp in bridged(chains(*_spread(d[low:high], f[low:high], size[low:high]))):
                 if len(dp) > 1:
-                    out.append((int(doc[low]), int(first[low]), dp[0], dp[-1] + K, fp[0], fp[-1] + K, dp, fp))
+                    out.append((int(doc[low]), int(first[low]), dp[0], dp[-1] + K, fp[0], fp[-1] + K, *_solid(dp, fp)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=names)
 
@@ -329,15 +523,17 @@ def _whole(runs: list[list[int]], left: tuple[int, int], right: tuple[int, int],
 
 
 def align(
-    dw: np.ndarray, fw: np.ndarray, dp: list[int], fp: list[int], k: int = K, least: int = LEAST_WORDS, percent: int = PERCENT
+    dw: np.ndarray, fw: np.ndarray, dp: list[int], fp: list[int], sizes: list[int] | None = None, least: int = LEAST_WORDS, percent: int = PERCENT
 ) -> list[tuple[int, int, int, int, int]]:
-    """Passages (start, end, start in first, end there, words that agree) around the matches of a chain.
+    """Passages (start, end, start in first, end there, words that agree) around the matches of a chain, of ``K`` or the given words.
 
     The chain is cut at every gap with a word that differs. Of all joined pieces, the longest with ``least`` words of which
     ``percent`` agree is a passage, and so on to both sides of it.
     """
+    sizes = sizes or [K] * len(dp)
+    k = sizes[0]
     runs = [[dp[0], dp[0] + k, fp[0], fp[0] + k, k, 0, 0]]  # ends, words that agree, of the gap before, covered by the run before
-    for d, f in zip(dp[1:], fp[1:]):
+    for d, f, k in zip(dp[1:], fp[1:], sizes[1:]):
         run = runs[-1]
         skip = max(0, run[1] - d, run[3] - f)  # words of the match that the run covers
         if skip >= k:
@@ -354,7 +550,7 @@ def align(
         return [found]
     if len(runs) == 1:
         return []
-    none = (0, 0)
+    room, none = MARGIN + CUT, (0, 0)
     lows, highs = [none, *[(r[1], r[3]) for r in runs]], [*[(r[0], r[2]) for r in runs[1:]], (len(dw), len(fw))]
     left = np.array([_reach(dw[x:d0][::-1], fw[y:f0][::-1]) for (x, y), (d0, _, f0, *_) in zip(lows, runs)])
     right = np.array([_reach(dw[d1:x], fw[f1:y]) for (x, y), (_, d1, _, f1, *_) in zip(highs, runs)])
@@ -386,6 +582,11 @@ def align(
                 out.append(found)
                 todo += [(low, at), (at + m, high)]
                 break
+    for a, b, x, y, n, _, skip in runs:  # those in none of them may reach into what the chain has beside them
+        if not any(start <= a and b <= end for start, end, *_ in out):
+            ends = _reach(dw[max(0, a - room) : a][::-1], fw[max(0, x - room) : x][::-1]), _reach(dw[b : b + room], fw[y : y + room])
+            if found := _whole([[a, b, x, y, n + skip, 0, 0]], *ends, least, percent):
+                out.append(found)
     return sorted(out)
 
 
@@ -436,9 +637,9 @@ def _aligned(least_words: int, percent: int):
             batch = batch.filter(pa.array(_hopeful(batch, least_words)))
             rows = []
             flat = rows_of(batch, "doc", "first", "d_low", "f_low")
-            for (doc, first, d_low, f_low), *lists in zip(flat, *[_lists(batch, c) for c in ("dp", "fp", "d_part", "f_part")]):
-                dp, fp, dw, fw = lists
-                found = align(dw, fw, (dp - d_low).tolist(), (fp - f_low).tolist(), least=least_words, percent=percent)
+            for (doc, first, d_low, f_low), *lists in zip(flat, *[_lists(batch, c) for c in ("dp", "fp", "size", "d_part", "f_part")]):
+                dp, fp, size, dw, fw = lists
+                found = align(dw, fw, (dp - d_low).tolist(), (fp - f_low).tolist(), size.tolist(), least_words, percent)
                 for d0, d1, f0, f1, n in found:
                     rows.append((doc, d0 + d_low, d1 + d_low, first, f0 + f_low, f1 + f_low, n))
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -489,51 +690,25 @@ def _with_windows(rows: DataFrame, whole: DataFrame) -> DataFrame:
     return rows
 
 
-def _preceding(holders: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Rows (seed, doc, first) with the document before among the holders of a seed, the smallest of all left out.
-
-    Holders are put in order by ranges of ids, so that no task has all those of a frequent seed.
-    """
-    share = (F.col("doc").cast("double") - F.col("first").cast("double")) / (F.col("last").cast("double") - F.col("first").cast("double"))
-    placed = holders.join(seeds, "seed").select("seed", "doc", F.floor(share * F.ceil(F.col("held") / SPREAD)).alias("part"))
-    placed = staged(placed, "holders")
-    order = Window.partitionBy("seed", "part").orderBy("doc")
-    tops = placed.groupBy("seed", "part").agg(F.max("doc").alias("top"))
-    tops = tops.select("seed", "part", F.lag("top").over(Window.partitionBy("seed").orderBy("part")).alias("top")).where("top is not null")
-    own = placed.withColumn("own", F.lag("doc").over(order))
-    found = own.join(tops.hint("merge"), ["seed", "part"], "left").select("seed", "doc", F.coalesce("own", "top").alias("first"))
-    return staged(found.where("first is not null"), "before")
-
-
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """Passages of ``docs`` that an earlier document (smaller ``doc_id``) has as well, give or take some words.
 
     Rows (doc_id, start_word, end_word, first_doc_id, first_start, first_end, n_match). Repeats within
-    one document do not count. A passage inside one that a smaller document has is reported once. Texts that are NULL or shorter than a passage, and rows without id, have none; of rows with one id
-    the passages of one are reported.
+    one document do not count. A passage inside one that a smaller document has is reported once. Texts that are NULL or shorter
+    than a passage, and rows without id, have none; of rows with one id the passages of one are reported.
     """
     spark = docs.sparkSession
     whole, steps = keyed(docs), _steps(least_words)
-    seeds = whole.mapInArrow(_seeds(False, steps), "seed long, doc long")
-    repeated = (
-        seeds.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("held")).where("first < last")
-    )
-    repeated = staged(repeated, "seeds")
-    placed = whole.mapInArrow(_seeds(True, steps), "seed long, doc long, at int, turn int, is_block boolean")
-    hits = staged(placed.join(repeated.select("seed", "first"), "seed"), "hits")
-    turns = F.explode(F.array_distinct(F.array("turn", F.lit(0)))).alias("turn")
-    later = hits.where("doc <> first").select("seed", "doc", "first", "at", "is_block", turns)
-    firsts = staged(hits.where("doc = first").select("seed", "turn", F.col("at").alias("first_at")).distinct(), "firsts")
-    before = _preceding(later.select("seed", "doc").distinct(), repeated.where("held > 2"))
-    # documents before have no bound, so they are merged at every size
-    there = hits.select("seed", F.col("doc").alias("first"), "turn", F.col("at").alias("first_at")).distinct()
-    nearer = later.drop("first").join(before.hint("merge"), ["seed", "doc"]).join(there.hint("merge"), ["seed", "first", "turn"])
-    columns = ["doc", "first", "at", "first_at", "is_block"]
-    matched = later.join(firsts, ["seed", "turn"]).select(*columns).unionByName(nearer.select(*columns))
     parts = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = staged(whole.mapInArrow(_places(steps), PLACES), "places")
+    ordered = _in_order(placed.where("at >= 0"), _frequent(placed.where("at < 0"), NTH), parts)
+    matched = staged(ordered.mapInArrow(_matches(steps, True, SPREAD), MATCHES), "matches")
+    blocks = matched.where("kind = 2").select(F.col("first").alias("seed"), "doc", "at", F.lit(0).alias("block"))
+    ordered = _in_order(blocks, _frequent(blocks, 1), parts)
+    matched = matched.where("kind < 2").unionByName(ordered.mapInArrow(_matches(steps, False, SPREAD), MATCHES))
     linked = (
         matched.repartition(parts, "doc").sortWithinPartitions("doc", "first", "at", "first_at")
-        .mapInArrow(_chained(least_words, steps), CHAINS)
+        .mapInArrow(_chained(steps[-1] + K), CHAINS)
     )
     spans = _with_windows(linked, whole).mapInArrow(_aligned(least_words, percent), SPANS)
     order = ["doc_id", "first_doc_id", "first_start", "start_word", "end_word", "first_end", "n_match"]

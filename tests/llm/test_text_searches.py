@@ -291,3 +291,49 @@ def test_bridges_are_those_of_one_by_one():
             else:
                 out.append((d, f))
         assert passages.bridged(chains) == out
+
+
+def test_places_of_a_slice_are_those_of_each_document():
+    steps = passages._steps(passages.LEAST_WORDS)
+    texts = [prose(i, n) for i, n in enumerate((6, 7, 15, 14, 90, 41, 40, 55, 56, 200))] + [["la"] * 90, ["la"] * 9]
+    own = [hashes([w.encode() for w in t]) for t in texts]
+    seeds, docs, at, blocks = passages.places_of(np.concatenate(own), np.array([len(o) for o in own]), steps)
+    for i, o in enumerate(own):
+        want, places = passages.seed_places(o)
+        assert seeds[docs == i].tolist() == want.tolist() and at[docs == i].tolist() == places.tolist()
+        assert ((blocks[docs == i] > 0) == (places + steps[-1] + passages.K <= len(o))).all()
+
+
+def test_a_text_that_repeats_itself_is_matched_in_order():
+    """Each place is matched with a few, not all with the same, and all of the text is covered."""
+    block, n = 41, 2000
+    doc = np.array([1] * 60 + [2] * n)
+    at = np.concatenate([np.arange(60), np.arange(n)])
+    rows, others = passages._pairs(np.zeros(n + 60, np.int64), doc, at, block)
+    diagonals = set((at[others] - at[rows]).tolist())
+    assert len(diagonals) <= n // 60 + 2
+    covered = np.zeros(n + block, bool)
+    for x in at[rows]:
+        covered[x : x + block] = True
+    assert covered[: n - 1].all()
+
+
+def test_a_long_repeating_text_has_few_passages(make_docs):
+    rows = [(1, " ".join(["la"] * 100)), (2, " ".join(prose(1, 20) + ["la"] * 1015))]
+    found = passages.repeated_passages(make_docs(rows)).collect()
+    covered = set().union(*[range(r.start_word, r.end_word) for r in found])
+    assert covered == set(range(20, 1035)) and len(found) <= 40
+
+
+@pytest.mark.parametrize("spread", [1 << 18, 50])
+def test_frequent_seeds_are_dealt_by_documents(make_docs, monkeypatch, spread):
+    p, la = prose(1, 60), ["la"] * 70
+    rows = [(7 * i, " ".join(prose(100 + i, i % 9) + (p if i % 3 else la) + prose(200 + i, 5) + (p[:45] if i % 2 else []))) for i in range(80)]
+    want = sorted(passages.repeated_passages(make_docs(rows)).collect())
+    monkeypatch.setattr(passages, "SPREAD", spread)
+    monkeypatch.setattr(passages, "FREQUENT", 10)
+    dealt = []
+    in_order = passages._in_order
+    monkeypatch.setattr(passages, "_in_order", lambda *a: dealt.append(in_order(*a)) or dealt[-1])
+    assert sorted(passages.repeated_passages(make_docs(rows)).collect()) == want and {r.doc_id for r in want} == {7 * i for i in range(2, 80)} - {0}
+    assert all(d.where("part > 0").count() and d.where("known = 1").count() for d in dealt)
