@@ -87,9 +87,13 @@ def search_on_head(
     return placed, best, scores
 
 
-def sampled_silhouette(clustered: DataFrame, fraction: float, keys: Sequence[str]) -> DataFrame:
-    """(n_rows, silhouette) by plain Euclidean distance of the rows that ``fraction`` of the key space chooses."""
-    return euclidean_silhouette(keyed_sample(clustered, fraction, keys))
+def sampled_silhouette(clustered: DataFrame, fraction: float, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """(n_rows, silhouette) by plain Euclidean distance of the rows that ``fraction`` of the key space chooses.
+
+    With ``columns`` instead of ``features`` the vectors are assembled here, of these rows only: an assembler lets no filter through.
+    """
+    rows = keyed_sample(clustered, fraction, keys)
+    return euclidean_silhouette(rows if columns is None else learning.assemble(rows, columns))
 
 
 def kmeans_job(

@@ -168,7 +168,7 @@ _SAMPLED = f"""
 def silhouette_sampled(spark: SparkSession, d: str) -> DataFrame:
     """Plain Euclidean silhouette of the rows in the first fiftieth of the key space."""
     rows = table(spark, d, "lineitem").select(*_KEY, *_FEATURES, learning.nearest_centroid(_FEATURES, _CENTRES).alias("prediction"))
-    return clustering.sampled_silhouette(learning.assemble(rows, _FEATURES), 0.02, _KEY).withColumn("silhouette", F.round("silhouette", 6))
+    return clustering.sampled_silhouette(rows, 0.02, _KEY, _FEATURES).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("kmeans_search", "SELECT k::INT AS k, n AS n_rows, k::BIGINT AS n_clusters, 0::BIGINT AS n_misplaced, true AS agrees FROM (VALUES (3), (5)) v(k), (SELECT count(*) AS n FROM lineitem)")

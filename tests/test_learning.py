@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import batches, boosting, learning, silhouette
+from millrace.operators import batches, boosting, distances, learning, silhouette
 from millrace.operators.quantiles import rank_auc
 from millrace.plans import classify, clustering
 from millrace.session import training_table
@@ -165,6 +165,57 @@ def test_silhouettes_against_all_pairs(spark, block):
     assert silhouette.euclidean_silhouette(both, "one", block=block).first().silhouette is None
 
 
+def narrow_rows(n):
+    """One feature is far wider than the others, some rows are repeated, some lie far off."""
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(1, 51, n), rng.uniform(900, 105_000, n), rng.integers(0, 11, n) / 100], axis=1).astype(float)
+    x[: n // 20] = x[n // 2]
+    x[-3:, 1] *= 100
+    return x, (x[:, 1] // 40_000).clip(max=2).astype(int)
+
+
+def test_distances_to_distant_boxes_are_not_taken_one_by_one(monkeypatch):
+    """Sums over all pairs as all distances give them, from a small part of the distances."""
+    x, cluster = narrow_rows(30_000)
+    member = (cluster[:, None] == np.arange(3)).astype(float)
+    monkeypatch.setattr(distances, "LEAF", 512)
+    taken = []
+    for name in ("_near_sums", "far_sums"):
+        monkeypatch.setattr(distances, name, lambda x, y, *rest, run=getattr(distances, name): (taken.append(len(x) * len(y)), run(x, y, *rest)))
+    whole = distances.Rows(x, member)
+    distances.meet(whole, whole)
+    left, right = distances.Rows(x[:9_000], member[:9_000]), distances.Rows(x[9_000:], member[9_000:])
+    assert sum(taken) < len(x) ** 2 / 8
+    for a, b in ((left, left), (right, right), (left, right)):
+        distances.meet(a, b)
+    found, halves = whole.sums(), np.concatenate([left.sums(), right.sums()])
+    some = np.arange(0, len(x), 101)
+    want = np.array([np.sqrt(((x - x[i]) ** 2).sum(axis=1)) @ member for i in some])
+    np.testing.assert_allclose(found[some], want, rtol=1e-10)
+    np.testing.assert_allclose(halves[some], want, rtol=1e-10)
+
+
+def test_silhouette_of_distant_cells(spark, monkeypatch):
+    """Blocks of distant cells do not meet, but all pairs are in the silhouette; also where no cell is distant."""
+    weighed, weigh = [], silhouette._cell_weights
+    monkeypatch.setattr(silhouette, "_cell_weights", lambda *a: weighed.append(weigh(*a)) or weighed[-1])
+    x, cluster = narrow_rows(12_000)
+    for features, n_weighed in ((x, 1), (np.random.default_rng(6).normal(size=(3_000, 5)), 1)):
+        of = cluster[: len(features)] if features is x else (features[:, 0] > 0).astype(int)
+        pdf = pd.DataFrame(features, columns=[f"f{i}" for i in range(features.shape[1])]).assign(prediction=of.astype("int32"))
+        got = silhouette.euclidean_silhouette(learning.assemble(spark.createDataFrame(pdf), list(pdf.columns[:-1]))).first()
+        member = (of[:, None] == np.unique(of)).astype(float)
+        sums = np.concatenate([np.sqrt(((features[at : at + 500, None, :] - features[None]) ** 2).sum(axis=2)) @ member for at in range(0, len(features), 500)])
+        sizes, every = member.sum(axis=0), np.arange(len(features))
+        mine = np.searchsorted(np.unique(of), of)
+        own = sums[every, mine] / (sizes[mine] - 1)
+        others = sums / sizes
+        others[every, mine] = np.inf
+        other = others.min(axis=1)
+        assert got.n_rows == len(features) and got.silhouette == pytest.approx(((other - own) / np.maximum(own, other)).mean(), abs=1e-10)
+        assert len(weighed) == n_weighed
+
+
 def test_search_on_the_head(points):
     holes = points.withColumn("x", F.when(F.col("id") % 10 != 0, F.col("x")))
     out, k, scores = clustering.search_on_head(holes, ["x", "y"], n=200, ks=(2, 3, 5), on_missing="skip")
