@@ -11,9 +11,9 @@ from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssemb
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.operators import kmeans
 from millrace.operators.boosting import merged_rows
 from millrace.operators.sampling import SEED
-from millrace.operators.silhouette import squared_silhouettes
 from millrace.session import persisted, sized
 
 MERGED_PART = 20_000  # merged rows of a task: a round is many short jobs, so their tasks are few
@@ -80,21 +80,20 @@ def silhouette(predictions: DataFrame, distance: str = "squaredEuclidean", featu
     return ClusteringEvaluator(featuresCol=features, metricName="silhouette", distanceMeasure=distance).evaluate(predictions)
 
 
-def search_k(scaled: DataFrame, ks: Sequence[int], seed: int = SEED) -> tuple[int, KMeansModel, dict[int, float | None]]:
-    """Fit each k; best silhouette by squared distance wins. The scores of all k come from the same two passes.
+def search_k(
+    scaled: DataFrame, ks: Sequence[int], seed: int = SEED, blocks: DataFrame | None = None
+) -> tuple[int, KMeansModel, dict[int, float | None]]:
+    """Fit each k; best silhouette by squared distance wins. All k are fitted in the same passes, and scored in the same two.
 
-    ``scaled`` is read by every fit, so it should be a written table. It is not persisted here: KMeans then keeps its own
-    blocks of numbers with spill to disk, while over a persisted frame it decodes every row again in every iteration.
+    ``blocks`` are the rows of ``scaled`` as ``kmeans.packed`` gives them, for when several searches read them.
     A k that ends with one cluster has no score.
     """
-    fits = {k: fit_kmeans(scaled, k, seed) for k in dict.fromkeys(ks)}
-    tagged = scaled.select("features")
-    for k, model in fits.items():
-        tagged = model.transform(tagged).withColumnRenamed("prediction", f"k{k}")
-    found = squared_silhouettes(tagged, [f"k{k}" for k in fits])
-    scores = {k: found[f"k{k}"] for k in fits}
+    if blocks is None:
+        blocks = kmeans.packed(scaled)
+    centres = kmeans.fit(blocks, list(dict.fromkeys(ks)), seed)
+    scores = kmeans.silhouettes(blocks, centres)
     best = max(scores, key=lambda k: -2.0 if scores[k] is None else scores[k])
-    return best, fits[best], scores
+    return best, kmeans.model(scaled.sparkSession, centres[best], best, seed), scores
 
 
 def fit_gbt(

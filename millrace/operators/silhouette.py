@@ -28,6 +28,19 @@ def _score(own: Column, other: Column, size: Column) -> Column:
     return F.when(size <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0)))
 
 
+def sum_of_scores(x: np.ndarray, mine: np.ndarray, n: np.ndarray, norms: np.ndarray, total: np.ndarray) -> float:
+    """Of rows in the clusters ``mine``, by squared distance: from the sizes of the clusters, their sums of squared lengths and of vectors."""
+    lengths, every = (x * x).sum(axis=1), np.arange(len(x))
+    far = np.maximum(n * lengths[:, None] + norms - 2 * (x @ total.T), 0.0)
+    own = far[every, mine] / np.maximum(n[mine] - 1, 1)
+    far /= n
+    far[every, mine] = np.inf
+    other = far.min(axis=1)
+    most = np.maximum(own, other)
+    known = (n[mine] > 1) & (most > 0)
+    return float(np.where(known, (other - own) / np.where(known, most, 1.0), 0.0).sum())
+
+
 def squared_silhouettes(df: DataFrame, predictions: Sequence[str], features: str = "features") -> dict[str, float | None]:
     """Silhouette by squared Euclidean distance for each of the prediction columns, two passes over ``df`` for all of them.
 
@@ -57,18 +70,10 @@ def squared_silhouettes(df: DataFrame, predictions: Sequence[str], features: str
             if not batch.num_rows:
                 continue
             v = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            lengths, every = (v * v).sum(axis=1), np.arange(len(v))
             n_rows += len(v)
             for p, (names, n, norms, total) in facts.items():
                 mine = np.searchsorted(names, batch.column(p).to_numpy(zero_copy_only=False))
-                far = np.maximum(n * lengths[:, None] + norms - 2 * (v @ total.T), 0.0)
-                own = far[every, mine] / np.maximum(n[mine] - 1, 1)
-                far /= n
-                far[every, mine] = np.inf
-                other = far.min(axis=1)
-                most = np.maximum(own, other)
-                known = (n[mine] > 1) & (most > 0)
-                found[p].append(float(np.where(known, (other - own) / np.where(known, most, 1.0), 0.0).sum()))
+                found[p].append(sum_of_scores(v, mine, n, norms, total))
         scores = [math.fsum(v) for v in found.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(scores, pa.float64()), pa.array([n_rows] * len(found), pa.int64())], names=["by", "score", "n"])
 

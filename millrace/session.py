@@ -90,17 +90,20 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, purpose: str, tasks: int | None = None) -> DataFrame:
+def staged(df: DataFrame, purpose: str, tasks: int | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder and go on from there.
 
-    For results that are costly to make and read by several later passes. With ``tasks`` they are read by as many at least.
+    For results that are costly to make and read by several later passes. With ``tasks`` they are read by as many at least, with
+    ``settings`` in a session that has them.
     """
     path = work_dir(df.sparkSession, purpose)
     _staged.append(path)
     df.write.parquet(path)
     spark = df.sparkSession
     if tasks:
-        spark = derived_session(spark, {"spark.sql.files.minPartitionNum": str(tasks), "spark.sql.files.openCostInBytes": "1"})
+        settings = {"spark.sql.files.minPartitionNum": str(tasks), "spark.sql.files.openCostInBytes": "1", **(settings or {})}
+    if settings:
+        spark = derived_session(spark, settings)
     return spark.read.parquet(path)
 
 

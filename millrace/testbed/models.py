@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators import learning, sampling
+from millrace.operators import kmeans, learning, sampling
 from millrace.operators.batches import score_batches
 from millrace.operators.quantiles import rank_auc
 from millrace.plans import classify, clustering
-from millrace.session import spread, staged
+from millrace.session import training_table
 from millrace.testbed import fixtures as fx
 from millrace.testbed.registry import query, table
 
@@ -175,16 +175,17 @@ def silhouette_sampled(spark: SparkSession, d: str) -> DataFrame:
 def kmeans_search(spark: SparkSession, d: str) -> DataFrame:
     """For each k, the one that won among them: every row sits at the nearest of the fitted centres, and the silhouette is Spark's."""
     scaled = clustering.scaled_features(table(spark, d, "lineitem").select(*_FEATURES), _FEATURES).select("features")
-    scaled = staged(spread(scaled), "scaled")
-    _, _, scores = learning.search_k(scaled, (3, 5))
+    scaled = training_table(scaled, "scaled")
+    blocks = kmeans.packed(scaled)
+    _, _, scores = learning.search_k(scaled, (3, 5), blocks=blocks)
     out = []
     for k in (3, 5):
-        _, model, own = learning.search_k(scaled, (k,))
+        _, model, own = learning.search_k(scaled, (k,), blocks=blocks)
         placed = model.transform(scaled)
         agrees = F.lit(abs(own[k] - learning.silhouette(placed)) < 1e-9 and own[k] == scores[k])
-        centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-        square = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
-        far = placed.select("prediction", vector_to_array("features").alias("x")).withColumn("far", F.transform(centres, square))
+        x = [F.get("x", F.lit(i)) for i in range(len(_FEATURES))]
+        squares = [sum(((v - float(c)) * (v - float(c)) for v, c in zip(x, centre, strict=True)), F.lit(0.0)) for centre in model.clusterCenters()]
+        far = placed.select("prediction", vector_to_array("features").alias("x")).withColumn("far", F.array(*squares))
         misplaced = F.count_if(F.get("far", F.col("prediction")) > F.array_min("far") + 1e-9).alias("n_misplaced")
         counts = F.count(F.lit(1)).alias("n_rows"), F.countDistinct("prediction").alias("n_clusters"), misplaced, F.first(agrees).alias("agrees")
         out.append(far.agg(*counts).select(F.lit(k).alias("k"), "*"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import batches, boosting, distances, learning, silhouette
+from millrace.operators import batches, boosting, distances, kmeans, learning, silhouette
 from millrace.operators.quantiles import rank_auc
 from millrace.plans import classify, clustering
 from millrace.session import training_table
@@ -165,6 +165,38 @@ def test_silhouettes_against_all_pairs(spark, block):
     assert silhouette.euclidean_silhouette(both, "one", block=block).first().silhouette is None
 
 
+def test_search_reads_blocks_once_for_all_k(spark, monkeypatch):
+    """A k more costs no pass more. Centres are the means of the rows next to them, scores those of Spark's predictions, and a k alone ends alike."""
+    monkeypatch.setattr(kmeans, "BLOCK_NUMBERS", 60)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 1.0, (n, 3)) for c, n in ((0, 700), (30, 200), (-40, 100))])
+    rows = learning.assemble(spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))), list("abc")).select("features")
+    passes, one = [], kmeans._pass
+    monkeypatch.setattr(kmeans, "_pass", lambda blocks, work: passes.append(blocks) or one(blocks, work))
+    blocks = kmeans.packed(rows.repartition(5))
+    assert blocks.agg(F.sum("n")).first()[0] == 1000 and blocks.agg(F.max("n")).first()[0] <= 20
+    best, model, scores = learning.search_k(rows, (2, 3, 4), blocks=blocks)
+    assert best == 3 and len(passes) <= 4 + 20 + 2 and all(p is blocks for p in passes)
+    centres = np.array(model.clusterCenters())
+    label = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+    np.testing.assert_allclose(centres, [x[label == j].mean(axis=0) for j in range(3)], atol=1e-4)
+    placed = model.transform(rows)
+    assert sorted(r["count"] for r in placed.groupBy("prediction").count().collect()) == [100, 200, 700]
+    assert scores[3] == pytest.approx(learning.silhouette(placed), abs=1e-12)
+    assert scores[3] == pytest.approx(silhouette.squared_silhouettes(placed, ["prediction"])["prediction"], abs=1e-12)
+    for k in (2, 4):
+        assert learning.search_k(rows, (k,), blocks=blocks)[2][k] == scores[k]
+
+
+def test_search_of_few_places(spark):
+    """Fewer places than k are a cluster each, one place has no score; empty parts, zeros as sparse vectors."""
+    two = spark.createDataFrame([(0.0, 0.0, 0.0)] * 6 + [(0.0, 4.0, 0.0)] * 3, "a double, b double, c double").repartition(12)
+    vectors = learning.assemble(two, ["a", "b", "c"])
+    best, model, scores = learning.search_k(vectors, (3,))
+    assert best == 3 and scores == {3: pytest.approx(1.0)} and sorted(tuple(c) for c in model.clusterCenters()) == [(0, 0, 0), (0, 4, 0)]
+    assert learning.search_k(vectors.where("b = 0"), (2,))[2] == {2: None}
+
+
 def narrow_rows(n):
     """One feature is far wider than the others, some rows are repeated, some lie far off."""
     rng = np.random.default_rng(5)
